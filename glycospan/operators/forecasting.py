@@ -90,8 +90,9 @@ def range_grid(history: DataFrame, start: str, end: str, parity: bool = False) -
         .select(
             "patient_id",
             "last_ts",
-            F.explode(F.sequence(F.col("first_step"), F.col("steps"))).cast("int").alias("step"),
+            F.explode(F.sequence(F.col("first_step"), F.col("steps"))).alias("step"),
         )
+        .withColumn("step", F.col("step").cast("int"))
         .withColumn("timestamp", plus_seconds(F.col("last_ts"), F.col("step") * F.lit(3600)))
         .where(F.col("timestamp").between(start_ts, end_ts))
     )

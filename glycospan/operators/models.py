@@ -301,11 +301,10 @@ class NeighbourModel:
     def predict(self, rows: DataFrame) -> DataFrame:
         """``rows`` need distinct ``hour_ts`` within a patient."""
         known = self.scaler.apply(self.train)
-        asked = self.scaler.apply(rows).select("patient_id", "hour_ts", *self.scaler.columns)
-        found = predict_neighbours(known, asked, self.scaler.columns, k=self.k)
-        return rows.join(
-            found.select("patient_id", "hour_ts", "prediction"), ["patient_id", "hour_ts"]
-        ).select(*rows.columns, "prediction")
+        found = predict_neighbours(
+            known, self.scaler.apply(rows), self.scaler.columns, k=self.k
+        )
+        return rows.join(found, ["patient_id", "hour_ts"]).select(*rows.columns, "prediction")
 
 
 @dataclass(frozen=True)
@@ -324,6 +323,8 @@ class SeasonalModel:
 def fit_model(name: str, train: DataFrame, scope: str = "pooled", **params):
     """Fit one of the ten algorithms on feature rows (or the grid, for ``prophet``).
 
+    A fit and its predictions read ``train`` several times: hand in a table kept by
+    ``durable`` or ``persist``, not a plan that starts at the readings.
     ``scope`` is ``pooled`` (one Spark ML fit over all patients) or ``patient``
     (linear family; nearest neighbours and the seasonal models always work per
     patient). ``xgboost`` is gradient boosting with the same settings.

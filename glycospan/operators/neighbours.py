@@ -46,38 +46,45 @@ def predict_neighbours(
     k: int = 5,
     prediction: str = "prediction",
 ) -> DataFrame:
-    """``queries`` with the mean target of the ``k`` nearest ``train`` rows of the patient.
+    """Mean target of the ``k`` nearest ``train`` rows of the patient, per query row.
 
     Rows of a patient are compared block-wise inside a task, so no pair of rows is
     ever produced. Queries are cut into blocks of 2048 and the training rows of
     the patient (at most one per hour of calendar time) go to each of its blocks.
     """
     number = F.row_number().over(Window.partitionBy("patient_id").orderBy("hour_ts"))
-    blocked = queries.withColumn("block", F.floor((number - 1) / F.lit(BLOCK)))
-    blocks = blocked.groupBy("patient_id").agg(F.max("block").alias("last"))
-    spread = train.select("patient_id", "hour_ts", target, *columns).join(blocks, "patient_id")
-    spread = spread.withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))
-    ).drop("last")
+    asked = queries.select("patient_id", "hour_ts", *columns).withColumn(
+        "block", F.floor((number - 1) / F.lit(BLOCK))
+    )
+    blocks = asked.groupBy(F.col("patient_id").alias("owner")).agg(F.max("block").alias("last"))
+    known = (
+        train.select(
+            F.col("patient_id").alias("owner"),
+            F.col("hour_ts").alias("known_ts"),
+            F.col(target).alias("known_target"),
+            *[F.col(c).alias(f"known_{c}") for c in columns],
+        )
+        .join(blocks, "owner")
+        .withColumn("known_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+        .drop("last")
+    )
 
-    def per_block(known: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        known = known.sort_values("hour_ts")
-        if len(known) and len(asked):
+    def per_block(known_pdf: pd.DataFrame, asked_pdf: pd.DataFrame) -> pd.DataFrame:
+        known_pdf = known_pdf.sort_values("known_ts")
+        if len(known_pdf) and len(asked_pdf):
             values = _nearest_means(
-                asked[columns].to_numpy(float),
-                known[columns].to_numpy(float),
-                known[target].to_numpy(float),
+                asked_pdf[columns].to_numpy(float),
+                known_pdf[[f"known_{c}" for c in columns]].to_numpy(float),
+                known_pdf["known_target"].to_numpy(float),
                 k,
             )
         else:
-            values = np.full(len(asked), np.nan)
-        return asked[["patient_id", "hour_ts"]].assign(**{prediction: values})
+            values = np.full(len(asked_pdf), np.nan)
+        return asked_pdf[["patient_id", "hour_ts"]].assign(**{prediction: values})
 
-    key = ["patient_id", "block"]
-    found = (
-        spread.groupBy(*key)
-        .cogroup(blocked.select(*key, "hour_ts", *columns).groupBy(*key))
+    return (
+        known.groupBy("owner", "known_block")
+        .cogroup(asked.groupBy("patient_id", "block"))
         .applyInPandas(per_block, f"patient_id long, hour_ts timestamp, {prediction} double")
         .withColumn(prediction, F.when(~F.isnan(prediction), F.col(prediction)))
     )
-    return queries.join(found, ["patient_id", "hour_ts"])

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glycospan.functions.calendar import weekday
@@ -35,32 +35,27 @@ def _slot(ts: Column) -> Column:
 
 @dataclass(frozen=True)
 class SeasonalTrend:
-    """``trend``: one row per patient; ``index``: up to 168 rows per patient."""
+    """One row per patient: the line, the spread, and the index by slot and by hour."""
 
-    trend: DataFrame
-    index: DataFrame
+    table: DataFrame
 
     algorithm = "prophet"
 
     def predict(self, rows: DataFrame, ts: str = "timestamp") -> DataFrame:
-        """Add prediction, 95% bounds and trend to rows with patient and time."""
-        trend = F.col("intercept") + F.col("slope") * _hours_since(F.col(ts), F.col("first_ts"))
-        seasonal = F.coalesce("slot_index", "hour_index", F.lit(1.0))
+        """Add prediction, 95% bounds and trend to rows with patient and time.
+
+        An hour of the week that was never seen takes the index of its hour of day.
+        """
+        t = F.col(ts)
+        trend = F.col("intercept") + F.col("slope") * _hours_since(t, F.col("first_ts"))
+        season = F.coalesce(
+            F.try_element_at("by_slot", _slot(t)), F.try_element_at("by_hour", F.hour(t)), F.lit(1.0)
+        )
         yhat, spread = F.col("predicted_glucose"), Z95 * F.col("sigma")
         return (
-            rows.withColumn("slot", _slot(F.col(ts)))
-            .join(self.index.drop("hour_index"), ["patient_id", "slot"], "left")
-            .withColumn("slot_hour", F.hour(ts))
-            .join(
-                self.index.groupBy("patient_id", (F.col("slot") % 24).alias("slot_hour")).agg(
-                    F.max("hour_index").alias("hour_index")
-                ),
-                ["patient_id", "slot_hour"],
-                "left",
-            )
-            .join(self.trend, "patient_id")
+            rows.join(self.table, "patient_id")
             .withColumn("trend", trend)
-            .withColumn("predicted_glucose", F.col("trend") * seasonal)
+            .withColumn("predicted_glucose", F.col("trend") * season)
             .withColumn("lower_bound", yhat - spread)
             .withColumn("upper_bound", yhat + spread)
             .select(*rows.columns, "predicted_glucose", "lower_bound", "upper_bound", "trend")
@@ -68,62 +63,52 @@ class SeasonalTrend:
 
 
 def fit_seasonal_trend(history: DataFrame) -> SeasonalTrend:
-    """Trend by least squares on hours since the first row; index by hour of week."""
-    first = history.groupBy("patient_id").agg(F.min("hour_ts").alias("first_ts"))
-    x = _hours_since(F.col("hour_ts"), F.col("first_ts"))
+    """Trend by least squares on hours since the first row; index by hour of week.
+
+    Every step groups within a patient, so the history is laid out by patient once
+    and the whole fit runs in that layout.
+    """
+    patient = Window.partitionBy("patient_id")
+    y, x, trend = F.col("glucose"), F.col("x"), F.col("trend")
     known = (
-        history.where(F.col("glucose").isNotNull())
-        .join(first, "patient_id")
-        .select("patient_id", "first_ts", "hour_ts", "glucose", x.alias("x"))
-    )
-    line = known.groupBy("patient_id", "first_ts").agg(
-        F.regr_slope("glucose", "x").alias("fitted_slope"),
-        F.avg("glucose").alias("mean_y"),
-        F.avg("x").alias("mean_x"),
-    )
-    slope = F.coalesce("fitted_slope", F.lit(0.0))
-    line = line.select(
-        "patient_id",
-        "first_ts",
-        slope.alias("slope"),
-        (F.col("mean_y") - slope * F.col("mean_x")).alias("intercept"),
-    )
-    relative = known.join(line.drop("first_ts"), "patient_id").select(
-        "patient_id",
-        "glucose",
-        _slot(F.col("hour_ts")).alias("slot"),
-        (F.col("intercept") + F.col("slope") * F.col("x")).alias("trend"),
+        history.withColumn("first_ts", F.min("hour_ts").over(patient))
+        .where(y.isNotNull())
+        .withColumn("x", _hours_since(F.col("hour_ts"), F.col("first_ts")))
+        .withColumn("slope", F.coalesce(F.regr_slope(y, x).over(patient), F.lit(0.0)))
+        .withColumn(
+            "intercept", F.avg(y).over(patient) - F.col("slope") * F.avg(x).over(patient)
+        )
+        .withColumn("trend", F.col("intercept") + F.col("slope") * x)
+        .withColumn("share", F.try_divide(y, trend))
     )
-    share = F.try_divide(F.col("glucose"), F.col("trend"))
-    slots = relative.groupBy("patient_id", "slot").agg(
-        F.avg(share).alias("slot_index"),
-        F.sum(share).alias("total"),
-        F.count(share).alias("n"),
+    line = ["patient_id", "first_ts", "slope", "intercept"]
+    slots = known.groupBy(*line, _slot(F.col("hour_ts")).alias("slot")).agg(
+        F.avg("share").alias("slot_index"),
+        F.sum("share").alias("total"),
+        F.count("share").alias("n"),
         # with y, t and s per row: sum (y - t s)^2 = sum y^2 - 2 s sum t y + s^2 sum t^2
-        F.sum(F.col("glucose") * F.col("glucose")).alias("yy"),
-        F.sum(F.col("glucose") * F.col("trend")).alias("ty"),
-        F.sum(F.col("trend") * F.col("trend")).alias("tt"),
+        F.sum(y * y).alias("yy"),
+        F.sum(y * trend).alias("ty"),
+        F.sum(trend * trend).alias("tt"),
     )
     s = F.coalesce("slot_index", F.lit(1.0))
-    sigma = slots.groupBy("patient_id").agg(
-        F.sqrt(
-            F.greatest(
-                F.try_divide(
-                    F.sum(F.col("yy") - 2 * s * F.col("ty") + s * s * F.col("tt")), F.sum("n")
-                ),
-                F.lit(0.0),
-            )
-        ).alias("sigma")
-    )
-    hours = slots.groupBy("patient_id", (F.col("slot") % 24).alias("slot_hour")).agg(
-        F.try_divide(F.sum("total"), F.sum("n")).alias("hour_index")
-    )
-    index = (
-        slots.select("patient_id", "slot", (F.col("slot") % 24).alias("slot_hour"), "slot_index")
-        .join(hours, ["patient_id", "slot_hour"])
-        .drop("slot_hour")
+    squares = F.sum(F.col("yy") - 2 * s * F.col("ty") + s * s * F.col("tt"))
+    hour = F.col("slot") % 24
+    same_hour = Window.partitionBy("patient_id", hour)
+    hour_index = F.try_divide(F.sum("total").over(same_hour), F.sum("n").over(same_hour))
+    # at most 168 slots per patient
+    table = (
+        slots.withColumn("hour_index", hour_index)
+        .groupBy(*line)
+        .agg(
+            F.sqrt(F.greatest(F.try_divide(squares, F.sum("n")), F.lit(0.0))).alias("sigma"),
+            F.map_from_entries(F.collect_list(F.struct("slot", "slot_index"))).alias("by_slot"),
+            F.map_from_entries(F.collect_set(F.struct(hour.alias("hour"), "hour_index"))).alias(
+                "by_hour"
+            ),
+        )
     )
-    return SeasonalTrend(line.join(sigma, "patient_id"), index)
+    return SeasonalTrend(table)
 
 
 # Fourier orders and changepoint settings of the trend model.

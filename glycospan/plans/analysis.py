@@ -10,6 +10,7 @@ from glycospan.config import DEFAULTS, Settings
 from glycospan.operators import anomalies, cleaning, features, forecasting, patterns, report
 from glycospan.operators.models import fit_model
 from glycospan.operators.seasonal import fit_fourier_trend, fit_seasonal_trend
+from glycospan.session import durable
 
 
 @dataclass(frozen=True)
@@ -71,13 +72,15 @@ def analyse(
 ) -> Analysis:
     """Flag, clean and featurise the readings of all patients.
 
-    ``keep`` persists the hourly grid and the feature table, which several
-    consumers read (spilling to disk when they exceed memory).
+    ``keep`` writes the hourly grid and the feature table to the checkpoint folder,
+    as several consumers read them and neither should start at the readings again.
     """
     hourly = cleaning.clean(readings, settings)
+    if keep:
+        hourly = durable(hourly)
     table = features.build_features(hourly, leak_free)
     if keep:
-        hourly, table = hourly.persist(), features.build_features(hourly, leak_free).persist()
+        table = durable(table)
     return Analysis(
         readings, anomalies.flag_anomalies(readings, settings), hourly, table, settings
     )

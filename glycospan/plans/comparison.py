@@ -9,6 +9,7 @@ from glycospan.operators.cleaning import clean
 from glycospan.operators.evaluation import band_counts, compare_algorithms
 from glycospan.operators.features import build_features
 from glycospan.operators.models import ALGORITHMS
+from glycospan.session import durable
 
 
 def compare(
@@ -20,6 +21,7 @@ def compare(
     **options,
 ) -> tuple[DataFrame, DataFrame]:
     """``(leaderboard, band counts)`` per patient."""
-    hourly = clean(readings, settings).persist()
-    board = compare_algorithms(hourly, build_features(hourly, leak_free), names, params, **options)
+    hourly = durable(clean(readings, settings))
+    table = durable(build_features(hourly, leak_free))
+    board = durable(compare_algorithms(hourly, table, names, params, **options))
     return board, band_counts(board.where("failure is null"))

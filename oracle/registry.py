@@ -12,7 +12,7 @@ from glycospan.functions.calendar import time_bin
 from glycospan.functions import ranges
 from glycospan.operators import anomalies, cleaning, evaluation, features, forecasting
 from glycospan.operators import models, patterns, report, seasonal
-from glycospan.session import use_utc
+from glycospan.session import durable, use_utc
 from glycospan.sources import profile
 from glycospan.sources.readings import as_readings, read_readings, scan
 from oracle import sql as S
@@ -102,9 +102,18 @@ def feature_table(spark, d, leak_free: bool = False):
     return features.build_features(hourly(spark, d), leak_free)
 
 
+def kept_hourly(spark, d):
+    """The grid as a written table, for queries that read it in several branches."""
+    return durable(hourly(spark, d))
+
+
+def kept_features(spark, d, leak_free: bool = False):
+    return durable(feature_table(spark, d, leak_free))
+
+
 def _seasonal(spark, d, periods: int = 168):
     """History and forecast of the seasonal model with the step of future rows."""
-    history = hourly(spark, d)
+    history = kept_hourly(spark, d)
     grid = forecasting.future_grid(history, periods)
     model = seasonal.fit_seasonal_trend(history)
     return forecasting.seasonal_forecast(model, history, grid)
@@ -684,7 +693,7 @@ FROM slots50 s LEFT JOIN hits h ON h.patient_id = s.patient_id AND h.bin = s.bin
 
 @check("p8_histogram", T_HOUR.rstrip() + HISTOGRAM, "bin_low bin_high")
 def _(spark, d):
-    return patterns.histogram(hourly(spark, d))
+    return patterns.histogram(kept_hourly(spark, d))
 
 
 BOX = """, quarts AS (
@@ -700,7 +709,7 @@ FROM hourly JOIN quarts USING (patient_id) GROUP BY 1, 2, 3, 4"""
 
 @check("p9_box_plot", T_HOUR.rstrip() + BOX, "q1 median_glucose q3 whisker_low whisker_high")
 def _(spark, d):
-    return patterns.box_plot(hourly(spark, d))
+    return patterns.box_plot(kept_hourly(spark, d))
 
 
 @check(
@@ -758,7 +767,7 @@ def _(spark, d):
     "avg_glucose min_glucose max_glucose std_glucose",
 )
 def _(spark, d):
-    history = hourly(spark, d)
+    history = kept_hourly(spark, d)
     grid = forecasting.future_grid(history, 8760)
     ahead = seasonal.fit_seasonal_trend(history).predict(grid).transform(forecasting.clip_forecast)
     return patterns.compare_horizons(ahead)
@@ -861,7 +870,7 @@ def _(spark, d):
     "value lower_bound upper_bound",
 )
 def _(spark, d):
-    history = hourly(spark, d)
+    history = kept_hourly(spark, d)
     grid = forecasting.future_grid(history, 168)
     table = forecasting.seasonal_forecast(seasonal.fit_seasonal_trend(history), history, grid)
     return patterns.plot_series(history, table)
@@ -881,14 +890,14 @@ def _(spark, d):
 
 @check("m1_fourier_trend")
 def _(spark, d):
-    history = hourly(spark, d)
+    history = kept_hourly(spark, d)
     grid = forecasting.future_grid(history, 168)
     return forecasting.seasonal_forecast(seasonal.fit_fourier_trend(history), history, grid)
 
 
 def _holdout(name: str, scope: str = "pooled"):
     def run(spark, d):
-        table = feature_table(spark, d, True)
+        table = kept_features(spark, d, True)
         return evaluation.score_holdout(name, table, scope=scope, **SMALL.get(name, {}))
 
     return run
@@ -926,13 +935,13 @@ def _(spark, d):
 
 @check("m12_training_r2")
 def _(spark, d):
-    table = feature_table(spark, d, True)
+    table = kept_features(spark, d, True)
     return models.training_r2(models.fit_model("ridge", table, "patient"), table)
 
 
 @check("m13_feature_importance")
 def _(spark, d):
-    table = feature_table(spark, d, True)
+    table = kept_features(spark, d, True)
     return models.fit_model("decision_tree", table).importances(5)
 
 
@@ -967,7 +976,7 @@ def _(spark, d):
 
 @check("x2_recursive_forecast")
 def _(spark, d):
-    table = feature_table(spark, d, True)
+    table = kept_features(spark, d, True)
     model = models.fit_model("ridge", table, "patient")
     return forecasting.regressor_forecast(
         model, table, forecasting.future_grid(table, 72), "recursive"
@@ -976,7 +985,7 @@ def _(spark, d):
 
 @check("x3_zero_fill_forecast")
 def _(spark, d):
-    table = feature_table(spark, d)
+    table = kept_features(spark, d)
     model = models.fit_model("ridge", table, "patient")
     return forecasting.regressor_forecast(
         model, table, forecasting.future_grid(table, 168), "zero_fill"
@@ -985,14 +994,14 @@ def _(spark, d):
 
 @check("x3_frozen_forecast")
 def _(spark, d):
-    table = feature_table(spark, d, True)
+    table = kept_features(spark, d, True)
     model = models.fit_model("ridge", table, "patient")
     return forecasting.regressor_forecast(model, table, forecasting.future_grid(table, 168))
 
 
 @check("x4_noisy_forecast")
 def _(spark, d):
-    history = hourly(spark, d)
+    history = kept_hourly(spark, d)
     grid = forecasting.future_grid(history, 168)
     table = forecasting.seasonal_forecast(seasonal.fit_seasonal_trend(history), history, grid)
     return forecasting.clip_forecast(forecasting.add_seasonal_noise(table, history, seed=7))
@@ -1009,7 +1018,7 @@ T_PLAIN = T_CAST.rstrip() + SPREAD_BOUNDS
 
 
 def _spread_forecast(spark, d):
-    history = hourly(spark, d)
+    history = kept_hourly(spark, d)
     grid = forecasting.future_grid(history, 168)
     future = (
         seasonal.fit_seasonal_trend(history)
@@ -1068,7 +1077,7 @@ RANGE = ("2024-01-25 12:00:00", "2024-02-10 00:00:00")
     FORECAST_DOUBLES,
 )
 def _(spark, d):
-    history = hourly(spark, d)
+    history = kept_hourly(spark, d)
     grid = forecasting.range_grid(history, *RANGE)
     table = forecasting.seasonal_forecast(seasonal.fit_seasonal_trend(history), history, grid)
     return forecasting.within(table, *RANGE)
@@ -1154,7 +1163,7 @@ T_METRICS = S.with_tables(
 
 @check("e2_error_metrics", T_METRICS + "SELECT * FROM metrics", S.METRIC_COLUMNS)
 def _(spark, d):
-    return evaluation.backtest("prophet", hourly(spark, d))
+    return evaluation.backtest("prophet", kept_hourly(spark, d))
 
 
 @check(
@@ -1163,7 +1172,7 @@ def _(spark, d):
     S.METRIC_COLUMNS,
 )
 def _(spark, d):
-    return evaluation.with_bands(evaluation.backtest("prophet", hourly(spark, d)))
+    return evaluation.with_bands(evaluation.backtest("prophet", kept_hourly(spark, d)))
 
 
 def _two_algorithms() -> str:
@@ -1180,7 +1189,7 @@ def _two_algorithms() -> str:
 
 
 def _two_backtests(spark, d):
-    table = feature_table(spark, d, True)
+    table = kept_features(spark, d, True)
     return evaluation.backtest("prophet", table).unionByName(evaluation.backtest("knn", table))
 
 
@@ -1217,16 +1226,15 @@ def _(spark, d):
 
 @check("e4_leaderboard_models")
 def _(spark, d):
-    history = hourly(spark, d)
+    history = kept_hourly(spark, d)
     names = ("prophet", "linear_regression", "ridge", "lasso", "knn", "decision_tree")
-    return evaluation.compare_algorithms(
-        history, features.build_features(history, True), names, SMALL
-    )
+    table = durable(features.build_features(history, True))
+    return evaluation.compare_algorithms(history, table, names, SMALL)
 
 
 @check("e5_holdout_backtest")
 def _(spark, d):
-    return evaluation.backtest("ridge", feature_table(spark, d, True), scope="patient")
+    return evaluation.backtest("ridge", kept_features(spark, d, True), scope="patient")
 
 
 # --- report ----------------------------------------------------------------------------------
