@@ -6,6 +6,9 @@ grid once. A patient has at most one row per hour of calendar time here.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -44,27 +47,59 @@ def add_lags(hourly: DataFrame, lags=LAGS) -> DataFrame:
     )
 
 
-def _rolling(aggregate, size: int, complete: bool) -> Column:
-    frame = _in_order().rowsBetween(1 - size, 0)
-    value = aggregate("glucose").over(frame)
-    return F.when(F.count("glucose").over(frame) == size, value) if complete else value
-
-
 def add_rolling(hourly: DataFrame, windows=WINDOWS) -> DataFrame:
-    """Mean and deviation of complete windows; null while a value is missing."""
+    """Mean and deviation of complete windows; null while a value is missing.
+
+    A window that is a multiple of a shorter one is put together from the moments
+    of the shorter windows before it, so only the shortest frame visits its rows
+    one by one. Moments are merged around their means, which loses no precision.
+    """
+    order = _in_order()
+    df, done = hourly, []
+    for n in sorted(windows):
+        mean, squares = f"mean__{n}", f"squares__{n}"
+        parts = [p for p in done if n % p == 0]
+        if not parts:
+            frame = order.rowsBetween(1 - n, 0)
+            complete = F.count("glucose").over(frame) == n
+            df = df.withColumns(
+                {
+                    mean: F.when(complete, F.avg("glucose").over(frame)),
+                    squares: F.when(complete, F.var_pop("glucose").over(frame) * n),
+                }
+            )
+        else:
+            size = parts[-1]
+            pieces = range(0, n, size)
+            names = {k: (f"m__{k}", f"s__{k}") for k in pieces}
+            df = df.withColumns(
+                {m: F.lag(f"mean__{size}", k).over(order) for k, (m, _) in names.items()}
+                | {q: F.lag(f"squares__{size}", k).over(order) for k, (_, q) in names.items()}
+            )
+            df = df.withColumn(
+                mean, reduce(operator.add, [F.col(m) for m, _ in names.values()]) / len(names)
+            )
+            between = [(F.col(m) - F.col(mean)) * (F.col(m) - F.col(mean)) for m, _ in names.values()]
+            df = df.withColumn(
+                squares,
+                reduce(operator.add, [F.col(q) for _, q in names.values()])
+                + reduce(operator.add, between) * size,
+            ).drop(*[c for pair in names.values() for c in pair])
+        done.append(n)
     columns = {}
     for n in windows:
-        columns[f"glucose_rolling_mean_{n}h"] = _rolling(F.avg, n, True)
-        columns[f"glucose_rolling_std_{n}h"] = _rolling(F.stddev_samp, n, True)
-    return hourly.withColumns(columns)
+        columns[f"glucose_rolling_mean_{n}h"] = F.col(f"mean__{n}")
+        columns[f"glucose_rolling_std_{n}h"] = F.sqrt(F.try_divide(F.col(f"squares__{n}"), F.lit(n - 1)))
+    return df.withColumns(columns).select(*hourly.columns, *columns)
 
 
 def add_expanding_rolling(hourly: DataFrame, size: int = 24) -> DataFrame:
     """Rolling mean and deviation that start with the first row."""
+    frame = _in_order().rowsBetween(1 - size, 0)
     return hourly.withColumns(
         {
-            "glucose_rolling_mean": _rolling(F.avg, size, False),
-            "glucose_rolling_std": _rolling(F.stddev_samp, size, False),
+            "glucose_rolling_mean": F.avg("glucose").over(frame),
+            "glucose_rolling_std": F.stddev_samp("glucose").over(frame),
         }
     )
 
