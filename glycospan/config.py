@@ -26,13 +26,21 @@ class Settings:
 
     #: rows a per-patient table may have and still be broadcast (about 40 bytes each)
     broadcast_rows: int = 500_000
-    #: readings one (patient, hour) slice may hold before it is split further
+    #: width of the time slices in which the readings of a patient are ordered
+    slice_hours: int = 24
+    #: readings one slice, or one task of a join, may hold before it is split further
     max_slice_rows: int = 5_000_000
-    #: ways to split the rows of one patient when a join on patient_id must shuffle
-    salts: int = 64
     #: equal-width bins per refinement step of the exact quantiles
     quantile_bins: int = 4096
 
+    def crowded_above(self, n_rows: int) -> int:
+        """Size from which a group counts as crowded.
+
+        Of ``n_rows`` rows, fewer than ``broadcast_rows`` groups can be larger than
+        this, so a list of the crowded groups can always be broadcast.
+        """
+        return max(self.max_slice_rows, -(-n_rows // max(self.broadcast_rows, 1)))
+
 
 DEFAULTS = Settings()
 

@@ -19,7 +19,8 @@ def exact_quantiles(
 ) -> tuple[DataFrame, int]:
     """Linear-interpolated quantiles of ``value``, all in ``[low, high]``, per patient.
 
-    Returns the table and an upper bound of its row count. Each pass counts equal-width bins (combined before the shuffle, at most
+    Returns the table, with the number of values in ``total``, and an upper bound of
+    its row count. Each pass counts equal-width bins (combined before the shuffle, at most
     ``quantile_bins`` rows per patient or parent bin) and keeps only the bins that
     hold a wanted rank; bins that are still too full are cut again. Only the
     distinct values of the last bins are ranked, so the result is exact whatever
@@ -79,6 +80,7 @@ def exact_quantiles(
     )
     quantiles = edges.select(
         "patient_id",
+        "total",
         *[
             (
                 F.col(f"{name}_lower")

@@ -1,4 +1,4 @@
-"""Join a table with one row per patient onto tables with many."""
+"""Join a table with one row per patient onto the readings."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glycospan.config import DEFAULTS, Settings
+from glycospan.session import durable
 
 
 def attach(
@@ -17,18 +18,29 @@ def attach(
 ) -> DataFrame:
     """``rows`` left-joined with ``per_patient``, which has ``at_most`` so many rows.
 
-    Broadcast when that is little. Otherwise the rows of a
-    patient are spread over ``salts`` tasks by a hash of ``spread`` and the patient
-    table is repeated once per salt, so no patient is joined in one task.
+    ``per_patient`` counts the rows of each patient in ``total``, which is dropped. A
+    short table is broadcast. Otherwise both sides are shuffled, and a patient with
+    many rows is spread over as many tasks as they need, by a hash of ``spread``:
+    only such patients are repeated in the patient table, and their list is short
+    enough to tell every reading how many ways its patient is spread.
     """
     if at_most <= settings.broadcast_rows:
-        return rows.join(F.broadcast(per_patient), "patient_id", "left")
-    salt = F.pmod(F.xxhash64(spread), F.lit(settings.salts)).cast("int")
-    repeated = per_patient.withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(settings.salts - 1)))
-    )
+        return rows.join(F.broadcast(per_patient.drop("total")), "patient_id", "left")
+
+    per_patient = durable(per_patient)
+    limit = settings.crowded_above(per_patient.agg(F.sum("total")).first()[0] or 0)
+    ways = F.ceil(F.col("total") / F.lit(limit))
+    crowded = per_patient.where(F.col("total") > limit).select("patient_id", ways.alias("ways"))
+    salt = F.pmod(F.xxhash64(spread), F.coalesce("ways", F.lit(1)))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(ways, F.lit(1)) - 1))
     return (
-        rows.withColumn("salt", salt)
-        .join(repeated.hint("shuffle_hash"), ["patient_id", "salt"], "left")
+        rows.join(F.broadcast(crowded), "patient_id", "left")
+        .withColumn("salt", salt)
+        .drop("ways")
+        .join(
+            per_patient.withColumn("salt", copies).drop("total").hint("merge"),
+            ["patient_id", "salt"],
+            "left",
+        )
         .drop("salt")
     )

@@ -1,7 +1,7 @@
 """Cut the readings of a patient into time-ordered slices of bounded size.
 
 A window over all readings of one patient would put a busy patient into a single
-task. Readings are cut by hour instead, and an hour that is itself too full is cut
+task. Readings are cut by day instead, and a day that is itself too full is cut
 again by a range shuffle on (timestamp, id). Slices keep the order of the
 readings, so "the previous reading" is either in the same slice or is the last
 reading of the slice before it, and only one small row per slice has to cross.
@@ -18,10 +18,10 @@ from glycospan.session import durable
 SLICE = ["patient_id", "slice", "part"]
 
 
-def _hour_number() -> Column:
-    """Hours since the epoch; readings without a time sort before all others."""
+def _slice_number(hours: int) -> Column:
+    """Slices since the epoch; readings without a time sort before all others."""
     return F.coalesce(
-        F.floor(F.unix_seconds("timestamp") / F.lit(3600.0)), F.lit(-(2**62))
+        F.floor(F.unix_seconds("timestamp") / F.lit(3600.0 * hours)), F.lit(-(2**62))
     )
 
 
@@ -42,27 +42,22 @@ def slice_readings(readings: DataFrame, settings: Settings = DEFAULTS) -> tuple[
 
     Runs one pre-aggregated pass to size the slices and keeps its small result.
     """
-    rows = readings.withColumn("slice", _hour_number()).withColumn("part", F.lit(0))
+    rows = readings.withColumn("slice", _slice_number(settings.slice_hours)).withColumn("part", F.lit(0))
     summary = durable(_summarise(rows))
-    crowded = summary.where(F.col("n_rows") > settings.max_slice_rows).select(
-        "patient_id", "slice", "n_rows"
-    )
-    n_slices, n_rows = crowded.agg(F.count("*"), F.sum("n_rows")).first()
-    if n_slices == 0:
+    total, largest = summary.agg(F.sum("n_rows"), F.max("n_rows")).first()
+    limit = settings.crowded_above(total or 0)
+    if (largest or 0) <= limit:
         return rows, summary
 
-    crowded = crowded.drop("n_rows")
-    if n_slices <= settings.broadcast_rows:
-        crowded = F.broadcast(crowded)
     key = ["patient_id", "slice"]
-    parts = 2 * (n_rows // settings.max_slice_rows + 1)
+    crowded = F.broadcast(summary.where(F.col("n_rows") > limit).select(*key))
     split = durable(
         rows.join(crowded, key, "left_semi")
-        .repartitionByRange(parts, "patient_id", "timestamp", "id")
+        .repartitionByRange(2 * (total // limit + 1), "patient_id", "timestamp", "id")
         .withColumn("part", F.spark_partition_id() + 1)
     )
     rows = rows.join(crowded, key, "left_anti").unionByName(split)
-    summary = summary.where(F.col("n_rows") <= settings.max_slice_rows).unionByName(
+    summary = summary.where(F.col("n_rows") <= limit).unionByName(
         _summarise(split)
     )
     return rows, summary
@@ -71,8 +66,8 @@ def slice_readings(readings: DataFrame, settings: Settings = DEFAULTS) -> tuple[
 def slice_context(summary: DataFrame) -> DataFrame:
     """What a slice needs from outside: the reading before it and the patient's moments.
 
-    One row per slice, so a patient has at most one per hour of calendar time here
-    and a window over the patient is bounded.
+    One row per slice, so a patient has about one per day of calendar time here and a
+    window over the patient is bounded.
     """
     patient = Window.partitionBy("patient_id")
     n, mean = F.col("n"), F.col("mean")

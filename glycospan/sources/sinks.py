@@ -11,13 +11,17 @@ def write_table(
     fmt: str = "csv",
     mode: str = "errorifexists",
     by_patient: bool = True,
-    order: tuple[str, ...] = (),
+    order: tuple[str, ...] | None = None,
 ) -> None:
     """Write with a header, one folder per patient.
 
-    Rows are range-shuffled by patient and ``order``, so a task writes few patients
-    and a patient with many rows is written by several tasks.
+    Rows are range-shuffled by patient and ``order`` (by default the time and id
+    columns there are, or else all columns), so a task writes few patients and a
+    patient with many rows is written by several tasks.
     """
+    if order is None:
+        known = [c for c in ("timestamp", "hour_ts", "id") if c in df.columns]
+        order = tuple(known or [c for c in df.columns if c != "patient_id"])
     writer_input = df
     by_patient = by_patient and "patient_id" in df.columns
     if by_patient:

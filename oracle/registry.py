@@ -384,9 +384,11 @@ def _(spark, d):
     return cleaning.removed_counts(readings(spark, d))
 
 
-@check("c2_winsor_bounds", T_CLIP + "SELECT patient_id, q01, q99 FROM bounds", "q01 q99")
+@check("c2_winsor_bounds", T_CLIP + "SELECT patient_id, total, q01, q99 FROM bounds", "q01 q99")
 def _(spark, d):
-    return cleaning.winsor_bounds(cleaning.valid_readings(readings(spark, d)))[0]
+    return cleaning.winsor_bounds(cleaning.valid_readings(readings(spark, d)))[0].select(
+        "patient_id", "total", "q01", "q99"
+    )
 
 
 @check(

@@ -46,7 +46,7 @@ flagged AS (
 CLIPPED = """
 valid AS (SELECT * FROM readings WHERE value BETWEEN 40 AND 400),
 bounds AS (
-  SELECT patient_id, quantile_cont(value, CAST(0.01 AS DOUBLE)) AS q01,
+  SELECT patient_id, count(*) AS total, quantile_cont(value, CAST(0.01 AS DOUBLE)) AS q01,
          quantile_cont(value, CAST(0.99 AS DOUBLE)) AS q99
   FROM valid GROUP BY patient_id),
 clipped AS (

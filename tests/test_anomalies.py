@@ -88,8 +88,9 @@ def _brute_force(pdf):
     "settings",
     [
         Settings(),
-        Settings(max_slice_rows=20),  # many hours are too full
-        Settings(max_slice_rows=3, broadcast_rows=0),  # and their list is not broadcast
+        Settings(max_slice_rows=20),  # many days are too full
+        Settings(max_slice_rows=3, slice_hours=1),
+        Settings(max_slice_rows=1, broadcast_rows=40),  # the limit follows the broadcast size
     ],
 )
 def test_slices_give_the_rows_of_one_window(spark, settings):
@@ -121,7 +122,7 @@ def test_slices_give_the_rows_of_one_window(spark, settings):
         np.testing.assert_allclose(got[column].to_numpy(float), want[column].to_numpy(float))
 
 
-def test_full_hours_are_cut(spark, make):
+def test_full_days_are_cut(spark, make):
     rows = make([(1, m % 50, 100 + m % 7) for m in range(200)])
     sliced, summary = slice_readings(rows, Settings(max_slice_rows=30))
     assert sliced.count() == 200

@@ -80,7 +80,7 @@ def test_unknown_interval(make):
     [
         Settings(),
         Settings(max_slice_rows=5, quantile_bins=4),  # bins are refined several times
-        Settings(max_slice_rows=5, quantile_bins=16, broadcast_rows=0),  # nothing is broadcast
+        Settings(max_slice_rows=5, quantile_bins=16, broadcast_rows=0),  # bins are not broadcast
     ],
 )
 def test_exact_quantiles(spark, settings):
@@ -103,6 +103,16 @@ def test_exact_quantiles(spark, settings):
             assert got[p][name] == pytest.approx(np.quantile(vs, q), abs=1e-12)
 
 
+def test_winsorize_by_shuffle(make):
+    """More patients than may be broadcast, one of them with most rows."""
+    rows = make([(p, m, 60 + (m * 7) % 200) for p in (1, 2, 3) for m in range(150 if p == 1 else 9)])
+    want = cleaning.winsorize(cleaning.valid_readings(rows)).collect()
+    got = cleaning.winsorize(
+        cleaning.valid_readings(rows), Settings(broadcast_rows=4, max_slice_rows=20)
+    ).collect()
+    assert sorted(got, key=lambda r: r.id) == sorted(want, key=lambda r: r.id)
+
+
 def test_winsorize_clips_to_the_quantiles(make):
     values = list(range(50, 151))
     rows = make([(1, i, v) for i, v in enumerate(values)])
@@ -114,10 +124,13 @@ def test_winsorize_clips_to_the_quantiles(make):
 
 def test_attach_by_shuffle_equals_broadcast(spark, make):
     rows = make([(p, m, 100 + m) for p in (1, 1, 1, 2) for m in range(30)])
-    table = spark.createDataFrame([(1, 0.5), (3, 0.7)], "patient_id long, extra double")
+    table = spark.createDataFrame(
+        [(1, 90, 0.5), (3, 0, 0.7)], "patient_id long, total long, extra double"
+    )
     small = attach(rows, table, 2, F.col("id"), Settings())
-    large = attach(rows, table, 2, F.col("id"), Settings(broadcast_rows=0))
-    assert "Broadcast" not in large._jdf.queryExecution().optimizedPlan().toString()
+    large = attach(rows, table, 200, F.col("id"), Settings(broadcast_rows=100, max_slice_rows=7))
+    plan = large._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" in plan
     assert small.columns == large.columns
     assert sorted(small.collect(), key=str) == sorted(large.collect(), key=str)
 
