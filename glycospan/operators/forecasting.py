@@ -145,6 +145,7 @@ def _roll_forward(
     columns: list[str],
     coef: np.ndarray,
     intercept: float,
+    noise: np.ndarray,
 ) -> np.ndarray:
     """Predict step by step, feeding each prediction back into lags and windows."""
     values = list(recent)
@@ -177,18 +178,21 @@ def _roll_forward(
                 k = int(part[2][:-1])
                 x = values[-1] - values[-1 - k]
             row.append(x)
-        y = float(np.dot(row, coef) + intercept)
+        y = float(np.dot(row, coef) + intercept + noise[i])
         out.append(y)
         values.append(y)
     return np.asarray(out)
 
 
-def forecast_recursive(model, history: DataFrame, grid: DataFrame) -> DataFrame:
+def forecast_recursive(
+    model, history: DataFrame, grid: DataFrame, noise: float | None = None, seed: int = 0
+) -> DataFrame:
     """Step-by-step forecast of a per-patient linear model.
 
     Each prediction becomes the newest value of the lags and windows of the next
     row, starting from the last 168 known values. Fit on ``leak_free`` features:
-    there a row sees only earlier values, as it does here. Patients run in
+    there a row sees only earlier values, as it does here. With a ``noise`` scale
+    the noise of a step is part of the value that is fed back. Patients run in
     parallel; a patient needs 168 values and its grid rows.
     """
     columns = model.columns
@@ -198,11 +202,22 @@ def forecast_recursive(model, history: DataFrame, grid: DataFrame) -> DataFrame:
         history.where(F.col("glucose").isNotNull())
         .withColumn("age", latest)
         .where(F.col("age") <= 168)
-        .select("patient_id", F.lit(0).alias("step"), F.col("hour_ts").alias("timestamp"), "glucose")
+        .select(
+            "patient_id",
+            F.lit(0).alias("step"),
+            F.col("hour_ts").alias("timestamp"),
+            "glucose",
+            F.lit(0.0).alias("noise"),
+        )
     )
-    rows = recent.unionByName(
-        grid.select("patient_id", "step", "timestamp", F.lit(None).cast("double").alias("glucose"))
-    ).join(model.coefficients.select("patient_id", "coef", "intercept"), "patient_id")
+    ahead_rows = grid.select(
+        "patient_id", "step", "timestamp", F.lit(None).cast("double").alias("glucose")
+    )
+    if noise:
+        ahead_rows = with_noise_column(ahead_rows, history, noise, seed)
+    else:
+        ahead_rows = ahead_rows.withColumn("noise", F.lit(0.0))
+    rows = recent.unionByName(ahead_rows).join(model.coefficients.select("patient_id", "coef", "intercept"), "patient_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["step", "timestamp"])
@@ -217,6 +232,7 @@ def forecast_recursive(model, history: DataFrame, grid: DataFrame) -> DataFrame:
                 columns,
                 np.asarray(pdf["coef"].iloc[0], dtype=float),
                 float(pdf["intercept"].iloc[0]),
+                ahead["noise"].to_numpy(float),
             )
         return ahead[["patient_id", "step"]].assign(predicted_glucose=predicted)
 
@@ -240,13 +256,12 @@ def history_spread(history: DataFrame) -> DataFrame:
     return history.groupBy("patient_id").agg(F.stddev_samp("glucose").alias("hist_std"))
 
 
-def add_noise(
+def with_noise_column(
     future: DataFrame, history: DataFrame, scale: float = 0.20, seed: int = 0
 ) -> DataFrame:
-    """Add a draw of the patient's spread plus half a draw of the hour's spread.
+    """Add ``noise``: a draw of the patient's spread plus half a draw of the hour's spread.
 
-    ``trend`` moves with the prediction. The draws depend on patient, time and
-    seed only.
+    The draws depend on patient, time and seed only.
     """
     by_hour = history.groupBy("patient_id", F.hour("hour_ts").alias("noise_hour")).agg(
         F.stddev_samp("glucose").alias("hour_std")
@@ -258,12 +273,21 @@ def add_noise(
         * F.coalesce("hour_std", "hist_std")
         * (scale * 0.5)
     )
-    noisy = F.col("predicted_glucose") + F.coalesce(base + hourly, F.lit(0.0))
     return (
         future.withColumn("noise_hour", F.hour("timestamp"))
         .join(history_spread(history), "patient_id", "left")
         .join(by_hour, ["patient_id", "noise_hour"], "left")
-        .withColumn("predicted_glucose", noisy)
+        .select(*future.columns, F.coalesce(base + hourly, F.lit(0.0)).alias("noise"))
+    )
+
+
+def add_noise(
+    future: DataFrame, history: DataFrame, scale: float = 0.20, seed: int = 0
+) -> DataFrame:
+    """Add the noise to the prediction; ``trend`` moves with it."""
+    return (
+        with_noise_column(future, history, scale, seed)
+        .withColumn("predicted_glucose", F.col("predicted_glucose") + F.col("noise"))
         .withColumn("trend", F.col("predicted_glucose"))
         .select(*future.columns)
     )
@@ -390,11 +414,11 @@ def regressor_forecast(
     ``noise`` is the noise scale; no noise by default.
     """
     if mode == "recursive":
-        future = forecast_recursive(model, features, grid)
+        future = forecast_recursive(model, features, grid, noise, seed)
     else:
         future = forecast_with_model(model, features, grid, mode)
-    if noise:
-        future = add_noise(future, features, noise, seed)
+        if noise:
+            future = add_noise(future, features, noise, seed)
     future = add_bounds(future, features, noisy=bool(noise), seed=seed)
     return with_history(future, features).transform(clip_forecast, settings)
 

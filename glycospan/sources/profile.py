@@ -23,10 +23,11 @@ def table_statistics(readings: DataFrame) -> DataFrame:
     )
 
 
-def column_profile(df: DataFrame) -> DataFrame:
+def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """Type, nullability and null / distinct counts of every column.
 
-    One column-pruned scan per column, each counting distinct values by a shuffle
+    ``approx`` counts distinct values by a mergeable sketch, all columns in one
+    scan. Otherwise there is one column-pruned scan per column, each counting distinct values by a shuffle
     on the value itself: no wide expansion of the rows, no set held by one task.
     A value that fills the column is collapsed before its shuffle.
     """
@@ -51,11 +52,32 @@ def column_profile(df: DataFrame) -> DataFrame:
             )
         )
 
+    if approx:
+        return _sketched_profile(df)
     return reduce(
         DataFrame.unionByName, [one(i, f) for i, f in enumerate(df.schema.fields)]
     )
 
 
+def _sketched_profile(df: DataFrame) -> DataFrame:
+    aggregates, rows = [], []
+    for i, field in enumerate(df.schema.fields):
+        col = F.col(f"`{field.name}`")
+        aggregates += [F.count(col).alias(f"k{i}"), F.approx_count_distinct(col).alias(f"d{i}")]
+        rows.append(
+            F.struct(
+                F.lit(i).alias("position"),
+                F.lit(field.name).alias("column_name"),
+                F.lit(field.dataType.simpleString()).alias("data_type"),
+                F.lit(field.nullable).alias("nullable"),
+                F.col(f"k{i}").alias("non_null"),
+                (F.col("n") - F.col(f"k{i}")).alias("nulls"),
+                F.col(f"d{i}").alias("distinct_values"),
+            )
+        )
+    return df.agg(F.count("*").alias("n"), *aggregates).select(F.inline(F.array(*rows)))
+
+
 def preview(readings: DataFrame, n: int = 10) -> DataFrame:
     """The first ``n`` readings of the whole table (a distributed top-k)."""
     return readings.orderBy("timestamp", "id").limit(n)

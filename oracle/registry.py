@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glycospan.functions.calendar import time_bin
 from glycospan.functions import ranges
 from glycospan.operators import anomalies, cleaning, evaluation, features, forecasting
 from glycospan.operators import models, patterns, report, seasonal
@@ -808,6 +807,22 @@ def _(spark, d):
     return patterns.hour_profile(_ahead(spark, d), "predicted_glucose", "timestamp")
 
 
+@check(
+    "p15_forecast_weekday_profile",
+    T_CAST + _profile_sql('isodow("timestamp") - 1', "day_of_week", "ahead", "predicted_glucose"),
+    PROFILE_DOUBLES,
+)
+def _(spark, d):
+    return patterns.weekday_profile(_ahead(spark, d), "predicted_glucose", "timestamp")
+
+
+@check(
+    "p7_forecast_time_in_range", T_CAST + _range_sql("predicted_glucose", "ahead"), SHARE_COLUMNS
+)
+def _(spark, d):
+    return patterns.time_in_range(_ahead(spark, d), "predicted_glucose")
+
+
 @check(
     "p15_forecast_peak_days",
     T_CAST

@@ -155,6 +155,25 @@ def test_live_recursion_of_the_small_feature_set(waves):
     assert got.where("predicted_glucose between 40 and 400").count() == 60
 
 
+def test_noise_is_fed_back(waves):
+    """A lag-1 model keeps part of the noise of the steps before."""
+    simple = features.add_lags(waves, (1,)).select("patient_id", "hour_ts", "glucose", "glucose_lag_1h")
+    simple = simple.na.drop("any")
+    model = models.fit_model("linear_regression", simple, "patient")
+    coef = {r.patient_id: r for r in model.coefficients.collect()}[1]
+    grid = forecasting.future_grid(simple, 4)
+    noisy = forecasting.forecast_recursive(model, simple, grid, 0.2, 9).where("patient_id = 1")
+    draws = forecasting.with_noise_column(grid, simple, 0.2, 9).where("patient_id = 1")
+    draws = [r.noise for r in draws.orderBy("step").collect()]
+    last = simple.where("patient_id = 1").orderBy(F.desc("hour_ts")).first().glucose
+    want = []
+    for draw in draws:
+        last = coef.coef[0] * last + coef.intercept + draw
+        want.append(last)
+    got = [r.predicted_glucose for r in noisy.orderBy("step").collect()]
+    np.testing.assert_allclose(got, want)
+
+
 def test_status(spark):
     summary = spark.createDataFrame(
         [(1, 100.0, 60.0, 170.0), (2, 65.0, 60.0, 90.0), (3, 200.0, 80.0, 260.0)],

@@ -79,6 +79,13 @@ def test_column_profile(make):
     assert got["patient_id"].data_type == "bigint"
 
 
+def test_sketched_profile_agrees_on_few_values(make):
+    rows = make([(1, 0, 5), (1, 1, None), (2, 2, 5)])
+    exact, close = profile.column_profile(rows), profile.column_profile(rows, approx=True)
+    assert close.columns == exact.columns
+    assert sorted(close.collect()) == sorted(exact.collect())
+
+
 def test_column_profile_of_no_rows(make):
     got = profile.column_profile(make([(1, 0, 5)]).where(F.lit(False))).collect()
     assert all((r.non_null, r.nulls, r.distinct_values) == (0, 0, 0) for r in got)
