@@ -60,6 +60,10 @@ DEFAULT_PARAMS = {
 }
 
 
+#: fewest training rows worth a task of their own
+ROWS_PER_TASK = 5_000
+
+
 def check_algorithm(name: str) -> None:
     if name not in DEFAULT_PARAMS:
         raise ValueError(f"unknown algorithm {name!r}; one of {', '.join(ALGORITHMS)}")
@@ -203,7 +207,10 @@ def fit_pooled(name: str, train: DataFrame, params: dict) -> PooledModel:
             raise ValueError("no complete training rows")
         if name in LINEAR and not deviation:
             deviation = 1.0
-        model = _estimator(name, params, n, deviation).fit(ready)
+        # iterative fits run many small jobs: no more tasks than the rows deserve
+        model = _estimator(name, params, n, deviation).fit(
+            ready.coalesce(max(1, n // ROWS_PER_TASK))
+        )
     finally:
         ready.unpersist()
     return PooledModel(name, scaler, vectorise, model)

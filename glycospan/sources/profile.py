@@ -26,10 +26,10 @@ def table_statistics(readings: DataFrame) -> DataFrame:
 def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """Type, nullability and null / distinct counts of every column.
 
-    ``approx`` counts distinct values by a mergeable sketch, all columns in one
-    scan. Otherwise there is one column-pruned scan per column, each counting distinct values by a shuffle
-    on the value itself: no wide expansion of the rows, no set held by one task.
-    A value that fills the column is collapsed before its shuffle.
+    One column-pruned scan per column, each counting distinct values by a shuffle on
+    the value itself: no wide expansion of the rows, no set held by one task. A value
+    that fills the column is collapsed before its shuffle. ``approx`` counts distinct
+    values by a mergeable sketch instead, all columns in one scan.
     """
     def one(position: int, field) -> DataFrame:
         col = F.col(f"`{field.name}`")
