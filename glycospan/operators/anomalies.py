@@ -9,6 +9,7 @@ from glycospan.config import DEFAULTS, Settings
 from glycospan.functions.calendar import minutes_between
 from glycospan.operators.slices import SLICE, slice_context, slice_readings
 
+# The flags, which are also the words of the label, in label order.
 FLAGS = ("sensor_error", "statistical_outlier", "sudden_change")
 
 #: named subsets of the flagged readings

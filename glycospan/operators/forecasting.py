@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from glycospan.config import DEFAULTS, NAMED_HORIZONS, Settings
 from glycospan.functions.calendar import STEP_SECONDS, is_weekend, plus_seconds
 from glycospan.functions.numeric import clip, gaussian
-from glycospan.operators.features import CALENDAR, calendar_columns, input_columns
+from glycospan.operators.features import calendar_columns, input_columns
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -73,9 +73,10 @@ def range_grid(history: DataFrame, start: str, end: str, parity: bool = False) -
     ``end``.
     """
     start_ts, end_ts = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    hours = lambda later, earlier: F.floor(
-        (F.unix_seconds(later) - F.unix_seconds(earlier)) / F.lit(3600.0)
-    )
+
+    def hours(later: Column, earlier: Column) -> Column:
+        return F.floor((F.unix_seconds(later) - F.unix_seconds(earlier)) / F.lit(3600.0))
+
     wanted = hours(end_ts, start_ts) + 1 if parity else hours(end_ts, F.col("last_ts"))
     first = (
         F.lit(1).cast("long")

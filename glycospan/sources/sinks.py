@@ -15,6 +15,9 @@ def write_table(
 ) -> None:
     """Write with a header, one folder per patient.
 
+    Give ``by_patient=False`` for a large number of patients: folders by the million
+    burden a file system.
+
     Rows are range-shuffled by patient and ``order`` (by default the time and id
     columns there are, or else all columns), so a task writes few patients and a
     patient with many rows is written by several tasks.

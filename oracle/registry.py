@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glycospan.config import Settings
 from glycospan.functions import ranges
 from glycospan.operators import anomalies, cleaning, evaluation, features, forecasting
 from glycospan.operators import models, patterns, report, seasonal
 from glycospan.session import durable, use_utc
 from glycospan.sources import profile
-from glycospan.sources.readings import as_readings, read_readings, scan
+from glycospan.sources.readings import as_readings, scan
 from oracle import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -331,6 +332,19 @@ def _(spark, d):
     )
 
 
+@check(
+    "q6_anomaly_labels_crowded_days",
+    T_FLAG + 'SELECT id, patient_id, "timestamp", value, anomaly_type FROM flagged WHERE anomaly',
+    "value",
+)
+def _(spark, d):
+    """The same rows when most days hold more readings than one task may."""
+    table = anomalies.flag_anomalies(readings(spark, d), Settings(max_slice_rows=150))
+    return anomalies.anomaly_subset(table).select(
+        "id", "patient_id", "timestamp", "value", "anomaly_type"
+    )
+
+
 @check(
     "q7_subsets",
     T_FLAG
@@ -399,6 +413,18 @@ def _(spark, d):
     return cleaning.winsorize(cleaning.valid_readings(readings(spark, d))).drop("actual_time")
 
 
+@check(
+    "c2_winsorized_by_shuffle",
+    T_CLIP + 'SELECT id, patient_id, "timestamp", value FROM clipped',
+    "value",
+)
+def _(spark, d):
+    """The same rows when there are too many patients to broadcast, and bins are crowded."""
+    valid = cleaning.valid_readings(readings(spark, d))
+    crowded = Settings(broadcast_rows=1, max_slice_rows=100, quantile_bins=16)
+    return cleaning.winsorize(valid, crowded).drop("actual_time")
+
+
 GRID_ROWS = """SELECT patient_id, hour_ts, glucose, glucose_std, glucose_min, glucose_max, reading_count
   FROM """
 GRID_DOUBLES = "glucose glucose_std glucose_min glucose_max"
@@ -1143,6 +1169,120 @@ def _(spark, d):
     return forecasting.forecast_status(forecasting.forecast_summary(_ahead(spark, d)))
 
 
+# One-input linear models have closed forms that SQL can state; they go through the
+# same fitting, scaling, scoring and forecasting code as the full feature table.
+
+LINES = S.split("features") + """,
+moments AS (
+  SELECT patient_id, count(*) AS n, avg(glucose_lag_1h) AS mx, stddev_pop(glucose_lag_1h) AS sx,
+         avg(glucose) AS my, covar_pop(glucose_lag_1h, glucose) / stddev_pop(glucose_lag_1h) AS c
+  FROM numbered WHERE is_train GROUP BY 1),
+whole AS (SELECT sum(n * c) AS nc, sum(n) AS n FROM moments),
+weights AS (
+  SELECT m.*, c AS w_ols, c * m.n / (m.n + 1.0) AS w_ridge, sign(c) * greatest(abs(c) - 1, 0) AS w_lasso,
+         nc / whole.n AS w_pooled, nc / (whole.n + 1.0) AS w_pooled_ridge FROM moments m, whole),
+held AS (SELECT * FROM numbered WHERE NOT is_train)"""
+T_LINES = S.with_tables(READ, S.features(), LINES)
+
+
+def _line_sql(name: str, weight: str) -> str:
+    return f"""SELECT patient_id, '{name}' AS algorithm, hour_ts, glucose AS actual,
+      my + {weight} * (glucose_lag_1h - mx) / sx AS predicted FROM held JOIN weights USING (patient_id)"""
+
+
+def _one_input(spark, d):
+    table = feature_table(spark, d).select("patient_id", "hour_ts", "glucose", "glucose_lag_1h")
+    return durable(table)
+
+
+@check(
+    "m2_m3_m4_one_input_per_patient",
+    T_LINES
+    + " UNION ALL ".join(
+        _line_sql(n, w)
+        for n, w in (("linear_regression", "w_ols"), ("ridge", "w_ridge"), ("lasso", "w_lasso"))
+    ),
+    "actual predicted",
+)
+def _(spark, d):
+    table = _one_input(spark, d)
+    scored = [evaluation.score_holdout(n, table, scope="patient") for n in models.LINEAR]
+    return scored[0].unionByName(scored[1]).unionByName(scored[2])
+
+
+@check(
+    "m2_m3_one_input_pooled",
+    T_LINES
+    + " UNION ALL ".join(
+        _line_sql(n, w) for n, w in (("linear_regression", "w_pooled"), ("ridge", "w_pooled_ridge"))
+    ),
+    "actual predicted",
+)
+def _(spark, d):
+    table = _one_input(spark, d)
+    return evaluation.score_holdout("linear_regression", table).unionByName(
+        evaluation.score_holdout("ridge", table)
+    )
+
+
+@check(
+    "m12_training_r2_one_input",
+    T_FEAT
+    + """SELECT patient_id, count(*) AS n, regr_r2(glucose, glucose_lag_1h) AS r2,
+         'linear_regression' AS algorithm FROM features GROUP BY 1""",
+    "r2",
+)
+def _(spark, d):
+    table = _one_input(spark, d)
+    return models.training_r2(models.fit_model("linear_regression", table, "patient"), table)
+
+
+FITTED = """,
+lines AS (
+  SELECT patient_id, regr_slope(glucose, glucose_lag_1h) AS b, regr_intercept(glucose, glucose_lag_1h) AS a,
+         max(hour_ts) AS last_ts, arg_max(glucose, hour_ts) AS last_glucose,
+         arg_max(glucose_lag_1h, hour_ts) AS last_lag, stddev_samp(glucose) AS hist_std
+  FROM features GROUP BY 1),
+steps AS (
+  SELECT *, last_ts + to_hours(CAST(step AS INTEGER)) AS "timestamp"
+  FROM lines, (SELECT unnest(generate_series(1, 48)) AS step)),
+rolled AS (
+  SELECT patient_id, a, b, 1 AS step, a + b * last_glucose AS y FROM lines
+  UNION ALL
+  SELECT patient_id, a, b, step + 1, a + b * y FROM rolled WHERE step < 48)
+"""
+T_LINE_FORECAST = S.with_tables(READ, S.features()).rstrip().replace("WITH", "WITH RECURSIVE", 1) + FITTED
+
+
+def _line_forecast_sql(y: str, source: str = "steps") -> str:
+    return f"""SELECT patient_id, "timestamp", least(greatest(y, 40), 400) AS predicted_glucose,
+      least(greatest(y - 0.4e0 * hist_std, 40), 400) AS lower_bound,
+      least(greatest(y + 0.4e0 * hist_std, 40), 400) AS upper_bound, y AS trend, true AS is_future
+      FROM (SELECT s.*, {y} AS y FROM {source})"""
+
+
+def _line_forecast(mode: str):
+    def run(spark, d):
+        table = _one_input(spark, d)
+        model = models.fit_model("linear_regression", table, "patient")
+        grid = forecasting.future_grid(table, 48)
+        return forecasting.future_only(
+            forecasting.regressor_forecast(model, table, grid, mode)
+        )
+
+    return run
+
+
+for _key, _mode, _y, _source in (
+    ("x2_recursive_one_input", "recursive", "r.y", "steps s JOIN rolled r USING (patient_id, step)"),
+    ("x3_frozen_one_input", "frozen", "s.a + s.b * s.last_lag", "steps s"),
+    ("x3_zero_fill_one_input", "zero_fill", "s.a", "steps s"),
+):
+    check(_key, T_LINE_FORECAST + _line_forecast_sql(_y, _source), FORECAST_DOUBLES)(
+        _line_forecast(_mode)
+    )
+
+
 # --- evaluation --------------------------------------------------------------------------
 
 
@@ -1254,6 +1394,22 @@ def _(spark, d):
     return evaluation.backtest("ridge", kept_features(spark, d, True), scope="patient")
 
 
+@check(
+    "e5_holdout_one_input",
+    S.with_tables(
+        READ,
+        S.features(),
+        LINES,
+        f" scored AS ({_line_sql('ridge', 'w_ridge')})",
+        S.METRICS,
+    )
+    + "SELECT * FROM metrics",
+    S.METRIC_COLUMNS,
+)
+def _(spark, d):
+    return evaluation.backtest("ridge", _one_input(spark, d), scope="patient")
+
+
 # --- report ----------------------------------------------------------------------------------
 
 RANGE_TABLE = ["Fasting Glucose", "Post-Meal Glucose (2hr)", "Random Glucose", "Average Glucose"]

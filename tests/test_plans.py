@@ -29,3 +29,9 @@ def test_analysis_with_a_regressor(spark):
 def test_comparison(spark):
     board, counts = compare(readings(spark, "/root/testdata/sf0.01"), ("prophet", "ridge", "knn"))
     assert board.count() == 6 and counts.count() == 2
+
+
+def test_no_readings(spark, sf_dir):
+    study = analyse(readings(spark, sf_dir).where("id < 0"))
+    assert study.flagged.count() == 0 and study.hourly.count() == 0
+    assert study.forecast(24).count() == 0

@@ -65,6 +65,7 @@ def test_parquet_sink_without_patient_folders(spark, make, tmp_path):
 def test_preview_orders_by_time_then_id(make):
     rows = make([(1, 5, 1), (1, 0, 2), (2, 0, 3), (1, 9, 4)])
     assert [r.id for r in profile.preview(rows, 3).collect()] == [1, 2, 0]
+    assert "WindowGroupLimit" in _plan(profile.preview_per_patient(rows, 1))
     per = profile.preview_per_patient(rows, 1).orderBy("patient_id").collect()
     assert [r.id for r in per] == [1, 2]
 
