@@ -58,8 +58,9 @@ def test_hours_with_one_reading_are_dropped(make_hourly):
     assert features.build_features(rows).where("hour = 5").count() == 0
 
 
-def test_windows_share_one_shuffle(waves):
-    plan = features.build_features(waves)._jdf.queryExecution().executedPlan().toString()
+def test_windows_share_one_shuffle(make_hourly):
+    rows = make_hourly([(1, h, 100) for h in range(3)])
+    plan = features.build_features(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
 
