@@ -63,7 +63,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", most: int = linear.MAX_PER_CLASS, cost: float = 0.1) -> linear.Model:
     """The model from at most ``most`` labelled documents of each class among those that ``learn`` allows."""
-    return linear.fit(linear.training_rows(df, labels, label_col, learn, id_col, text_col, label_id_col, most), shape_ngrams, "hinge", cost)
+    return linear.fit(linear.training_rows(df, labels, label_col, learn, id_col, text_col, label_id_col, most), shape_ngrams, cost)
 
 
 def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -58,9 +58,9 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
-def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", most: int = linear.MAX_PER_CLASS // 2, penalty: float = 1e-4) -> linear.Model:
+def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", most: int = linear.MAX_PER_CLASS // 2, cost: float = 0.1) -> linear.Model:
     """The model from at most ``most`` labelled documents of each class among those that ``learn`` allows."""
-    model = linear.fit(linear.training_rows(df, labels, label_col, learn, id_col, text_col, label_id_col, most), char_ngrams, "logistic", penalty=penalty)
+    model = linear.fit(linear.training_rows(df, labels, label_col, learn, id_col, text_col, label_id_col, most), char_ngrams, cost)
     model.features = Weighted(model.weights)
     return model
 
