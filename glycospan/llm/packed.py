@@ -33,7 +33,7 @@ def pack(hashes: np.ndarray, bucket: np.ndarray, doc: np.ndarray, place: np.ndar
             int(bucket[a]),
             small[a:b].tobytes(),
             ids[own[starts]].tobytes(),
-            marks[own[starts]].tobytes(),
+            marks[own[starts]].astype(np.int32).tobytes(),
             np.diff(np.append(starts, b - a)).astype(np.uint32).tobytes(),
             np.minimum(gaps, 255).astype(np.uint8).tobytes(),
             gaps[gaps >= 255].astype(np.uint32).tobytes(),
@@ -51,7 +51,7 @@ def unpack(table: pa.Table, width: int) -> tuple[np.ndarray, ...]:
     hashes = np.zeros((sum(len(r["hashes"]) for r in rows) // width, 8), np.uint8)
     hashes[:, :width] = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint8).reshape(-1, width)
     ids = np.frombuffer(b"".join(r["ids"] for r in rows), np.int64)
-    marks = np.frombuffer(b"".join(r["marks"] for r in rows), np.int64)
+    marks = np.frombuffer(b"".join(r["marks"] for r in rows), np.int32).astype(np.int64)
     counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.uint32).astype(np.int64)
     gaps = np.frombuffer(b"".join(r["gaps"] for r in rows), np.uint8).astype(np.int64)
     gaps[gaps == 255] = np.frombuffer(b"".join(r["wide"] for r in rows), np.uint32)

@@ -23,7 +23,7 @@ WINDOW = 50
 #: Bytes of text whose probes are packed together, so that equal ones are sent once.
 TOGETHER = 12 << 20
 #: Bytes of an anchor's hash that are sent; its bucket adds to them. A chance hit costs a comparison only.
-ANCHOR_BYTES = 5
+ANCHOR_BYTES = 4
 
 
 def hashed_words(texts: list[str | None], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -120,10 +120,16 @@ def gathered(found: DataFrame) -> DataFrame:
 
 
 def with_places(texts: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    own = (F.col("doc_id") == F.col("id2")) & (F.col("mark") == F.col("mark2"))
+    """The texts with their places. The keys are never null, so that both joins of a query share one exchange of the texts."""
+    own = (F.coalesce("doc_id", F.lit(0)) == F.col("id2")) & (F.col("doc_id").isNull() == F.lit(False)) & (F.col("mark") == F.col("mark2"))
     return texts.join(gathered(found), own, how).select("doc_id", "mark", "text", "places")
 
 
+def marked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and a hash of the text, which tells apart different texts with one id."""
+    return texts_of(df, id_col, text_col).withColumn("mark", F.coalesce(F.hash("text"), F.lit(0)).cast("long"))
+
+
 def candidates(texts: DataFrame, hits: DataFrame, window: int, block: int, buckets: int) -> DataFrame:
     """Every window around an anchor, extended to all its words: packed hashes, and windows settled here.
 
@@ -177,10 +183,10 @@ def find_repeats(sent: pa.Table) -> pa.RecordBatch:
 def find_windows(df: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
     """(texts with a mark, the starts of windows that also stand in an earlier document)."""
     block, buckets = window // 2, partitions(df)
-    texts = texts_of(df, id_col, text_col).withColumn("mark", F.xxhash64("text"))
+    texts = marked(df, id_col, text_col)
     known = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     hits = split(anchors(known, block, buckets), buckets, find_anchors)
-    return texts, split(candidates(known, hits, window, block, buckets), buckets, find_repeats)
+    return texts, split(candidates(texts, hits, window, block, buckets), buckets, find_repeats)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
