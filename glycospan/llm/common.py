@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,6 +118,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, replaced: str | None = None) -> tuple[DataFrame, str]:
+    """(``df`` written as a table of its own in the shared folder and read again, the table's path).
+
+    The table at ``replaced``, which an earlier call gave, is deleted once it is no longer read.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(df).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if replaced:
+        place = spark._jvm.org.apache.hadoop.fs.Path(replaced)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return spark.read.parquet(path), path
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -178,7 +178,7 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
-FEATURES = 24 + 2 * N_HINTS + 4
+FEATURES = 19 + 2 * N_HINTS + 4
 _INSIDE = {"nav": 1, "menu": 1, "header": 2, "footer": 2, "aside": 4, "form": 4, "article": 8, "main": 8}
 
 
@@ -204,15 +204,9 @@ def features(nodes: list[Node]) -> np.ndarray:
             values[up] += values[i]
     total, log = max(text[0], 1), math.log1p
     rows = np.zeros((n, FEATURES), np.float32)
-    place = [0] * n
-    for node in nodes:
-        for k, child in enumerate(node.children):
-            place[child] = k
     for i in range(1, n):
         node = nodes[i]
         parent = nodes[node.parent]
-        before = parent.children[place[i] - 1] if place[i] else 0
-        after = parent.children[place[i] + 1] if place[i] + 1 < len(parent.children) else 0
         beside, here, above = len(parent.children), text[i], text[node.parent]
         hints = 0 if node.tag == "#text" else node.hints
         row = [
@@ -235,11 +229,6 @@ def features(nodes: list[Node]) -> np.ndarray:
             links[node.parent] / above if above else 0,
             log(paragraphs[node.parent]),
             here / runs[i] if runs[i] else 0,
-            log(text[before]) if before else -1,
-            log(text[after]) if after else -1,
-            TAGS.get(nodes[before].tag, 0) if before else -1,
-            TAGS.get(nodes[after].tag, 0) if after else -1,
-            nodes[parent.parent].children[-1] == node.parent if parent.parent >= 0 else -1,
         ]
         row += [hints >> k & 1 for k in range(N_HINTS)]
         row += [node.inherited >> k & 1 for k in range(N_HINTS)]

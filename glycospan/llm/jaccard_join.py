@@ -256,3 +256,16 @@ def _result(docs: DataFrame, links: DataFrame | None) -> DataFrame:
     joined = docs.join(smallest, docs.node == smallest.node2, "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The row with the smallest id of each component, with all its columns; rows without an id stay.
+
+    Of rows with one id one stays.
+    """
+    linked = link_documents(df, id_col, text_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    number = F.when(F.col(f"`{id_col}`").isNull(), F.monotonically_increasing_id())
+    own = F.col(f"`{id_col}`").cast("long")
+    numbered = df.withColumn("row_of_null", number)
+    kept = numbered.join(linked, own == F.col("kept_id"), "left").where(F.col("kept_id").isNotNull() | own.isNull())
+    return kept.dropDuplicates([id_col, "row_of_null"]).drop("row_of_null", "kept_id")

@@ -86,8 +86,9 @@ class _Writer:
             title = f"<{head}>{MARK}{self.text(2, 14, False)}</{head}>"
             out.append(f"<header>{title}</header>" if self.often(0.15) else title)
         blocks = self.one(["p", "p", "p", "open", "div", "br"])
+        sizes = self.one([[(1, 8)], [(5, 25)], [(1, 5), (5, 60), (20, 150)], [(20, 150)]])
         for _ in self.some(1, 14):
-            text = MARK + self.text(*self.one([(1, 5), (5, 60), (20, 150)]))
+            text = MARK + self.text(*self.one(sizes))
             if self.often(0.15):
                 text += " " + self.link(self.text(1, 4, False)) + " " + self.text(3, 20)
             kind = self.one(["list", "quote", "head", "table"]) if self.often(0.12) else blocks

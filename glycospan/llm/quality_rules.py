@@ -153,7 +153,25 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     failed. One row per row, also for null or repeated ids; a null text has no words and
     fails. The thresholds are joined by language and source: one row per cell.
     """
-    measured = measures(df, id_col, text_col, (lang_col, source_col)).withColumnsRenamed({"more_0": "lang", "more_1": "source"})
+    return _judged(df, id_col, text_col, lang_col, source_col, min_docs, reach).drop("mark", "lang", "source")
+
+
+def drop_rejected(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, reach: float = REACH) -> DataFrame:
+    """The rows that ``judge`` keeps, with all their columns."""
+    kept = _judged(df, id_col, text_col, lang_col, source_col, min_docs, reach).where("kept").select("doc_id", "mark", "lang", "source").distinct()
+    kept = kept.toDF("kept_id", "kept_mark", "kept_lang", "kept_source")
+    own = (F.col(f"`{id_col}`").cast("long"), _mark(text_col), F.col(f"`{lang_col}`"), F.col(f"`{source_col}`"))
+    match = [a.eqNullSafe(F.col(b)) for a, b in zip(own, kept.columns, strict=True)]
+    return df.join(kept, match, "left_semi")
+
+
+def _mark(text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+
+
+def _judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, min_docs: int, reach: float) -> DataFrame:
+    clean = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip((id_col, text_col, lang_col, source_col), ("doc_id", "text", "lang", "source"), strict=True)), _mark(text_col).alias("mark"))
+    measured = measures(clean, keep=("lang", "source", "mark")).withColumnsRenamed({"more_0": "lang", "more_1": "source", "more_2": "mark"})
     measured = checkpointed(measured)
     spans = thresholds(measured, min_docs, reach)
     spans = spans.groupBy(F.col("lang").alias("lang2"), F.col("source").alias("source2")).agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("low", "high")))).alias("spans"))
@@ -164,6 +182,6 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         value, span = F.expr(f"CAST({sql} AS long)"), F.col("spans")[name]
         odd.append(F.when(F.coalesce((value < span["low"]) | (value > span["high"]), F.lit(False)), F.lit(name)))
     reasons = F.when(base, F.array(F.lit("base"))).otherwise(F.filter(F.array(*odd), lambda x: x.isNotNull()))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), reasons.alias("reasons")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (F.size("reasons") == 0).alias("kept"), "reasons"
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), reasons.alias("reasons"), "mark", "lang", "source").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (F.size("reasons") == 0).alias("kept"), "reasons", "mark", "lang", "source"
     )

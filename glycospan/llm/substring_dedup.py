@@ -122,12 +122,12 @@ def gathered(found: DataFrame) -> DataFrame:
 def with_places(texts: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """The texts with their places. The keys are never null, so that both joins of a query share one exchange of the texts."""
     own = (F.coalesce("doc_id", F.lit(0)) == F.col("id2")) & (F.col("doc_id").isNull() == F.lit(False)) & (F.col("mark") == F.col("mark2"))
-    return texts.join(gathered(found), own, how).select("doc_id", "mark", "text", "places")
+    return texts.join(gathered(found), own, how).select(*texts.columns, "places")
 
 
-def marked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and a hash of the text, which tells apart different texts with one id."""
-    return texts_of(df, id_col, text_col).withColumn("mark", F.coalesce(F.hash("text"), F.lit(0)).cast("long"))
+def marked(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
+    """doc_id, text, more columns, and a hash of the text, which tells apart different texts with one id."""
+    return texts_of(df, id_col, text_col, *keep).withColumn("mark", F.coalesce(F.hash("text"), F.lit(0)).cast("long"))
 
 
 def candidates(texts: DataFrame, hits: DataFrame, window: int, block: int, buckets: int) -> DataFrame:
@@ -180,26 +180,29 @@ def find_repeats(sent: pa.Table) -> pa.RecordBatch:
     return packed.places(doc[later], place[later], ids, marks)
 
 
-def find_windows(df: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
+def find_windows(df: DataFrame, id_col: str, text_col: str, window: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(texts with a mark, the starts of windows that also stand in an earlier document)."""
     block, buckets = window // 2, partitions(df)
-    texts = marked(df, id_col, text_col)
+    texts = marked(df, id_col, text_col, *keep)
     known = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     hits = split(anchors(known, block, buckets), buckets, find_anchors)
     return texts, split(candidates(texts, hits, window, block, buckets), buckets, find_repeats)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, text (kept words joined by a space; null stays null), n_words, n_removed, ``spans`` of removed words.
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = (), tidy: bool = True) -> DataFrame:
+    """doc_id, text (kept words joined by a space; null stays null), n_words, n_removed, ``spans`` of removed words, and the columns of ``keep``.
 
-    A word goes if it lies in ``window`` consecutive words whose sequence also begins in a
+    Without ``tidy`` a text that loses nothing stays as it is. A word goes if it lies in ``window`` consecutive words whose sequence also begins in a
     document with a smaller id; judged on the input. Words are runs of other characters
     than the six ASCII spaces, compared as they are. Documents of less than ``window``
     words, empty and null texts lose nothing, nor do rows without an id, which are not
     looked up either. Rows with one id are one document's: they don't remove from each
     other. Windows are compared by 64-bit hashes within buckets of a second hash.
     """
-    texts, repeats = find_windows(df, id_col, text_col, window)
+    texts, repeats = find_windows(df, id_col, text_col, window, keep)
+    fields = {f.name: f.dataType.simpleString() for f in df.schema}
+    more = [f"more_{i}" for i in range(len(keep))]
+    kept_columns = "".join(f", {m} {fields[c]}" for m, c in zip(more, keep, strict=True))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -213,12 +216,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     kept += words[at:a]
                     at = b
                 kept += words[at:]
-                rows.append((None if text is None else b" ".join(kept).decode("utf-8", "surrogatepass"), len(words), int(gone.sum()), [{"start": a, "stop": b} for a, b in edges]))
+                rows.append((text if text is None or not edges and not tidy else b" ".join(kept).decode("utf-8", "surrogatepass"), len(words), int(gone.sum()), [{"start": a, "stop": b} for a, b in edges]))
             text, n, removed, spans = zip(*rows, strict=True)
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), *(pa.array(c, k) for c, k in zip((text, n, removed, spans), kinds, strict=True))], names=["doc_id", "mark", "text", "n_words", "n_removed", "spans"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), *(pa.array(c, k) for c, k in zip((text, n, removed, spans), kinds, strict=True)), *(part.column(m) for m in more)], names=["doc_id", "mark", "text", "n_words", "n_removed", "spans", *more])
 
-    return with_places(texts, repeats, "left").mapInArrow(remove, "doc_id long, mark long, text string, n_words long, n_removed long, spans array<struct<start:int,stop:int>>")
+    removed = with_places(texts, repeats, "left").mapInArrow(remove, f"doc_id long, mark long, text string, n_words long, n_removed long, spans array<struct<start:int,stop:int>>{kept_columns}")
+    return removed.select("doc_id", "text", "n_words", "n_removed", "spans", *(F.col(m).alias(c) for m, c in zip(more, keep, strict=True)))
 
 
 def digests(removed: DataFrame) -> DataFrame:
