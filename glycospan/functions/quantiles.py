@@ -36,7 +36,9 @@ def exact_quantiles(
 
     resolution = settings.quantile_bins
     whole = Window.partitionBy("patient_id")
-    counts = rows.groupBy("patient_id", bins(resolution).alias("bin")).agg(F.count("*").alias("n"))
+    counts = rows.groupBy("patient_id", bins(resolution).alias("bin")).agg(
+        F.count("*").alias("n"), (F.min("v") < F.max("v")).alias("varies")
+    )
     targets = durable(
         _holding_ranks(
             counts.withColumn("total", F.sum("n").over(whole)).withColumn(
@@ -51,7 +53,7 @@ def exact_quantiles(
         resolution *= settings.quantile_bins
         finer = inside.groupBy(
             "patient_id", "bin", "start", "total", bins(resolution).alias("finer")
-        ).agg(F.sum("n").alias("n"))
+        ).agg(F.sum("n").alias("n"), (F.min("v") < F.max("v")).alias("varies"))
         upto = F.sum("n").over(Window.partitionBy("patient_id", "bin").orderBy("finer"))
         targets = durable(
             _holding_ranks(
@@ -110,11 +112,12 @@ def _holding_ranks(placed: DataFrame, probs: dict[str, float]) -> DataFrame:
     for p in probs.values():
         for rank in _ranks(p).values():
             wanted = wanted | _holds(rank)
-    return placed.where(wanted).select("patient_id", "bin", "n", "start", "total")
+    return placed.where(wanted).select("patient_id", "bin", "n", "start", "total", "varies")
 
 
 def _extent(targets: DataFrame) -> tuple[int, int]:
-    n_targets, fullest = targets.agg(F.count("*"), F.max("n")).first()
+    """Number of bins, and the rows of the fullest one that cutting can still divide."""
+    n_targets, fullest = targets.agg(F.count("*"), F.max(F.when(F.col("varies"), F.col("n")))).first()
     return n_targets, fullest or 0
 
 

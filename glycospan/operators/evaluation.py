@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glycospan.functions.numeric import correlation
 from glycospan.operators.models import check_algorithm, fit_model
+from glycospan.session import durable
 
 
 def chronological_split(rows: DataFrame, test_size: float = 0.2) -> DataFrame:
@@ -133,13 +134,18 @@ def compare_algorithms(
     params: dict[str, dict] | None = None,
     **options,
 ) -> DataFrame:
-    """Leaderboard of several algorithms; one that cannot be fitted gets a ``failure``."""
+    """Leaderboard of several algorithms, with a ``failure`` where there is nothing to rank.
+
+    Each algorithm's metrics, one row per patient, are made here, so that one that fails
+    while it is fitted or in a task gets a ``failure`` and leaves the others alone. A
+    patient that an algorithm cannot score says why.
+    """
     results, failed = [], []
     for name in names:
         check_algorithm(name)
         table = hourly if name == "prophet" else features
         try:
-            results.append(backtest(name, table, **options, **(params or {}).get(name, {})))
+            results.append(durable(backtest(name, table, **options, **(params or {}).get(name, {}))))
         except Exception as problem:  # noqa: BLE001 - one failing fit must not stop the others
             failed.append(
                 features.select("patient_id")
@@ -149,5 +155,5 @@ def compare_algorithms(
     if not results:
         raise RuntimeError("no algorithm could be fitted")
     board = leaderboard(reduce(DataFrame.unionByName, results))
-    board = board.withColumn("failure", F.lit(None).cast("string"))
+    board = board.withColumn("failure", F.when(F.col("n") == 0, F.lit("no prediction: no training rows or no fit")))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), failed, board)

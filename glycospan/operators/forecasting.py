@@ -140,72 +140,81 @@ def forecast_with_model(
     )
 
 
+#: Hours of history that a recursive forecast starts from, and patients that a task steps together.
+STATE_HOURS, PATIENTS_PER_TASK = 168, 4_000
+
+
+def _inputs(column: str) -> tuple[str, int]:
+    """What an input of the feature table is made of: (kind, hours)."""
+    part = column.split("_")
+    if column in ("glucose_rolling_mean", "glucose_rolling_std"):
+        return f"week_{part[2]}", STATE_HOURS
+    if part[0] != "glucose":
+        return column, 0
+    if part[1] == "rolling":
+        return f"rolling_{part[2]}", int(part[3][:-1])
+    return part[1], int(part[2][:-1])
+
+
 def _roll_forward(
-    recent: np.ndarray,
-    stamps: np.ndarray,
-    columns: list[str],
-    coef: np.ndarray,
-    intercept: float,
-    noise: np.ndarray,
+    state: np.ndarray, clock: dict[str, np.ndarray], columns: list[str], score, noise: np.ndarray
 ) -> np.ndarray:
-    """Predict step by step, feeding each prediction back into lags and windows."""
-    values = list(recent)
-    when = pd.DatetimeIndex(stamps)
-    clock = {
-        "hour": when.hour,
-        "day_of_week": when.dayofweek,
-        "day_of_month": when.day,
-        "month": when.month,
-        "is_weekend": (when.dayofweek >= 5).astype(int),
+    """Predict step by step, feeding predictions back; one array operation per step and input.
+
+    ``state`` has a row per patient and a column per hour, the newest last; ``clock`` and
+    ``noise`` have a column per step.
+    """
+    steps = noise.shape[1]
+    values = np.concatenate((state, np.full((len(state), steps), np.nan)), axis=1)
+    made = {
+        "lag": lambda past, k: past[:, -k],
+        "diff": lambda past, k: past[:, -1] - past[:, -1 - k],
+        "rolling_mean": lambda past, k: past[:, -k:].mean(axis=1),
+        "rolling_std": lambda past, k: past[:, -k:].std(axis=1, ddof=1),
+        "week_mean": lambda past, k: np.nanmean(past[:, -k:], axis=1),
+        "week_std": lambda past, k: np.nanstd(past[:, -k:], axis=1),
     }
-    out = []
-    for i in range(len(when)):
-        row = []
-        week = np.asarray(values[-168:])
-        for c in columns:
-            part = c.split("_")
-            if c in clock:
-                x = clock[c][i]
-            elif c == "glucose_rolling_mean":
-                x = week.mean()
-            elif c == "glucose_rolling_std":
-                x = week.std()
-            elif part[1] == "lag":
-                x = values[-int(part[2][:-1])]
-            elif part[1] == "rolling":
-                window = np.asarray(values[-int(part[3][:-1]) :])
-                x = window.mean() if part[2] == "mean" else window.std(ddof=1)
-            else:  # difference over the rows known so far
-                k = int(part[2][:-1])
-                x = values[-1] - values[-1 - k]
-            row.append(x)
-        y = float(np.dot(row, coef) + intercept + noise[i])
-        out.append(y)
-        values.append(y)
-    return np.asarray(out)
+    wanted = [_inputs(c) for c in columns]
+    for i in range(steps):
+        past = values[:, : state.shape[1] + i]
+        row = [clock[kind][:, i] if kind in clock else made[kind](past, k) for kind, k in wanted]
+        values[:, state.shape[1] + i] = score(np.column_stack(row).astype(float)) + noise[:, i]
+    return values[:, state.shape[1] :]
 
 
 def forecast_recursive(
-    model, history: DataFrame, grid: DataFrame, noise: float | None = None, seed: int = 0
+    model,
+    history: DataFrame,
+    grid: DataFrame,
+    noise: float | None = None,
+    seed: int = 0,
+    patients_per_task: int = PATIENTS_PER_TASK,
 ) -> DataFrame:
-    """Step-by-step forecast of a per-patient linear model.
-
-    Each prediction becomes the newest value of the lags and windows of the next
-    row, starting from the last 168 known values. Fit on ``leak_free`` features:
-    there a row sees only earlier values, as it does here. With a ``noise`` scale
-    the noise of a step is part of the value that is fed back. Patients run in
-    parallel; a patient needs 168 values and its grid rows.
+    """Step-by-step forecast of a model that is linear in its inputs, or in waves of them.
+
+    ``history`` is the hourly grid. Each prediction becomes the newest value of the lags and
+    windows of the next row, starting from the 168 hours up to the grid's last known time;
+    an hour without a value takes the straight line between its neighbours, so a lag is
+    always so many hours back. Fit on ``leak_free`` features: there a row sees only earlier
+    values, as it does here. With a ``noise`` scale the noise of a step is part of the
+    value that is fed back. Patients are stepped together in groups by hash; one whose
+    known hours don't reach back as far as the longest lag or window gets null.
     """
+    if not hasattr(model, "stepper"):
+        raise ValueError(f"{model.algorithm} has no recursive forecast")
     columns = model.columns
-    needed = 1 + max([int(n) for c in columns for n in re.findall(r"_(\d+)h$", c)], default=0)
-    latest = F.row_number().over(Window.partitionBy("patient_id").orderBy(F.desc("hour_ts")))
+    table, score = model.stepper()
+    needed = 1 + max([k for kind, k in map(_inputs, columns) if not kind.startswith("week")], default=0)
+    ends = grid.groupBy("patient_id").agg(F.max("last_ts").alias("last_ts"))
+    back = (F.unix_seconds("last_ts") - F.unix_seconds("hour_ts")) / F.lit(3600)
     recent = (
         history.where(F.col("glucose").isNotNull())
-        .withColumn("age", latest)
-        .where(F.col("age") <= 168)
+        .join(ends, "patient_id")
+        .withColumn("back", F.floor(back))
+        .where(F.col("back").between(0, STATE_HOURS - 1))
         .select(
             "patient_id",
-            F.lit(0).alias("step"),
+            (-F.col("back")).cast("int").alias("step"),
             F.col("hour_ts").alias("timestamp"),
             "glucose",
             F.lit(0.0).alias("noise"),
@@ -218,33 +227,60 @@ def forecast_recursive(
         ahead_rows = with_noise_column(ahead_rows, history, noise, seed)
     else:
         ahead_rows = ahead_rows.withColumn("noise", F.lit(0.0))
-    rows = recent.unionByName(ahead_rows).join(model.coefficients.select("patient_id", "coef", "intercept"), "patient_id")
+    tasks = 1 + ends.count() // patients_per_task
+    rows = recent.unionByName(ahead_rows).join(table, "patient_id")
+    rows = rows.withColumn("task", F.pmod(F.hash("patient_id"), F.lit(tasks)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["step", "timestamp"])
-        past, ahead = pdf[pdf["step"] == 0], pdf[pdf["step"] > 0]
-        values = past["glucose"].to_numpy(float)
-        if len(values) < needed or ahead.empty:
-            predicted = np.full(len(ahead), np.nan)
-        else:
-            predicted = _roll_forward(
-                values,
-                ahead["timestamp"].to_numpy(),
+        pdf = pdf.sort_values(["patient_id", "step"])
+        past, ahead = pdf[pdf["step"] <= 0], pdf[pdf["step"] > 0]
+        steps = int(ahead["step"].max()) if len(ahead) else 0
+        who = ahead.drop_duplicates("patient_id").reset_index(drop=True)
+        place = pd.Series(who.index, index=who["patient_id"])
+        state = np.full((len(who), STATE_HOURS), np.nan)
+        past = past[past["patient_id"].isin(place.index)]
+        state[place[past["patient_id"]], STATE_HOURS - 1 + past["step"]] = past["glucose"]
+        for row in state:  # unknown hours between known ones, and after the last
+            known = np.flatnonzero(~np.isnan(row))
+            if len(known):
+                row[known[0] :] = np.interp(np.arange(known[0], STATE_HOURS), known, row[known])
+        at = (place[ahead["patient_id"]].to_numpy(), ahead["step"].to_numpy() - 1)
+        when = pd.DatetimeIndex(ahead["timestamp"])
+
+        def by_step(values) -> np.ndarray:
+            table = np.zeros((len(who), steps))
+            table[at] = values
+            return table
+
+        clock = {
+            "hour": by_step(when.hour),
+            "day_of_week": by_step(when.dayofweek),
+            "day_of_month": by_step(when.day),
+            "month": by_step(when.month),
+            "is_weekend": by_step(when.dayofweek >= 5),
+        }
+        a, b = (np.vstack(who[c].to_numpy()) if len(who) else np.zeros((0, len(columns))) for c in "ab")
+        c = who["c"].to_numpy(float)
+        enough = ~np.isnan(state[:, STATE_HOURS - needed :]).any(axis=1) if len(who) else np.zeros(0, bool)
+        predicted = np.full((len(who), steps), np.nan)
+        if enough.any():
+            predicted[enough] = _roll_forward(
+                state[enough],
+                {k: v[enough] for k, v in clock.items()},
                 columns,
-                np.asarray(pdf["coef"].iloc[0], dtype=float),
-                float(pdf["intercept"].iloc[0]),
-                ahead["noise"].to_numpy(float),
+                lambda x: score(x, a[enough], b[enough], c[enough]),
+                by_step(ahead["noise"].to_numpy(float))[enough],
             )
-        return ahead[["patient_id", "step"]].assign(predicted_glucose=predicted)
+        return ahead[["patient_id", "step"]].assign(predicted_glucose=predicted[at])
 
-    done = rows.groupBy("patient_id").applyInPandas(
+    done = rows.groupBy("task").applyInPandas(
         run, "patient_id long, step int, predicted_glucose double"
     )
     done = done.withColumn(
         "predicted_glucose",
         F.when(~F.isnan("predicted_glucose"), F.col("predicted_glucose")),
     )
-    return grid.join(done, ["patient_id", "step"]).select(
+    return grid.join(done, ["patient_id", "step"], "left").select(
         *grid.columns, "predicted_glucose", F.col("predicted_glucose").alias("trend")
     )
 
@@ -409,13 +445,15 @@ def regressor_forecast(
     noise: float | None = None,
     seed: int = 0,
     settings: Settings = DEFAULTS,
+    hourly: DataFrame | None = None,
 ) -> DataFrame:
     """History and forecast of a feature-table model in one clipped table.
 
-    ``noise`` is the noise scale; no noise by default.
+    ``noise`` is the noise scale; no noise by default. A recursive forecast starts from
+    ``hourly``, the grid from which the features were made, as feature rows have gaps.
     """
     if mode == "recursive":
-        future = forecast_recursive(model, features, grid, noise, seed)
+        future = forecast_recursive(model, features if hourly is None else hourly, grid, noise, seed)
     else:
         future = forecast_with_model(model, features, grid, mode)
         if noise:

@@ -59,9 +59,12 @@ DEFAULT_PARAMS = {
     "decision_tree": {"depth": 10, "seed": 42},
 }
 
-
-#: fewest training rows worth a task of their own
-ROWS_PER_TASK = 5_000
+#: Training rows of a pooled fit are laid out by hash of patient and hour in so many
+#: partitions, sorted inside, whatever their number and the cluster: bagging and split
+#: sampling are seeded per partition. Large data needs more (parameter ``partitions``).
+FIT_PARTITIONS = 8
+#: MB of split statistics that Spark's tree learners keep per pass (parameter ``memory_mb``).
+TREE_MEMORY_MB = 256
 
 
 def check_algorithm(name: str) -> None:
@@ -84,7 +87,8 @@ class Scaler:
         scaled = {
             c: (F.col(c) - F.col(f"{c}__mean")) / F.col(f"{c}__std") for c in self.columns
         }
-        joined = rows.join(self.table, "patient_id")
+        # a patient without training rows keeps its rows: scaled inputs and level are null
+        joined = rows.join(self.table, "patient_id", "left")
         return joined.withColumns(scaled).select(*rows.columns, "level")
 
 
@@ -125,6 +129,7 @@ def _estimator(name: str, params: dict, n: int, deviation: float):
             minInstancesPerNode=params["min_leaf"],
             featureSubsetStrategy="all",
             seed=params["seed"],
+            maxMemoryInMB=params.get("memory_mb", TREE_MEMORY_MB),
         )
     if name in ("gradient_boosting", "xgboost"):
         return ml.GBTRegressor(
@@ -132,12 +137,24 @@ def _estimator(name: str, params: dict, n: int, deviation: float):
             maxDepth=params["depth"],
             stepSize=params["rate"],
             seed=params["seed"],
+            maxMemoryInMB=params.get("memory_mb", TREE_MEMORY_MB),
         )
     if name == "svr":
         return ml.LinearRegression(
             loss="huber", epsilon=1.35, regParam=1.0 / (params["c"] * max(n, 1)), maxIter=100
         )
-    return ml.DecisionTreeRegressor(maxDepth=params["depth"], seed=params["seed"])
+    return ml.DecisionTreeRegressor(
+        maxDepth=params["depth"],
+        seed=params["seed"],
+        maxMemoryInMB=params.get("memory_mb", TREE_MEMORY_MB),
+    )
+
+
+def _wave_weights(columns: list[str], params: dict) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(params["seed"])
+    gamma = 1.0 / len(columns)
+    weights = rng.normal(0.0, np.sqrt(2 * gamma), (len(columns), params["waves"]))
+    return weights, rng.uniform(0.0, 2 * np.pi, params["waves"])
 
 
 def _random_waves(columns: list[str], params: dict) -> Callable[[DataFrame], DataFrame]:
@@ -145,11 +162,8 @@ def _random_waves(columns: list[str], params: dict) -> Callable[[DataFrame], Dat
 
     A linear fit on them approximates the kernel machine and stays distributed.
     """
-    rng = np.random.default_rng(params["seed"])
-    count = params["waves"]
-    gamma = 1.0 / len(columns)
-    weights = rng.normal(0.0, np.sqrt(2 * gamma), (len(columns), count))
-    phases = rng.uniform(0.0, 2 * np.pi, count)
+    weights, phases = _wave_weights(columns, params)
+    count = len(phases)
 
     def waves(values: pd.Series) -> pd.Series:
         x = np.vstack(values.to_numpy())
@@ -170,12 +184,41 @@ class PooledModel:
     scaler: Scaler
     vectorise: Callable[[DataFrame], DataFrame]
     model: object
+    params: dict = field(default_factory=dict)
+
+    @property
+    def columns(self) -> list[str]:
+        return self.scaler.columns
+
+    def stepper(self) -> tuple[DataFrame, Callable]:
+        """See PatientLinearModel.stepper; for models that are linear in their inputs or waves."""
+        if self.algorithm in TREES:
+            raise ValueError(f"{self.algorithm} has no recursive forecast: it would take a Spark job per step")
+        means = F.array(*[F.col(f"{c}__mean") for c in self.columns])
+        stds = F.array(*[F.col(f"{c}__std") for c in self.columns])
+        table = self.scaler.table.select(
+            "patient_id", means.alias("a"), stds.alias("b"), F.col("level").alias("c")
+        )
+        coef, intercept = self.model.coefficients.toArray(), float(self.model.intercept)
+        if self.algorithm != "svr":
+            return table, lambda x, a, b, c: (x - a) / b @ coef + intercept + c
+        weights, phases = _wave_weights(self.columns, self.params)
+        size = np.sqrt(2.0 / len(phases))
+        return table, lambda x, a, b, c: (
+            size * np.cos((x - a) / b @ weights + phases) @ coef + intercept + c
+        )
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        scored = self.model.transform(self.vectorise(self.scaler.apply(rows)))
-        return scored.withColumn("prediction", F.col("prediction") + F.col("level")).select(
-            *rows.columns, "prediction"
+        """Rows that cannot be scored (no training rows, a missing input) get null."""
+        inputs = self.scaler.columns
+        ready = self.scaler.apply(rows)
+        known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in inputs), F.col("level").isNotNull())
+        ready = ready.withColumn("scorable", known).withColumns(
+            {c: F.coalesce(F.col(c), F.lit(0.0)) for c in inputs}
         )
+        scored = self.model.transform(self.vectorise(ready))
+        value = F.when(F.col("scorable"), F.col("prediction") + F.col("level"))
+        return scored.withColumn("prediction", value).select(*rows.columns, "prediction")
 
     def importances(self, top: int | None = 5) -> DataFrame:
         """Inputs by falling importance (tree models)."""
@@ -196,8 +239,13 @@ def fit_pooled(name: str, train: DataFrame, params: dict) -> PooledModel:
         vectorise = _random_waves(columns, params)
     else:
         vectorise = VectorAssembler(inputCols=columns, outputCol="features").transform
+    laid_out = (
+        scaler.apply(train)
+        .repartition(params.get("partitions", FIT_PARTITIONS), "patient_id", "hour_ts")
+        .sortWithinPartitions("patient_id", "hour_ts", "glucose", *columns)
+    )
     ready = (
-        vectorise(scaler.apply(train))
+        vectorise(laid_out)
         .select("features", (F.col("glucose") - F.col("level")).alias("label"))
         .persist()
     )
@@ -207,48 +255,56 @@ def fit_pooled(name: str, train: DataFrame, params: dict) -> PooledModel:
             raise ValueError("no complete training rows")
         if name in LINEAR and not deviation:
             deviation = 1.0
-        # iterative fits run many small jobs: no more tasks than the rows deserve
-        model = _estimator(name, params, n, deviation).fit(
-            ready.coalesce(max(1, n // ROWS_PER_TASK))
-        )
+        model = _estimator(name, params, n, deviation).fit(ready)
     finally:
         ready.unpersist()
-    return PooledModel(name, scaler, vectorise, model)
+    return PooledModel(name, scaler, vectorise, model, params)
 
 
 # --- linear models per patient ---------------------------------------------
 
 
-def _lasso(gram: np.ndarray, moment: np.ndarray, alpha: float) -> np.ndarray:
+#: Lasso sweeps stop when no coefficient moves by more; past the last sweep the fit counts as not converged.
+LASSO_TOLERANCE, LASSO_SWEEPS = 1e-10, 200_000
+
+
+def _lasso(gram: np.ndarray, moment: np.ndarray, alpha: float) -> tuple[np.ndarray, bool]:
     """Minimise w'Gw/2 - m'w + alpha |w|_1 one coordinate at a time."""
     w = np.zeros(len(moment))
-    for _ in range(5000):
+    for _ in range(LASSO_SWEEPS):
         moved = 0.0
         for j in np.flatnonzero(np.diag(gram) > 0):
             pull = moment[j] - gram[j] @ w + gram[j, j] * w[j]
             new = np.sign(pull) * max(abs(pull) - alpha, 0.0) / gram[j, j]
             moved = max(moved, abs(new - w[j]))
             w[j] = new
-        if moved < 1e-10:
-            break
-    return w
+        if moved < LASSO_TOLERANCE:
+            return w, True
+    return w, False
 
 
-def solve_linear(name: str, x: np.ndarray, y: np.ndarray, params: dict) -> tuple[np.ndarray, float]:
-    """Coefficients on the unscaled inputs, and the intercept."""
+def solve_linear(
+    name: str, x: np.ndarray, y: np.ndarray, params: dict
+) -> tuple[np.ndarray, float, bool]:
+    """Coefficients on the unscaled inputs, the intercept, and whether the fit converged.
+
+    A singular ridge system (no penalty, dependent inputs) has the solution of least norm.
+    """
     centre, spread = x.mean(axis=0), x.std(axis=0)
     spread = np.where(spread == 0, 1.0, spread)
-    z, level = (x - centre) / spread, y.mean()
+    z, level, converged = (x - centre) / spread, y.mean(), True
     if name == "linear_regression":
         w = np.linalg.lstsq(z, y - level, rcond=None)[0]
     elif name == "ridge":
-        w = np.linalg.solve(
-            z.T @ z + params["alpha"] * np.eye(z.shape[1]), z.T @ (y - level)
-        )
+        system = z.T @ z + params["alpha"] * np.eye(z.shape[1])
+        try:
+            w = np.linalg.solve(system, z.T @ (y - level))
+        except np.linalg.LinAlgError:
+            w = np.linalg.lstsq(system, z.T @ (y - level), rcond=None)[0]
     else:
-        w = _lasso(z.T @ z / len(y), z.T @ (y - level) / len(y), params["alpha"])
+        w, converged = _lasso(z.T @ z / len(y), z.T @ (y - level) / len(y), params["alpha"])
     w = w / spread
-    return w, float(level - centre @ w)
+    return w, float(level - centre @ w), converged
 
 
 def linear_score(columns: list[str]) -> Column:
@@ -265,9 +321,19 @@ class PatientLinearModel:
     coefficients: DataFrame
     columns: list[str]
 
+    def stepper(self) -> tuple[DataFrame, Callable]:
+        """(patient_id, a, b, c) and a function of inputs (patients x columns) and these arrays.
+
+        What a forecast needs that goes step by step over many patients at once.
+        """
+        table = self.coefficients.where(F.col("coef").isNotNull()).select(
+            "patient_id", F.col("coef").alias("a"), F.col("coef").alias("b"), F.col("intercept").alias("c")
+        )
+        return table, lambda x, a, b, c: (x * a).sum(axis=1) + c
+
     def predict(self, rows: DataFrame) -> DataFrame:
         return rows.join(
-            self.coefficients.select("patient_id", "coef", "intercept"), "patient_id"
+            self.coefficients.select("patient_id", "coef", "intercept"), "patient_id", "left"
         ).select(*rows.columns, linear_score(self.columns).alias("prediction"))
 
 
@@ -275,22 +341,31 @@ def fit_per_patient(name: str, train: DataFrame, params: dict) -> PatientLinearM
     columns = input_columns(train)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        coef, intercept = solve_linear(
-            name, pdf[columns].to_numpy(float), pdf["glucose"].to_numpy(float), params
-        )
+        failure = None
+        try:
+            coef, intercept, converged = solve_linear(
+                name, pdf[columns].to_numpy(float), pdf["glucose"].to_numpy(float), params
+            )
+        except (ArithmeticError, ValueError, np.linalg.LinAlgError) as problem:
+            coef, intercept, converged, failure = None, None, False, str(problem)
         return pd.DataFrame(
             {
                 "patient_id": [pdf["patient_id"].iloc[0]],
                 "coef": [coef],
                 "intercept": [intercept],
                 "n": [len(pdf)],
+                "converged": [converged],
+                "failure": [failure],
             }
         )
 
     table = (
         train.select("patient_id", "glucose", *columns)
         .groupBy("patient_id")
-        .applyInPandas(solve, "patient_id long, coef array<double>, intercept double, n long")
+        .applyInPandas(
+            solve,
+            "patient_id long, coef array<double>, intercept double, n long, converged boolean, failure string",
+        )
     )
     return PatientLinearModel(name, table, columns)
 
@@ -311,7 +386,7 @@ class NeighbourModel:
         found = predict_neighbours(
             known, self.scaler.apply(rows), self.scaler.columns, k=self.k
         )
-        return rows.join(found, ["patient_id", "hour_ts"]).select(*rows.columns, "prediction")
+        return rows.join(found, ["patient_id", "hour_ts"], "left").select(*rows.columns, "prediction")
 
 
 @dataclass(frozen=True)

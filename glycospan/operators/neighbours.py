@@ -30,11 +30,16 @@ def _nearest_means(queries: np.ndarray, known: np.ndarray, y: np.ndarray, k: int
     chunk = max(1, 4_000_000 // max(len(y), 1))
     for at in range(0, len(queries), chunk):
         distance = _squared_distances(queries[at : at + chunk], known)
-        reach = np.partition(distance, k - 1, axis=1)[:, k - 1]
-        for i, row in enumerate(distance):
-            near = np.flatnonzero(row <= reach[i])
-            best = near[np.argsort(row[near], kind="stable")[:k]]
-            out[at + i] = y[best].mean()
+        near = np.argpartition(distance, k - 1, axis=1)[:, :k]
+        reach = np.take_along_axis(distance, near, axis=1).max(axis=1)
+        # rows in the order of their distance and then their place, so that means add up alike
+        near = np.sort(near, axis=1)
+        order = np.argsort(np.take_along_axis(distance, near, axis=1), axis=1, kind="stable")
+        near = np.take_along_axis(near, order, axis=1)
+        for i in np.flatnonzero((distance <= reach[:, None]).sum(axis=1) > k):  # a tie for the last place
+            tied = np.flatnonzero(distance[i] <= reach[i])
+            near[i] = tied[np.argsort(distance[i, tied], kind="stable")[:k]]
+        out[at : at + len(near)] = y[near].mean(axis=1)
     return out
 
 

@@ -53,7 +53,7 @@ class SeasonalTrend:
         )
         yhat, spread = F.col("predicted_glucose"), Z95 * F.col("sigma")
         return (
-            rows.join(self.table, "patient_id")
+            rows.join(self.table, "patient_id", "left")
             .withColumn("trend", trend)
             .withColumn("predicted_glucose", F.col("trend") * season)
             .withColumn("lower_bound", yhat - spread)
@@ -127,6 +127,10 @@ def _fourier(hours: np.ndarray) -> np.ndarray:
     return np.hstack([np.sin(angles), np.cos(angles)])
 
 
+#: Largest change of the (scaled) trend in a round that counts as none; past the last round ``last_move`` tells.
+FOURIER_TOLERANCE, FOURIER_ROUNDS = 1e-9, 500
+
+
 def _hinges(at: np.ndarray, knots: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones_like(at), at, np.maximum(at[:, None] - knots[None, :], 0.0)])
 
@@ -152,11 +156,16 @@ def _fit_fourier(pdf: pd.DataFrame) -> pd.DataFrame:
     waves = _fourier(hours)
     season_penalty = np.full(waves.shape[1], (noise / SEASONALITY_PRIOR) ** 2)
     season_coef = np.zeros(waves.shape[1])
-    for _ in range(3):  # trend and seasonality are each linear given the other
+    moved, rounds = np.inf, 0
+    # trend and seasonality are each linear given the other: in turns until the fit stands still
+    while moved > FOURIER_TOLERANCE and rounds < FOURIER_ROUNDS:
+        rounds += 1
         trend = trend_design @ trend_coef
         season_coef = _ridge(waves * trend[:, None], y / scale - trend, season_penalty)
         factor = 1.0 + waves @ season_coef
+        before = trend_design @ trend_coef
         trend_coef = _ridge(trend_design * factor[:, None], y / scale, hinge_penalty)
+        moved = float(np.abs(trend_design @ trend_coef - before).max())
     fitted = (trend_design @ trend_coef) * (1.0 + waves @ season_coef) * scale
     return pd.DataFrame(
         {
@@ -167,6 +176,7 @@ def _fit_fourier(pdf: pd.DataFrame) -> pd.DataFrame:
             "trend_coef": [trend_coef],
             "season_coef": [season_coef],
             "sigma": [float(np.sqrt(np.mean((y - fitted) ** 2)))],
+            "last_move": [moved],
         }
     )
 
@@ -179,6 +189,7 @@ _FOURIER_FIELDS = {
     "trend_coef": "array<double>",
     "season_coef": "array<double>",
     "sigma": "double",
+    "last_move": "double",
 }
 
 
@@ -207,7 +218,7 @@ class FourierTrend:
         yhat, spread = F.col("predicted_glucose"), Z95 * F.col("sigma")
         return (
             rows.withColumn("at_hour", F.unix_seconds(ts) / F.lit(3600.0))
-            .join(self.coefficients, "patient_id")
+            .join(self.coefficients, "patient_id", "left")
             .withColumn("trend", _dot(hinges, F.col("trend_coef")) * F.col("scale"))
             .withColumn("predicted_glucose", F.col("trend") * season)
             .withColumn("lower_bound", yhat - spread)

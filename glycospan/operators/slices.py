@@ -51,9 +51,10 @@ def slice_readings(readings: DataFrame, settings: Settings = DEFAULTS) -> tuple[
 
     key = ["patient_id", "slice"]
     crowded = F.broadcast(summary.where(F.col("n_rows") > limit).select(*key))
+    in_crowded = summary.where(F.col("n_rows") > limit).agg(F.sum("n_rows")).first()[0]
     split = durable(
         rows.join(crowded, key, "left_semi")
-        .repartitionByRange(2 * (total // limit + 1), "patient_id", "timestamp", "id")
+        .repartitionByRange(2 * (in_crowded // limit + 1), "patient_id", "timestamp", "id")
         .withColumn("part", F.spark_partition_id() + 1)
     )
     rows = rows.join(crowded, key, "left_anti").unionByName(split)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -13,13 +14,24 @@ from glycospan.operators.seasonal import fit_fourier_trend, fit_seasonal_trend
 from glycospan.session import durable
 
 
-@dataclass(frozen=True)
+@dataclass
 class Analysis:
+    """Tables of a study; those that nobody asks for are never made."""
+
     readings: DataFrame
-    flagged: DataFrame
     hourly: DataFrame
-    features: DataFrame
     settings: Settings
+    leak_free: bool = True
+    keep: bool = True
+
+    @cached_property
+    def flagged(self) -> DataFrame:
+        return anomalies.flag_anomalies(self.readings, self.settings)
+
+    @cached_property
+    def features(self) -> DataFrame:
+        table = features.build_features(self.hourly, self.leak_free)
+        return durable(table) if self.keep else table
 
     def patterns(self) -> dict[str, DataFrame]:
         hours = patterns.hour_profile(self.hourly)
@@ -56,10 +68,11 @@ class Analysis:
                 table = forecasting.add_seasonal_noise(table, self.hourly, noise, seed)
                 table = forecasting.clip_forecast(table, self.settings)
             return table
-        grid = forecasting.future_grid(self.features, periods, freq)
+        start = self.hourly if mode == "recursive" else self.features
+        grid = forecasting.future_grid(start, periods, freq)
         model = fit_model(algorithm, self.features, scope, **params)
         return forecasting.regressor_forecast(
-            model, self.features, grid, mode, noise, seed, self.settings
+            model, self.features, grid, mode, noise, seed, self.settings, self.hourly
         )
 
     def report(self, forecast: DataFrame) -> DataFrame:
@@ -72,15 +85,11 @@ def analyse(
 ) -> Analysis:
     """Flag, clean and featurise the readings of all patients.
 
-    ``keep`` writes the hourly grid and the feature table to the checkpoint folder,
-    as several consumers read them and neither should start at the readings again.
+    ``keep`` writes the hourly grid, and the feature table once it is asked for, to the
+    checkpoint folder, as several consumers read them and neither should start at the
+    readings again.
     """
     hourly = cleaning.clean(readings, settings)
     if keep:
         hourly = durable(hourly)
-    table = features.build_features(hourly, leak_free)
-    if keep:
-        table = durable(table)
-    return Analysis(
-        readings, anomalies.flag_anomalies(readings, settings), hourly, table, settings
-    )
+    return Analysis(readings, hourly, settings, leak_free, keep)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +24,7 @@ def get_session(name: str = "glycospan", master: str | None = None, **options) -
 
 
 def use_utc(spark: SparkSession) -> None:
-    """Hour bins and calendar fields are UTC; the session must agree."""
+    """Hour bins and calendar fields are UTC: sets the session's zone, and leaves it set."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
@@ -36,8 +36,8 @@ def _checkpoint_dir(spark: SparkSession) -> None:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         context.setCheckpointDir(named)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="glycospan-"))
+    elif re.fullmatch(r"local(\[.*\])?", context.master):  # one process: its warehouse folder will do
+        context.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     else:
         raise RuntimeError(
             "set spark.checkpoint.dir to a folder that all executors share"
