@@ -9,10 +9,11 @@ across documents; runs of equal windows are the maximal repeats.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,42 +69,30 @@ def anchors(texts: DataFrame, block: int, buckets: int) -> DataFrame:
             ids, marks = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "mark"))
             bucket = ((hashes[one] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             for batch in packed.pack(hashes[one], bucket, row[one], place[one], flag[one], ids, marks, ANCHOR_BYTES):
-                yield _both(batch, None)
+                yield packed.filled(batch)
             if len(again):
-                yield _both(None, packed.places(row[again], place[again], ids, marks))
+                yield packed.filled(packed.places(row[again], place[again], ids, marks, buckets))
 
-    return texts.mapInArrow(probe, f"{packed.SCHEMA}, {packed.PLACES}")
+    return texts.mapInArrow(probe, packed.BOTH)
 
 
-_BOTH = pa.schema(
-    [("bucket", pa.int32()), *((c.split()[0], pa.binary()) for c in packed.SCHEMA.split(", ")[1:]), ("doc_id", pa.int64()), ("mark", pa.int64()), ("places", pa.list_(pa.int32()))]
-)
+def split(offered: DataFrame, work: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+    """All places of each document: those found before, and those that ``work`` finds in each bucket's rows.
 
-
-def _both(sent: pa.RecordBatch | None, done: pa.RecordBatch | None) -> pa.RecordBatch:
-    """A batch with packed rows or with places, the other columns null."""
-    given = sent if sent is not None else done
-    return pa.RecordBatch.from_arrays([given.column(f.name) if f.name in given.schema.names else pa.nulls(given.num_rows, f.type) for f in _BOTH], schema=_BOTH)
-
-
-def split(mixed: DataFrame, buckets: int, work) -> DataFrame:
-    """Places found at once and those that ``work`` finds in each bucket's packed rows.
-
-    Both kinds of rows come from one pass over the texts: rows with places are dealt out
-    by a number of their own and passed on.
+    Both kinds of rows come from one pass over the texts. The rows of a bucket go to one
+    task; what it finds, packed for the tasks that gather it, goes on with the rest.
     """
-    key = F.coalesce("bucket", F.pmod(F.hash("doc_id", "mark"), F.lit(buckets)))
 
     def group(table: pa.Table) -> pa.Table:
-        done = table.filter(pa.compute.is_null(table["bucket"])).select(["doc_id", "mark", "places"])
-        sent = table.filter(pa.compute.is_valid(table["bucket"]))
-        found = work(sent) if sent.num_rows else None
-        return done if found is None else pa.concat_tables([done, pa.Table.from_batches([found]).cast(done.schema)])
+        done = table.filter(pc.is_null(table["bucket"])).select([c.split()[0] for c in packed.SPOTS.split(", ")])
+        sent = table.filter(pc.is_valid(table["bucket"]))
+        return pa.concat_tables([done, pa.Table.from_batches([work(sent)])]) if sent.num_rows else done
 
-    return mixed.withColumn("key", key).groupBy("key").applyInArrow(group, packed.PLACES)
+    found = offered.withColumn("key", F.coalesce("bucket", "dest")).groupBy("key").applyInArrow(group, packed.SPOTS)
+    return found.groupBy("dest").applyInArrow(packed.gather, "id2 long, mark2 long, places array<int>")
 
 
-def find_anchors(sent: pa.Table) -> pa.RecordBatch:
+def find_anchors(sent: pa.Table, tasks: int) -> pa.RecordBatch:
     """Probes of a bucket that occur twice or more, a reference block among them."""
     hashes, doc, place, flag, ids, marks = packed.unpack(sent, ANCHOR_BYTES)
     order = np.argsort(hashes, kind="stable")
@@ -111,23 +100,22 @@ def find_anchors(sent: pa.Table) -> pa.RecordBatch:
     group = np.cumsum(new) - 1
     good = (np.bincount(group) > 1) & (np.bincount(group, flag[order]) > 0)
     hit = np.sort(order[good[group]])
-    return packed.places(doc[hit], place[hit], ids, marks)
-
-
-def gathered(found: DataFrame) -> DataFrame:
-    """All places of a document in one row."""
-    return found.groupBy(F.col("doc_id").alias("id2"), F.col("mark").alias("mark2")).agg(F.flatten(F.collect_list("places")).alias("places"))
+    return packed.places(doc[hit], place[hit], ids, marks, tasks)
 
 
 def with_places(texts: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """The texts with their places. The keys are never null, so that both joins of a query share one exchange of the texts."""
-    own = (F.coalesce("doc_id", F.lit(0)) == F.col("id2")) & (F.col("doc_id").isNull() == F.lit(False)) & (F.col("mark") == F.col("mark2"))
-    return texts.join(gathered(found), own, how).select(*texts.columns, "places")
+    own = (F.coalesce("doc_id", F.lit(0)) == F.col("id2")) & (F.col("mark") == F.col("mark2"))
+    return texts.join(found, own, how).select(*texts.columns, "places")
 
 
 def marked(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
-    """doc_id, text, more columns, and a hash of the text, which tells apart different texts with one id."""
-    return texts_of(df, id_col, text_col, *keep).withColumn("mark", F.coalesce(F.hash("text"), F.lit(0)).cast("long"))
+    """doc_id, text, more columns, and a hash of the text, which tells apart different texts with one id.
+
+    Rows without an id have marks that no others have, so they never meet the places of others.
+    """
+    mark = F.when(F.col("doc_id").isNull(), F.lit(1 << 40)).otherwise(F.coalesce(F.hash("text"), F.lit(0)).cast("long"))
+    return texts_of(df, id_col, text_col, *keep).withColumn("mark", mark)
 
 
 def candidates(texts: DataFrame, hits: DataFrame, window: int, block: int, buckets: int) -> DataFrame:
@@ -157,11 +145,11 @@ def candidates(texts: DataFrame, hits: DataFrame, window: int, block: int, bucke
             place = at - offsets[row]
             one, later = _earliest(hashes, bucket, ids[row])
             for batch in packed.pack(hashes[one], bucket[one], row[one], place[one], np.zeros(len(one), bool), ids, marks, 8):
-                yield _both(batch, None)
+                yield packed.filled(batch)
             if len(later):
-                yield _both(None, packed.places(row[later], place[later], ids, marks))
+                yield packed.filled(packed.places(row[later], place[later], ids, marks, buckets))
 
-    return with_places(texts, hits, "inner").mapInArrow(extend, f"{packed.SCHEMA}, {packed.PLACES}")
+    return with_places(texts, hits, "inner").mapInArrow(extend, packed.BOTH)
 
 
 def _earliest(hashes: np.ndarray, bucket: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,11 +161,11 @@ def _earliest(hashes: np.ndarray, bucket: np.ndarray, ids: np.ndarray) -> tuple[
     return np.sort(order[new]), np.sort(order[i > least])
 
 
-def find_repeats(sent: pa.Table) -> pa.RecordBatch:
+def find_repeats(sent: pa.Table, tasks: int) -> pa.RecordBatch:
     """Windows of a bucket that stand in an earlier document too."""
     hashes, doc, place, _, ids, marks = packed.unpack(sent, 8)
     _, later = _earliest(hashes, np.zeros(len(hashes), np.int64), ids[doc])
-    return packed.places(doc[later], place[later], ids, marks)
+    return packed.places(doc[later], place[later], ids, marks, tasks)
 
 
 def find_windows(df: DataFrame, id_col: str, text_col: str, window: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -185,8 +173,8 @@ def find_windows(df: DataFrame, id_col: str, text_col: str, window: int, keep: t
     block, buckets = window // 2, partitions(df)
     texts = marked(df, id_col, text_col, *keep)
     known = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    hits = split(anchors(known, block, buckets), buckets, find_anchors)
-    return texts, split(candidates(texts, hits, window, block, buckets), buckets, find_repeats)
+    hits = split(anchors(known, block, buckets), lambda sent: find_anchors(sent, buckets))
+    return texts, split(candidates(texts, hits, window, block, buckets), lambda sent: find_repeats(sent, buckets))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = (), tidy: bool = True) -> DataFrame:

@@ -28,8 +28,8 @@ BLOCK = 1 << 20
 #: Suffixes that are sorted at a time, unless one anchor has more.
 SORTED = 1 << 19
 ANCHOR_BYTES = 4
-_CONTEXTS = "bucket int, ids binary, marks binary, anchors binary, starts binary, deltas binary, counts binary, context binary"
-_NAMES = [c.split()[0] for c in _CONTEXTS.split(", ")]
+# The columns of packed rows, as runs of windows use them: bytes, ids, marks, lengths of runs, hashes of anchors, starts, distances to the anchor.
+_NAMES = ["bucket", "hashes", "ids", "marks", "counts", "gaps", "wide", "flags"]
 
 
 def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,21 +81,8 @@ def _keys(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tuple(part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "mark"))
 
 
-def _mixed_schema(names: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "array<int>": pa.list_(pa.int32())}
-    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in names.split(", ")])
-
-
-def _filled(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
-    """The batch with the columns that it lacks as nulls."""
-    return pa.RecordBatch.from_arrays([batch.column(f.name) if f.name in batch.schema.names else pa.nulls(batch.num_rows, f.type) for f in schema], schema=schema)
-
-
 def find_anchors(texts: DataFrame, window: int, anchor: int, buckets: int) -> DataFrame:
     """Anchors for other tasks (packed), and those that occur twice here already. Of equal ones only one is sent."""
-    shape = f"{packed.SCHEMA}, {packed.PLACES}"
-    schema = _mixed_schema(shape)
-
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=TOGETHER):
             found, done = [], 0
@@ -115,31 +102,31 @@ def find_anchors(texts: DataFrame, window: int, anchor: int, buckets: int) -> Da
             ids, marks = _keys(part)
             bucket = ((hashes[one] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             for batch in packed.pack(hashes[one], bucket, row[one], place[one], np.zeros(len(one), bool), ids, marks, ANCHOR_BYTES):
-                yield _filled(batch, schema)
+                yield packed.filled(batch)
             if len(again):
-                yield _filled(packed.places(row[again], place[again], ids, marks), schema)
+                yield packed.filled(packed.places(row[again], place[again], ids, marks, buckets))
 
-    return texts.mapInArrow(probe, shape)
+    return texts.mapInArrow(probe, packed.BOTH)
 
 
-def repeated_anchors(sent: pa.Table) -> pa.RecordBatch:
+def repeated_anchors(sent: pa.Table, tasks: int) -> pa.RecordBatch:
     """Anchors of a bucket that occur twice or more."""
     hashes, doc, place, _, ids, marks = packed.unpack(sent, ANCHOR_BYTES)
     order = np.argsort(hashes, kind="stable")
     new = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))
     group = np.cumsum(new) - 1
     hit = np.sort(order[(np.bincount(group) > 1)[group]])
-    return packed.places(doc[hit], place[hit], ids, marks)
+    return packed.places(doc[hit], place[hit], ids, marks, tasks)
 
 
-def _spans(ids: np.ndarray, marks: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.RecordBatch:
-    """Rows (doc_id, mark, places) with starts and stops of removed bytes in turn."""
+def _spans(ids: np.ndarray, marks: np.ndarray, starts: np.ndarray, stops: np.ndarray, tasks: int) -> pa.RecordBatch:
+    """Places with the starts and stops of removed bytes in turn."""
     order = np.lexsort((starts, marks, ids))
     ids, marks = ids[order], marks[order]
     new = np.ones(len(ids), bool)
     new[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])
     flat = np.stack((starts[order], stops[order]), axis=1).reshape(-1)
-    return packed.places(np.repeat(np.cumsum(new) - 1, 2), flat, ids[new], marks[new])
+    return packed.places(np.repeat(np.cumsum(new) - 1, 2), flat, ids[new], marks[new], tasks)
 
 
 def _earliest(contexts: list, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,9 +144,6 @@ def _earliest(contexts: list, ids: np.ndarray, starts: np.ndarray) -> tuple[np.n
 
 def contexts(texts: DataFrame, hits: DataFrame, window: int, anchor: int, buckets: int) -> DataFrame:
     """Runs of windows with a repeated anchor and their bytes, packed; of equal runs the earliest is sent and the rest removed."""
-    shape = f"{_CONTEXTS}, {packed.PLACES}"
-    schema = _mixed_schema(shape)
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=TOGETHER):
             columns, bodies, done = [], [], 0
@@ -183,7 +167,7 @@ def contexts(texts: DataFrame, hits: DataFrame, window: int, anchor: int, bucket
             ids, marks = (x[row] for x in _keys(part))
             one, later = _earliest(list(zip(bodies, delta.tolist(), strict=True)), ids, start)
             if later.any():
-                yield _filled(_spans(ids[later], marks[later], start[later], (start + count + window - 1)[later]), schema)
+                yield packed.filled(_spans(ids[later], marks[later], start[later], (start + count + window - 1)[later], buckets))
             bucket = (mixed(hashes[one]) % np.uint64(buckets)).astype(np.int64)
             order = one[np.argsort(bucket, kind="stable")]
             sizes = np.bincount(bucket, minlength=0)
@@ -193,27 +177,27 @@ def contexts(texts: DataFrame, hits: DataFrame, window: int, anchor: int, bucket
                 at += sizes[b]
                 row_values = (
                     b,
+                    b"".join(bodies[i] for i in own.tolist()),
                     ids[own].tobytes(),
-                    marks[own].tobytes(),
+                    marks[own].astype(np.int32).tobytes(),
+                    count[own].astype(np.uint8).tobytes(),
                     hashes[own].tobytes(),
                     start[own].astype(np.uint32).tobytes(),
                     delta[own].astype(np.uint8).tobytes(),
-                    count[own].astype(np.uint8).tobytes(),
-                    b"".join(bodies[i] for i in own.tolist()),
                 )
                 for column, value in zip(rows, row_values, strict=True):
                     column.append(value)
-            yield _filled(pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], names=_NAMES), schema)
+            yield packed.filled(pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], names=_NAMES))
 
-    return with_places(texts, hits, "inner").mapInArrow(cut, shape)
+    return with_places(texts, hits, "inner").mapInArrow(cut, packed.BOTH)
 
 
-def sorted_repeats(sent: pa.Table, window: int) -> pa.RecordBatch:
+def sorted_repeats(sent: pa.Table, window: int, tasks: int) -> pa.RecordBatch:
     """Spans of a bucket's windows that begin earlier too, by sorting its suffixes block by block."""
-    kinds = {"ids": np.int64, "marks": np.int64, "anchors": np.uint64, "starts": np.uint32, "deltas": np.uint8, "counts": np.uint8}
-    ids, marks, hashes, starts, deltas, counts = (np.frombuffer(b"".join(sent[c].to_pylist()), k) for c, k in kinds.items())
+    kinds = {"ids": np.int64, "marks": np.int32, "counts": np.uint8, "gaps": np.uint64, "wide": np.uint32, "flags": np.uint8}
+    ids, marks, counts, hashes, starts, deltas = (np.frombuffer(b"".join(sent[c].to_pylist()), k) for c, k in kinds.items())
     starts, counts = starts.astype(np.int64), counts.astype(np.int64)
-    body = b"".join(sent["context"].to_pylist())
+    body = b"".join(sent["hashes"].to_pylist())
     ends = np.cumsum(counts + window - 1)
     bodies = [body[a:b] for a, b in zip((ends - counts - window + 1).tolist(), ends.tolist(), strict=True)]
     one, later = _earliest(list(zip(bodies, deltas.tolist(), strict=True)), ids, starts)
@@ -244,7 +228,7 @@ def sorted_repeats(sent: pa.Table, window: int) -> pa.RecordBatch:
         begin, end = begin[repeat[begin]], end[repeat[begin]]
         at = own[run[begin]]
         gone.append((ids[at], marks[at], place[begin], place[end] + window))
-    return _spans(*(np.concatenate(c) for c in zip(*gone, strict=True)))
+    return _spans(*(np.concatenate(c) for c in zip(*gone, strict=True)), tasks)
 
 
 def _blocks(hashes: np.ndarray, counts: np.ndarray) -> list[int]:
@@ -271,8 +255,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = partitions(df)
     texts = marked(df, id_col, text_col)
     known = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    hits = split(find_anchors(known, window, anchor, buckets), buckets, repeated_anchors)
-    gone = split(contexts(texts, hits, window, anchor, buckets), buckets, lambda sent: sorted_repeats(sent, window))
+    hits = split(find_anchors(known, window, anchor, buckets), lambda sent: repeated_anchors(sent, buckets))
+    gone = split(contexts(texts, hits, window, anchor, buckets), lambda sent: sorted_repeats(sent, window, buckets))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):

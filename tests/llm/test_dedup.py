@@ -132,6 +132,26 @@ def test_packed_places_come_back():
     assert seen == set(zip(hashes.tolist(), ids[doc].tolist(), marks[doc].tolist(), place.tolist(), flag.tolist(), strict=True))
 
 
+def test_gathered_places_are_complete():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    ids, marks = np.array([5, 9, 5]), np.array([1, -7, 2])
+    batches, wanted = [], defaultdict(list)
+    for _ in range(4):
+        doc = np.sort(rng.integers(0, 3, 50))
+        place = rng.integers(0, 1000, 50)
+        batches.append(packed.places(doc, place, ids, marks, 2))
+        for d, p in zip(doc.tolist(), place.tolist(), strict=True):
+            wanted[int(ids[d]), int(marks[d])].append(p)
+    found = {}
+    everything = pa.Table.from_batches(batches)
+    for dest in (0, 1):
+        for row in packed.gather(everything.filter(pa.compute.equal(everything["dest"], dest))).to_pylist():
+            found[row["id2"], row["mark2"]] = sorted(row["places"])
+    assert found == {k: sorted(v) for k, v in wanted.items()}
+
+
 # --- Jaccard join ------------------------------------------------------------
 
 
