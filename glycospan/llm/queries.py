@@ -7,10 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glycospan.llm import byte_bpe, decontamination, html_extraction, jaccard_join, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity
+from glycospan.llm import byte_bpe, check_sql, decontamination, html_extraction, jaccard_join, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(check_sql.SQL)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
