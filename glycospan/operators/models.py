@@ -67,6 +67,10 @@ FIT_PARTITIONS = 8
 TREE_MEMORY_MB = 256
 
 
+#: Pooled linear fits stop when neither loss nor gradient moves by this share.
+ITERATIVE = {"tol": 1e-10, "maxIter": 2_000}
+
+
 def check_algorithm(name: str) -> None:
     if name not in DEFAULT_PARAMS:
         raise ValueError(f"unknown algorithm {name!r}; one of {', '.join(ALGORITHMS)}")
@@ -106,16 +110,17 @@ def fit_scaler(train: DataFrame, columns: list[str]) -> Scaler:
 
 def _linear(name: str, params: dict, n: int, deviation: float):
     if name == "linear_regression":
-        return ml.LinearRegression(regParam=0.0)
+        return ml.LinearRegression(regParam=0.0, **ITERATIVE)
     if name == "ridge":
         # Spark divides the L2 term by the label deviation and the loss by n
         return ml.LinearRegression(
             elasticNetParam=0.0,
             standardization=False,
             regParam=params["alpha"] * deviation / max(n, 1),
+            **ITERATIVE,
         )
     return ml.LinearRegression(
-        elasticNetParam=1.0, standardization=False, regParam=params["alpha"]
+        elasticNetParam=1.0, standardization=False, regParam=params["alpha"], **ITERATIVE
     )
 
 
@@ -141,7 +146,7 @@ def _estimator(name: str, params: dict, n: int, deviation: float):
         )
     if name == "svr":
         return ml.LinearRegression(
-            loss="huber", epsilon=1.35, regParam=1.0 / (params["c"] * max(n, 1)), maxIter=100
+            loss="huber", epsilon=1.35, regParam=1.0 / (params["c"] * max(n, 1)), **ITERATIVE
         )
     return ml.DecisionTreeRegressor(
         maxDepth=params["depth"],
