@@ -346,7 +346,7 @@ def _(spark, d):
     T_FLAG
     + " UNION ALL ".join(
         f"SELECT id, patient_id, '{name}' AS subset FROM flagged WHERE {flag}"
-        for name, flag in anomalies.SUBSETS.items()
+        for name, flag in S.SUBSETS.items()
     ),
 )
 def _(spark, d):
@@ -1342,6 +1342,52 @@ def _two_algorithms() -> str:
     )
 
 
+def user_features(spark, d):
+    return durable(features.build_features(cleaning.clean(user_readings(spark, d)), True))
+
+
+@check(
+    "e5_holdout_per_user",
+    S.with_tables(
+        USERS,
+        S.features(True),
+        S.split("features"),
+        S.neighbours(),
+        " scored AS (SELECT patient_id, 'knn' AS algorithm, actual, predicted FROM knn)",
+        S.METRICS,
+    )
+    + "SELECT * FROM metrics",
+    S.METRIC_COLUMNS,
+)
+def _(spark, d):
+    """Sparse patients: most have no training row, and are listed all the same."""
+    return evaluation.backtest("knn", user_features(spark, d))
+
+
+@check(
+    "e4_leaderboard_per_user",
+    S.with_tables(
+        USERS,
+        S.features(True),
+        S.split("features"),
+        S.neighbours(),
+        S.split("hourly").replace("numbered AS", "numbered_hours AS"),
+        SCORED_SEASONAL.replace("FROM numbered WHERE", "FROM numbered_hours WHERE"),
+        """ scored AS (SELECT * FROM seasonal_scored UNION ALL
+            SELECT patient_id, 'knn', actual, predicted FROM knn)""",
+        S.METRICS,
+    )
+    + f"""SELECT patient_id, algorithm, n, skipped, mae, rmse, within_20, {S.MAE_BAND} AS mae_band,
+          CASE WHEN n = 0 THEN 'no prediction: no training rows or no fit' END AS failure FROM metrics""",
+    "mae rmse within_20",
+)
+def _(spark, d):
+    history = durable(cleaning.clean(user_readings(spark, d)))
+    table = durable(features.build_features(history, True))
+    board = evaluation.compare_algorithms(history, table, ("prophet", "knn"))
+    return board.select("patient_id", "algorithm", "n", "skipped", "mae", "rmse", "within_20", "mae_band", "failure")
+
+
 def _two_backtests(spark, d):
     table = kept_features(spark, d, True)
     return evaluation.backtest("prophet", table).unionByName(evaluation.backtest("knn", table))
@@ -1411,19 +1457,6 @@ def _(spark, d):
 RANGE_TABLE = ["Fasting Glucose", "Post-Meal Glucose (2hr)", "Random Glucose", "Average Glucose"]
 
 
-def _status_sql(v: str, metric: str) -> str:
-    found = ranges.ranges_of(metric)
-    arms = " ".join(f"WHEN {v} >= {lo} AND {v} <= {hi} THEN '{s}'" for s, lo, hi in found)
-    return f"CASE {arms} WHEN {v} < {found[0][1]} THEN 'Low' ELSE 'Critical High' END"
-
-
-def _light_sql(v: str, metric: str) -> str:
-    arms = " ".join(
-        f"WHEN {v} >= {lo} AND {v} <= {hi} THEN '{s}'" for s, lo, hi in ranges.ranges_of(metric)
-    )
-    return f"CASE {arms} ELSE 'Critical' END"
-
-
 def _colour_sql(status: str) -> str:
     return f"""CASE WHEN {status} LIKE '%Normal%' OR {status} LIKE '%Excellent%' THEN 'green'
        WHEN {status} LIKE '%Good%' OR {status} LIKE '%Fair%' THEN 'orange' ELSE 'red' END"""
@@ -1439,9 +1472,9 @@ def _severity_sql(status: str) -> str:
     "r1_range_status",
     T_READ
     + "SELECT id, patient_id, value, "
-    + ", ".join(f"{_status_sql('value', m)} AS status_{i}" for i, m in enumerate(RANGE_TABLE))
+    + ", ".join(f"{S.status('value', m)} AS status_{i}" for i, m in enumerate(RANGE_TABLE))
     + ", "
-    + _status_sql("((value + 46.7) / 28.7)", "HbA1c Equivalent")
+    + S.status("((value + 46.7) / 28.7)", "HbA1c Equivalent")
     + " AS status_hba1c FROM readings",
     "value",
 )
@@ -1454,11 +1487,27 @@ def _(spark, d):
     )
 
 
+@check(
+    "r1_continuous_ranges",
+    T_READ
+    + "SELECT id, value, "
+    + ", ".join(f"{S.status('value', m, True)} AS status_{i}" for i, m in enumerate(RANGE_TABLE))
+    + " FROM readings",
+    "value",
+)
+def _(spark, d):
+    v = F.col("value")
+    statuses = [
+        ranges.range_status(v, m, continuous=True).alias(f"status_{i}") for i, m in enumerate(RANGE_TABLE)
+    ]
+    return readings(spark, d).select("id", "value", *statuses)
+
+
 @check(
     "r2_traffic_light",
     T_READ
     + f"""SELECT id, value, status, {_colour_sql("status")} AS colour FROM (
-          SELECT id, value, {_light_sql("value", "Average Glucose")} AS status FROM readings)""",
+          SELECT id, value, {S.light("value", "Average Glucose")} AS status FROM readings)""",
     "value",
 )
 def _(spark, d):
@@ -1512,13 +1561,13 @@ def _(spark, d):
 
 def _rows_sql() -> str:
     parts = []
-    for i, (name, column, unit, table) in enumerate(report.PARAMETERS):
+    for i, (name, column, unit, table, text) in enumerate(S.REPORTED):
         digits = 1 if unit == "%" else 0
         parts.append(
             f"""SELECT patient_id, CAST({i} AS INTEGER) AS position, '{name}' AS parameter, {column} AS value,
                 round_even({column}, {digits}) AS shown_value, '{unit}' AS unit,
-                '{ranges.range_text(table)}' AS reference_range,
-                {_status_sql(column, table)} AS status FROM report_metrics WHERE {column} > 0"""
+                '{text}' AS reference_range,
+                {S.status(column, table)} AS status FROM report_metrics WHERE {column} > 0"""
         )
     goals = (
         ("Time in Range (70-180)", "in_range", "> 70", ">70% recommended", "Needs Improvement"),
@@ -1557,7 +1606,7 @@ def _(spark, d):
     "r7_severity",
     T_READ
     + f"""SELECT id, status, {_severity_sql("status")} AS severity FROM (
-          SELECT id, {_status_sql("value", "Average Glucose")} AS status FROM readings)""",
+          SELECT id, {S.status("value", "Average Glucose")} AS status FROM readings)""",
 )
 def _(spark, d):
     status = ranges.range_status(F.col("value"), "Average Glucose")

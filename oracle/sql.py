@@ -218,22 +218,17 @@ numbered AS (
 
 
 METRICS = """
-paired AS (SELECT *, abs(predicted - actual) AS err FROM scored
-           WHERE actual IS NOT NULL AND predicted IS NOT NULL),
-missing AS (SELECT patient_id, algorithm, count(*) AS skipped FROM scored
-            WHERE actual IS NULL OR predicted IS NULL GROUP BY 1, 2),
-measured AS (
-  SELECT patient_id, algorithm, count(*) AS n, avg(err) AS mae, sqrt(avg(err * err)) AS rmse,
-         avg(abs((actual - predicted) / actual)) * 100 AS mape,
-         1 - sum(err * err) / (var_pop(actual) * count(*)) AS r2, max(err) AS max_error,
-         median(err) AS median_error,
-         covar_pop(actual, predicted) / (stddev_pop(actual) * stddev_pop(predicted)) AS correlation,
-         100.0 * count(*) FILTER (WHERE err <= 20) / count(*) AS within_20
-  FROM paired GROUP BY 1, 2),
+paired AS (
+  SELECT patient_id, algorithm, CASE WHEN predicted IS NOT NULL THEN actual END AS a,
+         CASE WHEN actual IS NOT NULL THEN predicted END AS p FROM scored),
 metrics AS (
-  SELECT patient_id, algorithm, n, coalesce(skipped, 0) AS skipped, mae, rmse, mape, r2,
-         max_error, median_error, correlation, within_20
-  FROM measured LEFT JOIN missing USING (patient_id, algorithm))"""
+  SELECT patient_id, algorithm, count(a) AS n, count(*) - count(a) AS skipped, avg(abs(p - a)) AS mae,
+         sqrt(avg((p - a) * (p - a))) AS rmse, avg(abs((a - p) / nullif(a, 0))) * 100 AS mape,
+         1 - sum((p - a) * (p - a)) / nullif(var_pop(a) * count(a), 0) AS r2, max(abs(p - a)) AS max_error,
+         median(abs(p - a)) AS median_error,
+         covar_pop(a, p) / nullif(stddev_pop(a) * stddev_pop(p), 0) AS correlation,
+         100.0 * count(*) FILTER (WHERE abs(p - a) <= 20) / nullif(count(a), 0) AS within_20
+  FROM paired GROUP BY 1, 2)"""
 
 METRIC_COLUMNS = "mae rmse mape r2 max_error median_error correlation within_20"
 
@@ -244,7 +239,7 @@ R2_BAND = """CASE WHEN r2 > 0.8 THEN 'Excellent' WHEN r2 > 0.6 THEN 'Good'
 
 
 def neighbours(k: int = 5) -> str:
-    """``knn``: held-out rows with the mean of the k nearest training rows."""
+    """``knn``: held-out rows with the mean of the k nearest training rows, null without any."""
     mean = ", ".join(f"avg({c}) AS {c}_m" for c in INPUTS)
     std = ", ".join(f"coalesce(nullif(stddev_pop({c}), 0), 1) AS {c}_s" for c in INPUTS)
     scaled = ", ".join(f"(n.{c} - z.{c}_m) / z.{c}_s AS {c}" for c in INPUTS)
@@ -252,11 +247,12 @@ def neighbours(k: int = 5) -> str:
     return f"""
 scales AS (SELECT patient_id, {mean}, {std} FROM numbered WHERE is_train GROUP BY patient_id),
 scaled AS (SELECT n.patient_id, n.hour_ts, n.glucose, n.is_train, {scaled}
-           FROM numbered n JOIN scales z USING (patient_id)),
+           FROM numbered n LEFT JOIN scales z USING (patient_id)),
 pairs AS (
   SELECT q.patient_id, q.hour_ts, q.glucose AS actual, t.glucose AS near,
          row_number() OVER (PARTITION BY q.patient_id, q.hour_ts ORDER BY {distance}, t.hour_ts) AS place
-  FROM scaled q JOIN scaled t ON t.patient_id = q.patient_id AND t.is_train AND NOT q.is_train),
+  FROM (SELECT * FROM scaled WHERE NOT is_train) q
+  LEFT JOIN (SELECT * FROM scaled WHERE is_train) t ON t.patient_id = q.patient_id),
 knn AS (
   SELECT patient_id, hour_ts, any_value(actual) AS actual, avg(near) AS predicted
   FROM pairs WHERE place <= {k} GROUP BY 1, 2)"""
@@ -277,3 +273,40 @@ def settled(sql: str, doubles: str = "") -> str:
 
 def with_tables(*parts: str) -> str:
     return "WITH " + ",".join(parts) + "\n"
+
+
+# What the clinical tables say, written out for the checks.
+RANGES = {
+    "Fasting Glucose": [("Normal", 70, 99), ("Prediabetes", 100, 125), ("Diabetes", 126, 400)],
+    "Post-Meal Glucose (2hr)": [("Normal", 70, 139), ("Prediabetes", 140, 199), ("Diabetes", 200, 400)],
+    "Random Glucose": [("Normal", 70, 140), ("Elevated", 141, 199), ("High", 200, 400)],
+    "Average Glucose": [("Excellent", 70, 120), ("Good", 121, 154), ("Fair", 155, 180), ("Poor", 181, 400)],
+    "HbA1c Equivalent": [("Normal", 0, 5.6), ("Prediabetes", 5.7, 6.4), ("Diabetes", 6.5, 15)],
+}
+# name, figure, unit, range table, text of its ranges
+REPORTED = [
+    ("Average Glucose", "average", "mg/dL", "Average Glucose", "Excellent: 70-120, Good: 121-154, Fair: 155-180, Poor: 181-400"),
+    ("Estimated HbA1c", "hba1c", "%", "HbA1c Equivalent", "Normal: 0-5.6, Prediabetes: 5.7-6.4, Diabetes: 6.5-15"),
+    ("Minimum Predicted", "minimum", "mg/dL", "Random Glucose", "Normal: 70-140, Elevated: 141-199, High: 200-400"),
+    ("Maximum Predicted", "maximum", "mg/dL", "Random Glucose", "Normal: 70-140, Elevated: 141-199, High: 200-400"),
+]
+# name of a subset of readings, and its flag
+SUBSETS = {
+    "all": "anomaly",
+    "sensor_errors": "sensor_error",
+    "statistical_outliers": "statistical_outlier",
+    "sudden_changes": "sudden_change",
+    "data_gaps": "data_gap",
+}
+
+
+def status(v: str, metric: str, continuous: bool = False) -> str:
+    found = RANGES[metric]
+    ends = [f"< {found[i + 1][1]}" if continuous and i + 1 < len(found) else f"<= {r[2]}" for i, r in enumerate(found)]
+    arms = " ".join(f"WHEN {v} >= {lo} AND {v} {end} THEN '{s}'" for (s, lo, _), end in zip(found, ends))
+    return f"CASE {arms} WHEN {v} < {found[0][1]} THEN 'Low' ELSE 'Critical High' END"
+
+
+def light(v: str, metric: str) -> str:
+    arms = " ".join(f"WHEN {v} >= {lo} AND {v} <= {hi} THEN '{s}'" for s, lo, hi in RANGES[metric])
+    return f"CASE {arms} ELSE 'Critical' END"
