@@ -36,13 +36,16 @@ def correlation(x: Column, y: Column) -> Column:
 def gaussian(*keys, seed: int, stream: int) -> Column:
     """A standard normal draw that depends only on ``keys``, ``seed`` and ``stream``.
 
-    Box-Muller over two hashes: the same row gets the same draw however the data
-    is partitioned, and however often a task is retried.
+    Box-Muller over two MD5 digests: the same row gets the same draw however the data
+    is partitioned, however often a task is retried, and in any engine. Timestamps count
+    in microseconds.
     """
     def uniform(salt: int) -> Column:
-        bits = F.xxhash64(*keys, F.lit(seed), F.lit(stream), F.lit(salt))
+        parts = [*keys, *(F.lit(x) for x in (seed, stream, salt))]
+        digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"))
         # 52 bits, shifted off zero so that the logarithm is finite
-        return (F.shiftrightunsigned(bits, 12) + F.lit(0.5)) / F.lit(float(2**52))
+        bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+        return (bits + F.lit(0.5)) / F.lit(float(2**52))
 
     return F.sqrt(F.lit(-2.0) * F.log(uniform(1))) * F.cos(
         F.lit(2.0) * F.pi() * uniform(2)

@@ -303,7 +303,7 @@ def with_noise_column(
     by_hour = history.groupBy("patient_id", F.hour("hour_ts").alias("noise_hour")).agg(
         F.stddev_samp("glucose").alias("hour_std")
     )
-    keys = (F.col("patient_id"), F.col("timestamp"))
+    keys = (F.col("patient_id"), F.unix_micros("timestamp"))
     base = gaussian(*keys, seed=seed, stream=1) * F.col("hist_std") * scale
     hourly = (
         gaussian(*keys, seed=seed, stream=2)
@@ -334,7 +334,7 @@ def add_seasonal_noise(
     forecast: DataFrame, history: DataFrame, scale: float = 0.20, seed: int = 0
 ) -> DataFrame:
     """Noise of the seasonal forecaster: one draw on the mean, one shared by both bounds."""
-    keys = (F.col("patient_id"), F.col("timestamp"))
+    keys = (F.col("patient_id"), F.unix_micros("timestamp"))
     spread = F.coalesce(F.col("hist_std"), F.lit(0.0)) * scale
     on_mean = gaussian(*keys, seed=seed, stream=1) * spread
     on_bounds = gaussian(*keys, seed=seed, stream=3) * spread * 0.5
@@ -372,7 +372,7 @@ def add_bounds(
         table = history_spread(history).withColumnRenamed("hist_std", "unit")
         half = F.col("unit") * (2 * 0.25 if noisy else 2 * 0.2)
         if noisy:
-            draw = gaussian(F.col("patient_id"), F.col("timestamp"), seed=seed, stream=4)
+            draw = gaussian(F.col("patient_id"), F.unix_micros("timestamp"), seed=seed, stream=4)
             half = half * (F.lit(1.0) + draw * 0.1)
     else:
         raise ValueError(f"method must be spread or residual, not {method!r}")
@@ -384,6 +384,12 @@ def add_bounds(
     )
 
 
+def residual_spread(scored: DataFrame) -> DataFrame:
+    """Deviation of the errors of held-out rows (patient, actual, predicted), for 95% bounds."""
+    error = F.col("actual") - F.col("predicted")
+    return scored.groupBy("patient_id").agg(F.stddev_samp(error).alias("residual_std"))
+
+
 def history_rows(history: DataFrame) -> DataFrame:
     """History in the shape of a forecast: every figure is the value itself."""
     value = F.col("glucose")

@@ -341,6 +341,16 @@ def _(spark, d):
     )
 
 
+@check(
+    "q6_label_array",
+    T_FLAG
+    + """SELECT id, replace(rtrim(anomaly_type, ','), ',', ' & ') AS labels FROM flagged WHERE anomaly""",
+)
+def _(spark, d):
+    rows = anomalies.label_array(flagged(spark, d)).where("anomaly")
+    return rows.select("id", F.array_join("anomaly_types", " & ").alias("labels"))
+
+
 @check(
     "q7_subsets",
     T_FLAG
@@ -466,6 +476,20 @@ def _(spark, d):
     return hourly(spark, d)
 
 
+@check(
+    "c4_whole_gaps_only",
+    S.with_tables(
+        USERS,
+        S.HOURLY.replace("date_diff('hour', t0, hour_ts) <= 24", "date_diff('hour', t0, t1) - 1 <= 24"),
+    )
+    + GRID_ROWS
+    + "hourly",
+    GRID_DOUBLES,
+)
+def _(spark, d):
+    return cleaning.clean(user_readings(spark, d), whole_gaps_only=True)
+
+
 @check(
     "c4_hourly_interpolated_per_user",
     S.with_tables(USERS, S.HOURLY) + GRID_ROWS + "hourly",
@@ -1039,7 +1063,27 @@ def _(spark, d):
     return forecasting.regressor_forecast(model, table, forecasting.future_grid(table, 168))
 
 
-@check("x4_noisy_forecast")
+def _draw(stream: int, ts: str = '"timestamp"', seed: int = 7) -> str:
+    """The standard normal draw of a patient and time."""
+    def uniform(salt: int) -> str:
+        text = f"patient_id || '|' || epoch_us({ts}) || '|{seed}|{stream}|{salt}'"
+        return f"((CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0)"
+
+    return f"(sqrt(-2e0 * ln({uniform(1)})) * cos(2e0 * pi() * {uniform(2)}))"
+
+
+@check(
+    "x4_noisy_forecast",
+    T_CAST.rstrip()
+    + f""", spreads AS (SELECT patient_id, stddev_samp(glucose) AS s FROM hourly GROUP BY 1),
+    drawn AS (SELECT f.*, CASE WHEN is_future THEN {_draw(1)} * coalesce(s, 0) * 0.2e0 ELSE 0 END AS on_mean,
+      CASE WHEN is_future THEN {_draw(3)} * coalesce(s, 0) * 0.1e0 ELSE 0 END AS on_bounds
+      FROM forecast f JOIN spreads USING (patient_id))
+    SELECT patient_id, "timestamp", least(greatest(predicted_glucose + on_mean, 40), 400) AS predicted_glucose,
+      least(greatest(lower_bound + on_bounds, 40), 400) AS lower_bound,
+      least(greatest(upper_bound + on_bounds, 40), 400) AS upper_bound, trend, is_future FROM drawn""",
+    FORECAST_DOUBLES,
+)
 def _(spark, d):
     history = kept_hourly(spark, d)
     grid = forecasting.future_grid(history, 168)
@@ -1078,6 +1122,28 @@ def _(spark, d):
     return _spread_forecast(spark, d)[1].withColumn("step", F.col("step").cast("bigint"))
 
 
+@check(
+    "x4_regressor_noise_and_noisy_bounds",
+    T_PLAIN.rstrip()
+    + f""", hours AS (SELECT patient_id, hour(hour_ts) AS h, stddev_samp(glucose) AS hour_std FROM hourly GROUP BY 1, 2)
+    SELECT patient_id, step, "timestamp", y AS predicted_glucose, y AS trend,
+      y - 0.5e0 * hist_std * (1 + {_draw(4)} * 0.1e0) AS lower_bound,
+      y + 0.5e0 * hist_std * (1 + {_draw(4)} * 0.1e0) AS upper_bound
+    FROM (SELECT p.patient_id, step, "timestamp", hist_std, predicted_glucose
+        + coalesce({_draw(1, 'p."timestamp"').replace("patient_id ||", "p.patient_id ||")} * hist_std * 0.2e0
+                 + {_draw(2, 'p."timestamp"').replace("patient_id ||", "p.patient_id ||")}
+                   * coalesce(hour_std, hist_std) * 0.1e0, 0) AS y
+      FROM plain p JOIN spreads USING (patient_id)
+      LEFT JOIN hours h ON h.patient_id = p.patient_id AND h.h = hour(p."timestamp"))""",
+    FORECAST_DOUBLES,
+)
+def _(spark, d):
+    history, future = _spread_forecast(spark, d)
+    future = forecasting.add_noise(future.drop("lower_bound", "upper_bound"), history, seed=7)
+    future = forecasting.add_bounds(future, history, noisy=True, seed=7)
+    return future.withColumn("step", F.col("step").cast("bigint"))
+
+
 UNITED = """SELECT patient_id, hour_ts AS "timestamp", glucose AS predicted_glucose,
     glucose AS lower_bound, glucose AS upper_bound, glucose AS trend, false AS is_future FROM hourly
   UNION ALL SELECT patient_id, "timestamp", predicted_glucose, lower_bound, upper_bound, trend, true
@@ -1123,6 +1189,19 @@ def _(spark, d):
     return forecasting.within(table, *RANGE)
 
 
+@check(
+    "x8_date_range_parity",
+    T_HOUR
+    + f"""SELECT patient_id, last_ts, CAST(step AS INTEGER) AS step,
+      last_ts + to_hours(CAST(step AS INTEGER)) AS "timestamp"
+      FROM (SELECT patient_id, max(hour_ts) AS last_ts FROM hourly GROUP BY 1),
+           (SELECT unnest(generate_series(1, date_diff('hour', TIMESTAMP '{RANGE[0]}', TIMESTAMP '{RANGE[1]}') + 1)) AS step)
+      WHERE last_ts + to_hours(CAST(step AS INTEGER)) BETWEEN TIMESTAMP '{RANGE[0]}' AND TIMESTAMP '{RANGE[1]}'""",
+)
+def _(spark, d):
+    return forecasting.range_grid(hourly(spark, d), *RANGE, parity=True)
+
+
 @check(
     "x9_named_horizon",
     S.with_tables(READ, S.forecast(336))
@@ -1342,6 +1421,40 @@ def _two_algorithms() -> str:
     )
 
 
+@check(
+    "e5_in_sample",
+    S.with_tables(
+        READ,
+        S.HOURLY,
+        S.split("hourly"),
+        SCORED_SEASONAL.replace("FROM numbered WHERE is_train", "FROM numbered"),
+        " scored AS (SELECT * FROM seasonal_scored)",
+        S.METRICS,
+    )
+    + "SELECT * FROM metrics",
+    S.METRIC_COLUMNS,
+)
+def _(spark, d):
+    return evaluation.backtest("prophet", kept_hourly(spark, d), in_sample=True)
+
+
+@check(
+    "x5_residual_bounds",
+    S.with_tables(READ, S.HOURLY, _scored_seasonal("hourly"))
+    + """SELECT patient_id, 1.96e0 * stddev_samp(actual - predicted) AS half FROM seasonal_scored GROUP BY 1""",
+    "half",
+)
+def _(spark, d):
+    """Half the width of the 95% bounds that errors on held-out rows give a forecast."""
+    history = kept_hourly(spark, d)
+    residuals = forecasting.residual_spread(evaluation.score_holdout("prophet", history))
+    future = seasonal.fit_seasonal_trend(history).predict(forecasting.future_grid(history, 1))
+    bounded = forecasting.add_bounds(
+        future.drop("lower_bound", "upper_bound"), history, "residual", residuals=residuals
+    )
+    return bounded.select("patient_id", (F.col("upper_bound") - F.col("predicted_glucose")).alias("half"))
+
+
 def user_features(spark, d):
     return durable(features.build_features(cleaning.clean(user_readings(spark, d)), True))
 
