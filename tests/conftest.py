@@ -80,13 +80,14 @@ def make_hourly(spark):
 
 @pytest.fixture(scope="session")
 def waves(make_hourly):
-    """Two patients, 40 days of a daily wave with noise."""
+    """Two patients, 40 days: two meals a day over a level that drifts, with noise."""
     import numpy as np
 
     rng = np.random.default_rng(3)
     rows = []
-    for p, level in ((1, 120.0), (2, 160.0)):
+    for p, level in ((1, 115.0), (2, 150.0)):
         for h in range(40 * 24):
-            day = 25 * np.sin((h % 24 - 6) * np.pi / 12)
-            rows.append((p, h, level + day + (8 if (h // 24) % 7 >= 5 else 0) + rng.normal(0, 6)))
+            hour = h % 24
+            meals = 40 * np.exp(-(((hour - 8) / 2) ** 2)) + 30 * np.exp(-(((hour - 19) / 2.5) ** 2))
+            rows.append((p, h, level + meals + 0.02 * h + rng.normal(0, 6)))
     return make_hourly(rows).persist()

@@ -88,3 +88,27 @@ def test_in_sample_scores_differ(waves):
     seen = evaluation.backtest("decision_tree", table, in_sample=True).agg(F.avg("mae")).first()[0]
     unseen = evaluation.backtest("decision_tree", table).agg(F.avg("mae")).first()[0]
     assert seen < unseen
+
+
+def test_an_algorithm_that_fails_in_a_task_leaves_the_others(waves, monkeypatch):
+    table = features.build_features(waves, leak_free=True)
+    plain = evaluation.backtest
+
+    def late(name, rows, **options):
+        metrics = plain(name, rows, **options)
+        broken = F.raise_error(F.lit("fails in a task")).cast("double")
+        return metrics.withColumn("mae", broken) if name == "ridge" else metrics
+
+    monkeypatch.setattr(evaluation, "backtest", late)
+    board = evaluation.compare_algorithms(waves, table, ("prophet", "ridge"), scope="patient").collect()
+    failed = [r for r in board if r.algorithm == "ridge"]
+    assert len(failed) == 2 and all("fails in a task" in r.failure for r in failed)
+    assert all(r.failure is None and r.mae > 0 for r in board if r.algorithm == "prophet")
+
+
+def test_patients_that_cannot_be_scored_are_listed(make_hourly):
+    rows = make_hourly([(1, h, 100 + h % 24) for h in range(100)] + [(2, 0, 120.0)])
+    board = evaluation.compare_algorithms(rows, rows, ("prophet",)).collect()
+    found = {r.patient_id: r for r in board}
+    assert found[2].n == 0 and found[2].skipped == 1 and "no prediction" in found[2].failure
+    assert found[1].failure is None

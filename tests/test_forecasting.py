@@ -148,6 +148,37 @@ def test_recursion_matches_rebuilding_the_features(waves, table):
     np.testing.assert_allclose(got, want, rtol=1e-8)
 
 
+def test_recursion_counts_hours_and_not_kept_rows(make_hourly):
+    """With hours missing shortly before the end, a lag is still so many hours back."""
+    hours = [(1, h, 100.0 + h % 50) for h in range(200)]
+    grid = make_hourly([(p, h, None if h in (196, 197) else v) for p, h, v in hours])
+    table = features.add_lags(grid, (3,)).select("patient_id", "hour_ts", "glucose", "glucose_lag_3h")
+    model = models.fit_model("linear_regression", table.na.drop("any"), "patient")
+    line = model.coefficients.first()
+    got = forecasting.forecast_recursive(model, grid, forecasting.future_grid(grid, 3)).orderBy("step").collect()
+    known = {h: v for _, h, v in hours}
+    between = known[195] + (known[198] - known[195]) * 2 / 3  # hour 197, on the line between its neighbours
+    want = [line.coef[0] * v + line.intercept for v in (between, known[198], known[199])]
+    np.testing.assert_allclose([r.predicted_glucose for r in got], want, rtol=1e-9)
+
+
+@pytest.mark.parametrize("name", ["ridge", "svr"])
+def test_recursion_of_pooled_models_starts_like_their_predictions(waves, table, name):
+    """The first step of a patient is the model's own prediction of the row after the last."""
+    model = models.fit_model(name, table, "pooled", **({"waves": 16} if name == "svr" else {}))
+    last = table.groupBy("patient_id").agg(F.max("hour_ts").alias("t"))
+    cut = waves.join(last, "patient_id").where("hour_ts < t").drop("t")
+    got = forecasting.forecast_recursive(model, cut, forecasting.future_grid(cut, 1)).orderBy("patient_id").collect()
+    want = model.predict(table.join(last, "patient_id").where("hour_ts = t").drop("t")).orderBy("patient_id").collect()
+    np.testing.assert_allclose([r.predicted_glucose for r in got], [r.prediction for r in want], rtol=1e-6)
+
+
+def test_trees_have_no_recursive_forecast(table):
+    model = models.fit_model("decision_tree", table)
+    with pytest.raises(ValueError, match="Spark job per step"):
+        forecasting.forecast_recursive(model, table, forecasting.future_grid(table, 2))
+
+
 def test_live_recursion_of_the_small_feature_set(waves):
     simple = features.simple_features(waves).na.drop("any")
     model = models.fit_model("ridge", simple, "patient")

@@ -111,3 +111,27 @@ def test_unknown_names_are_refused(table):
     with pytest.raises(ValueError):
         models.fit_model("random_forest", table, "patient")
     assert set(models.ALGORITHMS) == set(models.DEFAULT_PARAMS)
+
+
+def test_a_forest_does_not_depend_on_how_its_rows_are_laid_out(table):
+    rows = table.where("patient_id = 1").limit(300).cache()
+    found = []
+    for parts in (1, 4, 16):
+        model = models.fit_model("random_forest", rows.repartition(parts), trees=4, depth=4)
+        found.append([round(r.prediction, 9) for r in model.predict(rows).orderBy("hour_ts").collect()])
+    assert found[0] == found[1] == found[2]
+
+
+def test_rows_of_a_patient_without_training_rows_are_kept(table):
+    train = table.where("patient_id = 1")
+    for name, scope in (("ridge", "pooled"), ("ridge", "patient"), ("knn", "pooled"), ("prophet", "pooled")):
+        scored = models.fit_model(name, train, scope).predict(table)
+        rows = {r.patient_id: r for r in scored.groupBy("patient_id").agg(F.count("*").alias("n"), F.count("prediction").alias("known")).collect()}
+        assert rows[1].n == rows[1].known and rows[2].n > 0 and rows[2].known == 0
+
+
+def test_a_singular_system_has_the_least_norm_solution():
+    x = np.column_stack([np.arange(20.0), np.arange(20.0)])
+    w, intercept, converged = models.solve_linear("ridge", x, 3 * np.arange(20.0) + 1, {"alpha": 0.0})
+    np.testing.assert_allclose(x @ w + intercept, 3 * np.arange(20.0) + 1, atol=1e-6)
+    assert converged

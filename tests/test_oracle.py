@@ -27,3 +27,10 @@ def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.count() > 0
     assert "in_range_percent" in df.columns
+
+
+def test_the_sql_takes_nothing_from_the_library():
+    import oracle.sql
+
+    with open(oracle.sql.__file__) as file:
+        assert "glycospan" not in file.read()
