@@ -1,9 +1,10 @@
 """Jaccard join of documents' word shingles by adaptive multi-match prefixes.
 
-Shingles have one order for all documents, rare ones first. Two sets of Jaccard similarity t
-or more share at least k of their first ``n - ceil(t n) + k`` shingles, for every k. A document
-whose first shingles are frequent takes a longer prefix and so needs more matches; k is
-chosen by the estimated number of candidates. Pairs that are already known to be connected
+Shingles have one order for all documents, rare ones first. Two sets that share at least m
+shingles share at least j of the first ``n - m + j`` of each, for every j. Each document's
+prefix is ``n - ceil(t n)`` shingles and k more, where k is chosen by the estimated cost of
+the candidates: longer where the first shingles are frequent. A pair of documents then
+must share the most that both prefixes allow to ask for before it is verified. Pairs that are already known to be connected
 are not looked at again, so a large group of near copies costs one comparison for each
 member and not one for each pair, and no link between components is lost.
 """
@@ -18,18 +19,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glycospan.llm.common import checkpointed, is_empty, mixed, slices, texts_of, window_hashes, word_codes, word_hashes
+from glycospan.llm.common import checkpointed, is_empty, mixed, partitions, slices, texts_of, window_hashes, word_codes, word_hashes
 from glycospan.llm.components import components
 
 SHINGLE = 3
 #: Similarity in hundredths.
 SIMILAR = 90
-#: Most matches that a prefix may be lengthened for.
-MATCHES = 4
+#: Most shingles that a prefix may be lengthened by.
+MATCHES = 8
 #: Frequent shingles whose counts are broadcast: a fixed bound of 1.6 MB. Others count as rare.
 FREQUENT = 100_000
 #: Cost of verifying a candidate, in index entries read.
 VERIFY = 8
+#: Pairs of entries per index entry that are looked at without rounds of hubs before.
+LIGHT = 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -52,20 +55,36 @@ def digest(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes(), 5)).view(np.int64))
 
 
-def prefix(hashes: np.ndarray, counts: np.ndarray, similar: int, matches: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(shingles of the longest prefix, the fewest matches for which each belongs to it, matches to ask for).
+def prefix(hashes: np.ndarray, counts: np.ndarray, similar: int, matches: int) -> np.ndarray:
+    """The shingles of the prefix, in their order.
 
-    ``counts`` are estimated document counts. The number of matches k is the one with the
-    least cost: entries read with the k-prefix, and the candidates that share k of them.
+    ``counts`` are estimated document counts. The prefix has the length with the least cost:
+    entries read, and candidates that share k of them, for 1 to ``matches`` k.
     """
     n = len(hashes)
     base = n - -(-similar * n // 100)
-    order = np.lexsort((hashes, counts))[: min(n, base + matches)]
-    cost = np.cumsum(counts[order].astype(float))
+    order = np.argsort(counts, kind="stable")[: min(n, base + matches)]  # the hashes are in order already
     asked = np.arange(1, len(order) - base + 1)
-    total = cost[base + asked - 1]
-    k = int(asked[np.argmin(total * (1 + VERIFY / asked))])
-    return hashes[order], np.maximum(np.arange(len(order)) - base + 1, 1), k
+    total = np.cumsum(counts[order].astype(float))[base + asked - 1]
+    return hashes[order[: base + asked[np.argmin(total * (1 + VERIFY / asked))]]]
+
+
+class Counts:
+    """Estimated document counts of shingles: those of the frequent ones, and 1 for others."""
+
+    def __init__(self, shingles: np.ndarray, times: np.ndarray):
+        self.shingles, self.times = shingles, times
+        self.maybe = np.zeros(1 << 22, bool)  # by leading bits: most shingles need no search
+        self.maybe[(shingles >> np.uint64(42)).astype(np.int64)] = True
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), np.int64)
+        look = np.flatnonzero(self.maybe[(hashes >> np.uint64(42)).astype(np.int64)])
+        if len(look):
+            at = np.minimum(np.searchsorted(self.shingles, hashes[look]), len(self.shingles) - 1)
+            hit = self.shingles[at] == hashes[look]
+            out[look[hit]] = self.times[at[hit]]
+        return out
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -96,33 +115,26 @@ def described(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(describe, "kind int, doc_id long, n long, node long")
 
 
-def prefixes(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, similar: int, matches: int) -> DataFrame:
-    """(token, node, n, level, k): the index entries of the documents with an id."""
+def prefixes(texts: DataFrame, frequent: Counts, width: int, similar: int, matches: int) -> DataFrame:
+    """(token, node, n, place, reach): the index entries of the documents with an id, place of reach."""
     sent = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, times = sent.value
         for part in slices(batches):
-            done, columns = set(), [[], [], [], [], []]
+            done, found = set(), []
             for hashes in shingle_sets(part.column("text").to_pylist(), width):
                 node = digest(hashes)
-                if not len(hashes) or node in done:
-                    continue
-                done.add(node)
-                counts = np.ones(len(hashes), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    counts = np.where(known[at] == hashes, times[at], 1)
-                tokens, levels, k = prefix(hashes, counts, similar, matches)
-                for column, values in zip(columns, (tokens, np.full(len(tokens), node), np.full(len(tokens), len(hashes)), levels, np.full(len(tokens), k)), strict=True):
-                    column.append(values)
-            if done and columns[0]:
-                tokens, *rest = (np.concatenate(c) for c in columns)
-                shape = np.int64(1) << 8
-                packed = rest[1].astype(np.int64) * shape * shape + rest[2] * shape + rest[3]
-                yield pa.RecordBatch.from_arrays([_signed(tokens), pa.array(rest[0]), pa.array(packed)], names=["token", "node", "packed"])
-
-    return texts.where(F.col("doc_id").isNotNull()).mapInArrow(entries, "token long, node long, packed long")
+                if len(hashes) and node not in done:
+                    done.add(node)
+                    found.append((prefix(hashes, sent.value(hashes), similar, matches), node, len(hashes)))
+            if found:
+                reach = np.array([len(t) for t, _, _ in found])
+                node, n = (np.repeat(np.array([f[i] for f in found], np.int64), reach) for i in (1, 2))
+                place = np.arange(len(n)) - np.repeat(np.cumsum(reach) - reach, reach)
+                columns = [_signed(np.concatenate([t for t, _, _ in found])), *map(pa.array, (node, n, place.astype(np.int32), np.repeat(reach, reach).astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "n", "place", "reach"])
+
+    return texts.where(F.col("doc_id").isNotNull()).mapInArrow(entries, "token long, node long, n long, place int, reach int")
 
 
 def set_rows(texts: DataFrame, width: int) -> DataFrame:
@@ -138,13 +150,17 @@ def set_rows(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(rows, "node long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. b's set travels to a's."""
+def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, width: int, similar: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough; the sets are made anew from one text of each node."""
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    first = docs.where("n > 0 AND doc_id IS NOT NULL").join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    sets = set_rows(texts.join(first.select("doc_id"), "doc_id", "left_semi"), width)
+    sets = checkpointed(sets.repartition(partitions(texts), "node"))
     second = pairs.join(sets.withColumnRenamed("node", "b"), "b").withColumnRenamed("shingles", "right")
     both = second.join(sets.withColumnRenamed("node", "a"), "a")
     shared = F.size(F.array_intersect("shingles", "right"))
     union = F.size("shingles") + F.size("right") - shared
-    return both.where(100 * shared.cast("long") >= similar * union.cast("long")).select("a", "b")
+    return both.where(100 * shared.cast("long") >= similar * union.cast("long")).select("a", "b").distinct()
 
 
 def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, similar: int = SIMILAR, matches: int = MATCHES, frequent: int = FREQUENT) -> DataFrame:
@@ -157,47 +173,43 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows without an id, whose component is null. Repeated rows link like any copies.
     Shingles and sets are compared by 64-bit hashes.
 
-    Steps: (1) sizes, set digests and frequent shingles; (2) index entries of the longest
-    prefixes, of which only tokens of two or more nodes stay; (3) rounds in which each node
-    is compared with one hub per round, the node with the smallest digest of the round
-    among those it shares most tokens with and isn't connected with; (4) all remaining pairs
-    of different components that share enough prefix tokens; (5) components.
+    Steps: (1) sizes, set digests and frequent shingles; (2) index entries of the prefixes,
+    of which only tokens of two or more nodes stay; (3) where lists are long, rounds in
+    which each node is compared with one hub, the node with the smallest digest of the
+    round among those it shares most tokens with and isn't connected with; (4) all
+    remaining pairs of different components that share enough prefix tokens; (5) components.
     """
     texts = texts_of(df, id_col, text_col)
     seen = checkpointed(described(texts, width))
     docs = seen.where("kind = 0").select("doc_id", "n", "node")
     often = seen.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(frequent)
     listed = sorted((r.node % (1 << 64), r.n) for r in often.toLocalIterator())
-    known = (np.array([x for x, _ in listed], np.uint64), np.array([n for _, n in listed], np.int64))
+    counts = Counts(np.array([x for x, _ in listed], np.uint64), np.array([n for _, n in listed], np.int64))
 
-    entries = prefixes(texts, known, width, similar, matches)
+    entries = prefixes(texts, counts, width, similar, matches).persist()  # read twice, recomputed if lost
     shared = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    index = entries.join(shared, "token", "left_semi").distinct()
-    index = checkpointed(index.selectExpr("token", "node", "packed div 65536 AS n", "(packed div 256) % 256 AS level", "packed % 256 AS k"))
+    index = checkpointed(entries.join(shared, "token", "left_semi").distinct())
+    entries.unpersist()
     if is_empty(index):
         return _result(docs, None)
-    needed = index.select("node").distinct()
-    first = docs.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(needed, "node", "left_semi")
-    sets = checkpointed(set_rows(texts.join(first.select("doc_id"), "doc_id", "left_semi"), width).join(needed, "node", "left_semi").dropDuplicates(["node"]))
 
-    links, roots, turn = None, index.select("node", F.col("node").alias("root")).distinct(), 0
-    work = None
+    def verify(pairs: DataFrame) -> DataFrame:
+        return checkpointed(verified(checkpointed(pairs), docs, texts, width, similar))
+
+    links, roots, turn, work = None, index.select("node", F.col("node").alias("root")).distinct(), 0, None
     while True:
         labelled = index.join(roots, "node")
-        found = verified(hub_pairs(labelled, turn, similar), sets, similar)
-        found = checkpointed(found)
+        before, work = work, remaining_work(labelled)
+        # rounds pay as long as the rest would cost much more than reading the index, and shrinks
+        last = work <= LIGHT * index.count() or before is not None and work > 0.7 * before
+        found = verify(other_pairs(labelled, similar) if last else hub_pairs(labelled, index, turn, similar))
         if not is_empty(found):
             links = found if links is None else links.unionByName(found)
+        if last:
+            return _result(docs, links)
+        if links is not None:
             roots = _roots(index, links)
         turn += 1
-        before, work = work, remaining_work(index.join(roots, "node"))
-        # go on while the rounds pay: the rest would cost more than reading the index, and shrinks
-        if work <= 4 * index.count() or before is not None and work > 0.7 * before:
-            break
-    rest = checkpointed(verified(other_pairs(index.join(roots, "node"), similar), sets, similar))
-    if not is_empty(rest):
-        links = rest if links is None else links.unionByName(rest)
-    return _result(docs, links)
 
 
 def _roots(index: DataFrame, links: DataFrame) -> DataFrame:
@@ -206,13 +218,30 @@ def _roots(index: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(nodes.join(tied, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
 
 
-def hub_pairs(labelled: DataFrame, turn: int, similar: int) -> DataFrame:
-    """For each node at most one hub of another component: (a: hub, b: node)."""
+def hub_pairs(labelled: DataFrame, index: DataFrame, turn: int, similar: int) -> DataFrame:
+    """For each node at most one hub of another component that it shares enough tokens with: (a, b)."""
     place = F.xxhash64("node", F.lit(turn))
-    hubs = labelled.groupBy("token").agg(F.min(F.struct(place.alias("place"), F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("n").alias("hub_n"))).alias("h")).select("token", "h.*")
+    hubs = labelled.groupBy("token").agg(F.min(F.struct(place.alias("order"), F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("n").alias("hub_n"))).alias("h")).select("token", "h.*")
     met = labelled.join(hubs, "token").where("root <> hub_root").where(f"100 * least(n, hub_n) >= {similar} * greatest(n, hub_n)")
     best = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times")).groupBy("node").agg(F.max(F.struct("times", "hub")).alias("h"))
-    return best.select(F.col("h.hub").alias("a"), F.col("node").alias("b"))
+    tried = best.select("node", F.col("h.hub").alias("node1"))
+    own = tried.join(index, "node")
+    other = index.select(*(F.col(c).alias(f"{c}1") for c in ("node", "n", "place", "reach")), "token")
+    return _enough(own.join(other, ["node1", "token"]), similar)
+
+
+def _enough(met: DataFrame, similar: int) -> DataFrame:
+    """Of nodes that meet in tokens, the pairs (a, b) that share as many as their prefixes allow to ask for.
+
+    With m the least intersection of similar sets of their sizes, and j the most for which
+    both prefixes hold the first n - m + j shingles: at least j of these are shared.
+    """
+    least = F.expr(f"({similar} * (n + n1) + {99 + similar}) div {100 + similar}")
+    met = met.withColumn("m", least).withColumn("j", F.least(F.col("reach") - F.col("n"), F.col("reach1") - F.col("n1")) + F.col("m"))
+    met = met.where("place < n - m + j AND place1 < n1 - m + j")
+    pairs = met.groupBy(F.least("node", "node1").alias("a"), F.greatest("node", "node1").alias("b"))
+    # a token may bring a pair together twice
+    return pairs.agg(F.countDistinct("token").alias("times"), F.max("j").alias("j")).where("times >= j").select("a", "b")
 
 
 def _minority(labelled: DataFrame) -> DataFrame:
@@ -231,17 +260,11 @@ def other_pairs(labelled: DataFrame, similar: int) -> DataFrame:
     """All pairs of nodes of different components that share enough prefix tokens: (a, b).
 
     In each token's list, entries outside the largest component meet all entries of other
-    components. The larger set of a pair (then the larger digest) asks for its own number
-    k of matches, within both k-prefixes.
+    components.
     """
-    some = _minority(labelled).select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "root", "n", "level", "k")))
+    some = _minority(labelled).select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "root", "n", "place", "reach")))
     met = some.join(labelled, "token").where("root1 <> root").where(f"100 * least(n, n1) >= {similar} * greatest(n, n1)")
-    first_asks = F.expr("n1 > n OR (n1 = n AND node1 > node)")
-    asked = F.when(first_asks, F.col("k1")).otherwise(F.col("k"))
-    met = met.where((F.col("level") <= asked) & (F.col("level1") <= asked))
-    pair = met.select(F.greatest("node", "node1").alias("b"), F.least("node", "node1").alias("a"), "token", asked.alias("asked"))
-    # a token counts once for a pair, also where both entries are outside the largest component
-    return pair.groupBy("a", "b").agg(F.countDistinct("token").alias("times"), F.max("asked").alias("asked")).where("times >= asked").select("a", "b")
+    return _enough(met, similar)
 
 
 def _result(docs: DataFrame, links: DataFrame | None) -> DataFrame:
