@@ -24,7 +24,7 @@ from glycospan.llm.common import slices, texts_of
 from glycospan.llm.merges import Merges
 
 #: Pieces and units kept by a Python worker; a full cache is emptied, which costs time only.
-CACHE = 400_000
+CACHE = 700_000
 #: A space between two characters that are no white space: no piece reaches across its left side.
 _UNITS = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
 
