@@ -46,19 +46,20 @@ def distinct(rows: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys // BUCKETS, keys % BUCKETS
 
 
-def log_count_ratios(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
-    """log of (share of a feature among the features of class 1) over (that of class 0), by bucket."""
-    counts = [smoothing + np.bincount(buckets[labels[rows] == y], minlength=BUCKETS) for y in (0, 1)]
-    seen = counts[0] + counts[1] > 2 * smoothing
-    shares = [c / c[seen].sum() if seen.any() else c for c in counts]
+def log_count_ratios(counts: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
+    """log of (share of a feature among the features of class 1) over (that of class 0), by bucket.
+
+    ``counts`` has the texts of class 0 and of class 1 that hold each bucket.
+    """
+    seen = counts.sum(axis=0) > 0
+    smooth = counts + smoothing
+    shares = smooth / np.maximum(smooth[:, seen].sum(axis=1, keepdims=True), 1e-12)
     return np.where(seen, np.log(shares[1] / shares[0]), 0.0)
 
 
-def informative(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, least: int = 5, z: float = 3.0) -> np.ndarray:
+def informative(counts: np.ndarray, texts: np.ndarray, least: int = 5, z: float = 3.0) -> np.ndarray:
     """Buckets in at least ``least`` texts whose share of texts differs between the classes by ``z`` standard errors."""
-    n = np.bincount(labels, minlength=2).astype(float)
-    counts = [np.bincount(buckets[labels[rows] == y], minlength=BUCKETS) for y in (0, 1)]
-    total = counts[0] + counts[1]
+    n, total = texts.astype(float), counts.sum(axis=0)
     p = total / n.sum()
     error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n[0] + 1 / n[1]))
     return (total >= least) & (np.abs(counts[1] / n[1] - counts[0] / n[0]) > z * error)
@@ -141,21 +142,29 @@ def fit(rows: list[tuple[str, int]], features: Features, cost: float = 0.1) -> M
     if min(np.bincount(labels, minlength=2)) < 2:
         share = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))), features)
-    found = [features([t for t, _ in rows[i : i + 200]]) for i in range(0, len(rows), 200)]
-    at = np.concatenate([r + 200 * i for i, (r, _) in enumerate(found)])
-    buckets = np.concatenate([b for _, b in found])
     place = np.zeros(len(labels), np.int64)
     for y in (0, 1):  # every fifth row of each class
         place[labels == y] = np.arange((labels == y).sum())
     fitted = place % 5 != 4
     if len(labels) < 50:
         fitted[:] = True
+
+    def in_parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, len(rows), 100):  # features of all rows at once would fill the driver
+            at, buckets = features([t for t, _ in rows[i : i + 100]])
+            yield at + i, buckets
+
+    counts = np.zeros((2, BUCKETS))
+    for at, buckets in in_parts():
+        for y in (0, 1):
+            counts[y] += np.bincount(buckets[fitted[at] & (labels[at] == y)], minlength=BUCKETS)
+    use = informative(counts, np.bincount(labels[fitted], minlength=2), *((5, 3.0) if len(labels) >= 200 else (1, 0.0)))
+    ratios = np.where(use, log_count_ratios(counts), 0.0)
+    parts = [(at[ratios[buckets] != 0], buckets[ratios[buckets] != 0]) for at, buckets in in_parts()]
+    at, buckets = (np.concatenate(x) for x in zip(*parts, strict=True))
     inner = fitted[at]
-    use = informative(at[inner], buckets[inner], labels, *((5, 3.0) if len(labels) >= 200 else (1, 0.0)))
-    ratios = np.where(use, log_count_ratios(at[inner], buckets[inner], labels), 0.0)
-    keep = inner & use[buckets] & (ratios[buckets] != 0)
     number = np.cumsum(fitted) - 1
-    x = (number[at[keep]], buckets[keep], ratios[buckets[keep]])
+    x = (number[at[inner]], buckets[inner], ratios[buckets[inner]])
     y = labels[fitted]
     balance = len(y) / (2 * np.bincount(y, minlength=2))[y]
     w, bias = dual_coordinate_descent(*x, y, cost * balance)
