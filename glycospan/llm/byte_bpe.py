@@ -59,12 +59,43 @@ class BytePairs:
         self.bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(size)), np.uint8)
         self._units: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
+        self._last: dict[bytes, bytes] = {b"": b""}
 
     def piece(self, text: str) -> bytes:
         """Packed ids of one piece; a piece that is a token itself is that token, as in the library."""
         data = text.encode()
         whole = self.ranks.get(data)
-        return array("I", [whole] if whole is not None else Prefixes(self, data).ids()).tobytes()
+        return array("I", [whole] if whole is not None else self.program(data)).tobytes()
+
+    def program(self, data: bytes) -> list[int]:
+        """Ids of a piece from the last tokens of its prefixes, of which pieces seen before left many."""
+        last, ranks, merges = self._last, self.ranks, self.merges
+        known, size = merges.known, len(data)
+        if size > 200:
+            return Prefixes(self, data).ids()
+        if len(last) > CACHE:
+            last.clear()
+            last[b""] = b""
+        done = size
+        while data[:done] not in last:
+            done -= 1
+        for end in range(done + 1, size + 1):  # an append of one byte each
+            for begin in range(max(0, end - self.longest), end):
+                token = data[begin:end]
+                if token in ranks:
+                    before = last[data[:begin]]
+                    stays = known.get((before, token))
+                    if merges.apart(before, token) if stays is None else stays:
+                        last[data[:end]] = token
+                        break
+            else:
+                raise ValueError(f"no token ends at byte {end}: a byte is missing from the vocabulary")
+        out, at = [], size
+        while at:
+            token = last[data[:at]]
+            out.append(ranks[token])
+            at -= len(token)
+        return out[::-1]
 
     def unit(self, text: str) -> bytes:
         """Packed ids of a stretch of text that starts and ends between pieces."""
@@ -72,8 +103,11 @@ class BytePairs:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit numbers."""
-        known, unit = self._units, self.unit
-        return b"".join([known[u] if u in known else cached(known, u, unit) for u in _UNITS.split(text)]) if text else b""
+        units = _UNITS.split(text) if text else []
+        out = list(map(self._units.get, units))
+        if None in out:
+            out = [cached(self._units, u, self.unit) if x is None else x for u, x in zip(units, out, strict=True)]
+        return b"".join(out)
 
     def decode(self, packed: bytes) -> bytes:
         """The bytes of packed ids."""
