@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glycospan.llm.common import checkpointed, is_empty, mixed, partitions, slices, texts_of, window_hashes, word_codes, word_hashes
@@ -31,6 +31,8 @@ MATCHES = 8
 FREQUENT = 100_000
 #: Cost of verifying a candidate, in index entries read.
 VERIFY = 8
+#: Bytes of text in which a shingle that is counted as frequent must occur twice.
+TOGETHER = 12 << 20
 #: Pairs of entries per index entry that are looked at without rounds of hubs before.
 LIGHT = 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -95,15 +97,20 @@ def described(texts: DataFrame, width: int) -> DataFrame:
     """kind 0: (doc_id, n, node) of a document; kind 1: (shingle in node, documents in n) of a task's repeated shingles."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            sets = shingle_sets(part.column("text").to_pylist(), width)
-            nodes = np.array([digest(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(sets), np.int32)), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes)],
-                names=["kind", "doc_id", "n", "node"],
-            )
-            _, first = np.unique(nodes, return_index=True)  # copies count once here
-            values, times = np.unique(np.concatenate([sets[i] for i in first]), return_counts=True)
+        for part in slices(batches, limit=TOGETHER):
+            known, distinct = set(), []
+            for small in slices([part]):
+                sets = shingle_sets(small.column("text").to_pylist(), width)
+                nodes = [digest(s) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.zeros(len(sets), np.int32)), small.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())],
+                    names=["kind", "doc_id", "n", "node"],
+                )
+                for node, hashes in zip(nodes, sets, strict=True):
+                    if node not in known:  # copies count once here
+                        known.add(node)
+                        distinct.append(hashes)
+            values, times = np.unique(np.concatenate(distinct), return_counts=True)
             often = times > 1
             if often.any():
                 size = int(often.sum())
@@ -116,7 +123,7 @@ def described(texts: DataFrame, width: int) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, frequent: Counts, width: int, similar: int, matches: int) -> DataFrame:
-    """(token, node, n, place, reach): the index entries of the documents with an id, place of reach."""
+    """(token, node, at): the index entries of the documents with an id; ``at`` is the token's place and, in its low half, how many there are."""
     sent = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,15 +133,15 @@ def prefixes(texts: DataFrame, frequent: Counts, width: int, similar: int, match
                 node = digest(hashes)
                 if len(hashes) and node not in done:
                     done.add(node)
-                    found.append((prefix(hashes, sent.value(hashes), similar, matches), node, len(hashes)))
+                    found.append((prefix(hashes, sent.value(hashes), similar, matches), node))
             if found:
-                reach = np.array([len(t) for t, _, _ in found])
-                node, n = (np.repeat(np.array([f[i] for f in found], np.int64), reach) for i in (1, 2))
-                place = np.arange(len(n)) - np.repeat(np.cumsum(reach) - reach, reach)
-                columns = [_signed(np.concatenate([t for t, _, _ in found])), *map(pa.array, (node, n, place.astype(np.int32), np.repeat(reach, reach).astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "n", "place", "reach"])
+                reach = np.array([len(t) for t, _ in found], np.int64)
+                node = np.repeat(np.array([n for _, n in found], np.int64), reach)
+                place = np.arange(len(node)) - np.repeat(np.cumsum(reach) - reach, reach)
+                columns = [_signed(np.concatenate([t for t, _ in found])), pa.array(node), pa.array((place << 32) + np.repeat(reach, reach))]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "at"])
 
-    return texts.where(F.col("doc_id").isNotNull()).mapInArrow(entries, "token long, node long, n long, place int, reach int")
+    return texts.where(F.col("doc_id").isNotNull()).mapInArrow(entries, "token long, node long, at long")
 
 
 def set_rows(texts: DataFrame, width: int) -> DataFrame:
@@ -187,8 +194,10 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts = Counts(np.array([x for x, _ in listed], np.uint64), np.array([n for _, n in listed], np.int64))
 
     entries = prefixes(texts, counts, width, similar, matches).persist()  # read twice, recomputed if lost
-    shared = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    index = checkpointed(entries.join(shared, "token", "left_semi").distinct())
+    shared = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("docs")).where("low <> high").select("token", "docs")
+    sizes = docs.select("node", "n").distinct()
+    index = entries.join(shared, "token").distinct().join(sizes, "node")
+    index = checkpointed(_ranked(index.selectExpr("token", "node", "n", "at >> 32 AS place", "at & 4294967295 AS reach", "docs")))
     entries.unpersist()
     if is_empty(index):
         return _result(docs, None)
@@ -196,21 +205,59 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def verify(pairs: DataFrame) -> DataFrame:
         return checkpointed(verified(checkpointed(pairs), docs, texts, width, similar))
 
-    links, roots, turn, work = None, index.select("node", F.col("node").alias("root")).distinct(), 0, None
+    links, roots, turn, linked = None, index.select("node", F.col("node").alias("root")).distinct(), 0, 0
+    entries_left, nodes = index.count(), roots.count()
     while True:
         labelled = index.join(roots, "node")
-        before, work = work, remaining_work(labelled)
-        # rounds pay as long as the rest would cost much more than reading the index, and shrinks
-        last = work <= LIGHT * index.count() or before is not None and work > 0.7 * before
-        found = verify(other_pairs(labelled, similar) if last else hub_pairs(labelled, index, turn, similar))
-        if not is_empty(found):
-            links = found if links is None else links.unionByName(found)
+        work = remaining_work(labelled)
+        # rounds pay as long as the rest would cost much more than reading the index, and they link nodes
+        last = work <= LIGHT * entries_left or turn and linked < 0.01 * nodes
         if last:
-            return _result(docs, links)
+            break
+        found = verify(hub_pairs(labelled, index, turn, similar))
+        linked = found.count()
+        if linked:
+            links = found if links is None else links.unionByName(found)
         if links is not None:
             roots = _roots(index, links)
         turn += 1
 
+    left, most = checkpointed(other_pairs(labelled, index, similar)), 1
+    while True:
+        # many pairs: few of each node first, as those that then are connected need no look
+        some = left if left.count() <= nodes else _some_each(left, most)
+        most *= 8
+        found = verify(some)
+        if not is_empty(found):
+            links = found if links is None else links.unionByName(found)
+        if some is left:
+            return _result(docs, links)
+        roots = _roots(index, links) if links is not None else roots
+        left = checkpointed(_apart(left.join(some, ["a", "b"], "left_anti"), roots))
+
+
+def _ranked(index: DataFrame) -> DataFrame:
+    """The entries with the rank of their token among the tokens of the node's prefix, rarest first.
+
+    Tokens that no other node has are not in the index; they come first.
+    """
+    own = Window.partitionBy("node")
+    rank = F.col("reach") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("docs", "token")) - 1
+    return index.withColumn("rank", rank).drop("docs")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of different components."""
+    first, second = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    return pairs.join(first, "a").join(second, "b").where("root_a <> root_b").select("a", "b")
+
+
+def _some_each(pairs: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` pairs that each node asks for, by a hash that no order of rows changes."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("a", "b"), "a", "b"))
+    return checkpointed(ends.withColumn("place", place).where(F.col("place") <= most).select("a", "b").distinct())
+
 
 def _roots(index: DataFrame, links: DataFrame) -> DataFrame:
     tied = components(links)
@@ -224,23 +271,26 @@ def hub_pairs(labelled: DataFrame, index: DataFrame, turn: int, similar: int) ->
     hubs = labelled.groupBy("token").agg(F.min(F.struct(place.alias("order"), F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("n").alias("hub_n"))).alias("h")).select("token", "h.*")
     met = labelled.join(hubs, "token").where("root <> hub_root").where(f"100 * least(n, hub_n) >= {similar} * greatest(n, hub_n)")
     best = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times")).groupBy("node").agg(F.max(F.struct("times", "hub")).alias("h"))
-    tried = best.select("node", F.col("h.hub").alias("node1"))
-    own = tried.join(index, "node")
-    other = index.select(*(F.col(c).alias(f"{c}1") for c in ("node", "n", "place", "reach")), "token")
-    return _enough(own.join(other, ["node1", "token"]), similar)
+    return _counted(best.select("node", F.col("h.hub").alias("node1")), index, similar)
 
 
-def _enough(met: DataFrame, similar: int) -> DataFrame:
-    """Of nodes that meet in tokens, the pairs (a, b) that share as many as their prefixes allow to ask for.
+def _counted(tried: DataFrame, index: DataFrame, similar: int) -> DataFrame:
+    """The pairs (node, node1) that share enough prefix tokens, as (a, b)."""
+    other = index.select(*(F.col(c).alias(f"{c}1") for c in ("node", "n", "place", "reach")), "token")
+    return _enough(tried.join(index, "node").join(other, ["node1", "token"]), similar)
 
-    With m the least intersection of similar sets of their sizes, and j the most for which
-    both prefixes hold the first n - m + j shingles: at least j of these are shared.
-    """
+
+def _asked(met: DataFrame, similar: int) -> DataFrame:
+    """m: the least intersection of similar sets of sizes n and n1; j: the most for which both prefixes hold n - m + j."""
     least = F.expr(f"({similar} * (n + n1) + {99 + similar}) div {100 + similar}")
-    met = met.withColumn("m", least).withColumn("j", F.least(F.col("reach") - F.col("n"), F.col("reach1") - F.col("n1")) + F.col("m"))
-    met = met.where("place < n - m + j AND place1 < n1 - m + j")
+    return met.withColumn("m", least).withColumn("j", F.least(F.col("reach") - F.col("n"), F.col("reach1") - F.col("n1")) + F.col("m"))
+
+
+def _enough(met: DataFrame, similar: int) -> DataFrame:
+    """Of nodes that meet in tokens, the pairs (a, b) that share j of the first n - m + j."""
+    met = _asked(met, similar).where("place < n - m + j AND place1 < n1 - m + j")
     pairs = met.groupBy(F.least("node", "node1").alias("a"), F.greatest("node", "node1").alias("b"))
-    # a token may bring a pair together twice
+    # a pair may be tried from both sides
     return pairs.agg(F.countDistinct("token").alias("times"), F.max("j").alias("j")).where("times >= j").select("a", "b")
 
 
@@ -256,15 +306,18 @@ def remaining_work(labelled: DataFrame) -> int:
     return _minority(labelled).agg(F.sum("size")).first()[0] or 0
 
 
-def other_pairs(labelled: DataFrame, similar: int) -> DataFrame:
+def other_pairs(labelled: DataFrame, index: DataFrame, similar: int) -> DataFrame:
     """All pairs of nodes of different components that share enough prefix tokens: (a, b).
 
-    In each token's list, entries outside the largest component meet all entries of other
-    components.
+    In each token's list, entries outside the largest component meet the entries of other
+    components. A pair that shares j tokens of a prefix shares one of all but its j - 1 most
+    frequent ones, so only the rarest tokens of the first node bring a pair up.
     """
-    some = _minority(labelled).select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "root", "n", "place", "reach")))
-    met = some.join(labelled, "token").where("root1 <> root").where(f"100 * least(n, n1) >= {similar} * greatest(n, n1)")
-    return _enough(met, similar)
+    some = _minority(labelled).select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "root", "n", "place", "reach", "rank")))
+    met = some.join(labelled.drop("rank"), "token").where("root1 <> root").where(f"100 * least(n, n1) >= {similar} * greatest(n, n1)")
+    met = _asked(met, similar).where("rank1 <= reach1 - j AND place < n - m + j AND place1 < n1 - m + j")
+    tried = met.select(F.least("node", "node1").alias("node"), F.greatest("node", "node1").alias("node1")).distinct()
+    return _counted(tried, index, similar)
 
 
 def _result(docs: DataFrame, links: DataFrame | None) -> DataFrame:

@@ -203,6 +203,11 @@ def test_jaccard_join_of_nothing_and_of_clashing_columns(nothing, clashing):
     assert as_rows(jaccard_join.link_documents(clashing, "key", "body")) == Counter([(7, 2, 7), (8, 2, 7)])
 
 
+def test_rounds_of_hubs_lose_no_link(documents, corpus, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LIGHT", 0)
+    assert as_rows(jaccard_join.link_documents(documents, width=2, similar=50)) == linked(corpus, 2, 50)
+
+
 def test_keep_one_keeps_the_smallest_id(documents, corpus):
     kept = jaccard_join.keep_one(documents)
     ids = [r.doc_id for r in kept.collect()]
