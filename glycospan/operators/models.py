@@ -249,11 +249,12 @@ def fit_pooled(name: str, train: DataFrame, params: dict) -> PooledModel:
         .repartition(params.get("partitions", FIT_PARTITIONS), "patient_id", "hour_ts")
         .sortWithinPartitions("patient_id", "hour_ts", "glucose", *columns)
     )
-    ready = (
-        vectorise(laid_out)
-        .select("features", (F.col("glucose") - F.col("level")).alias("label"))
-        .persist()
-    )
+    label = F.col("glucose") - F.col("level")
+    if name in TREES:
+        # means and deviations depend in their last digits on the order of the rows, and splits on ties
+        laid_out = laid_out.withColumns({c: F.round(c, 9) for c in columns})
+        label = F.round(label, 9)
+    ready = vectorise(laid_out).select("features", label.alias("label")).persist()
     try:
         n, deviation = ready.agg(F.count("*"), F.stddev_pop("label")).first()
         if not n:
