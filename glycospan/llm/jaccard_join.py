@@ -33,8 +33,9 @@ FREQUENT = 100_000
 VERIFY = 8
 #: Bytes of text in which a shingle that is counted as frequent must occur twice.
 TOGETHER = 12 << 20
-#: Pairs of entries per index entry that are looked at without rounds of hubs before.
-LIGHT = 16
+#: Pairs of entries per index entry that are looked at without rounds of hubs before. A round
+#: moves the candidates' texts once more, so it has to save a lot.
+LIGHT = 1000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
