@@ -122,7 +122,8 @@ def candidates(texts: DataFrame, hits: DataFrame, window: int, block: int, bucke
     """Every window around an anchor, extended to all its words: packed hashes, and windows settled here.
 
     Of equal windows in a task, those of other documents than the earliest are repeats
-    already, and only the earliest one is sent.
+    already. All those of the earliest one are sent, as they stand or fall together by
+    what other tasks hold.
     """
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +144,8 @@ def candidates(texts: DataFrame, hits: DataFrame, window: int, block: int, bucke
             bucket = (window_hashes(second, window)[at] % np.uint64(buckets)).astype(np.int64)
             ids, marks = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "mark"))
             place = at - offsets[row]
-            one, later = _earliest(hashes, bucket, ids[row])
-            for batch in packed.pack(hashes[one], bucket[one], row[one], place[one], np.zeros(len(one), bool), ids, marks, 8):
+            first, later = _earliest(hashes, bucket, ids[row])
+            for batch in packed.pack(hashes[first], bucket[first], row[first], place[first], np.zeros(len(first), bool), ids, marks, 8):
                 yield packed.filled(batch)
             if len(later):
                 yield packed.filled(packed.places(row[later], place[later], ids, marks, buckets))
@@ -153,12 +154,12 @@ def candidates(texts: DataFrame, hits: DataFrame, window: int, block: int, bucke
 
 
 def _earliest(hashes: np.ndarray, bucket: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(one window of the earliest document for each hash, all windows of later documents)."""
+    """(all windows of the earliest document for each hash, all windows of later documents)."""
     order = np.lexsort((ids, bucket, hashes))
     h, b, i = hashes[order], bucket[order], ids[order]
     new = np.concatenate(([True], (h[1:] != h[:-1]) | (b[1:] != b[:-1])))
     least = i[np.flatnonzero(new)][np.cumsum(new) - 1]
-    return np.sort(order[new]), np.sort(order[i > least])
+    return np.sort(order[i == least]), np.sort(order[i > least])
 
 
 def find_repeats(sent: pa.Table, tasks: int) -> pa.RecordBatch:

@@ -109,6 +109,26 @@ def test_substring_dedup_is_the_rule(documents, corpus):
     assert any(n for _, _, n, _ in found)
 
 
+def test_windows_that_a_copy_elsewhere_repeats_go_at_all_their_places(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for i in range(0, 16, 2):
+        own = [" ".join(f"d{i + k}w{w}" for w in range(30)) for k in range(4)]
+        rows += [(i, f"same{i} " * 300), (i + 1, f"same{i} " * 300)]
+        rows += [(100 + i, f"{own[0]} {passage}{i}"), (101 + i, f"{own[1]} {passage}{i} {own[2]} {passage}{i} {own[3]}")]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the few rows are put in one task again
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+        found = as_rows(substring_dedup.digests(substring_dedup.remove_repeats(df)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == words_removed(rows)
+    assert {n for d, _, n, _ in found if d < 100 and d % 2} == {300}
+
+
 def test_substring_dedup_of_nothing_and_of_clashing_columns(nothing, clashing):
     assert substring_dedup.digests(substring_dedup.remove_repeats(nothing)).collect() == []
     found = substring_dedup.remove_repeats(clashing, "key", "body", window=4, keep=("mark", "n")).collect()
