@@ -49,7 +49,7 @@ class CoverRanks:
             agree[going] += np.where(x == 0, 8, same).astype(np.uint8)
             going = going[x == 0]
         self.levels = [agree]
-        while 2 << len(self.levels) <= len(agree):
+        while 1 << len(self.levels) < len(agree):  # ranks are up to len(agree) - 1 apart
             last, half = self.levels[-1], 1 << (len(self.levels) - 1)
             self.levels.append(np.minimum(last[:-half], last[half:]))
 

@@ -77,6 +77,19 @@ def test_suffix_classes_are_equal_strings(alphabet, depth):
     assert len(named) == len(set(number.tolist()))
 
 
+@pytest.mark.parametrize("texts, length", [(5, 160), (6, 120), (9, 140), (25, 120)])
+def test_suffix_classes_of_rule_lines_with_different_tails(texts, length):
+    bodies = [b"=" * length + ("A" if i % 2 else " ").encode() + f"{i} text and some more of it{i}".encode() for i in range(texts)]
+    text, ends = b"".join(bodies), np.cumsum([len(b) for b in bodies])
+    starts = np.concatenate([np.arange(end - len(b), end - 99) for b, end in zip(bodies, ends.tolist(), strict=True)])
+    number = suffix_blocks.classes(np.frombuffer(text, np.uint8), starts, 100)
+    named = defaultdict(set)
+    for at, n in zip(starts.tolist(), number.tolist(), strict=True):
+        named[text[at : at + 100]].add(n)
+    assert all(len(x) == 1 for x in named.values())
+    assert len(named) == len(set(number.tolist()))
+
+
 def test_difference_cover_has_all_distances():
     cover = suffix_blocks.COVER
     assert {(a - b) % suffix_blocks.PERIOD for a in cover for b in cover} == set(range(suffix_blocks.PERIOD))
