@@ -47,7 +47,9 @@ TAGS = {name: i for i, group in enumerate(("p", "div", "section", "article main"
 #: Stems of attribute words, by what they hint at.
 HINTS = {stem: i for i, group in enumerate(("nav navi navigation menu breadcrumb breadcrumbs toolbar", "header head masthead topbar top logo", "footer foot bottom copyright legal", "side sidebar aside rail widget widgets", "cookie cookies consent notice alert banner popup modal overlay message warning", "ad ads adv advert advertisement sponsor sponsored promo promotion", "share social follow", "comment comments reply replies respond discussion disqus", "related recommended more popular trending teaser", "form search login signup subscribe newsletter", "article content main post entry story text body page", "meta byline author date tags tag caption")) for stem in group.split()}
 N_HINTS = 12
-_HIDDEN = re.compile(r"(?:^|[\s\"';])(?:hidden(?=[\s=>/\"']|$)|display\s*:\s*none)", re.I)
+_EVERY_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+_MAYBE_HIDDEN = re.compile(r"hidden|style", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 
 
 @dataclass(slots=True)
@@ -73,6 +75,28 @@ def _hints(attributes: str) -> int:
     return found
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether there is an attribute called hidden, or a style whose display is none."""
+    if not _MAYBE_HIDDEN.search(attributes):
+        return False
+    styled = False
+    for name, value in _EVERY_ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name == "hidden":
+            return True
+        if name == "style" and not styled:  # the first of two counts
+            styled = True
+            display, fixed = "", False
+            for declaration in _COMMENT.sub(" ", html.unescape(value.strip("\"'"))).lower().split(";"):
+                key, _, setting = declaration.partition(":")
+                setting, _, rank = setting.partition("!")
+                if key.strip() == "display" and (not fixed or rank):  # the last one counts, unless one is important
+                    display, fixed = setting.strip(), fixed or bool(rank)
+            if display == "none":
+                return True
+    return False
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order: elements, and the runs of text of each block as nodes called #text.
 
@@ -165,7 +189,7 @@ def parse(page: str) -> list[Node]:
         flush()
         block = next(n for _, n in reversed(open_nodes) if n >= 0)
         own = nodes[block]
-        silent = own.silent or tag in SILENT or bool(attributes) and _HIDDEN.search(attributes) is not None
+        silent = own.silent or tag in SILENT or bool(attributes) and _hidden(attributes)
         nodes.append(Node(tag, block, own.depth + 1, _hints(attributes) if attributes else 0, own.inherited | own.hints, silent))
         own.children.append(len(nodes) - 1)
         open_nodes.append((tag, len(nodes) - 1))

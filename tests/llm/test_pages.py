@@ -37,6 +37,38 @@ def test_main_text_of_pages(pages, extractor):
     assert by_url["u2"] == [(2, "")] and by_url["u3"] == [(3, "")]
 
 
+@pytest.mark.parametrize(
+    "attributes, shown",
+    [
+        ('style="overflow: hidden"', True),
+        ('style="visibility:visible; overflow: hidden"', True),
+        ('class="content hidden"', True),
+        ("class='hidden'", True),
+        ('data-state="not hidden"', True),
+        ('title="set display:none here"', True),
+        ('aria-hidden="false"', True),
+        ("class=hidden/x", True),
+        ('style="display:none;display:block"', True),
+        ('style="--display: none"', True),
+        ("hidden", False),
+        ("id=a HIDDEN class=b", False),
+        ('hidden=""', False),
+        ("data-a='x'hidden", False),
+        ('style="color:red; Display : NONE"', False),
+        ("style=display:none", False),
+        ('style="display:none !important; display:block"', False),
+        ('style="/* a;b */display:none"', False),
+    ],
+)
+def test_hidden_is_an_attribute_or_a_style(attributes, shown):
+    assert extraction.runs_of_text(f"<div {attributes}><p>text</p></div>") == ["text"] * shown
+
+
+def test_an_article_that_clips_its_overflow_keeps_its_text(extractor):
+    page = PAGE.replace("<article>", '<article style="overflow: hidden">')
+    assert extractor.texts([page]) == [TEXT]
+
+
 def test_layouts_not_trained_on(extractor):
     words = [[f"word{i % 97}{',' * (i % 7 == 0)}" for i in range(k, k + 400)] for k in range(20)]
     right = total = kept = 0
