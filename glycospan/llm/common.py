@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at a time in a task, unless one text is longer.
@@ -127,11 +127,16 @@ def written(df: DataFrame, replaced: str | None = None) -> tuple[DataFrame, str]
     path = f"{shared_folder(df).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if replaced:
-        place = spark._jvm.org.apache.hadoop.fs.Path(replaced)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        deleted(spark, replaced)
     return spark.read.parquet(path), path
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Remove a table of ``written`` that is no longer read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
