@@ -33,20 +33,21 @@ def correlation(x: Column, y: Column) -> Column:
     )
 
 
-def gaussian(*keys, seed: int, stream: int) -> Column:
-    """A standard normal draw that depends only on ``keys``, ``seed`` and ``stream``.
+def uniform(*keys, seed: int, stream: int, salt: int = 1) -> Column:
+    """A draw between 0 and 1 that depends only on ``keys``, ``seed``, ``stream`` and ``salt``.
 
-    Box-Muller over two MD5 digests: the same row gets the same draw however the data
-    is partitioned, however often a task is retried, and in any engine. Timestamps count
-    in microseconds.
+    It is a part of an MD5 digest: the same row gets the same draw however the data is
+    partitioned, however often a task is retried, and in any engine. Timestamps count in
+    microseconds.
     """
-    def uniform(salt: int) -> Column:
-        parts = [*keys, *(F.lit(x) for x in (seed, stream, salt))]
-        digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"))
-        # 52 bits, shifted off zero so that the logarithm is finite
-        bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
-        return (bits + F.lit(0.5)) / F.lit(float(2**52))
-
-    return F.sqrt(F.lit(-2.0) * F.log(uniform(1))) * F.cos(
-        F.lit(2.0) * F.pi() * uniform(2)
-    )
+    parts = [*keys, *(F.lit(x) for x in (seed, stream, salt))]
+    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"))
+    # 52 bits, shifted off zero so that its logarithm is finite
+    bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+    return (bits + F.lit(0.5)) / F.lit(float(2**52))
+
+
+def gaussian(*keys, seed: int, stream: int) -> Column:
+    """A standard normal draw: Box-Muller over two draws of ``uniform``."""
+    first, second = (uniform(*keys, seed=seed, stream=stream, salt=salt) for salt in (1, 2))
+    return F.sqrt(F.lit(-2.0) * F.log(first)) * F.cos(F.lit(2.0) * F.pi() * second)

@@ -15,6 +15,7 @@ from glycospan.config import DEFAULTS, NAMED_HORIZONS, Settings
 from glycospan.functions.calendar import STEP_SECONDS, is_weekend, plus_seconds
 from glycospan.functions.numeric import clip, gaussian
 from glycospan.operators.features import calendar_columns, input_columns
+from glycospan.operators.grouped import renewed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -190,8 +191,10 @@ def forecast_recursive(
     seed: int = 0,
     patients_per_task: int = PATIENTS_PER_TASK,
 ) -> DataFrame:
-    """Step-by-step forecast of a model that is linear in its inputs, or in waves of them.
+    """Step-by-step forecast of any model that has a ``stepper``: linear, kernel and tree models.
 
+    A stepper is a table of model rows by patient, and a function that makes of the rows of a
+    group and its patients (which of them are known, predictions from inputs and places).
     ``history`` is the hourly grid. Each prediction becomes the newest value of the lags and
     windows of the next row, starting from the 168 hours up to the grid's last known time;
     an hour without a value takes the straight line between its neighbours, so a lag is
@@ -203,7 +206,7 @@ def forecast_recursive(
     if not hasattr(model, "stepper"):
         raise ValueError(f"{model.algorithm} has no recursive forecast")
     columns = model.columns
-    table, score = model.stepper()
+    table, build = model.stepper()
     needed = 1 + max([k for kind, k in map(_inputs, columns) if not kind.startswith("week")], default=0)
     ends = grid.groupBy("patient_id").agg(F.max("last_ts").alias("last_ts"))
     back = (F.unix_seconds("last_ts") - F.unix_seconds("hour_ts")) / F.lit(3600)
@@ -228,10 +231,10 @@ def forecast_recursive(
     else:
         ahead_rows = ahead_rows.withColumn("noise", F.lit(0.0))
     tasks = 1 + ends.count() // patients_per_task
-    rows = recent.unionByName(ahead_rows).join(table, "patient_id")
-    rows = rows.withColumn("task", F.pmod(F.hash("patient_id"), F.lit(tasks)))
+    task = F.pmod(F.hash(F.col("patient_id").cast("long")), F.lit(tasks))
+    rows = recent.unionByName(ahead_rows).withColumn("task", task)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["patient_id", "step"])
         past, ahead = pdf[pdf["step"] <= 0], pdf[pdf["step"] > 0]
         steps = int(ahead["step"].max()) if len(ahead) else 0
@@ -259,22 +262,25 @@ def forecast_recursive(
             "month": by_step(when.month),
             "is_weekend": by_step(when.dayofweek >= 5),
         }
-        a, b = (np.vstack(who[c].to_numpy()) if len(who) else np.zeros((0, len(columns))) for c in "ab")
-        c = who["c"].to_numpy(float)
+        known, values = build(fitted, pd.Index(who["patient_id"]))
         enough = ~np.isnan(state[:, STATE_HOURS - needed :]).any(axis=1) if len(who) else np.zeros(0, bool)
+        enough &= known
         predicted = np.full((len(who), steps), np.nan)
         if enough.any():
+            some = np.flatnonzero(enough)
             predicted[enough] = _roll_forward(
                 state[enough],
                 {k: v[enough] for k, v in clock.items()},
                 columns,
-                lambda x: score(x, a[enough], b[enough], c[enough]),
+                lambda x: values(x, some),
                 by_step(ahead["noise"].to_numpy(float))[enough],
             )
         return ahead[["patient_id", "step"]].assign(predicted_glucose=predicted[at])
 
-    done = rows.groupBy("task").applyInPandas(
-        run, "patient_id long, step int, predicted_glucose double"
+    done = (
+        rows.groupBy("task")
+        .cogroup(renewed(table).withColumn("task", task).groupBy("task"))
+        .applyInPandas(run, "patient_id long, step int, predicted_glucose double")
     )
     done = done.withColumn(
         "predicted_glucose",
@@ -436,11 +442,10 @@ def seasonal_forecast(
     rows = past.withColumn("is_future", F.lit(False)).unionByName(
         grid.select("patient_id", "timestamp").withColumn("is_future", F.lit(True))
     )
-    return (
-        model.predict(rows)
-        .select("patient_id", *FORECAST, "is_future")
-        .transform(clip_forecast, settings)
-    )
+    table = model.predict(rows).select("patient_id", *FORECAST, "is_future")
+    if hasattr(model, "with_drawn_bounds"):
+        table = model.with_drawn_bounds(table)
+    return clip_forecast(table, settings)
 
 
 def regressor_forecast(

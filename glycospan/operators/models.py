@@ -1,9 +1,8 @@
 """Regressors over the feature table.
 
 Inputs are scaled and the target is centred per patient with statistics of the
-training rows, so one pooled Spark ML fit serves patients of different levels.
-The linear family can also be fitted per patient, which is the exact counterpart
-of training on one patient alone.
+training rows, so one pooled fit serves patients of different levels. Fitted per
+patient, they are the counterparts of training on one patient alone.
 """
 
 from __future__ import annotations
@@ -19,13 +18,16 @@ from pyspark import cloudpickle
 from pyspark.ml import regression as ml
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glycospan.operators import boosting, gram, kernel, trees
 from glycospan.operators.features import input_columns
 from glycospan.operators.neighbours import predict_neighbours
 from glycospan.operators.seasonal import fit_fourier_trend, fit_seasonal_trend
+from glycospan.operators.seasonal_map import fit_map_trend
+from glycospan.session import durable, durable_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -47,24 +49,38 @@ TREES = ("random_forest", "gradient_boosting", "xgboost", "decision_tree")
 
 # Default hyper-parameters.
 DEFAULT_PARAMS = {
-    "prophet": {},
+    "prophet": {"method": "index"},
     "linear_regression": {},
     "ridge": {"alpha": 1.0},
     "lasso": {"alpha": 1.0},
-    "random_forest": {"trees": 100, "depth": 20, "min_leaf": 2, "seed": 42},
+    "random_forest": {"trees": 100, "depth": 20, "min_split": 5, "min_leaf": 2, "seed": 42},
     "gradient_boosting": {"iterations": 100, "depth": 5, "rate": 0.1, "seed": 42},
-    "xgboost": {"iterations": 100, "depth": 5, "rate": 0.1, "seed": 42},
-    "svr": {"c": 1.0, "waves": 128, "seed": 42},
+    "xgboost": {"iterations": 100, "depth": 5, "rate": 0.1, "penalty": 1.0, "least_gain": 0.0, "least_weight": 1.0},
+    "svr": {"c": 1.0, "epsilon": 0.1, "waves": 128, "seed": 42},
     "knn": {"k": 5},
-    "decision_tree": {"depth": 10, "seed": 42},
+    "decision_tree": {"depth": 10, "min_split": 5, "seed": 42},
 }
 
-#: Training rows of a pooled fit are laid out by hash of patient and hour in so many
-#: partitions, sorted inside, whatever their number and the cluster: bagging and split
-#: sampling are seeded per partition. Large data needs more (parameter ``partitions``).
-FIT_PARTITIONS = 8
-#: MB of split statistics that Spark's tree learners keep per pass (parameter ``memory_mb``).
-TREE_MEMORY_MB = 256
+#: Methods of ``prophet``: index of the hour of week, ridge Fourier terms, or posterior mode.
+SEASONAL_FITS = {"index": fit_seasonal_trend, "fourier": fit_fourier_trend, "map": fit_map_trend}
+
+#: Training rows of a pooled fit are laid out by hash of patient and hour, sorted inside
+#: partitions whose number follows from the number of rows alone: bagging and split sampling
+#: are seeded per partition, so a fit is the same on any cluster (or parameter ``partitions``).
+FIT_PARTITIONS, ROWS_PER_PARTITION = 8, 250_000
+
+
+def fit_partitions(n: int) -> int:
+    return max(FIT_PARTITIONS, -(-n // ROWS_PER_PARTITION))
+
+
+def tree_memory_mb(spark: SparkSession) -> int:
+    """MB of split statistics that Spark's tree learners keep per pass: 1/32 of the driver's heap.
+
+    It sets how many nodes are split in a job, and does not change the model.
+    """
+    heap = spark._jvm.java.lang.Runtime.getRuntime().maxMemory() >> 20
+    return int(min(max(heap // 32, 16), 256))
 
 
 #: Pooled linear fits stop when neither loss nor gradient moves by this share.
@@ -105,28 +121,58 @@ def fit_scaler(train: DataFrame, columns: list[str]) -> Scaler:
     return Scaler(train.groupBy("patient_id").agg(*stats), columns)
 
 
+def _one_row_each(score: Callable) -> Callable:
+    """What a recursive forecast needs of models with one row (patient_id, a, b, c) for each patient:
+    from a group's rows and its patients, which are known, and a function of their inputs."""
+
+    def build(table: pd.DataFrame, who: pd.Index) -> tuple[np.ndarray, Callable]:
+        table = table.set_index("patient_id").reindex(who)
+        known = table["c"].notna().to_numpy()
+        some = table[known]
+        a, b = (np.vstack(some[k].to_numpy()) if len(some) else np.zeros((0, 0)) for k in "ab")
+        c, at = some["c"].to_numpy(float), np.cumsum(known) - 1
+
+        def values(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+            mine = at[place]
+            return score(x, a[mine], b[mine], c[mine]) if len(x) else np.zeros(0)
+
+        return known, values
+
+    return build
+
+
 # --- pooled Spark ML models ------------------------------------------------
 
 
-def _linear(name: str, params: dict, n: int, deviation: float):
-    if name == "linear_regression":
-        return ml.LinearRegression(regParam=0.0, **ITERATIVE)
-    if name == "ridge":
-        # Spark divides the L2 term by the label deviation and the loss by n
-        return ml.LinearRegression(
-            elasticNetParam=0.0,
-            standardization=False,
-            regParam=params["alpha"] * deviation / max(n, 1),
-            **ITERATIVE,
-        )
-    return ml.LinearRegression(
-        elasticNetParam=1.0, standardization=False, regParam=params["alpha"], **ITERATIVE
+def pooled_nodes(model, spark: SparkSession) -> trees.FlatTrees:
+    """The nodes of a fitted Spark ML tree model, read from its saved form."""
+    if isinstance(model, trees.FlatTrees):
+        return model
+    path = durable_path(spark)
+    model.write().overwrite().save(path)
+    saved = spark.read.parquet(f"{path}/data")
+    if "treeID" not in saved.columns:
+        saved = saved.select(F.lit(0).alias("treeID"), F.struct(*saved.columns).alias("nodeData"))
+    nodes = saved.select("treeID", "nodeData.*").toPandas().sort_values(["treeID", "id"]).reset_index(drop=True)
+    weights = np.asarray(getattr(model, "treeWeights", [1.0]), float)
+    if isinstance(model, ml.RandomForestRegressionModel):
+        weights = weights / weights.sum()
+    starts = nodes.groupby("treeID").size().cumsum().shift(fill_value=0)
+    offset = nodes["treeID"].map(starts).to_numpy(np.int64)
+    inner = (nodes["leftChild"] >= 0).to_numpy()
+    split = nodes["split"].map(lambda r: (r["featureIndex"], r["leftCategoriesOrThreshold"]))
+    return trees.FlatTrees(
+        roots=starts.to_numpy(np.int64),
+        feature=np.array([f if i else -1 for (f, _), i in zip(split, inner, strict=True)], np.int64),
+        threshold=np.array([t[0] if i else 0.0 for (_, t), i in zip(split, inner, strict=True)], float),
+        left=np.where(inner, nodes["leftChild"].to_numpy(np.int64) + offset, 0),
+        right=np.where(inner, nodes["rightChild"].to_numpy(np.int64) + offset, 0),
+        value=nodes["prediction"].to_numpy(float) * weights[nodes["treeID"].to_numpy(np.int64)],
+        gain=np.where(inner, nodes["gain"].to_numpy(float), 0.0),
     )
 
 
-def _estimator(name: str, params: dict, n: int, deviation: float):
-    if name in LINEAR:
-        return _linear(name, params, n, deviation)
+def _estimator(name: str, params: dict, n: int):
     if name == "random_forest":
         return ml.RandomForestRegressor(
             numTrees=params["trees"],
@@ -134,15 +180,15 @@ def _estimator(name: str, params: dict, n: int, deviation: float):
             minInstancesPerNode=params["min_leaf"],
             featureSubsetStrategy="all",
             seed=params["seed"],
-            maxMemoryInMB=params.get("memory_mb", TREE_MEMORY_MB),
+            maxMemoryInMB=params["memory_mb"],
         )
-    if name in ("gradient_boosting", "xgboost"):
+    if name == "gradient_boosting":
         return ml.GBTRegressor(
             maxIter=params["iterations"],
             maxDepth=params["depth"],
             stepSize=params["rate"],
             seed=params["seed"],
-            maxMemoryInMB=params.get("memory_mb", TREE_MEMORY_MB),
+            maxMemoryInMB=params["memory_mb"],
         )
     if name == "svr":
         return ml.LinearRegression(
@@ -151,7 +197,7 @@ def _estimator(name: str, params: dict, n: int, deviation: float):
     return ml.DecisionTreeRegressor(
         maxDepth=params["depth"],
         seed=params["seed"],
-        maxMemoryInMB=params.get("memory_mb", TREE_MEMORY_MB),
+        maxMemoryInMB=params["memory_mb"],
     )
 
 
@@ -196,21 +242,21 @@ class PooledModel:
         return self.scaler.columns
 
     def stepper(self) -> tuple[DataFrame, Callable]:
-        """See PatientLinearModel.stepper; for models that are linear in their inputs or waves."""
-        if self.algorithm in TREES:
-            raise ValueError(f"{self.algorithm} has no recursive forecast: it would take a Spark job per step")
+        """See forecasting.forecast_recursive."""
         means = F.array(*[F.col(f"{c}__mean") for c in self.columns])
         stds = F.array(*[F.col(f"{c}__std") for c in self.columns])
-        table = self.scaler.table.select(
-            "patient_id", means.alias("a"), stds.alias("b"), F.col("level").alias("c")
-        )
+        table = self.scaler.table.select("patient_id", means.alias("a"), stds.alias("b"), F.col("level").alias("c"))
+        if self.algorithm in TREES:
+            flat = pooled_nodes(self.model, self.scaler.table.sparkSession)
+            return table, _one_row_each(lambda x, a, b, c: flat.values((x - a) / b) + c)
+        if self.algorithm in LINEAR:
+            line = self.model.weights
+            return table, _one_row_each(lambda x, a, b, c: (x - a) / b @ line + c)
         coef, intercept = self.model.coefficients.toArray(), float(self.model.intercept)
-        if self.algorithm != "svr":
-            return table, lambda x, a, b, c: (x - a) / b @ coef + intercept + c
         weights, phases = _wave_weights(self.columns, self.params)
         size = np.sqrt(2.0 / len(phases))
-        return table, lambda x, a, b, c: (
-            size * np.cos((x - a) / b @ weights + phases) @ coef + intercept + c
+        return table, _one_row_each(
+            lambda x, a, b, c: size * np.cos((x - a) / b @ weights + phases) @ coef + intercept + c
         )
 
     def predict(self, rows: DataFrame) -> DataFrame:
@@ -221,7 +267,10 @@ class PooledModel:
         ready = ready.withColumn("scorable", known).withColumns(
             {c: F.coalesce(F.col(c), F.lit(0.0)) for c in inputs}
         )
-        scored = self.model.transform(self.vectorise(ready))
+        if hasattr(self.model, "add_prediction"):
+            scored = self.model.add_prediction(ready, inputs)
+        else:
+            scored = self.model.transform(self.vectorise(ready))
         value = F.when(F.col("scorable"), F.col("prediction") + F.col("level"))
         return scored.withColumn("prediction", value).select(*rows.columns, "prediction")
 
@@ -229,7 +278,10 @@ class PooledModel:
         """Inputs by falling importance (tree models)."""
         if self.algorithm not in TREES:
             raise ValueError(f"{self.algorithm} has no feature importances")
-        values = self.model.featureImportances.toArray().tolist()
+        if isinstance(self.model, trees.FlatTrees):
+            values = self.model.shares(len(self.columns))
+        else:
+            values = self.model.featureImportances.toArray().tolist()
         spark = self.scaler.table.sparkSession
         table = spark.createDataFrame(
             list(zip(self.scaler.columns, values)), "feature string, importance double"
@@ -237,16 +289,41 @@ class PooledModel:
         return table if top is None else table.limit(top)
 
 
+@dataclass(frozen=True)
+class PooledWeights:
+    """Weights of the scaled inputs, for the centred target."""
+
+    weights: np.ndarray
+    converged: bool
+
+    def add_prediction(self, rows: DataFrame, columns: list[str]) -> DataFrame:
+        terms = [F.col(c) * F.lit(float(w)) for c, w in zip(columns, self.weights, strict=True)]
+        return rows.withColumn("prediction", reduce(lambda a, b: a + b, terms, F.lit(0.0)))
+
+
+def _fit_pooled_line(name: str, train: DataFrame, columns: list[str], params: dict) -> PooledModel:
+    """The exact solution from the patients' statistics, which also give the scales."""
+    table = durable(gram.statistics(train, columns))
+    n, products, moment = gram.pooled_system(table, columns)
+    weights, converged = gram.solve(name, products, moment, n, params, _lasso)
+    return PooledModel(name, Scaler(durable(gram.scales(table, columns)), columns), lambda df: df, PooledWeights(weights, converged), params)
+
+
 def fit_pooled(name: str, train: DataFrame, params: dict) -> PooledModel:
     columns = input_columns(train)
+    if name in LINEAR:
+        return _fit_pooled_line(name, train, columns, params)
     scaler = fit_scaler(train, columns)
     if name == "svr":
         vectorise = _random_waves(columns, params)
+    elif name == "xgboost":
+        vectorise = lambda df: df.withColumn("features", F.array(*[F.col(c).cast("double") for c in columns]))
     else:
         vectorise = VectorAssembler(inputCols=columns, outputCol="features").transform
+    number = params.get("partitions") or fit_partitions(train.count())
     laid_out = (
         scaler.apply(train)
-        .repartition(params.get("partitions", FIT_PARTITIONS), "patient_id", "hour_ts")
+        .repartition(number, "patient_id", "hour_ts")
         .sortWithinPartitions("patient_id", "hour_ts", "glucose", *columns)
     )
     label = F.col("glucose") - F.col("level")
@@ -256,12 +333,14 @@ def fit_pooled(name: str, train: DataFrame, params: dict) -> PooledModel:
         label = F.round(label, 9)
     ready = vectorise(laid_out).select("features", label.alias("label")).persist()
     try:
-        n, deviation = ready.agg(F.count("*"), F.stddev_pop("label")).first()
+        n = ready.count()
         if not n:
             raise ValueError("no complete training rows")
-        if name in LINEAR and not deviation:
-            deviation = 1.0
-        model = _estimator(name, params, n, deviation).fit(ready)
+        if name == "xgboost":
+            model = boosting.fit_second_order(ready.withColumnRenamed("features", "x"), n, len(columns), params)
+        else:
+            sized = {"memory_mb": tree_memory_mb(train.sparkSession)} | params
+            model = _estimator(name, sized, n).fit(ready)
     finally:
         ready.unpersist()
     return PooledModel(name, scaler, vectorise, model, params)
@@ -289,30 +368,6 @@ def _lasso(gram: np.ndarray, moment: np.ndarray, alpha: float) -> tuple[np.ndarr
     return w, False
 
 
-def solve_linear(
-    name: str, x: np.ndarray, y: np.ndarray, params: dict
-) -> tuple[np.ndarray, float, bool]:
-    """Coefficients on the unscaled inputs, the intercept, and whether the fit converged.
-
-    A singular ridge system (no penalty, dependent inputs) has the solution of least norm.
-    """
-    centre, spread = x.mean(axis=0), x.std(axis=0)
-    spread = np.where(spread == 0, 1.0, spread)
-    z, level, converged = (x - centre) / spread, y.mean(), True
-    if name == "linear_regression":
-        w = np.linalg.lstsq(z, y - level, rcond=None)[0]
-    elif name == "ridge":
-        system = z.T @ z + params["alpha"] * np.eye(z.shape[1])
-        try:
-            w = np.linalg.solve(system, z.T @ (y - level))
-        except np.linalg.LinAlgError:
-            w = np.linalg.lstsq(system, z.T @ (y - level), rcond=None)[0]
-    else:
-        w, converged = _lasso(z.T @ z / len(y), z.T @ (y - level) / len(y), params["alpha"])
-    w = w / spread
-    return w, float(level - centre @ w), converged
-
-
 def linear_score(columns: list[str]) -> Column:
     """Dot product with the ``coef`` array plus ``intercept``."""
     terms = [F.col(c) * F.col("coef")[i] for i, c in enumerate(columns)]
@@ -328,14 +383,11 @@ class PatientLinearModel:
     columns: list[str]
 
     def stepper(self) -> tuple[DataFrame, Callable]:
-        """(patient_id, a, b, c) and a function of inputs (patients x columns) and these arrays.
-
-        What a forecast needs that goes step by step over many patients at once.
-        """
+        """See forecasting.forecast_recursive."""
         table = self.coefficients.where(F.col("coef").isNotNull()).select(
             "patient_id", F.col("coef").alias("a"), F.col("coef").alias("b"), F.col("intercept").alias("c")
         )
-        return table, lambda x, a, b, c: (x * a).sum(axis=1) + c
+        return table, _one_row_each(lambda x, a, b, c: (x * a).sum(axis=1) + c)
 
     def predict(self, rows: DataFrame) -> DataFrame:
         return rows.join(
@@ -345,35 +397,13 @@ class PatientLinearModel:
 
 def fit_per_patient(name: str, train: DataFrame, params: dict) -> PatientLinearModel:
     columns = input_columns(train)
+    return from_statistics(name, gram.statistics(train, columns), columns, params)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        failure = None
-        try:
-            coef, intercept, converged = solve_linear(
-                name, pdf[columns].to_numpy(float), pdf["glucose"].to_numpy(float), params
-            )
-        except (ArithmeticError, ValueError, np.linalg.LinAlgError) as problem:
-            coef, intercept, converged, failure = None, None, False, str(problem)
-        return pd.DataFrame(
-            {
-                "patient_id": [pdf["patient_id"].iloc[0]],
-                "coef": [coef],
-                "intercept": [intercept],
-                "n": [len(pdf)],
-                "converged": [converged],
-                "failure": [failure],
-            }
-        )
 
-    table = (
-        train.select("patient_id", "glucose", *columns)
-        .groupBy("patient_id")
-        .applyInPandas(
-            solve,
-            "patient_id long, coef array<double>, intercept double, n long, converged boolean, failure string",
-        )
-    )
-    return PatientLinearModel(name, table, columns)
+def from_statistics(name: str, table: DataFrame, columns: list[str], params: dict | None = None) -> PatientLinearModel:
+    """The linear model of each patient from statistics made, or merged, earlier."""
+    options = DEFAULT_PARAMS[name] | (params or {})
+    return PatientLinearModel(name, gram.patient_coefficients(name, table, columns, options, _lasso), columns)
 
 
 # --- nearest neighbours and seasonal models behind the same interface ------
@@ -413,21 +443,21 @@ def fit_model(name: str, train: DataFrame, scope: str = "pooled", **params):
 
     A fit and its predictions read ``train`` several times: hand in a table kept by
     ``durable`` or ``persist``, not a plan that starts at the readings.
-    ``scope`` is ``pooled`` (one Spark ML fit over all patients) or ``patient``
-    (linear family; nearest neighbours and the seasonal models always work per
-    patient). ``xgboost`` is gradient boosting with the same settings.
+    ``scope`` is ``pooled`` (one distributed fit over all patients) or ``patient`` (as many
+    fits as patients, side by side; nearest neighbours and the seasonal models always work so).
     """
     check_algorithm(name)
     options = DEFAULT_PARAMS[name] | params
     if name == "prophet":
-        fit = fit_fourier_trend if options.get("fourier") else fit_seasonal_trend
-        return SeasonalModel(fit(train))
+        return SeasonalModel(SEASONAL_FITS["fourier" if options.get("fourier") else options["method"]](train))
     if name == "knn":
         columns = input_columns(train)
         return NeighbourModel(train, fit_scaler(train, columns), options["k"])
     if scope == "patient":
-        if name not in LINEAR:
-            raise ValueError(f"{name} can only be fitted pooled")
+        if name in TREES:
+            return trees.fit_patient_trees(name, train, options)
+        if name == "svr":
+            return kernel.fit_patient_kernels(name, train, options)
         return fit_per_patient(name, train, options)
     return fit_pooled(name, train, options)
 

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 
 from glycospan.config import DEFAULTS, Settings
 from glycospan.operators import anomalies, cleaning, features, forecasting, patterns, report
-from glycospan.operators.models import fit_model
-from glycospan.operators.seasonal import fit_fourier_trend, fit_seasonal_trend
+from glycospan.operators.models import SEASONAL_FITS, fit_model
 from glycospan.session import durable
 
 
@@ -56,13 +55,17 @@ class Analysis:
         noise: float | None = None,
         seed: int = 0,
         fourier: bool = False,
+        method: str = "index",
         scope: str = "pooled",
         **params,
     ) -> DataFrame:
-        """History and forecast with bounds for all patients."""
+        """History and forecast with bounds for all patients.
+
+        ``method`` is that of ``prophet``: ``index``, ``fourier``, or ``map``, whose bounds widen.
+        """
         if algorithm == "prophet":
             grid = forecasting.future_grid(self.hourly, periods, freq, whole_step=True)
-            model = (fit_fourier_trend if fourier else fit_seasonal_trend)(self.hourly)
+            model = SEASONAL_FITS["fourier" if fourier else method](self.hourly)
             table = forecasting.seasonal_forecast(model, self.hourly, grid, self.settings)
             if noise:
                 table = forecasting.add_seasonal_noise(table, self.hourly, noise, seed)

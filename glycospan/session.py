@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,10 +30,10 @@ def use_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
+def _checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir():
-        return
+        return context.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         context.setCheckpointDir(named)
@@ -42,6 +43,12 @@ def _checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError(
             "set spark.checkpoint.dir to a folder that all executors share"
         )
+    return context.getCheckpointDir()
+
+
+def durable_path(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder, for what has its own writer."""
+    return f"{_checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:

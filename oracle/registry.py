@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from glycospan.config import Settings
 from glycospan.functions import ranges
 from glycospan.operators import anomalies, cleaning, evaluation, features, forecasting
-from glycospan.operators import models, patterns, report, seasonal
+from glycospan.operators import models, patterns, report, seasonal, seasonal_map
 from glycospan.session import durable, use_utc
 from glycospan.sources import profile
 from glycospan.sources.readings import as_readings, scan
@@ -20,13 +20,6 @@ from oracle import sql as S
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-# Split statistics of the tree learners that fit a 1 GB driver heap; results don't depend on it.
-SMALL_HEAP = {
-    name: {"memory_mb": 16}
-    for name in ("random_forest", "gradient_boosting", "xgboost", "decision_tree")
-}
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Zone-free timestamps, and doubles cut to 1e-6 as the check SQL does."""
     columns = []
@@ -958,17 +951,78 @@ def _(spark, d):
     return forecasting.seasonal_forecast(seasonal.fit_fourier_trend(history), history, grid)
 
 
+@check("m1_map_trend")
+def _(spark, d):
+    history = kept_hourly(spark, d)
+    grid = forecasting.future_grid(history, 168)
+    return forecasting.seasonal_forecast(seasonal_map.fit_map_trend(history), history, grid)
+
+
+def _path_uniform(stream: int, salt: int = 1, seed: int = 7) -> str:
+    text = f"patient_id || '|' || epoch_us(\"timestamp\") || '|' || draw || '|{seed}|{stream}|{salt}'"
+    return f"((CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0)"
+
+
+@check(
+    "m1_drawn_bounds",
+    T_CAST.rstrip()
+    + f""", noise AS (SELECT patient_id, stddev_samp(glucose) AS sigma FROM hourly GROUP BY 1),
+    paths AS (
+      SELECT f.patient_id, "timestamp", f.step, trend, yhat / trend AS season, sigma, draw,
+             CAST(f.step - 1 AS DOUBLE) AS hours_on, {_path_uniform(6)} - 0.5e0 AS side, {_path_uniform(5)} < 0.05e0 AS changes,
+             sqrt(-2e0 * ln({_path_uniform(7)})) * cos(2e0 * pi() * {_path_uniform(7, 2)}) AS normal
+      FROM (SELECT * FROM raw_forecast WHERE is_future AND step <= 72) f JOIN noise USING (patient_id),
+           (SELECT unnest(generate_series(1, 60)) AS draw)),
+    turned AS (SELECT *, CASE WHEN changes THEN -0.3e0 * sign(side) * ln(1e0 - 2e0 * abs(side)) ELSE 0e0 END AS change FROM paths),
+    valued AS (
+      SELECT patient_id, "timestamp", step,
+             (trend + hours_on * sum(change) OVER w - sum(change * hours_on) OVER w) * season + sigma * normal AS v
+      FROM turned WINDOW w AS (PARTITION BY patient_id, draw ORDER BY step))
+    SELECT patient_id, "timestamp", CAST(step AS INTEGER) AS step, quantile_cont(v, 0.025e0) AS lower_bound,
+      quantile_cont(v, 0.975e0) AS upper_bound FROM valued GROUP BY ALL""",
+    "lower_bound upper_bound",
+)
+def _(spark, d):
+    """Bounds of 60 drawn futures around the seasonal model, for given chance and size of changes."""
+    history = kept_hourly(spark, d)
+    rows = seasonal.fit_seasonal_trend(history).predict(forecasting.future_grid(history, 72))
+    rows = rows.withColumn("season", F.col("predicted_glucose") / F.col("trend"))
+    changes = history.groupBy("patient_id").agg(
+        F.lit(0.05).alias("change_chance"), F.lit(0.3).alias("change_size"), F.stddev_samp("glucose").alias("sigma")
+    )
+    return seasonal_map.drawn_bounds(rows, changes, 60, 7, 0.95).select("patient_id", "timestamp", "step", "lower_bound", "upper_bound")
+
+
 def _holdout(name: str, scope: str = "pooled"):
     def run(spark, d):
         table = kept_features(spark, d, True)
-        return evaluation.score_holdout(name, table, scope=scope, **SMALL_HEAP.get(name, {}))
+        return evaluation.score_holdout(name, table, scope=scope)
 
     return run
 
 
+T_ALL = S.with_tables(READ, S.features(True), S.split("features"), S.scaled_rows()).replace("WITH", "WITH RECURSIVE", 1).rstrip()
+
+
+def _all_inputs_sql(name: str, penalty: float, pooled: bool) -> str:
+    """Held-out rows of a linear model on all inputs, solved by elimination."""
+    return (
+        T_ALL
+        + ","
+        + S.solved("weights", penalty, "0" if pooled else "patient_id")
+        + f""" SELECT patient_id, '{name}' AS algorithm, hour_ts, glucose AS actual, level + {S.line_value()} AS predicted
+        FROM scaled JOIN weights ON g = {"0" if pooled else "patient_id"} WHERE NOT is_train"""
+    )
+
+
+for _name, _key, _scope, _penalty in (
+    ("linear_regression", "m2_linear_regression", "pooled", 0),
+    ("ridge", "m3_ridge", "pooled", 1),
+    ("linear_regression", "m2_linear_regression_per_patient", "patient", 0),
+    ("ridge", "m3_ridge_per_patient", "patient", 1),
+):
+    check(_key, _all_inputs_sql(_name, _penalty, _scope == "pooled"), "actual predicted")(_holdout(_name, _scope))
 for _name, _key in (
-    ("linear_regression", "m2_linear_regression"),
-    ("ridge", "m3_ridge"),
     ("lasso", "m4_lasso"),
     ("random_forest", "m5_random_forest"),
     ("gradient_boosting", "m6_gradient_boosting"),
@@ -978,12 +1032,131 @@ for _name, _key in (
 ):
     check(_key)(_holdout(_name))
 for _name, _key in (
-    ("linear_regression", "m2_linear_regression_per_patient"),
-    ("ridge", "m3_ridge_per_patient"),
     ("lasso", "m4_lasso_per_patient"),
+    ("random_forest", "m5_random_forest_per_patient"),
+    ("gradient_boosting", "m6_gradient_boosting_per_patient"),
+    ("xgboost", "m7_second_order_boosting_per_patient"),
+    ("svr", "m8_exact_kernel_regression"),
+    ("decision_tree", "m10_decision_tree_per_patient"),
 ):
     check(_key)(_holdout(_name, "patient"))
 
+# Trees of two inputs, which SQL can grow by trying every split.
+
+TWO = ["hour", "glucose_lag_1h"]
+TREE_ROWS = """, tree_rows AS (
+  SELECT patient_id, hour_ts, glucose, hour, glucose_lag_1h, is_train,
+         avg(glucose) FILTER (WHERE is_train) OVER (PARTITION BY patient_id) AS level,
+         glucose - avg(glucose) FILTER (WHERE is_train) OVER (PARTITION BY patient_id) AS t
+  FROM numbered),
+"""
+T_TREES = S.with_tables(READ, S.features(True), S.split("features")).rstrip() + TREE_ROWS
+
+
+def _two_inputs(spark, d):
+    table = feature_table(spark, d, True)
+    return durable(table.select("patient_id", "hour_ts", "glucose", *TWO))
+
+
+def _boosted_sql(name: str, penalty: float) -> str:
+    """Two rounds of depth 2 at rate 0.1."""
+    return (
+        T_TREES
+        + S.tree_levels("one", "tree_rows", TWO, 2, "patient_id", penalty=penalty)
+        + ","
+        + S.leaf_values("one", 2, "patient_id", penalty)
+        + ", second AS (SELECT * EXCLUDE (node, leaf, t), t - 0.1e0 * leaf AS t, level + 0.1e0 * leaf AS fitted FROM one_value),"
+        + S.tree_levels("two", "second", TWO, 2, "patient_id", penalty=penalty)
+        + ","
+        + S.leaf_values("two", 2, "patient_id", penalty)
+        + f" SELECT patient_id, '{name}' AS algorithm, hour_ts, glucose AS actual, fitted + 0.1e0 * leaf AS predicted FROM two_value WHERE NOT is_train"
+    )
+
+
+@check(
+    "m10_tree_two_inputs_per_patient",
+    T_TREES
+    + S.tree_levels("grown", "tree_rows", TWO, 4, "patient_id", 5)
+    + ","
+    + S.leaf_values("grown", 4, "patient_id")
+    + " SELECT patient_id, 'decision_tree' AS algorithm, hour_ts, glucose AS actual, level + leaf AS predicted FROM grown_value WHERE NOT is_train",
+    "actual predicted",
+)
+def _(spark, d):
+    return evaluation.score_holdout("decision_tree", _two_inputs(spark, d), scope="patient", depth=4)
+
+
+@check("m6_boosting_two_rounds_per_patient", _boosted_sql("gradient_boosting", 0), "actual predicted")
+def _(spark, d):
+    return evaluation.score_holdout("gradient_boosting", _two_inputs(spark, d), scope="patient", iterations=2, depth=2)
+
+
+@check("m7_boosting_two_rounds_per_patient", _boosted_sql("xgboost", 1), "actual predicted")
+def _(spark, d):
+    return evaluation.score_holdout("xgboost", _two_inputs(spark, d), scope="patient", iterations=2, depth=2)
+
+
+# The pooled form: inputs scaled by patient, cut into bins by counts in 16,384 parts of their range.
+T_BINS = (
+    S.with_tables(READ, S.features(True), S.split("features")).rstrip()
+    + """, centred AS (
+  SELECT n.patient_id, hour_ts, glucose, is_train, level, round(glucose - level, 9) AS label,
+         round((hour - m) / s, 9) AS v, 0 AS everyone
+  FROM numbered n JOIN (
+    SELECT patient_id, avg(glucose) AS level, avg(hour) AS m, coalesce(nullif(stddev_pop(hour), 0), 1) AS s
+    FROM numbered WHERE is_train GROUP BY 1) USING (patient_id)),
+ends AS (SELECT min(v) AS low, max(v) AS high, count(*) AS total, avg(label) AS base FROM centred WHERE is_train),
+parts AS (
+  SELECT centred.*, total, round(base, 9) AS base,
+         least(CAST(floor((v - low) / (high - low) * 16384) AS BIGINT), 16383) AS fine FROM centred, ends),
+cut AS (
+  SELECT fine, (sum(c) OVER (ORDER BY fine) - c) * 256 // total AS bin
+  FROM (SELECT fine, count(*) AS c, any_value(total) AS total FROM parts WHERE is_train GROUP BY fine)),
+binned AS (SELECT parts.*, bin, label - base AS t FROM parts JOIN cut USING (fine)),
+"""
+)
+
+
+@check(
+    "m7_boosting_two_rounds_pooled",
+    T_BINS
+    + S.tree_levels("one", "binned", ["bin"], 2, "everyone", penalty=1)
+    + ","
+    + S.leaf_values("one", 2, "everyone", 1)
+    + ", second AS (SELECT * EXCLUDE (node, leaf, t), t - 0.1e0 * leaf AS t, level + base + 0.1e0 * leaf AS fitted FROM one_value),"
+    + S.tree_levels("two", "second", ["bin"], 2, "everyone", penalty=1)
+    + ","
+    + S.leaf_values("two", 2, "everyone", 1)
+    + " SELECT patient_id, 'xgboost' AS algorithm, hour_ts, glucose AS actual, fitted + 0.1e0 * leaf AS predicted FROM two_value WHERE NOT is_train",
+    "actual predicted",
+)
+def _(spark, d):
+    table = _two_inputs(spark, d).drop("glucose_lag_1h")
+    return evaluation.score_holdout("xgboost", table, iterations=2, depth=2)
+
+
+EVERY_ROW = ", numbered AS (SELECT *, true AS is_train FROM features)"
+
+
+@check(
+    "m13_tree_importance_per_patient",
+    S.with_tables(READ, S.features(True)).rstrip()
+    + EVERY_ROW
+    + TREE_ROWS
+    + S.tree_levels("grown", "tree_rows", TWO, 4, "patient_id", 5)
+    + ", gains AS ("
+    + " UNION ALL ".join(f"SELECT * FROM grown_best_{i}" for i in range(4))
+    + """)
+    SELECT patient_id, CASE f WHEN 0 THEN 'hour' ELSE 'glucose_lag_1h' END AS feature,
+      sum(gain) / sum(sum(gain)) OVER (PARTITION BY patient_id) AS importance,
+      CAST(row_number() OVER (PARTITION BY patient_id ORDER BY sum(gain) DESC) AS INTEGER) AS place
+    FROM gains GROUP BY patient_id, f""",
+    "importance",
+)
+def _(spark, d):
+    return models.fit_model("decision_tree", _two_inputs(spark, d), "patient", depth=4).importances(5)
+
+
 T_KNN = S.with_tables(READ, S.features(True), S.split("features"), S.neighbours())
 
 
@@ -996,7 +1169,16 @@ def _(spark, d):
     return _holdout("knn")(spark, d)
 
 
-@check("m12_training_r2")
+T_FITTED = S.with_tables(READ, S.features(True)).replace("WITH", "WITH RECURSIVE", 1).rstrip() + EVERY_ROW + "," + S.scaled_rows() + "," + S.solved("weights", 1)
+
+
+@check(
+    "m12_training_r2",
+    T_FITTED
+    + f""" SELECT patient_id, count(*) AS n, 1 - sum((t - y) * (t - y)) / nullif(var_pop(t) * count(*), 0) AS r2, 'ridge' AS algorithm
+    FROM (SELECT patient_id, t, {S.line_value()} AS y FROM scaled JOIN weights ON g = patient_id) GROUP BY 1""",
+    "r2",
+)
 def _(spark, d):
     table = kept_features(spark, d, True)
     return models.training_r2(models.fit_model("ridge", table, "patient"), table)
@@ -1037,6 +1219,49 @@ def _(spark, d):
     return forecasting.future_grid(hourly(spark, d), 8, "W")
 
 
+@check("x2_recursive_forest")
+def _(spark, d):
+    """168 steps of a forest of each patient, the trees evaluated for a group of patients at once."""
+    history = kept_hourly(spark, d)
+    table = durable(features.build_features(history, True))
+    model = models.fit_model("random_forest", table, "patient")
+    return forecasting.regressor_forecast(
+        model, table, forecasting.future_grid(history, 168), "recursive", hourly=history
+    )
+
+
+@check(
+    "x2_recursive_tree_one_input",
+    S.with_tables(READ, S.features()).replace("WITH", "WITH RECURSIVE", 1).rstrip()
+    + EVERY_ROW
+    + TREE_ROWS
+    + S.tree_levels("grown", "tree_rows", ["glucose_lag_1h"], 3, "patient_id", 5)
+    + ","
+    + S.leaf_values("grown", 3, "patient_id")
+    + """, leaves AS (
+      SELECT patient_id, level + leaf AS value, min(glucose_lag_1h) AS low, max(glucose_lag_1h) AS high
+      FROM grown_value GROUP BY patient_id, node, level, leaf),
+    pieces AS (
+      SELECT patient_id, value,
+        coalesce((lag(high) OVER w + low) / 2, -1e300) AS above, coalesce((lead(low) OVER w + high) / 2, 1e300) AS upto
+      FROM leaves WINDOW w AS (PARTITION BY patient_id ORDER BY low)),
+    latest AS (SELECT patient_id, max(hour_ts) AS last_ts, arg_max(glucose, hour_ts) AS y FROM features GROUP BY 1),
+    rolled AS (
+      SELECT patient_id, 0 AS step, y FROM latest
+      UNION ALL
+      SELECT r.patient_id, step + 1, p.value FROM rolled r JOIN pieces p
+        ON p.patient_id = r.patient_id AND r.y > p.above AND r.y <= p.upto WHERE step < 168)
+    SELECT patient_id, CAST(step AS INTEGER) AS step, last_ts + to_hours(CAST(step AS INTEGER)) AS "timestamp", y AS predicted_glucose
+    FROM rolled JOIN (SELECT patient_id, last_ts FROM latest) USING (patient_id) WHERE step > 0""",
+    "predicted_glucose",
+)
+def _(spark, d):
+    table = _one_input(spark, d)
+    model = models.fit_model("decision_tree", table, "patient", depth=3)
+    ahead = forecasting.forecast_recursive(model, table, forecasting.future_grid(table, 168))
+    return ahead.select("patient_id", "step", "timestamp", "predicted_glucose")
+
+
 @check("x2_recursive_forecast")
 def _(spark, d):
     history = kept_hourly(spark, d)
@@ -1047,7 +1272,30 @@ def _(spark, d):
     )
 
 
-@check("x3_zero_fill_forecast")
+def _ahead_sql(leak_free: bool, frozen: bool) -> str:
+    """History and 168 future hours of the ridge model on all inputs."""
+    inputs = ", ".join(
+        (f"CAST(({S.CALENDAR_OF[c].format('ts')}) AS DOUBLE)" if c in S.CALENDAR_OF else f"l.{c}" if frozen else "0e0") + f" AS {c}" for c in S.INPUTS
+    )
+    scaled = ", ".join(f"(f.{c} - s.{c}_m) / s.{c}_s AS {c}" for c in S.INPUTS)
+    tables = S.with_tables(READ, S.features(leak_free)).replace("WITH", "WITH RECURSIVE", 1).rstrip() + EVERY_ROW + "," + S.scaled_rows() + "," + S.solved("weights", 1)
+    return (
+        tables
+        + f""", latest AS (SELECT * FROM features QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY hour_ts DESC) = 1),
+    spreads AS (SELECT patient_id, stddev_samp(glucose) AS hist_std FROM features GROUP BY 1),
+    later AS (SELECT l.*, hour_ts + to_hours(CAST(step AS INTEGER)) AS ts FROM latest l, (SELECT unnest(generate_series(1, 168)) AS step)),
+    following AS (SELECT l.patient_id, ts, {inputs} FROM later l),
+    moved_on AS (SELECT f.patient_id, ts, level, {scaled} FROM following f JOIN scales s USING (patient_id)),
+    valued AS (SELECT patient_id, ts, level + {S.line_value()} AS y FROM moved_on JOIN weights ON g = patient_id)
+    SELECT patient_id, hour_ts AS "timestamp", least(greatest(glucose, 40), 400) AS predicted_glucose,
+      least(greatest(glucose, 40), 400) AS lower_bound, least(greatest(glucose, 40), 400) AS upper_bound,
+      glucose AS trend, false AS is_future FROM features
+    UNION ALL SELECT patient_id, ts, least(greatest(y, 40), 400), least(greatest(y - 0.4e0 * hist_std, 40), 400),
+      least(greatest(y + 0.4e0 * hist_std, 40), 400), y, true FROM valued JOIN spreads USING (patient_id)"""
+    )
+
+
+@check("x3_zero_fill_forecast", _ahead_sql(False, False), FORECAST_DOUBLES)
 def _(spark, d):
     table = kept_features(spark, d)
     model = models.fit_model("ridge", table, "patient")
@@ -1056,7 +1304,7 @@ def _(spark, d):
     )
 
 
-@check("x3_frozen_forecast")
+@check("x3_frozen_forecast", _ahead_sql(True, True), FORECAST_DOUBLES)
 def _(spark, d):
     table = kept_features(spark, d, True)
     model = models.fit_model("ridge", table, "patient")
@@ -1541,10 +1789,18 @@ def _(spark, d):
 def _(spark, d):
     history = kept_hourly(spark, d)
     table = durable(features.build_features(history, True))
-    return evaluation.compare_algorithms(history, table, models.ALGORITHMS, SMALL_HEAP)
+    return evaluation.compare_algorithms(history, table, models.ALGORITHMS)
 
 
-@check("e5_holdout_backtest")
+@check(
+    "e5_holdout_backtest",
+    T_ALL
+    + ","
+    + S.solved("weights", 1)
+    + f""", scored AS (SELECT patient_id, 'ridge' AS algorithm, glucose AS actual, level + {S.line_value()} AS predicted
+      FROM scaled JOIN weights ON g = patient_id WHERE NOT is_train),{S.METRICS} SELECT * FROM metrics""",
+    S.METRIC_COLUMNS,
+)
 def _(spark, d):
     return evaluation.backtest("ridge", kept_features(spark, d, True), scope="patient")
 

@@ -95,6 +95,12 @@ CALENDAR = """CAST(hour(hour_ts) AS INTEGER) AS hour,
          CAST(day(hour_ts) AS INTEGER) AS day_of_month,
          CAST(month(hour_ts) AS INTEGER) AS month"""
 
+CALENDAR_OF = {
+    "hour": "hour({})",
+    "day_of_week": "isodow({}) - 1",
+    "day_of_month": "day({})",
+    "month": "month({})",
+}
 LAGS = (1, 2, 3, 6, 12, 24)
 WINDOWS = (6, 12, 24, 72)
 
@@ -310,3 +316,87 @@ def status(v: str, metric: str, continuous: bool = False) -> str:
 def light(v: str, metric: str) -> str:
     arms = " ".join(f"WHEN {v} >= {lo} AND {v} <= {hi} THEN '{s}'" for s, lo, hi in RANGES[metric])
     return f"CASE {arms} ELSE 'Critical' END"
+
+
+# --- trees by trying every split -----------------------------------------------------------
+
+
+def tree_levels(name: str, rows: str, inputs: list[str], depth: int, key: str, min_split: int = 2, min_leaf: int = 1, penalty: float = 0.0) -> str:
+    """CTEs up to ``{name}_{depth}``: ``rows`` with the ``node`` each reaches in the tree of its ``key``.
+
+    ``rows`` have is_train and the target t. Nodes are numbered like a heap; the splits of
+    level l, with their gain, are in ``{name}_best_{l}``.
+    """
+    parts = [f"{name}_0 AS (SELECT *, CAST(1 AS BIGINT) AS node FROM {rows})"]
+    for level in range(depth):
+        at, long = f"{name}_{level}", " UNION ALL ".join(
+            f"SELECT {key}, node, {i} AS f, CAST({c} AS DOUBLE) AS v, t FROM {name}_{level} WHERE is_train" for i, c in enumerate(inputs)
+        )
+        choose = " ".join(f"WHEN {i} THEN r.{c}" for i, c in enumerate(inputs))
+        parts.append(f"""{name}_run_{level} AS (
+  SELECT *, sum(s) OVER upto AS gl, sum(c) OVER upto AS nl, sum(s) OVER whole AS g, sum(c) OVER whole AS n,
+         lead(v) OVER (PARTITION BY {key}, node, f ORDER BY v) AS following
+  FROM (SELECT {key}, node, f, v, sum(t) AS s, count(*) AS c FROM ({long}) GROUP BY ALL)
+  WINDOW upto AS (PARTITION BY {key}, node, f ORDER BY v), whole AS (PARTITION BY {key}, node, f)),
+{name}_best_{level} AS (
+  SELECT {key}, node, f, (v + following) / 2 AS cut, gain FROM (
+    SELECT *, gl * gl / (nl + {penalty}e0) + (g - gl) * (g - gl) / (n - nl + {penalty}e0) - g * g / (n + {penalty}e0) AS gain
+    FROM {name}_run_{level}
+    WHERE following IS NOT NULL AND n >= {min_split} AND nl >= {min_leaf} AND n - nl >= {min_leaf})
+  WHERE gain > 1e-9
+  QUALIFY row_number() OVER (PARTITION BY {key}, node ORDER BY round(gain, 6) DESC, f, v) = 1),
+{name}_{level + 1} AS (
+  SELECT r.* EXCLUDE (node),
+         CASE WHEN b.f IS NULL THEN r.node WHEN CASE b.f {choose} END <= b.cut THEN 2 * r.node ELSE 2 * r.node + 1 END AS node
+  FROM {at} r LEFT JOIN {name}_best_{level} b ON b.{key} = r.{key} AND b.node = r.node)""")
+    return ",\n".join(parts)
+
+
+def leaf_values(name: str, depth: int, key: str, penalty: float = 0.0) -> str:
+    """CTE ``{name}_value``: the rows of the last level with the ``leaf`` value they get."""
+    return f"""{name}_value AS (
+  SELECT r.*, leaf FROM {name}_{depth} r JOIN (
+    SELECT {key}, node, sum(t) / (count(*) + {penalty}e0) AS leaf FROM {name}_{depth} WHERE is_train GROUP BY ALL) USING ({key}, node))"""
+
+
+# --- linear systems of all inputs -------------------------------------------------------------
+
+
+def scaled_rows(source: str = "numbered") -> str:
+    """``scaled``: rows of ``source`` with inputs scaled and target ``t`` centred by the patient's training rows."""
+    mean = ", ".join(f"avg({c}) AS {c}_m" for c in INPUTS)
+    std = ", ".join(f"coalesce(nullif(stddev_pop({c}), 0), 1) AS {c}_s" for c in INPUTS)
+    z = ", ".join(f"(n.{c} - s.{c}_m) / s.{c}_s AS {c}" for c in INPUTS)
+    return f"""
+scales AS (SELECT patient_id, avg(glucose) AS level, {mean}, {std} FROM {source} WHERE is_train GROUP BY patient_id),
+scaled AS (SELECT n.patient_id, n.hour_ts, n.glucose, n.is_train, level, glucose - level AS t, {z}
+           FROM {source} n JOIN scales s USING (patient_id))"""
+
+
+def solved(name: str, penalty: float, key: str = "patient_id") -> str:
+    """``{name}``: the weights ``w`` of each ``key`` by Gauss-Jordan elimination; dependent inputs get 0."""
+    k = len(INPUTS)
+    items = ", ".join(f"{{'i': {i}, 'z': {c}}}" for i, c in enumerate([*INPUTS, "t"], 1))
+    return f"""
+{name}_long AS (
+  SELECT g, patient_id, hour_ts, unnest(c.i) AS i, unnest(c.z) AS z FROM (
+    SELECT {key} AS g, patient_id, hour_ts, {{'i': [x.i FOR x IN l], 'z': [x.z FOR x IN l]}} AS c
+    FROM (SELECT *, [{items}] AS l FROM scaled WHERE is_train))),
+{name}_rows AS (
+  SELECT a.g, a.i, b.i AS j, sum(a.z * b.z) + CASE WHEN a.i = b.i THEN {penalty}e0 ELSE 0e0 END AS v
+  FROM {name}_long a JOIN {name}_long b USING (g, patient_id, hour_ts) WHERE a.i <= {k} GROUP BY a.g, a.i, b.i),
+{name}_steps AS (
+  SELECT g, CAST(1 AS BIGINT) AS k, list(r ORDER BY i) AS m
+  FROM (SELECT g, i, list(v ORDER BY j) AS r FROM {name}_rows GROUP BY g, i) GROUP BY g
+  UNION ALL
+  SELECT g, k + 1, CASE WHEN m[k][k] < 1e-7
+    THEN list_transform(m, lambda r, i: list_transform(r, lambda v, j: CASE WHEN i = k OR j = k THEN 0e0 ELSE v END))
+    ELSE list_transform(m, lambda r, i: list_transform(r, lambda v, j:
+      CASE WHEN i = k THEN v / m[k][k] ELSE v - r[k] / m[k][k] * m[k][j] END)) END
+  FROM {name}_steps WHERE k <= {k}),
+{name} AS (SELECT g, list_transform(m, lambda r: r[{k + 1}]) AS w FROM {name}_steps WHERE k = {k + 1})"""
+
+
+def line_value(prefix: str = "") -> str:
+    """Sum of weights times scaled inputs."""
+    return " + ".join(f"w[{i}] * {prefix}{c}" for i, c in enumerate(INPUTS, 1))

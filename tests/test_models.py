@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glycospan.operators import features, models
+from glycospan.operators import features, gram, models
 from glycospan.operators.neighbours import predict_neighbours
 
 
@@ -109,7 +109,7 @@ def test_unknown_names_are_refused(table):
     with pytest.raises(ValueError):
         models.fit_model("oracle", table)
     with pytest.raises(ValueError):
-        models.fit_model("random_forest", table, "patient")
+        models.fit_model("oracle", table, "patient")
     assert set(models.ALGORITHMS) == set(models.DEFAULT_PARAMS)
 
 
@@ -130,8 +130,30 @@ def test_rows_of_a_patient_without_training_rows_are_kept(table):
         assert rows[1].n == rows[1].known and rows[2].n > 0 and rows[2].known == 0
 
 
-def test_a_singular_system_has_the_least_norm_solution():
-    x = np.column_stack([np.arange(20.0), np.arange(20.0)])
-    w, intercept, converged = models.solve_linear("ridge", x, 3 * np.arange(20.0) + 1, {"alpha": 0.0})
-    np.testing.assert_allclose(x @ w + intercept, 3 * np.arange(20.0) + 1, atol=1e-6)
-    assert converged
+def test_dependent_inputs_have_the_least_norm_solution(make_hourly):
+    rows = make_hourly([(1, h, 100.0 + 3 * h) for h in range(20)]).withColumn("a", F.hour("hour_ts").cast("double"))
+    rows = rows.withColumns({"b": F.col("a"), "still": F.lit(4.0)})
+    for name, scope in (("linear_regression", "patient"), ("ridge", "patient"), ("linear_regression", "pooled")):
+        model = models.fit_model(name, rows, scope, **({"alpha": 0.0} if name == "ridge" else {}))
+        np.testing.assert_allclose(predicted(model, rows), [100.0 + 3 * h for h in range(20)], atol=1e-6)
+    (row,) = models.fit_model("ridge", rows, "patient", alpha=0.0).coefficients.collect()
+    np.testing.assert_allclose(row.coef, [1.5, 1.5, 0.0], atol=1e-6)
+    assert row.converged and row.n == 20
+
+
+def test_statistics_of_parts_add_up_to_those_of_the_whole(table):
+    columns = features.input_columns(table)
+    early, late = table.where("hour_ts < '2024-01-20'"), table.where("hour_ts >= '2024-01-20'")
+    by_day = gram.statistics(late.withColumn("day", F.to_date("hour_ts")), columns, ("patient_id", "day"))
+    parts = gram.merged(gram.statistics(early, columns), gram.merged(by_day))
+    want = models.fit_model("ridge", table, "patient")
+    got = models.from_statistics("ridge", parts, columns)
+    rows = table.where("patient_id = 2")
+    np.testing.assert_allclose(predicted(got, rows), predicted(want, rows), atol=1e-6)
+
+
+def test_linear_fits_send_no_rows_to_python(table):
+    """Only the statistics, one row for each patient, reach the solver."""
+    plan = models.fit_model("ridge", table, "patient").coefficients._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("HashAggregate", 1) if "HashAggregate" in plan else plan.split("ObjectHashAggregate", 1)
+    assert "MapInPandas" in above and "Pandas" not in below
