@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glycospan.operators.trees import FlatTrees
@@ -23,8 +23,10 @@ from glycospan.session import durable
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BINS, FINE_BINS = 256, 1 << 14
-#: Rounds after which the margins so far are kept, so that no expression holds more trees.
-KEPT_ROUNDS = 5
+#: Rows that a task of a pass reads, at least; sums of whole numbers don't depend on it.
+ROWS_PER_TASK = 50_000
+#: Rounds after which the margins so far are kept, so that no pass evaluates more trees.
+KEPT_ROUNDS = 10
 
 
 def cut_points(rows: DataFrame, n: int, inputs: int) -> list[np.ndarray]:
@@ -67,13 +69,72 @@ def _binned(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
     return rows.select("label", "x").mapInArrow(run, "label double, bins array<short>")
 
 
-def _branch(splits: dict[int, tuple[int, int]], leaves: dict[int, Column], node: int = 1) -> Column:
-    """What a row gets at the node it reaches: nodes are numbered like a heap, from 1."""
-    if node not in splits:
-        return leaves[node]
-    feature, cut = splits[node]
-    low, high = _branch(splits, leaves, 2 * node), _branch(splits, leaves, 2 * node + 1)
-    return F.when(F.col("bins")[feature] <= F.lit(cut), low).otherwise(high)
+def _nodes(splits: dict[int, tuple[int, int]], bins: np.ndarray) -> np.ndarray:
+    """The node of each row: nodes are numbered like a heap, from 1."""
+    at = np.ones(len(bins), np.int64)
+    for node in sorted(splits):
+        feature, cut = splits[node]
+        here = at == node
+        at[here] = 2 * node + (bins[here, feature] > cut)
+    return at
+
+
+def _moved(margin: np.ndarray, bins: np.ndarray, trees: list, rate: float) -> np.ndarray:
+    for splits, _, value in trees:
+        leaf = np.zeros(max(value) + 1)
+        leaf[list(value)] = list(value.values())
+        margin = margin + rate * leaf[_nodes(splits, bins)]
+    return margin
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    flat = batch.column("bins").flatten().to_numpy(zero_copy_only=False)
+    return batch.column("label").to_numpy(), batch.column("margin").to_numpy(), flat.reshape(batch.num_rows, -1)
+
+
+def _histograms(table: DataFrame, trees: list, splits: dict, open_: list[int], inputs: int, rate: float, unit: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(gradients, counts) of each open node by input and bin: tasks add their rows, Spark the tasks.
+
+    Only the closure changes from level to level, so Spark compiles the plan once.
+    """
+    place = {node: i for i, node in enumerate(open_)}
+    size = len(open_) * inputs * BINS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, h = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        lookup = np.full(2 * max(open_) + 2, -1)
+        lookup[list(place)] = list(place.values())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label, margin, bins = _arrays(batch)
+            gradient = np.rint((label - _moved(margin, bins, trees, rate)) * unit).astype(np.int64)
+            node = _nodes(splits, bins)
+            slot = np.where(node < len(lookup), lookup[np.minimum(node, len(lookup) - 1)], -1)
+            mine = slot >= 0
+            for f in range(inputs):
+                at = (slot[mine] * inputs + f) * BINS + bins[mine, f]
+                np.add.at(g, at, gradient[mine])
+                h += np.bincount(at, minlength=size)
+        seen = np.flatnonzero(h)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(g[seen]), pa.array(h[seen])], names=["place", "g", "h"])
+
+    parts = table.mapInArrow(run, "place long, g long, h long").groupBy("place").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+    g, h = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    at = parts.column("place").to_numpy()
+    g[at], h[at] = parts.column("g").to_numpy(), parts.column("h").to_numpy()
+    shape = (len(open_), inputs, BINS)
+    return {node: (g.reshape(shape)[i], h.reshape(shape)[i]) for node, i in place.items()}
+
+
+def _with_margins(table: DataFrame, trees: list, rate: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                label, margin, bins = _arrays(batch)
+                yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(_moved(margin, bins, trees, rate)), batch.column("bins")], names=["label", "margin", "bins"])
+
+    return table.mapInArrow(run, "label double, margin double, bins array<short>")
 
 
 def _best(g: np.ndarray, h: np.ndarray, penalty: float, least_weight: float) -> tuple[float, int, int]:
@@ -97,50 +158,41 @@ def fit_second_order(rows: DataFrame, n: int, inputs: int, params: dict) -> Flat
     # gradients in whole units so small that n of them fit a long
     bits = int(min(32, 61 - np.ceil(np.log2(n)) - np.ceil(np.log2(max(4 * most, 1.0)))))
     unit = float(2**bits)
-    table = durable(_binned(rows, cuts).withColumn("margin", F.lit(base)))
-    kept, trees = None, []
+    table = _binned(rows, cuts).select("label", F.lit(base).alias("margin"), "bins")
+    table = durable(table.coalesce(1 + n // ROWS_PER_TASK))  # there are hundreds of short passes
+    kept, trees, since = None, [], 0
     for k in range(params["iterations"]):
-        gradient = F.round((F.col("label") - F.col("margin")) * unit).cast("long")
         splits: dict[int, tuple[int, int]] = {}
         gains: dict[int, float] = {}
         value: dict[int, float] = {}
         open_ = [1]
         for level in range(params["depth"] + 1):
-            node = _branch(splits, {i: F.lit(i) for i in _leaves(splits)})
-            asked = table.select(node.alias("node"), gradient.alias("g"), "bins").where(F.col("node").isin(open_))
-            if level == params["depth"]:
-                for r in asked.groupBy("node").agg(F.sum("g").alias("g"), F.count("*").alias("h")).collect():
-                    value[r.node] = r.g / (r.h + penalty) / unit
-                break
-            sums = (
-                asked.select("node", "g", F.posexplode("bins").alias("input", "bin"))
-                .groupBy("node", "input", "bin")
-                .agg(F.sum("g").alias("g"), F.count("*").alias("h"))
-                .toPandas()
-            )
+            sums = _histograms(table, trees[since:], splits, open_, inputs, rate, unit) if level < params["depth"] else {}
             following = []
-            for i in open_:
-                mine = sums[sums["node"] == i]
-                g, h = np.zeros((inputs, BINS + 1), np.int64), np.zeros((inputs, BINS + 1), np.int64)
-                g[mine["input"], mine["bin"]], h[mine["input"], mine["bin"]] = mine["g"], mine["h"]
-                value[i] = g[0].sum() / (h[0].sum() + penalty) / unit
+            for i in open_ if sums else []:
+                g, h = sums[i]
+                value.setdefault(i, g[0].sum() / (h[0].sum() + penalty) / unit)
                 gain, feature, cut = _best(g, h, penalty, params.get("least_weight", 1.0))
                 gain /= unit**2
-                if gain > max(2 * params.get("least_gain", 0.0), 1e-12 * g[0].sum() ** 2 / unit**2, 1e-9):
+                if gain > max(2 * params.get("least_gain", 0.0), 1e-12 * float(g[0].sum()) ** 2 / unit**2, 1e-9):
                     splits[i], gains[i] = (feature, cut), gain
                     following += [2 * i, 2 * i + 1]
+                    # the sums of a child are those of the bins on its side
+                    low, all_, count = slice(0, cut + 1), g[feature].sum(), h[feature].sum()
+                    gl, hl = g[feature, low].sum(), h[feature, low].sum()
+                    value[2 * i] = gl / (hl + penalty) / unit
+                    value[2 * i + 1] = (all_ - gl) / (count - hl + penalty) / unit
             open_ = following
             if not open_:
                 break
         trees.append((splits, gains, value))
-        move = _branch(splits, {i: F.lit(rate * value[i]) for i in _leaves(splits)})
-        table = table.withColumn("margin", F.col("margin") + move)
-        if (k + 1) % KEPT_ROUNDS == 0:
-            table = table.persist()
-            table.count()
+        if (k + 1) % KEPT_ROUNDS == 0 and k + 1 < params["iterations"]:
+            moved = _with_margins(table, trees[since:], rate).persist()
+            moved.count()
             if kept is not None:
                 kept.unpersist()
-            kept = table
+            table = kept = moved
+            since = len(trees)
     if kept is not None:
         kept.unpersist()
     return _flat(trees, cuts, base, rate)

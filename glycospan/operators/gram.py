@@ -33,42 +33,46 @@ def _shift(column: str) -> float:
     return LEVEL if level else 0.0
 
 
-def _pairs(columns: list[str]) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-
-
 def statistics(rows: DataFrame, columns: list[str], by: tuple[str, ...] = ("patient_id",)) -> DataFrame:
-    """``n``, sums ``s_i`` and products ``p_i_j`` of the inputs and the target (the last) for each group.
+    """Products of 1, the inputs and the target with each other, summed for each group.
 
-    Rows without target or with a missing input are left out.
+    Row ``i`` of a group has the array ``products`` of value i with all of them; those of 0 are
+    the count and the sums. Rows without target or with a missing input are left out.
     """
     names = [*columns, TARGET]
     # nulls go before the columns are renamed: behind that, constraints of all renamings would be inferred
     whole = rows.na.drop("any", subset=names)
-    moved = whole.select(*by, *[(F.col(c).cast("double") - F.lit(_shift(c))).alias(f"v{i}") for i, c in enumerate(names)])
-    sums = [F.sum(f"v{i}").alias(f"s_{i}") for i in range(len(names))]
-    products = [F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"p_{i}_{j}") for i, j in _pairs(names)]
-    return moved.groupBy(*by).agg(F.count("*").alias("n"), *sums, *products)
+    values = F.array(F.lit(1.0), *[F.col(c).cast("double") - F.lit(_shift(c)) for c in names])
+    each = whole.select(*by, values.alias("v")).select(*by, "v", F.posexplode("v").alias("i", "a"))
+    sums = F.array(*[F.sum(F.col("a") * F.col("v")[j]) for j in range(len(names) + 1)])
+    return each.groupBy(*by, "i").agg(sums.alias("products"))
+
+
+def merged(*tables: DataFrame, size: int, by: tuple[str, ...] = ("patient_id",)) -> DataFrame:
+    """Statistics of ``size`` inputs over the rows of all ``tables``, of coarser groups if ``by`` names fewer columns."""
+    rows = reduce(DataFrame.unionByName, (t.select(*by, "i", "products") for t in tables))
+    return rows.groupBy(*by, "i").agg(F.array(*[F.sum(F.col("products")[j]) for j in range(size + 2)]).alias("products"))
 
 
-def merged(*tables: DataFrame, by: tuple[str, ...] = ("patient_id",)) -> DataFrame:
-    """Statistics of the rows of all ``tables`` together, of coarser groups if ``by`` names fewer columns."""
-    rows = reduce(DataFrame.unionByName, tables)
-    return rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in rows.columns if c == "n" or c.startswith(("s_", "p_"))])
+def _matrices(table: DataFrame) -> DataFrame:
+    """One row for each patient: its products in one array, row by row."""
+    rows = F.array_sort(F.collect_list(F.struct("i", "products")))
+    return table.groupBy("patient_id").agg(F.flatten(F.transform(rows, lambda r: r["products"])).alias("m"))
 
 
-def _system(row: np.ndarray, n: float, k: int) -> tuple[np.ndarray, ...]:
-    """(means, deviations, correlations times deviations of the target for y) from one row of sums and products."""
-    sums, products = row[:k] / n, np.zeros((k, k))
-    products[np.triu_indices(k)] = row[k:] / n
-    products = np.triu(products) + np.triu(products, 1).T
-    cov = products - np.outer(sums, sums)
+def _system(row: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(count, means, deviations, correlations of the inputs, mean products of scaled inputs and centred target)."""
+    k = int(round(len(row) ** 0.5))
+    matrix = np.asarray(row, float).reshape(k, k)
+    n = matrix[0, 0]
+    means, products = matrix[0, 1:] / n, matrix[1:, 1:] / n
+    cov = products - np.outer(means, means)
     variance = np.diag(cov).copy()
     variance[variance <= LEAST_VARIANCE * np.maximum(np.diag(products), 1e-300)] = 0.0
     spread = np.where(variance > 0, np.sqrt(variance), 1.0)
     alive = np.where(variance > 0, 1.0, 0.0)
     z = cov * np.outer(alive, alive) / np.outer(spread, spread)
-    return sums, spread, z[:-1, :-1], z[:-1, -1] * spread[-1]
+    return n, means, spread, z[:-1, :-1], z[:-1, -1] * spread[-1]
 
 
 def solve(name: str, gram: np.ndarray, moment: np.ndarray, n: float, params: dict, lasso) -> tuple[np.ndarray, bool]:
@@ -87,51 +91,44 @@ def solve(name: str, gram: np.ndarray, moment: np.ndarray, n: float, params: dic
 
 def patient_coefficients(name: str, table: DataFrame, columns: list[str], params: dict, lasso) -> DataFrame:
     """A row of coefficients on the unscaled inputs for each row of ``table``, which has statistics by patient."""
-    k = len(columns) + 1
-    ordered = _names(k)
     shifts = np.array([_shift(c) for c in [*columns, TARGET]])
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for patient, n, row in zip(pdf["patient_id"], pdf["n"], pdf[ordered].to_numpy(float), strict=True):
-                coef, intercept, converged, failure = None, None, False, None
+            for patient, row in zip(pdf["patient_id"], pdf["m"], strict=True):
+                n, coef, intercept, converged, failure = 0, None, None, False, None
                 try:
-                    means, spread, gram, moment = _system(row, n, k)
+                    n, means, spread, gram, moment = _system(row)
                     weights, converged = solve(name, gram, moment, n, params, lasso)
                     coef = weights / spread[:-1]
                     means = means + shifts
                     intercept = float(means[-1] - means[:-1] @ coef)
                 except (ArithmeticError, ValueError, np.linalg.LinAlgError) as problem:
                     failure = str(problem)
-                out.append((patient, coef, intercept, n, converged, failure))
+                out.append((patient, coef, intercept, int(n), converged, failure))
             yield pd.DataFrame(out, columns=["patient_id", "coef", "intercept", "n", "converged", "failure"])
 
-    return table.select("patient_id", "n", *ordered).mapInPandas(
+    return _matrices(table).mapInPandas(
         fit, "patient_id long, coef array<double>, intercept double, n long, converged boolean, failure string"
     )
 
 
-def _names(k: int) -> list[str]:
-    return [f"s_{i}" for i in range(k)] + [f"p_{i}_{j}" for i in range(k) for j in range(i, k)]
-
-
 def scales(table: DataFrame, columns: list[str]) -> DataFrame:
     """The patients' means and deviations of the inputs (1 where there is none), and the mean of the target."""
-    k = len(columns) + 1
     shifts = np.array([_shift(c) for c in [*columns, TARGET]])
     out = ["patient_id", "level", *[f"{c}__mean" for c in columns], *[f"{c}__std" for c in columns]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for patient, n, row in zip(pdf["patient_id"], pdf["n"], pdf[_names(k)].to_numpy(float), strict=True):
-                means, spread, _, _ = _system(row, n, k)
+            for patient, row in zip(pdf["patient_id"], pdf["m"], strict=True):
+                _, means, spread, _, _ = _system(row)
                 means = means + shifts
                 rows.append((patient, means[-1], *means[:-1], *spread[:-1]))
             yield pd.DataFrame(rows, columns=out)
 
-    return table.select("patient_id", "n", *_names(k)).mapInPandas(run, ", ".join(f"`{c}` {'long' if c == 'patient_id' else 'double'}" for c in out))
+    return _matrices(table).mapInPandas(run, ", ".join(f"`{c}` {'long' if c == 'patient_id' else 'double'}" for c in out))
 
 
 def pooled_system(table: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -146,15 +143,14 @@ def pooled_system(table: DataFrame, columns: list[str]) -> tuple[int, np.ndarray
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((k, k))
         for pdf in batches:
-            for n, row in zip(pdf["n"], pdf[_names(k)].to_numpy(float), strict=True):
-                _, _, gram, moment = _system(row, n, k)
+            for row in pdf["m"]:
+                n, _, _, gram, moment = _system(row)
                 total[: k - 1, : k - 1] += n * gram
                 total[: k - 1, k - 1] += n * moment
                 total[k - 1, k - 1] += n
         yield pd.DataFrame({"place": np.arange(k * k), "v": total.ravel()})
 
-    parts = table.select("n", *_names(k)).mapInPandas(run, "place long, v double")
-    sums = parts.groupBy("place").agg(F.sum("v").alias("v")).toPandas()
+    sums = _matrices(table).select("m").mapInPandas(run, "place long, v double").groupBy("place").agg(F.sum("v").alias("v")).toPandas()
     total = np.zeros(k * k)
     total[sums["place"]] = sums["v"]
     total = total.reshape(k, k)

@@ -145,7 +145,8 @@ def test_statistics_of_parts_add_up_to_those_of_the_whole(table):
     columns = features.input_columns(table)
     early, late = table.where("hour_ts < '2024-01-20'"), table.where("hour_ts >= '2024-01-20'")
     by_day = gram.statistics(late.withColumn("day", F.to_date("hour_ts")), columns, ("patient_id", "day"))
-    parts = gram.merged(gram.statistics(early, columns), gram.merged(by_day))
+    size = len(columns)
+    parts = gram.merged(gram.statistics(early, columns), gram.merged(by_day, size=size), size=size)
     want = models.fit_model("ridge", table, "patient")
     got = models.from_statistics("ridge", parts, columns)
     rows = table.where("patient_id = 2")
