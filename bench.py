@@ -42,11 +42,16 @@ HEADLINE = (
     "m2_linear_regression",
     "m3_ridge_per_patient",
     "m5_random_forest",
+    "m5_random_forest_per_patient",
     "m6_gradient_boosting",
+    "m7_second_order_boosting_per_patient",
     "m8_kernel_regression",
+    "m8_exact_kernel_regression",
     "m9_nearest_neighbours",
     "m10_decision_tree",
+    "m10_decision_tree_per_patient",
     "x2_recursive_forecast",
+    "x2_recursive_forest",
     "x3_frozen_forecast",
     "x8_date_range_forecast",
     "e2_error_metrics",

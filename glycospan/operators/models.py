@@ -448,6 +448,8 @@ def fit_model(name: str, train: DataFrame, scope: str = "pooled", **params):
     """
     check_algorithm(name)
     options = DEFAULT_PARAMS[name] | params
+    if options.get("alpha", 0.0) < 0:
+        raise ValueError(f"alpha must not be negative, as {options['alpha']} is")
     if name == "prophet":
         return SeasonalModel(SEASONAL_FITS["fourier" if options.get("fourier") else options["method"]](train))
     if name == "knn":

@@ -173,9 +173,9 @@ def test_recursion_of_pooled_models_starts_like_their_predictions(waves, table,
     np.testing.assert_allclose([r.predicted_glucose for r in got], [r.prediction for r in want], rtol=1e-6)
 
 
-def test_trees_have_no_recursive_forecast(table):
-    model = models.fit_model("decision_tree", table)
-    with pytest.raises(ValueError, match="Spark job per step"):
+def test_models_of_stored_rows_have_no_recursive_forecast(table):
+    model = models.fit_model("knn", table)
+    with pytest.raises(ValueError, match="no recursive forecast"):
         forecasting.forecast_recursive(model, table, forecasting.future_grid(table, 2))
 
 
