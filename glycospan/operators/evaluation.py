@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,26 +130,55 @@ def backtest(name: str, table: DataFrame, **options) -> DataFrame:
     return error_metrics(score_holdout(name, table, **options))
 
 
+def _in_own_pool(context, name: str, work):
+    """Run ``work`` with its jobs in a scheduler pool of their own; what still runs when it fails is cancelled."""
+    tag = f"compare-{name}-{uuid.uuid4().hex}"
+    context.setLocalProperty("spark.scheduler.pool", name)
+    context.addJobTag(tag)
+    try:
+        return work()
+    except Exception:
+        context.cancelJobsWithTag(tag)
+        raise
+    finally:
+        context.removeJobTag(tag)
+        context.setLocalProperty("spark.scheduler.pool", None)
+
+
 def compare_algorithms(
     hourly: DataFrame,
     features: DataFrame,
     names,
     params: dict[str, dict] | None = None,
+    parallel: int = 4,
     **options,
 ) -> DataFrame:
     """Leaderboard of several algorithms, with a ``failure`` where there is nothing to rank.
 
-    Each algorithm's metrics, one row per patient, are made here, so that one that fails
-    while it is fitted or in a task gets a ``failure`` and leaves the others alone. A
-    patient that an algorithm cannot score says why.
+    Up to ``parallel`` algorithms are fitted and scored at a time, each in a scheduler pool of
+    its own, so that the short stages of one fill the gaps of another (pools share fairly where
+    ``spark.scheduler.mode`` is FAIR). Each algorithm's metrics, one row per patient, are made
+    here, so that one that fails while it is fitted or in a task gets a ``failure`` and leaves
+    the others alone. A patient that an algorithm cannot score says why.
     """
-    results, failed = [], []
     for name in names:
         check_algorithm(name)
+    context = features.sparkSession.sparkContext
+
+    def scored(name: str) -> DataFrame:
         table = hourly if name == "prophet" else features
-        try:
-            results.append(durable(backtest(name, table, **options, **(params or {}).get(name, {}))))
-        except Exception as problem:  # noqa: BLE001 - one failing fit must not stop the others
+        return durable(backtest(name, table, **options, **(params or {}).get(name, {})))
+
+    with ThreadPoolExecutor(max(1, parallel)) as threads:
+        runs = {
+            name: threads.submit(inheritable_thread_target(features.sparkSession)(_in_own_pool), context, name, partial(scored, name))
+            for name in names
+        }
+    results, failed = [], []
+    for name, run in runs.items():
+        if (problem := run.exception()) is None:
+            results.append(run.result())
+        else:  # one failing fit must not stop the others
             failed.append(
                 features.select("patient_id")
                 .distinct()

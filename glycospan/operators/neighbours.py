@@ -16,30 +16,30 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLOCK = 2048
 
 
-def _squared_distances(queries: np.ndarray, known: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(queries), len(known)))
-    for j in range(known.shape[1]):
-        total += (queries[:, j, None] - known[None, :, j]) ** 2
-    return total
-
-
 def _nearest_means(queries: np.ndarray, known: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
-    """Mean target of the k nearest rows; earlier rows win ties."""
+    """Mean target of the k nearest rows; earlier rows win ties.
+
+    Distances from one matrix product, which rounds, leave few candidates: all rows that could
+    be among the k nearest. Only their distances are summed up column by column.
+    """
     k = min(k, len(y))
     out = np.empty(len(queries))
     chunk = max(1, 4_000_000 // max(len(y), 1))
+    lengths = (known * known).sum(axis=1)
     for at in range(0, len(queries), chunk):
-        distance = _squared_distances(queries[at : at + chunk], known)
-        near = np.argpartition(distance, k - 1, axis=1)[:, :k]
-        reach = np.take_along_axis(distance, near, axis=1).max(axis=1)
-        # rows in the order of their distance and then their place, so that means add up alike
-        near = np.sort(near, axis=1)
-        order = np.argsort(np.take_along_axis(distance, near, axis=1), axis=1, kind="stable")
-        near = np.take_along_axis(near, order, axis=1)
-        for i in np.flatnonzero((distance <= reach[:, None]).sum(axis=1) > k):  # a tie for the last place
-            tied = np.flatnonzero(distance[i] <= reach[i])
-            near[i] = tied[np.argsort(distance[i, tied], kind="stable")[:k]]
-        out[at : at + len(near)] = y[near].mean(axis=1)
+        part = queries[at : at + chunk]
+        own = (part * part).sum(axis=1)
+        rough = own[:, None] + lengths - 2 * (part @ known.T)
+        reach = np.partition(rough, k - 1, axis=1)[:, k - 1]
+        slack = 1e-11 * (own + lengths.max(initial=0.0)) + 1e-300
+        i, j = np.nonzero(rough <= (reach + slack)[:, None])
+        distance = np.zeros(len(i))
+        for c in range(known.shape[1]):
+            distance += (part[i, c] - known[j, c]) ** 2
+        order = np.lexsort((j, distance, i))
+        i, j = i[order], j[order]
+        first = np.searchsorted(i, np.arange(len(part)))
+        out[at : at + len(part)] = y[j[first[:, None] + np.arange(k)]].mean(axis=1)
     return out
 
 

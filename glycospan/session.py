@@ -14,6 +14,8 @@ def get_session(name: str = "glycospan", master: str | None = None, **options) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # pools of concurrent fits share the cores
+        .config("spark.scheduler.mode", "FAIR")
         # drop the files of durable tables once nothing refers to them
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )

@@ -112,3 +112,22 @@ def test_patients_that_cannot_be_scored_are_listed(make_hourly):
     found = {r.patient_id: r for r in board}
     assert found[2].n == 0 and found[2].skipped == 1 and "no prediction" in found[2].failure
     assert found[1].failure is None
+
+
+def test_algorithms_compared_at_once_give_the_same_board(waves):
+    table = features.build_features(waves, leak_free=True).persist()
+    names = ("ridge", "knn", "decision_tree", "prophet")
+    options = {"scope": "patient", "params": {"decision_tree": {"depth": 3}}}
+    one = evaluation.compare_algorithms(waves, table, names, parallel=1, **options).orderBy("patient_id", "algorithm").collect()
+    four = evaluation.compare_algorithms(waves, table, names, parallel=4, **options).orderBy("patient_id", "algorithm").collect()
+    assert one == four and len(one) == 8
+
+
+def test_jobs_of_an_algorithm_have_their_pool_and_lose_it(spark):
+    context = spark.sparkContext
+    seen = evaluation._in_own_pool(context, "ridge", lambda: (context.getLocalProperty("spark.scheduler.pool"), len(context.getJobTags())))
+    assert seen == ("ridge", 1)
+    assert context.getLocalProperty("spark.scheduler.pool") is None and not context.getJobTags()
+    with pytest.raises(ZeroDivisionError):
+        evaluation._in_own_pool(context, "ridge", lambda: 1 / 0)
+    assert not context.getJobTags()

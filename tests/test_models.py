@@ -158,3 +158,15 @@ def test_linear_fits_send_no_rows_to_python(table):
     plan = models.fit_model("ridge", table, "patient").coefficients._jdf.queryExecution().executedPlan().toString()
     above, below = plan.split("HashAggregate", 1) if "HashAggregate" in plan else plan.split("ObjectHashAggregate", 1)
     assert "MapInPandas" in above and "Pandas" not in below
+
+
+def test_near_ties_are_settled_by_exact_distances():
+    from glycospan.operators.neighbours import _nearest_means
+
+    rng = np.random.default_rng(9)
+    known = rng.integers(-2, 3, (400, 4)) + 1e4  # many equal distances, far from the origin
+    queries, y = known[:50] + rng.integers(0, 2, (50, 4)), rng.normal(0, 1, 400)
+    distance = ((queries[:, None, :] - known[None, :, :]) ** 2).sum(axis=2)
+    for k in (1, 5, 400, 999):
+        want = [y[np.argsort(d, kind="stable")[:k]].mean() for d in distance]
+        np.testing.assert_allclose(_nearest_means(queries, known, y, k), want, atol=1e-12)
