@@ -109,9 +109,11 @@ def tag_subsets(flagged: DataFrame) -> DataFrame:
     return flagged.withColumn("subset", F.explode(names))
 
 
-def anomaly_counts(flagged: DataFrame) -> DataFrame:
-    """Counts by flag in one pass."""
+def anomaly_counts(flagged: DataFrame, with_total: bool = False) -> DataFrame:
+    """Counts by flag in one pass, ``with_total`` that of all readings too."""
+    total = [F.count("*").alias("total_readings")] if with_total else []
     return flagged.groupBy("patient_id").agg(
+        *total,
         F.count_if("sensor_error").alias("sensor_errors"),
         F.count_if("statistical_outlier").alias("statistical_outliers"),
         F.count_if("sudden_change").alias("sudden_changes"),

@@ -119,58 +119,49 @@ def histogram(df: DataFrame, bins: int = 50, value: str = "glucose") -> DataFram
     Empty bins are listed. A patient with a single value has all rows in one bin
     of width 1 around it, as plotting libraries draw it.
     """
-    v = F.col(value)
-    edges = df.groupBy("patient_id").agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
-    flat = F.col("lo") == F.col("hi")
-    edges = (
-        edges.where(F.col("lo").isNotNull())
-        .select(
-            "patient_id",
-            F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-            F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
-        )
-        .withColumn("width", (F.col("hi") - F.col("lo")) / F.lit(float(bins)))
+    # one exchange: edges, counts and empty bins are all made in the layout by patient
+    patient, v = Window.partitionBy("patient_id"), F.col("v")
+    ranges = (
+        df.where(F.col(value).isNotNull())
+        .select("patient_id", F.col(value).alias("v"))
+        .withColumns({"least": F.min("v").over(patient), "most": F.max("v").over(patient)})
     )
+    flat = F.col("least") == F.col("most")
+    edges = {
+        "lo": F.when(flat, F.col("least") - 0.5).otherwise(F.col("least")),
+        "hi": F.when(flat, F.col("most") + 0.5).otherwise(F.col("most")),
+    }
+    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    bin_ = F.least(F.floor((v - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int")
     counts = (
-        df.where(v.isNotNull())
-        .groupBy("patient_id", v.alias("v"))
+        ranges.withColumns(edges)
+        .withColumn("width", width)
+        .groupBy("patient_id", "lo", "width", bin_.alias("bin"))
         .agg(F.count("*").alias("n"))
-        .join(edges, "patient_id")
-        .withColumn(
-            "bin",
-            F.least(F.floor((F.col("v") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int"),
-        )
-        .groupBy("patient_id", "bin")
-        .agg(F.sum("n").alias("n"))
+        .groupBy("patient_id", "lo", "width")
+        .agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("filled"))  # at most ``bins`` entries
     )
-    every = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return every.join(counts, ["patient_id", "bin"], "left").select(
+    every = counts.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return every.select(
         "patient_id",
         "bin",
         (F.col("lo") + F.col("width") * F.col("bin")).alias("bin_low"),
         (F.col("lo") + F.col("width") * (F.col("bin") + 1)).alias("bin_high"),
-        F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce(F.try_element_at("filled", "bin"), F.lit(0).cast("long")).alias("n"),
     )
 
 
 def box_plot(df: DataFrame, value: str = "glucose") -> DataFrame:
     """Quartiles, whiskers at the furthest points within 1.5 IQR, and outliers."""
-    v = F.col(value)
-    quartiles = (
-        df.groupBy("patient_id")
-        .agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-        .select(
-            "patient_id",
-            F.col("q")[0].alias("q1"),
-            F.col("q")[1].alias("median_glucose"),
-            F.col("q")[2].alias("q3"),
-        )
-    )
+    # quartiles stay in the layout by patient, so the rows are exchanged once
+    v, patient = F.col(value), Window.partitionBy("patient_id")
+    points = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(patient)
+    rows = df.select("patient_id", value).withColumn("q", points)
+    rows = rows.withColumns({"q1": F.col("q")[0], "median_glucose": F.col("q")[1], "q3": F.col("q")[2]})
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = v.between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        df.join(quartiles, "patient_id")
-        .groupBy("patient_id", "q1", "median_glucose", "q3")
+        rows.groupBy("patient_id", "q1", "median_glucose", "q3")
         .agg(
             F.min(F.when(inside, v)).alias("whisker_low"),
             F.max(F.when(inside, v)).alias("whisker_high"),
@@ -249,7 +240,11 @@ def hourly_diversity(df: DataFrame, value: str = "predicted_glucose", ts: str =
 def kpi_row(
     readings: DataFrame, hourly: DataFrame, anomaly_counts: DataFrame, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """Total readings, mean, time in range and anomalies: one row per patient."""
+    """Total readings, mean, time in range and anomalies: one row per patient.
+
+    Readings are counted in a pass of their own only if ``anomaly_counts`` has no ``total_readings``.
+    """
+    counted = "total_readings" in anomaly_counts.columns
     raw = readings.groupBy("patient_id").agg(F.count("*").alias("total_readings"))
     clean = hourly.groupBy("patient_id").agg(
         F.avg("glucose").alias("avg_glucose"),
@@ -258,6 +253,9 @@ def kpi_row(
             F.count("*"),
         ).alias("time_in_range_percent"),
     )
+    if counted:
+        raw = anomaly_counts.select("patient_id", "total_readings", "total_anomalies")
+        return raw.join(clean, "patient_id", "left").select("patient_id", "total_readings", "avg_glucose", "time_in_range_percent", "total_anomalies")
     anomalies = anomaly_counts.select("patient_id", "total_anomalies")
     return raw.join(clean, "patient_id", "left").join(anomalies, "patient_id", "left")
 

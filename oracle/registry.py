@@ -12,8 +12,8 @@ from glycospan.config import Settings
 from glycospan.functions import ranges
 from glycospan.operators import anomalies, cleaning, evaluation, features, forecasting
 from glycospan.operators import models, patterns, report, seasonal, seasonal_map
-from glycospan.session import durable, use_utc
-from glycospan.sources import profile
+from glycospan.session import durable, durable_path, use_utc
+from glycospan.sources import profile, sinks
 from glycospan.sources.readings import as_readings, scan
 from oracle import sql as S
 
@@ -210,6 +210,19 @@ def _(spark, d):
     return profile.load_summary(readings(spark, d))
 
 
+@check(
+    "s7_sink_round_trip",
+    T_READ + """SELECT id, patient_id, "timestamp", value FROM readings""",
+    "value",
+)
+def _(spark, d):
+    """Readings written with a folder for each patient and read back."""
+    path = f"{durable_path(spark)}/readings"
+    sinks.write_table(readings(spark, d), path, "parquet")
+    back = spark.read.parquet(path)
+    return back.select("id", F.col("patient_id").cast("long"), "timestamp", "value")
+
+
 def _days(later: str, earlier: str) -> str:
     return f"CAST(floor((epoch_us({later}) - epoch_us({earlier})) / 8.64e10) AS BIGINT)"
 
@@ -889,7 +902,7 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = readings(spark, d)
-    counts = anomalies.anomaly_counts(anomalies.flag_anomalies(rows))
+    counts = anomalies.anomaly_counts(anomalies.flag_anomalies(rows), with_total=True)
     return patterns.kpi_row(rows, cleaning.clean(rows), counts)
 
 

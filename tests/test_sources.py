@@ -1,9 +1,10 @@
 import math
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from glycospan.sources import profile
+from glycospan.sources import profile, sinks
 from glycospan.sources.readings import READINGS, as_readings, read_readings, scan
 from glycospan.sources.sinks import write_table
 
@@ -95,3 +96,29 @@ def test_column_profile_of_no_rows(make):
 def test_whole_days(make):
     summary = profile.view_summary(make([(1, 0, 5), (1, 2 * 1440 + 1439, 9)]), "raw").first()
     assert summary.duration_days == 2 and summary.n_rows == 2
+
+
+def test_a_bucketed_table_spares_exchanges_by_patient(spark, waves):
+    from glycospan.operators import features, patterns
+
+    table = f"grid_{uuid.uuid4().hex}"
+    sinks.write_bucketed(waves, table, 3)
+    try:
+        back = spark.table(table)
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, waves.collect()))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for made in (features.add_lags(back), patterns.histogram(back), patterns.box_plot(back), patterns.variability(back)):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan, plan
+        assert "Exchange" in features.add_lags(waves)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"DROP TABLE {table}")
+
+
+def test_only_the_days_of_a_rerun_are_replaced(spark, make, tmp_path):
+    day = 24 * 60
+    sinks.replace_days(make([(1, 5, 100), (1, day + 5, 110), (2, day + 9, 120)]), str(tmp_path / "days"))
+    sinks.replace_days(make([(1, day + 7, 90)]), str(tmp_path / "days"))
+    got = spark.read.parquet(str(tmp_path / "days")).orderBy("timestamp").collect()
+    assert [(r.patient_id, r.value) for r in got] == [(1, 100.0), (1, 90.0)]
