@@ -33,9 +33,14 @@ FREQUENT = 100_000
 VERIFY = 8
 #: Bytes of text in which a shingle that is counted as frequent must occur twice.
 TOGETHER = 12 << 20
-#: Pairs of entries per index entry that are looked at without rounds of hubs before. A round
-#: moves the candidates' texts once more, so it has to save a lot.
-LIGHT = 1000
+#: Pairs of a hub that its text is sent once for.
+TOGETHER_NODES = 256
+#: Pairs of entries per index entry that are looked at without rounds of hubs before.
+LIGHT = 4
+#: Lists of more entries have hubs in a round; shorter ones make few pairs for each entry.
+LONG = 32
+#: Hubs of a token, and hubs that a node is compared with, in the first round and in the last ones.
+HUBS, MOST_HUBS = 4, 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -124,7 +129,7 @@ def described(texts: DataFrame, width: int) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, frequent: Counts, width: int, similar: int, matches: int) -> DataFrame:
-    """(token, node, at): the index entries of the documents with an id; ``at`` is the token's place and, in its low half, how many there are."""
+    """(token, node, n, at): the index entries of the documents with an id; ``at`` is the token's place and, in its low half, how many there are."""
     sent = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,41 +139,58 @@ def prefixes(texts: DataFrame, frequent: Counts, width: int, similar: int, match
                 node = digest(hashes)
                 if len(hashes) and node not in done:
                     done.add(node)
-                    found.append((prefix(hashes, sent.value(hashes), similar, matches), node))
+                    found.append((prefix(hashes, sent.value(hashes), similar, matches), node, len(hashes)))
             if found:
-                reach = np.array([len(t) for t, _ in found], np.int64)
-                node = np.repeat(np.array([n for _, n in found], np.int64), reach)
+                reach = np.array([len(t) for t, _, _ in found], np.int64)
+                node, size = (np.repeat(np.array([f[k] for f in found], np.int64), reach) for k in (1, 2))
                 place = np.arange(len(node)) - np.repeat(np.cumsum(reach) - reach, reach)
-                columns = [_signed(np.concatenate([t for t, _ in found])), pa.array(node), pa.array((place << 32) + np.repeat(reach, reach))]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "at"])
+                columns = [_signed(np.concatenate([t for t, _, _ in found])), pa.array(node), pa.array(size), pa.array((place << 32) + np.repeat(reach, reach))]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "n", "at"])
 
-    return texts.where(F.col("doc_id").isNotNull()).mapInArrow(entries, "token long, node long, at long")
+    return texts.where(F.col("doc_id").isNotNull()).mapInArrow(entries, "token long, node long, n long, at long")
 
 
-def set_rows(texts: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of each text."""
+def _similar(one: np.ndarray, two: np.ndarray, similar: int) -> bool:
+    """Whether two sorted sets share ``similar`` hundredths of their union."""
+    small, large = sorted((one, two), key=len)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    shared = int((large[at] == small).sum())
+    return 100 * shared >= similar * (len(one) + len(two) - shared)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            sets = shingle_sets(part.column("text").to_pylist(), width)
-            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            flat = _signed(np.concatenate(sets))
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["node", "shingles"])
 
-    return texts.mapInArrow(rows, "node long, shingles array<long>")
+def verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, width: int, similar: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough.
 
+    Each pair goes to its node with more pairs, the hub. A hub's text is sent once for each
+    ``TOGETHER_NODES`` of its pairs, ahead of the texts of the other nodes, which are then
+    compared as they come. Texts are moved and not sets: they are smaller, and compress.
+    """
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("degree"))
+    one, two = (degrees.select(F.col("end").alias(c), F.col("degree").alias(f"degree_{c}")) for c in "ab")
+    led = pairs.join(one, "a").join(two, "b").withColumn("lead", F.expr("degree_a >= degree_b"))
+    led = led.selectExpr("IF(lead, a, b) AS hub", "IF(lead, b, a) AS node", f"IF(lead, degree_a, degree_b) div {TOGETHER_NODES} + 1 AS parts")
+    members = led.selectExpr("hub", "pmod(xxhash64(node), parts) AS part", "1 AS follows", "node")
+    leads = members.select("hub", "part").distinct().selectExpr("hub", "part", "0 AS follows", "hub AS node")
+    routes = members.unionByName(leads).join(firsts, "node")
+    sent = texts.join(routes, "doc_id").select("hub", "part", "follows", "node", "text")
+    sent = sent.repartition("hub", "part").sortWithinPartitions("hub", "part", "follows")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, own = None, None
+        for rows in slices(batches):
+            sets = shingle_sets(rows.column("text").to_pylist(), width)
+            found = []
+            for hub, follows, node, hashes in zip(*(rows.column(c).to_pylist() for c in ("hub", "follows", "node")), sets, strict=True):
+                if digest(hashes) != node:  # another text with the same id
+                    continue
+                if not follows:
+                    current, own = hub, hashes
+                elif hub == current and _similar(own, hashes, similar):
+                    found.append((min(hub, node), max(hub, node)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, width: int, similar: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; the sets are made anew from one text of each node."""
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    first = docs.where("n > 0 AND doc_id IS NOT NULL").join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = set_rows(texts.join(first.select("doc_id"), "doc_id", "left_semi"), width)
-    sets = checkpointed(sets.repartition(partitions(texts), "node"))
-    second = pairs.join(sets.withColumnRenamed("node", "b"), "b").withColumnRenamed("shingles", "right")
-    both = second.join(sets.withColumnRenamed("node", "a"), "a")
-    shared = F.size(F.array_intersect("shingles", "right"))
-    union = F.size("shingles") + F.size("right") - shared
-    return both.where(100 * shared.cast("long") >= similar * union.cast("long")).select("a", "b").distinct()
+    return sent.mapInArrow(compare, "a long, b long").distinct()
 
 
 def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, similar: int = SIMILAR, matches: int = MATCHES, frequent: int = FREQUENT) -> DataFrame:
@@ -182,10 +204,10 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Shingles and sets are compared by 64-bit hashes.
 
     Steps: (1) sizes, set digests and frequent shingles; (2) index entries of the prefixes,
-    of which only tokens of two or more nodes stay; (3) where lists are long, rounds in
-    which each node is compared with one hub, the node with the smallest digest of the
-    round among those it shares most tokens with and isn't connected with; (4) all
-    remaining pairs of different components that share enough prefix tokens; (5) components.
+    of which only tokens of two or more nodes stay; (3) while lists are long, rounds in which
+    each node is compared with a few hubs, nodes that come first in the lists by a hash of the
+    round, that it isn't connected with; (4) all remaining pairs of different components that
+    share enough prefix tokens, a part of them at a time; (5) components.
     """
     texts = texts_of(df, id_col, text_col)
     seen = checkpointed(described(texts, width))
@@ -195,35 +217,40 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts = Counts(np.array([x for x, _ in listed], np.uint64), np.array([n for _, n in listed], np.int64))
 
     entries = prefixes(texts, counts, width, similar, matches).persist()  # read twice, recomputed if lost
-    shared = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("docs")).where("low <> high").select("token", "docs")
-    sizes = docs.select("node", "n").distinct()
-    index = entries.join(shared, "token").distinct().join(sizes, "node")
-    index = checkpointed(_ranked(index.selectExpr("token", "node", "n", "at >> 32 AS place", "at & 4294967295 AS reach", "docs")))
+    shared = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
+    index = entries.join(shared, "token").distinct()
+    index = checkpointed(index.selectExpr("token", "node", "n", "at >> 32 AS place", "at & 4294967295 AS reach"))
     entries.unpersist()
     if is_empty(index):
         return _result(docs, None)
+    packed = checkpointed(index.groupBy("node", "n", "reach").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("entries")))
+    firsts = docs.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    firsts = checkpointed(firsts.join(packed.select("node"), "node", "left_semi"))
+    leading = index.where(f"100 * (n - place) >= {similar} * n").drop("reach")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return checkpointed(verified(checkpointed(pairs), docs, texts, width, similar))
+        return checkpointed(verified(pairs, firsts, texts, width, similar))
 
-    links, roots, turn, linked = None, index.select("node", F.col("node").alias("root")).distinct(), 0, 0
-    entries_left, nodes = index.count(), roots.count()
+    links, tried, roots, turn, count, before = None, None, firsts.select("node", F.col("node").alias("root")), 0, HUBS, None
     while True:
-        labelled = index.join(roots, "node")
-        work = remaining_work(labelled)
-        # rounds pay as long as the rest would cost much more than reading the index, and they link nodes
-        last = work <= LIGHT * entries_left or turn and linked < 0.01 * nodes
-        if last:
+        labelled = _open(leading.join(roots, "node"))
+        entries_left, work = labelled.count(), remaining_work(labelled)
+        if work <= LIGHT * entries_left or before is not None and count == MOST_HUBS and work > 0.9 * before:
             break
-        found = verify(hub_pairs(labelled, index, turn, similar))
-        linked = found.count()
-        if linked:
+        if before is not None and work > 0.5 * before:
+            count = min(2 * count, MOST_HUBS)
+        pairs = hub_pairs(labelled, packed, turn, count, similar)
+        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = verify(pairs)
+        if not is_empty(found):
             links = found if links is None else links.unionByName(found)
-        if links is not None:
-            roots = _roots(index, links)
-        turn += 1
+            roots = _roots(firsts, links)
+        turn, before = turn + 1, work
 
-    left, most = checkpointed(other_pairs(labelled, index, similar)), 1
+    nodes = firsts.count()
+    left, most = other_pairs(labelled, packed, similar), 1
+    left = checkpointed(left if tried is None else left.join(tried, ["a", "b"], "left_anti"))
     while True:
         # many pairs: few of each node first, as those that then are connected need no look
         some = left if left.count() <= nodes else _some_each(left, most)
@@ -233,18 +260,14 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             links = found if links is None else links.unionByName(found)
         if some is left:
             return _result(docs, links)
-        roots = _roots(index, links) if links is not None else roots
+        roots = _roots(firsts, links) if links is not None else roots
         left = checkpointed(_apart(left.join(some, ["a", "b"], "left_anti"), roots))
 
 
-def _ranked(index: DataFrame) -> DataFrame:
-    """The entries with the rank of their token among the tokens of the node's prefix, rarest first.
-
-    Tokens that no other node has are not in the index; they come first.
-    """
-    own = Window.partitionBy("node")
-    rank = F.col("reach") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("docs", "token")) - 1
-    return index.withColumn("rank", rank).drop("docs")
+def _open(labelled: DataFrame) -> DataFrame:
+    """The entries of tokens that stand in more than one component."""
+    ends = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    return checkpointed(labelled.join(ends, "token"))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -260,39 +283,49 @@ def _some_each(pairs: DataFrame, most: int) -> DataFrame:
     return checkpointed(ends.withColumn("place", place).where(F.col("place") <= most).select("a", "b").distinct())
 
 
-def _roots(index: DataFrame, links: DataFrame) -> DataFrame:
+def _roots(firsts: DataFrame, links: DataFrame) -> DataFrame:
     tied = components(links)
-    nodes = index.select("node").distinct()
-    return checkpointed(nodes.join(tied, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    return checkpointed(firsts.select("node").join(tied, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+
 
+def hub_pairs(labelled: DataFrame, packed: DataFrame, turn: int, count: int, similar: int) -> DataFrame:
+    """For each node in long lists some hubs of other components that it shares enough tokens with: (a, b).
 
-def hub_pairs(labelled: DataFrame, index: DataFrame, turn: int, similar: int) -> DataFrame:
-    """For each node at most one hub of another component that it shares enough tokens with: (a, b)."""
-    place = F.xxhash64("node", F.lit(turn))
-    hubs = labelled.groupBy("token").agg(F.min(F.struct(place.alias("order"), F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("n").alias("hub_n"))).alias("h")).select("token", "h.*")
-    met = labelled.join(hubs, "token").where("root <> hub_root").where(f"100 * least(n, hub_n) >= {similar} * greatest(n, hub_n)")
-    best = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times")).groupBy("node").agg(F.max(F.struct("times", "hub")).alias("h"))
-    return _counted(best.select("node", F.col("h.hub").alias("node1")), index, similar)
+    The hubs of a token are the nodes that come first in ``count`` orders of the turn. Of the
+    hubs of its tokens a node takes the ``count`` that it meets most often.
+    """
+    orders = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)).alias("order"), F.col("node").alias("hub"), F.col("root").alias("root1"), F.col("n").alias("n1"), F.col("place").alias("place1"))) for k in range(count)]
+    hubs = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.array(*orders).alias("hubs")).where(F.col("size") > LONG)
+    hubs = hubs.select("token", F.explode("hubs").alias("h")).select("token", "h.hub", "h.root1", "h.n1", "h.place1").distinct()
+    met = _first(labelled.join(hubs, "token").where("root <> root1"), similar)
+    times = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("times"), F.xxhash64("hub", F.lit(turn)), "hub"))
+    best = times.withColumn("place", place).where(F.col("place") <= count)
+    return _counted(best.select("node", F.col("hub").alias("node1")), packed, similar)
 
 
-def _counted(tried: DataFrame, index: DataFrame, similar: int) -> DataFrame:
-    """The pairs (node, node1) that share enough prefix tokens, as (a, b)."""
-    other = index.select(*(F.col(c).alias(f"{c}1") for c in ("node", "n", "place", "reach")), "token")
-    return _enough(tried.join(index, "node").join(other, ["node1", "token"]), similar)
+def _counted(tried: DataFrame, packed: DataFrame, similar: int) -> DataFrame:
+    """The pairs (node, node1) that share as many prefix tokens as both prefixes allow to ask for, as (a, b).
+
+    Sets of sizes n and n1 must share m. j is the most for which both prefixes hold n - m + j
+    tokens; j of these must be shared.
+    """
+    other = packed.select(*(F.col(c).alias(f"{c}1") for c in packed.columns))
+    pairs = tried.select(F.least("node", "node1").alias("node"), F.greatest("node", "node1").alias("node1")).distinct()
+    met = pairs.join(packed, "node").join(other, "node1").withColumn("m", F.expr(_least(similar)))
+    met = met.withColumn("j", F.least(F.col("reach") - F.col("n"), F.col("reach1") - F.col("n1")) + F.col("m"))
+    asked = (F.expr(f"transform(filter(entries{k}, e -> e.place < n{k} - m + j), e -> e.token)") for k in ("", "1"))
+    return met.where(F.size(F.array_intersect(*asked)) >= F.col("j")).select(F.col("node").alias("a"), F.col("node1").alias("b"))
 
 
-def _asked(met: DataFrame, similar: int) -> DataFrame:
-    """m: the least intersection of similar sets of sizes n and n1; j: the most for which both prefixes hold n - m + j."""
-    least = F.expr(f"({similar} * (n + n1) + {99 + similar}) div {100 + similar}")
-    return met.withColumn("m", least).withColumn("j", F.least(F.col("reach") - F.col("n"), F.col("reach1") - F.col("n1")) + F.col("m"))
+def _least(similar: int) -> str:
+    """The least intersection of similar sets of sizes n and n1."""
+    return f"(({similar} * (n + n1) + {99 + similar}) div {100 + similar})"
 
 
-def _enough(met: DataFrame, similar: int) -> DataFrame:
-    """Of nodes that meet in tokens, the pairs (a, b) that share j of the first n - m + j."""
-    met = _asked(met, similar).where("place < n - m + j AND place1 < n1 - m + j")
-    pairs = met.groupBy(F.least("node", "node1").alias("a"), F.greatest("node", "node1").alias("b"))
-    # a pair may be tried from both sides
-    return pairs.agg(F.countDistinct("token").alias("times"), F.max("j").alias("j")).where("times >= j").select("a", "b")
+def _first(met: DataFrame, similar: int) -> DataFrame:
+    """Entries of nodes of similar size whose token may be the first that they share: as many as they must share are left from there on."""
+    return met.where(f"100 * least(n, n1) >= {similar} * greatest(n, n1) AND least(n - place, n1 - place1) >= {_least(similar)}")
 
 
 def _minority(labelled: DataFrame) -> DataFrame:
@@ -307,18 +340,16 @@ def remaining_work(labelled: DataFrame) -> int:
     return _minority(labelled).agg(F.sum("size")).first()[0] or 0
 
 
-def other_pairs(labelled: DataFrame, index: DataFrame, similar: int) -> DataFrame:
+def other_pairs(labelled: DataFrame, packed: DataFrame, similar: int) -> DataFrame:
     """All pairs of nodes of different components that share enough prefix tokens: (a, b).
 
     In each token's list, entries outside the largest component meet the entries of other
-    components. A pair that shares j tokens of a prefix shares one of all but its j - 1 most
-    frequent ones, so only the rarest tokens of the first node bring a pair up.
+    components. A pair comes up by the first token that it shares, in the order of all
+    tokens; it stands early in both sets.
     """
-    some = _minority(labelled).select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "root", "n", "place", "reach", "rank")))
-    met = some.join(labelled.drop("rank"), "token").where("root1 <> root").where(f"100 * least(n, n1) >= {similar} * greatest(n, n1)")
-    met = _asked(met, similar).where("rank1 <= reach1 - j AND place < n - m + j AND place1 < n1 - m + j")
-    tried = met.select(F.least("node", "node1").alias("node"), F.greatest("node", "node1").alias("node1")).distinct()
-    return _counted(tried, index, similar)
+    some = _minority(labelled).select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "root", "n", "place")))
+    met = _first(some.join(labelled, "token").where("root1 <> root"), similar)
+    return _counted(met.select("node", "node1"), packed, similar)
 
 
 def _result(docs: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -338,11 +369,12 @@ def _result(docs: DataFrame, links: DataFrame | None) -> DataFrame:
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The row with the smallest id of each component, with all its columns; rows without an id stay.
 
-    Of rows with one id one stays.
+    Of rows with one id the one with the smallest text stays (null last; any of equal ones).
+    No name of ``df``'s columns can clash. An empty table gives an empty one.
     """
     linked = link_documents(df, id_col, text_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    number = F.when(F.col(f"`{id_col}`").isNull(), F.monotonically_increasing_id())
-    own = F.col(f"`{id_col}`").cast("long")
-    numbered = df.withColumn("row_of_null", number)
-    kept = numbered.join(linked, own == F.col("kept_id"), "left").where(F.col("kept_id").isNotNull() | own.isNull())
-    return kept.dropDuplicates([id_col, "row_of_null"]).drop("row_of_null", "kept_id")
+    own, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    # the row's own columns stay inside a struct, so that no name of theirs can clash
+    rows = df.select(own.alias("own_id"), F.when(own.isNull(), F.monotonically_increasing_id()).alias("number"), F.struct(text.isNull(), text).alias("place"), F.struct("*").alias("row"))
+    kept = rows.join(linked, F.col("own_id") == F.col("kept_id"), "left").where("kept_id IS NOT NULL OR own_id IS NULL")
+    return kept.groupBy("own_id", "number").agg(F.min_by("row", "place").alias("row")).select("row.*")

@@ -238,9 +238,31 @@ def test_jaccard_join_of_nothing_and_of_clashing_columns(nothing, clashing):
 
 def test_rounds_of_hubs_lose_no_link(documents, corpus, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LIGHT", 0)
+    monkeypatch.setattr(jaccard_join, "LONG", 1)
     assert as_rows(jaccard_join.link_documents(documents, width=2, similar=50)) == linked(corpus, 2, 50)
 
 
+@pytest.mark.parametrize("together", [256, 3])
+def test_near_copies_at_the_limit_are_held_against_all_pairs(spark, monkeypatch, together):
+    monkeypatch.setattr(jaccard_join, "TOGETHER_NODES", together)
+    rng, base, rows = np.random.default_rng(5), [f"w{i}" for i in range(120)], []
+    for k in range(250):
+        words = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(0, 5))).tolist():
+            words[at] = f"x{rng.integers(40)}"
+        rows.append((k, " ".join(words)))
+    found = as_rows(jaccard_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found == linked(rows, 3, 90) and len({r[2] for r in found}) > 3
+
+
+def test_keep_one_takes_any_names_and_the_smallest_text_of_an_id(spark):
+    schema = "doc_id long, text string, row_of_null int, kept_id int, own_id int, number int, place int, row int"
+    rows = [(1, "b c", *[1] * 6), (1, "a c", *[2] * 6), (1, None, *[3] * 6), (None, "a c", *[4] * 6), (None, "a c", *[4] * 6), (2, "A c", *[5] * 6)]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, schema))
+    assert kept.columns == ["doc_id", "text", "row_of_null", "kept_id", "own_id", "number", "place", "row"]
+    assert as_rows(kept) == Counter([rows[1], rows[3], rows[4]])
+
+
 def test_keep_one_keeps_the_smallest_id(documents, corpus):
     kept = jaccard_join.keep_one(documents)
     ids = [r.doc_id for r in kept.collect()]
