@@ -223,23 +223,28 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     entries.unpersist()
     if is_empty(index):
         return _result(docs, None)
-    packed = checkpointed(index.groupBy("node", "n", "reach").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("entries")))
+    own = index.groupBy("node", "n", "reach").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("own"))
+    packed = checkpointed(own.selectExpr("node", "n", "reach", "own.token AS tokens", "CAST(own.place AS array<int>) AS places"))
     firsts = docs.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     firsts = checkpointed(firsts.join(packed.select("node"), "node", "left_semi"))
     leading = index.where(f"100 * (n - place) >= {similar} * n").drop("reach")
 
+    lists = leading.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LONG)
+    long = checkpointed(leading.join(lists.select("token"), "token"))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        return checkpointed(verified(pairs, firsts, texts, width, similar))
+        return checkpointed(verified(checkpointed(_counted(pairs, packed, similar)), firsts, texts, width, similar))
 
     links, tried, roots, turn, count, before = None, None, firsts.select("node", F.col("node").alias("root")), 0, HUBS, None
+    entries_left, nodes = index.count(), firsts.count()
     while True:
-        labelled = _open(leading.join(roots, "node"))
-        entries_left, work = labelled.count(), remaining_work(labelled)
+        labelled = long.join(roots, "node")
+        work = remaining_work(labelled)
         if work <= LIGHT * entries_left or before is not None and count == MOST_HUBS and work > 0.9 * before:
             break
         if before is not None and work > 0.5 * before:
             count = min(2 * count, MOST_HUBS)
-        pairs = hub_pairs(labelled, packed, turn, count, similar)
+        pairs = hub_pairs(labelled, turn, count, similar)
         pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = verify(pairs)
@@ -248,8 +253,7 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             roots = _roots(firsts, links)
         turn, before = turn + 1, work
 
-    nodes = firsts.count()
-    left, most = other_pairs(labelled, packed, similar), 1
+    left, most = other_pairs(leading.join(roots, "node"), similar), 1
     left = checkpointed(left if tried is None else left.join(tried, ["a", "b"], "left_anti"))
     while True:
         # many pairs: few of each node first, as those that then are connected need no look
@@ -264,12 +268,6 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         left = checkpointed(_apart(left.join(some, ["a", "b"], "left_anti"), roots))
 
 
-def _open(labelled: DataFrame) -> DataFrame:
-    """The entries of tokens that stand in more than one component."""
-    ends = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    return checkpointed(labelled.join(ends, "token"))
-
-
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs of different components."""
     first, second = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
@@ -288,34 +286,33 @@ def _roots(firsts: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(firsts.select("node").join(tied, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
 
 
-def hub_pairs(labelled: DataFrame, packed: DataFrame, turn: int, count: int, similar: int) -> DataFrame:
-    """For each node in long lists some hubs of other components that it shares enough tokens with: (a, b).
+def hub_pairs(labelled: DataFrame, turn: int, count: int, similar: int) -> DataFrame:
+    """For each node of the lists some hubs of other components: (a, b).
 
     The hubs of a token are the nodes that come first in ``count`` orders of the turn. Of the
     hubs of its tokens a node takes the ``count`` that it meets most often.
     """
     orders = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)).alias("order"), F.col("node").alias("hub"), F.col("root").alias("root1"), F.col("n").alias("n1"), F.col("place").alias("place1"))) for k in range(count)]
-    hubs = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.array(*orders).alias("hubs")).where(F.col("size") > LONG)
-    hubs = hubs.select("token", F.explode("hubs").alias("h")).select("token", "h.hub", "h.root1", "h.n1", "h.place1").distinct()
+    hubs = labelled.groupBy("token").agg(F.array(*orders).alias("hubs")).select("token", F.explode("hubs").alias("h"))
+    hubs = hubs.select("token", "h.hub", "h.root1", "h.n1", "h.place1").distinct()
     met = _first(labelled.join(hubs, "token").where("root <> root1"), similar)
     times = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("times"), F.xxhash64("hub", F.lit(turn)), "hub"))
     best = times.withColumn("place", place).where(F.col("place") <= count)
-    return _counted(best.select("node", F.col("hub").alias("node1")), packed, similar)
+    return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def _counted(tried: DataFrame, packed: DataFrame, similar: int) -> DataFrame:
-    """The pairs (node, node1) that share as many prefix tokens as both prefixes allow to ask for, as (a, b).
+def _counted(pairs: DataFrame, packed: DataFrame, similar: int) -> DataFrame:
+    """The pairs (a, b) that share as many prefix tokens as both prefixes allow to ask for.
 
     Sets of sizes n and n1 must share m. j is the most for which both prefixes hold n - m + j
     tokens; j of these must be shared.
     """
-    other = packed.select(*(F.col(c).alias(f"{c}1") for c in packed.columns))
-    pairs = tried.select(F.least("node", "node1").alias("node"), F.greatest("node", "node1").alias("node1")).distinct()
-    met = pairs.join(packed, "node").join(other, "node1").withColumn("m", F.expr(_least(similar)))
+    one, two = (packed.select(F.col("node").alias(c), *(F.col(x).alias(x + k) for x in ("n", "reach", "tokens", "places"))) for c, k in (("a", ""), ("b", "1")))
+    met = pairs.join(one, "a").join(two, "b").withColumn("m", F.expr(_least(similar)))
     met = met.withColumn("j", F.least(F.col("reach") - F.col("n"), F.col("reach1") - F.col("n1")) + F.col("m"))
-    asked = (F.expr(f"transform(filter(entries{k}, e -> e.place < n{k} - m + j), e -> e.token)") for k in ("", "1"))
-    return met.where(F.size(F.array_intersect(*asked)) >= F.col("j")).select(F.col("node").alias("a"), F.col("node1").alias("b"))
+    asked = (F.expr(f"slice(tokens{k}, 1, size(filter(places{k}, p -> p < n{k} - m + j)))") for k in ("", "1"))
+    return met.where(F.size(F.array_intersect(*asked)) >= F.col("j")).select("a", "b")
 
 
 def _least(similar: int) -> str:
@@ -340,8 +337,8 @@ def remaining_work(labelled: DataFrame) -> int:
     return _minority(labelled).agg(F.sum("size")).first()[0] or 0
 
 
-def other_pairs(labelled: DataFrame, packed: DataFrame, similar: int) -> DataFrame:
-    """All pairs of nodes of different components that share enough prefix tokens: (a, b).
+def other_pairs(labelled: DataFrame, similar: int) -> DataFrame:
+    """All pairs of nodes of different components that may share enough tokens: (a, b).
 
     In each token's list, entries outside the largest component meet the entries of other
     components. A pair comes up by the first token that it shares, in the order of all
@@ -349,7 +346,7 @@ def other_pairs(labelled: DataFrame, packed: DataFrame, similar: int) -> DataFra
     """
     some = _minority(labelled).select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "root", "n", "place")))
     met = _first(some.join(labelled, "token").where("root1 <> root"), similar)
-    return _counted(met.select("node", "node1"), packed, similar)
+    return met.select(F.least("node", "node1").alias("a"), F.greatest("node", "node1").alias("b")).distinct()
 
 
 def _result(docs: DataFrame, links: DataFrame | None) -> DataFrame:
