@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,9 +26,14 @@ from glycospan.llm.boosted_trees import BoostedTrees
 from glycospan.llm.common import slices
 
 #: Pages whose words fill the training layouts, those with the smallest hash of their id, and how many layouts are made.
-TRAINING_PAGES, TRAINING_LAYOUTS = 200, 1000
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|aria-label|data-[a-z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+TRAINING_PAGES, TRAINING_LAYOUTS = 200, 1600
+#: Tags are read as browsers do: a quote opens a value only right after the equals sign, and one that is never closed runs
+#: to the end of the page. The patterns give nothing back, so that each character is looked at once or twice.
+_VALUE = r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+"
+_PAIR = re.compile(rf"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE}))?+")
+_TAG = rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{_VALUE}))?+)*+)(?:>|\Z)"
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|{_TAG}|<[!?/][^>]*+(?:>|\Z)", re.S)
+_LONG_NUMBER = re.compile(r"&#([0-9]{100,});?")
 _PART = re.compile(r"[A-Z]?[a-z]+")
 _MARKS = re.compile(r"[.,;:!?。、]")
 
@@ -47,8 +53,8 @@ TAGS = {name: i for i, group in enumerate(("p", "div", "section", "article main"
 #: Stems of attribute words, by what they hint at.
 HINTS = {stem: i for i, group in enumerate(("nav navi navigation menu breadcrumb breadcrumbs toolbar", "header head masthead topbar top logo", "footer foot bottom copyright legal", "side sidebar aside rail widget widgets", "cookie cookies consent notice alert banner popup modal overlay message warning", "ad ads adv advert advertisement sponsor sponsored promo promotion", "share social follow", "comment comments reply replies respond discussion disqus", "related recommended more popular trending teaser", "form search login signup subscribe newsletter", "article content main post entry story text body page", "meta byline author date tags tag caption")) for stem in group.split()}
 N_HINTS = 12
-_EVERY_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
-_MAYBE_HIDDEN = re.compile(r"hidden|style", re.I)
+_AD, _CONTENT = 1 << 5, 1 << 10
+_TOLD = frozenset("class id role aria-label".split())
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 
 
@@ -65,29 +71,36 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
-def _hints(attributes: str) -> int:
+def _unescaped(text: str) -> str:
+    """The text with its character references decoded; numbers of any length, too large ones as U+FFFD."""
+    if "&" not in text:
+        return text
+    return html.unescape(_LONG_NUMBER.sub(lambda m: f"&#{m[1].lstrip('0')[:8] or 0};", text))
+
+
+def _hints(pairs: list[tuple[str, str]]) -> int:
     found = 0
-    for _, value in _ATTRIBUTE.findall(attributes):
-        for part in _PART.findall(value):
-            hint = HINTS.get(part.lower())
-            if hint is not None:
-                found |= 1 << hint
+    for name, value in pairs:
+        name = name.lower()
+        if name in _TOLD or name.startswith("data-"):
+            for part in _PART.findall(value):
+                hint = HINTS.get(part.lower())
+                if hint is not None:
+                    found |= 1 << hint
     return found
 
 
-def _hidden(attributes: str) -> bool:
+def _hidden(pairs: list[tuple[str, str]]) -> bool:
     """Whether there is an attribute called hidden, or a style whose display is none."""
-    if not _MAYBE_HIDDEN.search(attributes):
-        return False
     styled = False
-    for name, value in _EVERY_ATTRIBUTE.findall(attributes):
+    for name, value in pairs:
         name = name.lower()
         if name == "hidden":
             return True
         if name == "style" and not styled:  # the first of two counts
             styled = True
             display, fixed = "", False
-            for declaration in _COMMENT.sub(" ", html.unescape(value.strip("\"'"))).lower().split(";"):
+            for declaration in _COMMENT.sub(" ", _unescaped(value.strip("\"'"))).lower().split(";"):
                 key, _, setting = declaration.partition(":")
                 setting, _, rank = setting.partition("!")
                 if key.strip() == "display" and (not fixed or rank):  # the last one counts, unless one is important
@@ -97,113 +110,139 @@ def _hidden(attributes: str) -> bool:
     return False
 
 
+class _Parser:
+    """The nodes of a page while it is read; open elements are found by name, without a walk."""
+
+    def __init__(self) -> None:
+        self.nodes = [Node("#root", -1, 0)]
+        self.open: list[tuple[str, bool]] = [("#root", True)]  # name, whether it is a node
+        self.blocks = [(0, 0)]  # node and place of the open elements that are nodes
+        self.places: dict[str, list[int]] = {}  # places of the open elements of each name
+        self.scopes: list[int] = []  # places of those that keep an open paragraph from being ended
+        self.run: list[str] = []
+        self.linked = self.open_links = 0
+
+    def flush(self) -> None:
+        text = " ".join("".join(self.run).split())
+        self.run = []
+        if text:
+            block = self.blocks[-1][0]
+            own = self.nodes[block]
+            self.nodes.append(Node("#text", block, own.depth + 1, min(self.linked, len(text)), own.inherited | own.hints, text=text))
+            own.children.append(len(self.nodes) - 1)
+        self.linked = 0
+
+    def add(self, text: str) -> None:
+        if text and not self.nodes[self.blocks[-1][0]].silent:
+            text = _unescaped(text)
+            self.run.append(text)
+            if self.open_links:
+                self.linked += len(text)
+
+    def start(self, tag: str, pairs: list[tuple[str, str]], hints: int) -> None:
+        """Open an element that is a node."""
+        self.flush()
+        block = self.blocks[-1][0]
+        own = self.nodes[block]
+        silent = own.silent or tag in SILENT or bool(pairs) and _hidden(pairs)
+        self.nodes.append(Node(tag, block, own.depth + 1, hints, own.inherited | own.hints, silent))
+        own.children.append(len(self.nodes) - 1)
+        self.blocks.append((len(self.nodes) - 1, len(self.open)))
+        self.push(tag, True)
+
+    def push(self, tag: str, is_node: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in SCOPE:
+            self.scopes.append(len(self.open))
+        self.open.append((tag, is_node))
+        self.open_links += tag == "a"
+
+    def close(self, place: int) -> None:
+        """Close the open elements from a place on."""
+        while len(self.open) > place:
+            tag, is_node = self.open.pop()
+            self.places[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+            self.open_links -= tag == "a"
+            if is_node:
+                self.flush()
+                self.blocks.pop()
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def end(self, tag: str) -> None:
+        place = self.last(tag)
+        # the end tag of an inline element that stands outside of the block is a stray one
+        if place and (tag not in INLINE or place >= self.blocks[-1][1]):
+            self.close(place)
+
+    def end_implied(self, tag: str) -> None:
+        """Close what an opening tag ends without an end tag."""
+        if tag in ENDS_P:
+            place = self.last("p")
+            if place and place > (self.scopes[-1] if self.scopes else 0):
+                self.close(place)
+        if tag in ENDS:
+            ended, limits = ENDS[tag]
+            limit = max(map(self.last, limits))
+            beyond = [p[i] for p in map(self.places.get, ended) if p and (i := bisect_right(p, limit)) < len(p)]
+            if beyond:
+                self.close(min(beyond))
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order: elements, and the runs of text of each block as nodes called #text.
 
-    Inline elements are no nodes but part of a run, except links, whose length the runs
-    carry in ``hints`` (in characters). Missing end tags are put in as browsers do.
+    Inline elements are no nodes but part of a run, except those whose attributes name an
+    advert; of links the runs carry the length in ``hints`` (in characters). Missing end
+    tags are put in as browsers do. A tag that the end of the page cuts off is dropped. The
+    time is in proportion to the page, whatever its tags.
     """
-    nodes = [Node("#root", -1, 0)]
-    open_nodes: list[tuple[str, int]] = [("#root", 0)]
-    run: list[str] = []
-    links = [0, 0]  # characters of the run inside links, open links
-
-    def flush() -> None:
-        nonlocal run
-        text = " ".join("".join(run).split())
-        run = []
-        if text:
-            block = next(n for _, n in reversed(open_nodes) if n >= 0)
-            own = nodes[block]
-            nodes.append(Node("#text", block, own.depth + 1, min(links[0], len(text)), own.inherited | own.hints, text=text))
-            own.children.append(len(nodes) - 1)
-        links[0] = 0
-
-    def close(count: int) -> None:
-        for tag, number in open_nodes[len(open_nodes) - count :]:
-            if tag == "a":
-                links[1] -= 1
-            if number >= 0:
-                flush()
-        del open_nodes[len(open_nodes) - count :]
-
-    def add(text: str) -> None:
-        if text and not nodes[next(n for _, n in reversed(open_nodes) if n >= 0)].silent:
-            text = html.unescape(text) if "&" in text else text
-            run.append(text)
-            if links[1] > 0:
-                links[0] += len(text)
-
+    reading = _Parser()
     at, size = 0, len(page)
     while at < size:
         match = _TOKEN.search(page, at)
         if not match:
-            add(page[at:])
+            reading.add(page[at:])
             break
-        if match.start() > at:
-            add(page[at : match.start()])
+        reading.add(page[at : match.start()])
         at = match.end()
         ending, tag, attributes = match.groups()
         if tag is None:
             continue
         tag = tag.lower()
         if ending:
-            for back in range(1, len(open_nodes)):
-                if open_nodes[-back][0] == tag:
-                    close(back)
-                    break
-                if tag in INLINE and open_nodes[-back][1] >= 0:
-                    break  # a stray end tag
+            reading.end(tag)
             continue
         if tag == "br":
-            add(" ")
+            reading.add(" ")
             continue
-        if tag in ENDS_P:
-            for back in range(1, len(open_nodes)):
-                if open_nodes[-back][0] == "p":
-                    close(back)
-                    break
-                if open_nodes[-back][0] in SCOPE:
-                    break
-        if tag in ENDS:
-            ended, limits = ENDS[tag]
-            reach = 0
-            for back in range(1, len(open_nodes)):
-                if open_nodes[-back][0] in limits:
-                    break
-                if open_nodes[-back][0] in ended:
-                    reach = back
-            if reach:
-                close(reach)
+        reading.end_implied(tag)
         if tag in VOID:
             if tag not in INLINE:
-                flush()
+                reading.flush()
             continue
-        if tag in INLINE:
-            if attributes.endswith("/"):
-                continue
-            open_nodes.append((tag, -1))
-            if tag == "a":
-                links[1] += 1
+        pairs = _PAIR.findall(attributes) if attributes else []
+        hints = _hints(pairs) if pairs else 0
+        if tag in INLINE and not hints & _AD:
+            if not attributes.endswith("/"):
+                reading.push(tag, False)
             continue
-        flush()
-        block = next(n for _, n in reversed(open_nodes) if n >= 0)
-        own = nodes[block]
-        silent = own.silent or tag in SILENT or bool(attributes) and _hidden(attributes)
-        nodes.append(Node(tag, block, own.depth + 1, _hints(attributes) if attributes else 0, own.inherited | own.hints, silent))
-        own.children.append(len(nodes) - 1)
-        open_nodes.append((tag, len(nodes) - 1))
+        reading.start(tag, pairs, hints)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else size
-            close(1)
-    close(len(open_nodes) - 1)
-    flush()
-    return nodes
+            reading.close(reading.last(tag))
+    reading.close(1)
+    reading.flush()
+    return reading.nodes
 
 
-FEATURES = 19 + 2 * N_HINTS + 4
-_INSIDE = {"nav": 1, "menu": 1, "header": 2, "footer": 2, "aside": 4, "form": 4, "article": 8, "main": 8}
+FEATURES = 25 + 2 * N_HINTS + 5
+_INSIDE = {"nav": 1, "menu": 1, "header": 2, "footer": 16, "aside": 4, "form": 4, "article": 8, "main": 8}
 
 
 def features(nodes: list[Node]) -> np.ndarray:
@@ -226,6 +265,15 @@ def features(nodes: list[Node]) -> np.ndarray:
         up = node.parent
         for values in (text, tags, links, paragraphs, items, marks, runs):
             values[up] += values[i]
+    largest = [0] * n  # text of the largest child
+    wrapped = told = 0  # text in the page's largest article or main element, and in its largest element called like one
+    for i in range(1, n):
+        node = nodes[i]
+        largest[node.parent] = max(largest[node.parent], text[i])
+        if node.tag in ("article", "main"):
+            wrapped = max(wrapped, text[i])
+        elif node.tag != "#text" and node.hints & _CONTENT:
+            told = max(told, text[i])
     total, log = max(text[0], 1), math.log1p
     rows = np.zeros((n, FEATURES), np.float32)
     for i in range(1, n):
@@ -253,10 +301,16 @@ def features(nodes: list[Node]) -> np.ndarray:
             links[node.parent] / above if above else 0,
             log(paragraphs[node.parent]),
             here / runs[i] if runs[i] else 0,
+            here / largest[node.parent] if here else 0,
+            largest[node.parent] / above if above else 0,
+            largest[i] / here if here else 0,
+            wrapped / total,
+            told / total,
+            log(total),
         ]
         row += [hints >> k & 1 for k in range(N_HINTS)]
         row += [node.inherited >> k & 1 for k in range(N_HINTS)]
-        row += [inside[i] >> k & 1 for k in range(4)]
+        row += [inside[i] >> k & 1 for k in range(5)]
         rows[i] = row
     return rows
 
@@ -335,7 +389,8 @@ def extract_text(pages: DataFrame, extractor: Extractor | None = None, id_col: s
 
     Text of a block has single spaces and is trimmed; blocks are joined by one space in
     page order. A null, empty or textless page gives an empty text. Each row is worked on
-    alone, whole, without a shuffle; null and repeated ids are kept as they are.
+    alone, whole, without a shuffle, in time in proportion to its length; null and repeated
+    ids are kept as they are.
     """
     sent = pages.sparkSession.sparkContext.broadcast(extractor or train(pages, id_col, html_col))
 

@@ -83,19 +83,28 @@ class _Writer:
         out = []
         if self.often(0.8):
             head = self.one(["h1", "h1", "h2"])
-            title = f"<{head}>{MARK}{self.text(2, 14, False)}</{head}>"
+            words = self.one("AQÉÑЖ7") if self.often(0.04) else self.text(1, 14, False)
+            title = f"<{head}>{MARK}{words}</{head}>"
             out.append(f"<header>{title}</header>" if self.often(0.15) else title)
         blocks = self.one(["p", "p", "p", "open", "div", "br"])
         sizes = self.one([[(1, 8)], [(5, 25)], [(1, 5), (5, 60), (20, 150)], [(20, 150)]])
-        for _ in self.some(1, 14):
+        for _ in self.some(1, self.one([3, 14, 14])):
             text = MARK + self.text(*self.one(sizes))
             if self.often(0.15):
                 text += " " + self.link(self.text(1, 4, False)) + " " + self.text(3, 20)
-            kind = self.one(["list", "quote", "head", "table"]) if self.often(0.12) else blocks
+            if self.often(0.04):
+                text += f' <span class="{self.one(_PARTS["ad"][1])}">{self.text(1, 12)}</span> ' + (MARK + self.text(3, 20)) * self.often(0.5)
+            kind = self.one(["list", "quote", "head", "table", "terms", "code", "figure"]) if self.often(0.15) else blocks
             if kind == "list":
                 out.append("<ul>" + "".join(f"<li>{MARK}{self.text(2, 20)}</li>" for _ in self.some(2, 6)) + "</ul>")
             elif kind == "quote":
                 out.append(f"<blockquote>{text}</blockquote>")
+            elif kind == "terms":
+                out.append("<dl>" + "".join(f"<dt>{MARK}{self.text(1, 4, False)}<dd>{MARK}{self.text(2, 20)}" for _ in self.some(1, 5)) + "</dl>")
+            elif kind == "code":
+                out.append(f"<pre>{text}</pre>")
+            elif kind == "figure":
+                out.append(f"<figure><img src=a.png><figcaption>{MARK}{self.text(2, 20)}</figcaption></figure>")
             elif kind == "head":
                 out.append(f"<h2>{MARK}{self.text(1, 8, False)}</h2>")
             elif kind == "table":
@@ -107,6 +116,8 @@ class _Writer:
                 out.append(self.part(self.one(["ad", "share", "related", "form"]), telling))
         tags, names = _MAIN
         body = "".join(out)
+        if self.often(0.25):  # an article without a container
+            return body
         tag = self.one(tags) if self.often(telling) else "div"
         page = f"<{tag}{self.attributes(names, telling)}>{body}</{tag}>"
         for _ in self.some(0, 2):
@@ -117,9 +128,12 @@ class _Writer:
         telling = self.one([1.0, 1.0, 0.8, 0.5, 0.0])
         before = [self.part(k, telling) for k in ("notice", "header", "nav", "ad", "form", "side") if self.often(0.5)]
         after = [self.part(k, telling) for k in ("share", "comments", "related", "ad", "side", "form", "nav", "footer", "notice") if self.often(0.45)]
+        if self.often(0.2):  # nothing but the article
+            before, after = [], []
         head = f"<head><title>{self.text(2, 10, False)}</title><script>var a='<p>';</script></head>"
         body = "".join(before) + (self.main(telling) if self.often(0.97) else "") + "".join(after)
-        return f"<html>{head}<body>{body}</body></html>"
+        # browsers put in a head, a body and a root that are not there
+        return self.one([f"<html>{head}<body>{body}</body></html>"] * 4 + [f"<html><body>{body}</body></html>", f"<body>{body}</body>", body])
 
 
 def layouts(words: list[list[str]], count: int, seed: int) -> Iterator[str]:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 
@@ -23,7 +25,7 @@ def pages(spark):
 
 @pytest.fixture(scope="module")
 def extractor(pages):
-    return extraction.train(pages, layouts=300)
+    return extraction.train(pages)
 
 
 def test_main_text_of_pages(pages, extractor):
@@ -69,6 +71,72 @@ def test_an_article_that_clips_its_overflow_keeps_its_text(extractor):
     assert extractor.texts([page]) == [TEXT]
 
 
+LINE = "The harbour was quiet in the morning, and the boats lay still along the old stone quay while gulls cried above."
+MENU = "<nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav>"
+FOOT = "<footer>&copy; Somebody</footer>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<html><body><h1>Harbour</h1><p>{LINE}</p><p>{LINE}</p></body></html>", f"Harbour {LINE} {LINE}"),
+        (f"<html><body><h1>Harbour</h1><p>{LINE}</p></body></html>", f"Harbour {LINE}"),
+        (f"<html><body><p>{LINE} {LINE} {LINE}</p></body></html>", f"{LINE} {LINE} {LINE}"),
+        ("<html><body><p>A short one.</p></body></html>", "A short one."),
+        ("<p>A short one.</p>", "A short one."),
+        ("plain words only", "plain words only"),
+        (f"<p>{LINE}<p>{LINE}", f"{LINE} {LINE}"),
+        (f"<body>{LINE}<br><br>{LINE}</body>", f"{LINE} {LINE}"),
+        (f"<body>{MENU}<h1>Harbour</h1><p>{LINE}</p><p>{LINE}</p>{FOOT}</body>", f"Harbour {LINE} {LINE}"),
+        (f"<body>{MENU}<article><h1>B</h1><p>{LINE}</p></article>{FOOT}</body>", f"B {LINE}"),
+        (f"<body>{MENU}<article><p data-x=o'clock>{LINE}</p><p>It's late.</p></article>{FOOT}</body>", f"{LINE} It's late."),
+        (f'<body>{MENU}<article><p title="a > b">{LINE}</p></article></body>', LINE),
+        (f'<body>{MENU}<article><p class="a"id=b>{LINE}</p></article></body>', LINE),
+        (f"<body>{MENU}<article><p>{LINE}</p><!-- <p>no</p> --><p>{LINE}</p><!--></article></body>", f"{LINE} {LINE}"),
+        (f"<body>{MENU}<article><p>{LINE}</p></article><!-- never closed <p>no</p>", LINE),
+        (f'<body>{MENU}<article><p>{LINE}</p></article><a href="never closed><p>no</p>', LINE),
+        (f"<body><div id=content><h1>Harbour</h1><p>{LINE} <span class='ad'>Buy now, cheap!</span> More of it.</p><p>{LINE}</p></div></body>", f"Harbour {LINE} More of it. {LINE}"),
+        (f"<body><div id=content><h1>Harbour</h1><p>The <span class=x>h</span>arbour. {LINE}</p><p>{LINE}</p></div></body>", f"Harbour The harbour. {LINE} {LINE}"),
+        (f"<body><article><p>{LINE}</p></article><div class=comments><p>I do not think so at all.</p></div></body>", LINE),
+        (f"<body><article><h1>Hi</h1><dl><dt>Term<dd>{LINE}</dl><figure><img src=a><figcaption>A boat.</figcaption></figure></article></body>", f"Hi Term {LINE} A boat."),
+        (f"<body><p>{LINE}<p>{LINE}<form><label>Mail</label><input><button>Go</button></form></body>", f"{LINE} {LINE}"),
+        (f"<body>{MENU}<article><p>{LINE} &lt;b&gt; &#0065;&#x42;</p></article></body>", f"{LINE} <b> AB"),
+        ("<html><head><title>No</title></head><body></body></html>", ""),
+        ("<script>only(this)</script>", ""),
+    ],
+)
+def test_pages_by_hand(extractor, page, text):
+    assert extractor.texts([page]) == [text]
+
+
+@pytest.mark.parametrize(
+    "page, runs",
+    [
+        ("</>a</ b>c", ["ac"]),
+        ("<!-->a<!--->b<!--c--!>d", ["abd"]),
+        ("<p =a>t", ["t"]),
+        ("a < b <3 c<", ["a < b <3 c<"]),
+        ("<p>a<unclosed b='c", ["a"]),
+        ("<td>a<td>b<tr>c", ["a", "b", "c"]),
+        ("<ul><li>a<ul><li>b</ul><li>c</ul>", ["a", "b", "c"]),
+        ("x <b>a<div>b</b>c</div>d", ["x a", "bc", "d"]),
+        ("<script>a</scripty>b</script x>c", ["c"]),
+        (f"&#{'0' * 5000}65;&#{'9' * 5000};", ["A\ufffd"]),
+    ],
+)
+def test_tags_are_read_as_browsers_do(page, runs):
+    assert extraction.runs_of_text(page) == runs
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a b="c ', "<a b='", "<b>x", "<div>", "<div><b></x>", "<ul><li>", "<b><i><h1></b>", "<!--", "</", "<", "<script></script", "data-", "&", "= "])
+def test_broken_pages_take_time_in_proportion(part):
+    # a walk over all open elements, or a new look at what is left at each tag, would take minutes here
+    page = "<p " * (part in ("data-", "= ")) + part * (400_000 // len(part))
+    begin = time.perf_counter()
+    extraction.parse(page)
+    assert time.perf_counter() - begin < 10
+
+
 def test_layouts_not_trained_on(extractor):
     words = [[f"word{i % 97}{',' * (i % 7 == 0)}" for i in range(k, k + 400)] for k in range(20)]
     right = total = kept = 0
