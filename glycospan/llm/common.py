@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -105,9 +106,18 @@ def cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
 
 
 def shared_folder(df: DataFrame) -> str:
-    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``, or else one in the warehouse."""
+    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session takes a folder in its warehouse; others raise, as a
+    warehouse on the driver's disk is not seen by the executors.
+    """
     spark = df.sparkSession
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

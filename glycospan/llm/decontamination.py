@@ -169,7 +169,11 @@ def united(scans: list[DataFrame], kept: int) -> DataFrame:
 def drop_contaminated(
     df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, part_bytes: int = PART_BYTES
 ) -> DataFrame:
-    """The documents without any hit, with all their columns."""
+    """The documents without any hit, with all their columns, whatever their names.
+
+    A null or empty text has no words and stays; rows with null or repeated ids are judged
+    each by its own text. Without benchmark items everything stays.
+    """
     found = _found(df, benchmark, id_col, text_col, item_col, item_text_col, width, part_bytes, tuple(df.columns))
     return found.where(F.size("items") == 0).select(*(F.col(f"more_{i}").alias(c) for i, c in enumerate(df.columns)))
 
@@ -178,6 +182,7 @@ def remove_spans(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """doc_id, text without the hit words, and the rest of the text unchanged.
 
     A hit span goes from its first word's first byte to its last word's last byte.
+    A null text stays null; null and repeated ids are kept, one row for each row.
     """
     spans = find_hits(df, benchmark, id_col, text_col, keep=(text_col,), **options).withColumnRenamed(text_col, "body")
 

@@ -16,6 +16,8 @@ from glycospan.llm.common import slices, texts_of
 BUCKETS = 1 << 20
 #: Labelled rows of each class that a model is fitted on, those with the smallest hash of their id.
 MAX_PER_CLASS = 4000
+#: A feature takes part if at least so many training texts hold it and its shares of the classes' texts differ by so many standard errors.
+LEAST_TEXTS, ERRORS = 5, 3.0
 
 #: (texts) -> (text number of each feature occurrence, its bucket): distinct pairs, in order.
 Features = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
@@ -57,7 +59,7 @@ def log_count_ratios(counts: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
     return np.where(seen, np.log(shares[1] / shares[0]), 0.0)
 
 
-def informative(counts: np.ndarray, texts: np.ndarray, least: int = 5, z: float = 3.0) -> np.ndarray:
+def informative(counts: np.ndarray, texts: np.ndarray, least: int = LEAST_TEXTS, z: float = ERRORS) -> np.ndarray:
     """Buckets in at least ``least`` texts whose share of texts differs between the classes by ``z`` standard errors."""
     n, total = texts.astype(float), counts.sum(axis=0)
     p = total / n.sum()
@@ -118,7 +120,8 @@ def training_rows(df: DataFrame, labels: DataFrame, label_col: str, learn: Colum
     """Texts and labels of at most ``most`` rows of each class, those whose id has the smallest hash.
 
     ``learn`` says, on a column doc_id, which labels may be used. Rows with a null id or
-    label are left out; an id with several labels takes the smallest. The chosen ids are few
+    label are left out; an id with several labels takes the smallest, one with several texts
+    too (null last). The chosen ids are few
     by that bound, so they are broadcast to the documents.
     """
     marked = labels.select(F.col(f"`{label_id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
@@ -127,14 +130,16 @@ def training_rows(df: DataFrame, labels: DataFrame, label_col: str, learn: Colum
     for y in (0, 1):
         some = marked.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = some if chosen is None else chosen.unionByName(some)
-    rows = texts_of(df, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"])
-    return [(r.text or "", r.label) for r in sorted(rows.toLocalIterator(), key=lambda r: r.doc_id)]
+    rows = texts_of(df, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("missing"), "text", "label")).alias("row"))
+    return [(r.row.text or "", r.row.label) for r in sorted(rows.toLocalIterator(), key=lambda r: r.doc_id)]
 
 
-def fit(rows: list[tuple[str, int]], features: Features, cost: float = 0.1) -> Model:
+def fit(rows: list[tuple[str, int]], features: Features, cost: float = 0.1, least_texts: int = LEAST_TEXTS, errors: float = ERRORS) -> Model:
     """A support vector machine on indicators times log-count ratios.
 
-    Both classes weigh alike in the fit. A fifth of the rows is left out of it and fixes
+    Only features that ``informative`` chooses take part; the rule is the same for any number
+    of rows, and without such a feature all texts have one score. Both classes weigh alike
+    in the fit. Every fifth row of a class, the first included, is left out of it and fixes
     the sigmoid. With fewer than two rows of a class there is nothing to learn: the score
     is the share of class 1, or one half without any row.
     """
@@ -145,9 +150,7 @@ def fit(rows: list[tuple[str, int]], features: Features, cost: float = 0.1) -> M
     place = np.zeros(len(labels), np.int64)
     for y in (0, 1):  # every fifth row of each class
         place[labels == y] = np.arange((labels == y).sum())
-    fitted = place % 5 != 4
-    if len(labels) < 50:
-        fitted[:] = True
+    fitted = place % 5 != 0
 
     def in_parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for i in range(0, len(rows), 100):  # features of all rows at once would fill the driver
@@ -158,7 +161,7 @@ def fit(rows: list[tuple[str, int]], features: Features, cost: float = 0.1) -> M
     for at, buckets in in_parts():
         for y in (0, 1):
             counts[y] += np.bincount(buckets[fitted[at] & (labels[at] == y)], minlength=BUCKETS)
-    use = informative(counts, np.bincount(labels[fitted], minlength=2), *((5, 3.0) if len(labels) >= 200 else (1, 0.0)))
+    use = informative(counts, np.bincount(labels[fitted], minlength=2), least_texts, errors)
     ratios = np.where(use, log_count_ratios(counts), 0.0)
     parts = [(at[ratios[buckets] != 0], buckets[ratios[buckets] != 0]) for at, buckets in in_parts()]
     at, buckets = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -169,9 +172,8 @@ def fit(rows: list[tuple[str, int]], features: Features, cost: float = 0.1) -> M
     balance = len(y) / (2 * np.bincount(y, minlength=2))[y]
     w, bias = dual_coordinate_descent(*x, y, cost * balance)
     model = Model((w * ratios).astype(np.float32), float(bias), 1.0, 0.0, features)
-    held = ~fitted if (~fitted).any() else fitted
     margins = bias + np.bincount(at, model.weights[buckets], len(labels))
-    model.slope, model.shift = sigmoid(margins[held], labels[held])
+    model.slope, model.shift = sigmoid(margins[~fitted], labels[~fitted])
     return model
 
 

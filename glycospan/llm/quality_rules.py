@@ -157,9 +157,16 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def drop_rejected(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, reach: float = REACH) -> DataFrame:
-    """The rows that ``judge`` keeps, with all their columns."""
+    """The rows that ``judge`` keeps, with all their columns, whatever their names.
+
+    Rows with null or repeated ids are judged each by its own text, language and source; a
+    null text goes, as it has no words. An empty table gives an empty one.
+    """
     kept = _judged(df, id_col, text_col, lang_col, source_col, min_docs, reach).where("kept").select("doc_id", "mark", "lang", "source").distinct()
-    kept = kept.toDF("kept_id", "kept_mark", "kept_lang", "kept_source")
+    prefix = "kept"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    kept = kept.toDF(*(f"{prefix}_{c}" for c in kept.columns))
     own = (F.col(f"`{id_col}`").cast("long"), _mark(text_col), F.col(f"`{lang_col}`"), F.col(f"`{source_col}`"))
     match = [a.eqNullSafe(F.col(b)) for a, b in zip(own, kept.columns, strict=True)]
     return df.join(kept, match, "left_semi")

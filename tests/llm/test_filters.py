@@ -203,3 +203,31 @@ def test_dual_coordinate_descent_reaches_the_optimum():
 
     best = np.append(w[:4], bias)
     assert all(objective(best) <= objective(best + 0.01 * rng.normal(size=5)) + 1e-9 for _ in range(300))
+
+
+def test_rejecting_works_with_columns_of_any_name(spark, documents):
+    odd = documents.withColumns({c: F.lit(i) for i, c in enumerate(("kept_id", "KEPT_mark", "kept_lang", "kept_source", "kept__doc_id"))})
+    kept = quality_rules.drop_rejected(odd)
+    assert kept.columns == odd.columns
+    assert kept.count() == quality_rules.drop_rejected(documents).count()
+
+
+def test_training_takes_the_smallest_text_of_an_id(spark):
+    df = spark.createDataFrame([(1, None), (1, "b"), (1, "a"), (2, None), (3, "c")], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, None)], "doc_id long, quality int")
+    rows = linear.training_rows(df, labels, "quality", F.lit(True), "doc_id", "text", "doc_id", 10)
+    assert rows == [("a", 0), ("", 1)]
+
+
+@pytest.mark.parametrize("size", [2, 4, 7, 60, 150])
+def test_one_selection_for_every_number_of_rows(size):
+    def features(texts):
+        return linear.distinct(*(np.array(x, np.int64) for x in zip(*((i, ord(c)) for i, t in enumerate(texts) for c in t), strict=True)))
+
+    rows = [("xa", 1) for _ in range(size)] + [("xb", 0) for _ in range(size)]
+    model = linear.fit(rows, features)
+    # of ratios, x is in all texts; a and b count once they are in five fitted texts of a class
+    held = -(-size // 5)
+    assert set(np.flatnonzero(model.weights)) == ({ord("a"), ord("b")} if size - held >= 5 else set())
+    one, two = model.scores(["xa", "xb"])
+    assert one > two if size - held >= 5 else one == two == pytest.approx(0.5)
