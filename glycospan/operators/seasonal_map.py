@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import sys
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glycospan.functions.numeric import gaussian, uniform
+from glycospan.functions.numeric import nan_to_null
 from glycospan.operators.seasonal import (
     CHANGEPOINT_PRIOR,
     CHANGEPOINT_SPAN,
@@ -39,6 +40,8 @@ LINE_PRIOR, NOISE_PRIOR, PLAIN_DAILY_ORDER, INTERVAL = 5.0, 0.5, 4, 0.95
 #: The fit ends when a round lowers the objective by no more than this share of it.
 TOLERANCE, ROUNDS = 1e-10, 1_000
 DRAWS = 1_000
+#: Rows of a patient whose futures are drawn at a time.
+DRAWN_ROWS = 256
 _LEAST_VARIANCE = 1e-10
 
 
@@ -163,6 +166,41 @@ def _fit_patient(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([row])[names]
 
 
+def _uniforms(heads: list[bytes], tails: list[bytes]) -> np.ndarray:
+    """``numeric.uniform`` of the keys that a head (row) and a tail (column) make together."""
+    digests = b"".join([md5(h + t).digest()[:8] for h in heads for t in tails])
+    bits = np.frombuffer(digests, ">u8").reshape(len(heads), len(tails)) >> np.uint64(12)
+    return (bits.astype(float) + 0.5) / float(2**52)
+
+
+def _drawn_quantiles(pdf: pd.DataFrame, draws: int, seed: int, interval: float) -> pd.DataFrame:
+    """Bounds of the rows of one patient, in order of time."""
+    patient = pdf["patient_id"].iloc[0]
+    chance, size, sigma = pdf[["change_chance", "change_size", "sigma"]].iloc[0].astype(float)
+    micros = pdf["micros"].to_numpy(np.int64)
+    hour = micros / 3.6e9
+    at = hour - hour[0]
+    stretch = np.r_[1.0, np.diff(at)]
+    trend, season = pdf["trend"].to_numpy(float)[:, None], pdf["season"].to_numpy(float)[:, None]
+    tails = {key: [f"{d}|{seed}|{key[0]}|{key[1]}".encode() for d in range(1, draws + 1)] for key in ((5, 1), (6, 1), (7, 1), (7, 2))}
+    change_sum, moment_sum = np.zeros(draws), np.zeros(draws)
+    found = np.empty((len(pdf), 2))
+    for first in range(0, len(pdf), DRAWN_ROWS):
+        part = slice(first, first + DRAWN_ROWS)
+        heads = [f"{patient}|{m}|".encode() for m in micros[part].tolist()]
+        change = np.zeros((len(heads), draws))
+        i, j = np.nonzero(_uniforms(heads, tails[5, 1]) < chance * stretch[part, None])
+        side = np.array([_uniforms([heads[r]], [tails[6, 1][c]])[0, 0] for r, c in zip(i, j, strict=True)]) - 0.5
+        change[i, j] = -size * np.sign(side) * np.log(1.0 - 2.0 * np.abs(side))
+        changes = change_sum + np.cumsum(change, axis=0)
+        moments = moment_sum + np.cumsum(change * at[part, None], axis=0)
+        change_sum, moment_sum = changes[-1], moments[-1]
+        normal = np.sqrt(-2.0 * np.log(_uniforms(heads, tails[7, 1]))) * np.cos(2.0 * np.pi * _uniforms(heads, tails[7, 2]))
+        value = (trend[part] + at[part, None] * changes - moments) * season[part] + sigma * normal
+        found[part] = np.quantile(value, [(1 - interval) / 2, (1 + interval) / 2], axis=1).T
+    return pd.DataFrame({"patient_id": patient, "micros": micros, "lower_bound": found[:, 0], "upper_bound": found[:, 1]})
+
+
 def drawn_bounds(
     rows: DataFrame, changes: DataFrame, draws: int = DRAWS, seed: int = 0, interval: float = INTERVAL, ts: str = "timestamp"
 ) -> DataFrame:
@@ -172,34 +210,29 @@ def drawn_bounds(
     trend; ``changes`` has change_chance (per hour), change_size and sigma of each patient. In a
     draw, a row's stretch of time since the row before changes the slope with the chance of its
     hours, by a Laplace draw; what is added to the trend grows from there. All draws hang on
-    patient, time, draw and seed alone. Rows are laid out by patient once: draws, running sums
-    and quantiles need no other exchange.
+    patient, time, draw and seed alone. A patient's rows go to one task once, which draws for a
+    stretch of rows at a time; no row is made for a draw.
     """
-    path = Window.partitionBy("patient_id", "draw").orderBy(ts)
-    keys = (F.col("patient_id"), F.unix_micros(ts), F.col("draw"))
-    hour = F.unix_micros(ts) / F.lit(3.6e9)
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism) + 1
     each = (
-        rows.select("patient_id", ts, "trend", "season")
-        .repartition("patient_id")
+        rows.select("patient_id", F.unix_micros(ts).alias("micros"), F.col("trend").cast("double"), F.col("season").cast("double"))
         .join(changes.select("patient_id", "change_chance", "change_size", "sigma"), "patient_id")
-        .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        .withColumn("at", hour - F.min(hour).over(Window.partitionBy("patient_id", "draw")))
-        .withColumn("stretch", F.coalesce(F.col("at") - F.lag("at").over(path), F.lit(1.0)))
+        .repartition(tasks, "patient_id")  # not the number of the join's parts, which are merged where rows are few
     )
-    side = uniform(*keys, seed=seed, stream=6) - F.lit(0.5)
-    size = -F.col("change_size") * F.signum(side) * F.log(F.lit(1.0) - F.lit(2.0) * F.abs(side))
-    change = F.when(uniform(*keys, seed=seed, stream=5) < F.col("change_chance") * F.col("stretch"), size).otherwise(F.lit(0.0))
-    so_far = path.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    moved = F.col("at") * F.sum("change").over(so_far) - F.sum(F.col("change") * F.col("at")).over(so_far)
-    value = (F.col("trend") + F.col("moved")) * F.col("season") + F.col("sigma") * gaussian(*keys, seed=seed, stream=7)
-    tails = F.array(F.lit((1 - interval) / 2), F.lit((1 + interval) / 2))
+
+    def quantiles(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _drawn_quantiles(pdf.sort_values("micros"), draws, seed, interval)
+
     bounds = (
-        each.withColumn("change", change)
-        .withColumn("moved", moved)
-        .withColumn("value", value)
-        .groupBy("patient_id", ts)
-        .agg(F.percentile("value", tails).alias("q"))
-        .select("patient_id", ts, F.col("q")[0].alias("lower_bound"), F.col("q")[1].alias("upper_bound"))
+        each.groupBy("patient_id")
+        .applyInPandas(quantiles, "patient_id long, micros long, lower_bound double, upper_bound double")
+        .select(
+            "patient_id",
+            F.timestamp_micros("micros").alias(ts),
+            nan_to_null(F.col("lower_bound")).alias("lower_bound"),
+            nan_to_null(F.col("upper_bound")).alias("upper_bound"),
+        )
     )
     return rows.drop("lower_bound", "upper_bound").join(bounds, ["patient_id", ts], "left")
 

@@ -93,3 +93,15 @@ def test_forecasts_of_the_mode_have_drawn_bounds(waves):
     assert future.where("lower_bound < predicted_glucose and predicted_glucose < upper_bound").count() == 96
     error = history.join(table.withColumnRenamed("timestamp", "hour_ts"), ["patient_id", "hour_ts"]).select(F.avg(F.abs(history.glucose - F.col("predicted_glucose")))).first()[0]
     assert error < 10
+
+
+def test_drawn_bounds_make_no_row_for_a_draw_and_spread_patients(spark):
+    rows = spark.sql(
+        """SELECT p AS patient_id, timestamp'2024-01-01' + make_interval(0, 0, 0, 0, h) AS timestamp, 100D AS trend, 1D AS season
+        FROM (SELECT explode(sequence(1L, 30L)) AS p) CROSS JOIN (SELECT explode(sequence(1, 3)) AS h)"""
+    )
+    changes = spark.range(1, 31).selectExpr("id AS patient_id", "0.1D AS change_chance", "1D AS change_size", "2D AS sigma")
+    bounds = seasonal_map.drawn_bounds(rows, changes, 20)
+    plan = bounds._jdf.queryExecution().executedPlan().toString()
+    assert "draw" not in plan and "REPARTITION_BY_NUM" in plan
+    assert bounds.where("lower_bound < upper_bound").count() == 90
