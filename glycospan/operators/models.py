@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glycospan.operators import boosting, gram, kernel, trees
+from glycospan.operators import boosting, forest, gram, kernel, trees
 from glycospan.operators.features import input_columns
 from glycospan.operators.neighbours import predict_neighbours
 from glycospan.operators.seasonal import fit_fourier_trend, fit_seasonal_trend
@@ -148,6 +148,8 @@ def pooled_nodes(model, spark: SparkSession) -> trees.FlatTrees:
     """The nodes of a fitted Spark ML tree model, read from its saved form."""
     if isinstance(model, trees.FlatTrees):
         return model
+    if isinstance(model, forest.PooledForest):
+        return model.flat()
     path = durable_path(spark)
     model.write().overwrite().save(path)
     saved = spark.read.parquet(f"{path}/data")
@@ -155,8 +157,6 @@ def pooled_nodes(model, spark: SparkSession) -> trees.FlatTrees:
         saved = saved.select(F.lit(0).alias("treeID"), F.struct(*saved.columns).alias("nodeData"))
     nodes = saved.select("treeID", "nodeData.*").toPandas().sort_values(["treeID", "id"]).reset_index(drop=True)
     weights = np.asarray(getattr(model, "treeWeights", [1.0]), float)
-    if isinstance(model, ml.RandomForestRegressionModel):
-        weights = weights / weights.sum()
     starts = nodes.groupby("treeID").size().cumsum().shift(fill_value=0)
     offset = nodes["treeID"].map(starts).to_numpy(np.int64)
     inner = (nodes["leftChild"] >= 0).to_numpy()
@@ -173,15 +173,6 @@ def pooled_nodes(model, spark: SparkSession) -> trees.FlatTrees:
 
 
 def _estimator(name: str, params: dict, n: int):
-    if name == "random_forest":
-        return ml.RandomForestRegressor(
-            numTrees=params["trees"],
-            maxDepth=params["depth"],
-            minInstancesPerNode=params["min_leaf"],
-            featureSubsetStrategy="all",
-            seed=params["seed"],
-            maxMemoryInMB=params["memory_mb"],
-        )
     if name == "gradient_boosting":
         return ml.GBTRegressor(
             maxIter=params["iterations"],
@@ -278,7 +269,7 @@ class PooledModel:
         """Inputs by falling importance (tree models)."""
         if self.algorithm not in TREES:
             raise ValueError(f"{self.algorithm} has no feature importances")
-        if isinstance(self.model, trees.FlatTrees):
+        if isinstance(self.model, (trees.FlatTrees, forest.PooledForest)):
             values = self.model.shares(len(self.columns))
         else:
             values = self.model.featureImportances.toArray().tolist()
@@ -316,7 +307,7 @@ def fit_pooled(name: str, train: DataFrame, params: dict) -> PooledModel:
     scaler = fit_scaler(train, columns)
     if name == "svr":
         vectorise = _random_waves(columns, params)
-    elif name == "xgboost":
+    elif name in ("random_forest", "xgboost"):
         vectorise = lambda df: df.withColumn("features", F.array(*[F.col(c).cast("double") for c in columns]))
     else:
         vectorise = VectorAssembler(inputCols=columns, outputCol="features").transform
@@ -331,13 +322,16 @@ def fit_pooled(name: str, train: DataFrame, params: dict) -> PooledModel:
         # means and deviations depend in their last digits on the order of the rows, and splits on ties
         laid_out = laid_out.withColumns({c: F.round(c, 9) for c in columns})
         label = F.round(label, 9)
-    ready = vectorise(laid_out).select("features", label.alias("label")).persist()
+    key = F.xxhash64("patient_id", "hour_ts", "glucose")
+    ready = vectorise(laid_out).select("features", label.alias("label"), key.alias("key")).persist()
     try:
         n = ready.count()
         if not n:
             raise ValueError("no complete training rows")
         if name == "xgboost":
             model = boosting.fit_second_order(ready.withColumnRenamed("features", "x"), n, len(columns), params)
+        elif name == "random_forest":
+            model = forest.fit_forest(ready.withColumnRenamed("features", "x"), n, len(columns), params)
         else:
             sized = {"memory_mb": tree_memory_mb(train.sparkSession)} | params
             model = _estimator(name, sized, n).fit(ready)
