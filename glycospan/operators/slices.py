@@ -16,6 +16,8 @@ from glycospan.config import DEFAULTS, Settings
 from glycospan.session import durable
 
 SLICE = ["patient_id", "slice", "part"]
+#: Readings that a task of the range shuffle takes at least, however small the parts are.
+ROWS_PER_TASK = 250_000
 
 
 def _slice_number(hours: int) -> Column:
@@ -42,7 +44,7 @@ def slice_readings(readings: DataFrame, settings: Settings = DEFAULTS) -> tuple[
 
     Runs one pre-aggregated pass to size the slices and keeps its small result.
     """
-    rows = readings.withColumn("slice", _slice_number(settings.slice_hours)).withColumn("part", F.lit(0))
+    rows = readings.withColumn("slice", _slice_number(settings.slice_hours)).withColumn("part", F.lit(0).cast("long"))
     summary = durable(_summarise(rows))
     total, largest = summary.agg(F.sum("n_rows"), F.max("n_rows")).first()
     limit = settings.crowded_above(total or 0)
@@ -54,8 +56,10 @@ def slice_readings(readings: DataFrame, settings: Settings = DEFAULTS) -> tuple[
     in_crowded = summary.where(F.col("n_rows") > limit).agg(F.sum("n_rows")).first()[0]
     split = durable(
         rows.join(crowded, key, "left_semi")
-        .repartitionByRange(2 * (in_crowded // limit + 1), "patient_id", "timestamp", "id")
-        .withColumn("part", F.spark_partition_id() + 1)
+        .repartitionByRange(2 * (in_crowded // max(limit, ROWS_PER_TASK) + 1), "patient_id", "timestamp", "id")
+        .sortWithinPartitions("patient_id", "timestamp", "id")
+        # numbers rise by 1 inside a range and jump between ranges, so parts of ``limit`` keep the order
+        .withColumn("part", F.expr(f"monotonically_increasing_id() div {limit}") + 1)
     )
     rows = rows.join(crowded, key, "left_anti").unionByName(split)
     summary = summary.where(F.col("n_rows") <= limit).unionByName(

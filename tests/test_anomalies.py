@@ -130,6 +130,14 @@ def test_full_days_are_cut(spark, make):
     assert sliced.select("part").distinct().count() > 2
 
 
+def test_small_parts_need_no_task_each(spark, make):
+    rows = make([(1 + m % 3, m % 50, 100 + m % 7) for m in range(600)])
+    sliced, summary = slice_readings(rows, Settings(max_slice_rows=2))
+    assert summary.selectExpr("max(n_rows)").first()[0] <= 2
+    assert sliced.count() == 600
+    assert sliced.rdd.getNumPartitions() < 40
+
+
 def test_readings_without_time_are_kept(spark):
     from glycospan.sources.readings import READINGS
 
