@@ -7,13 +7,15 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glycospan.operators.grouped import group_count
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: query rows handled by one task
-BLOCK = 2048
+#: query rows that are compared at a time, and training rows of a task
+BLOCK, ROWS_TOGETHER = 2048, 20_000
 
 
 def _nearest_means(queries: np.ndarray, known: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
@@ -56,9 +58,11 @@ def predict_neighbours(
     Rows of a patient are compared block-wise inside a task, so no pair of rows is
     ever produced. Queries are cut into blocks of 2048 and the training rows of
     the patient (at most one per hour of calendar time) go to each of its blocks.
+    A task takes a hash group of blocks, as there may be many patients with few rows.
     """
+    tasks = group_count(train, train.count(), ROWS_TOGETHER)
     number = F.row_number().over(Window.partitionBy("patient_id").orderBy("hour_ts"))
-    asked = queries.select("patient_id", "hour_ts", *columns).withColumn(
+    asked = queries.where(F.col("patient_id").isNotNull()).select("patient_id", "hour_ts", *columns).withColumn(
         "block", F.floor((number - 1) / F.lit(BLOCK))
     )
     blocks = asked.groupBy(F.col("patient_id").alias("owner")).agg(F.max("block").alias("last"))
@@ -74,22 +78,23 @@ def predict_neighbours(
         .drop("last")
     )
 
-    def per_block(known_pdf: pd.DataFrame, asked_pdf: pd.DataFrame) -> pd.DataFrame:
+    def task(patient: str, block: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(patient).cast("long"), F.col(block).cast("long")), F.lit(tasks))
+
+    def per_task(known_pdf: pd.DataFrame, asked_pdf: pd.DataFrame) -> pd.DataFrame:
         known_pdf = known_pdf.sort_values("known_ts")
-        if len(known_pdf) and len(asked_pdf):
-            values = _nearest_means(
-                asked_pdf[columns].to_numpy(float),
-                known_pdf[[f"known_{c}" for c in columns]].to_numpy(float),
-                known_pdf["known_target"].to_numpy(float),
-                k,
-            )
-        else:
-            values = np.full(len(asked_pdf), np.nan)
+        values = np.full(len(asked_pdf), np.nan)
+        x, near = asked_pdf[columns].to_numpy(float), known_pdf[[f"known_{c}" for c in columns]].to_numpy(float)
+        y = known_pdf["known_target"].to_numpy(float)
+        places = known_pdf.groupby(["owner", "known_block"]).indices
+        for key, rows in asked_pdf.groupby(["patient_id", "block"]).indices.items():
+            if key in places:
+                values[rows] = _nearest_means(x[rows], near[places[key]], y[places[key]], k)
         return asked_pdf[["patient_id", "hour_ts"]].assign(**{prediction: values})
 
     return (
-        known.groupBy("owner", "known_block")
-        .cogroup(asked.groupBy("patient_id", "block"))
-        .applyInPandas(per_block, f"patient_id long, hour_ts timestamp, {prediction} double")
+        known.withColumn("task", task("owner", "known_block")).groupBy("task")
+        .cogroup(asked.withColumn("task", task("patient_id", "block")).groupBy("task"))
+        .applyInPandas(per_task, f"patient_id long, hour_ts timestamp, {prediction} double")
         .withColumn(prediction, F.when(~F.isnan(prediction), F.col(prediction)))
     )

@@ -170,3 +170,24 @@ def test_near_ties_are_settled_by_exact_distances():
     for k in (1, 5, 400, 999):
         want = [y[np.argsort(d, kind="stable")[:k]].mean() for d in distance]
         np.testing.assert_allclose(_nearest_means(queries, known, y, k), want, atol=1e-12)
+
+
+def test_neighbours_of_many_patients_in_few_tasks(spark, monkeypatch):
+    from glycospan.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "BLOCK", 3)
+    monkeypatch.setattr(neighbours, "ROWS_TOGETHER", 100)
+    rng = np.random.default_rng(2)
+    data = [(p, i, float(rng.normal()), float(rng.normal())) for p in range(40) for i in range(12)]
+    rows = spark.createDataFrame(data, "patient_id long, i int, x double, glucose double")
+    rows = rows.withColumn("hour_ts", F.timestamp_seconds(F.col("i") * 3600))
+    train, asked = rows.where("i < 5 and patient_id > 0"), rows.where("i >= 5")
+    got = neighbours.predict_neighbours(train, asked, ["x"], k=3).collect()
+    assert len(got) == 40 * 7
+    for r in got:
+        mine = [d for d in data if d[0] == r.patient_id and d[1] < 5]
+        i = int(r.hour_ts.timestamp()) // 3600
+        x = next(d[2] for d in data if d[0] == r.patient_id and d[1] == i)
+        near = sorted(mine, key=lambda d: abs(d[2] - x))[:3]
+        wanted = None if r.patient_id == 0 else pytest.approx(sum(d[3] for d in near) / 3)
+        assert r.prediction == wanted
