@@ -41,7 +41,8 @@ def _nearest_means(queries: np.ndarray, known: np.ndarray, y: np.ndarray, k: int
         order = np.lexsort((j, distance, i))
         i, j = i[order], j[order]
         first = np.searchsorted(i, np.arange(len(part)))
-        out[at : at + len(part)] = y[j[first[:, None] + np.arange(k)]].mean(axis=1)
+        # added by size, so that the same rows have the same mean in whatever order they are near
+        out[at : at + len(part)] = np.sort(y[j[first[:, None] + np.arange(k)]], axis=1).mean(axis=1)
     return out
 
 

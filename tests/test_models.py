@@ -172,6 +172,14 @@ def test_near_ties_are_settled_by_exact_distances():
         np.testing.assert_allclose(_nearest_means(queries, known, y, k), want, atol=1e-12)
 
 
+def test_the_same_neighbours_have_the_same_mean_in_any_order():
+    from glycospan.operators.neighbours import _nearest_means
+
+    known, y = np.array([[0.0], [1.0], [2.0]]), np.array([0.1, 0.2, 0.3])
+    left, right = _nearest_means(np.array([[-1.0], [3.0]]), known, y, 5)
+    assert left == right
+
+
 def test_neighbours_of_many_patients_in_few_tasks(spark, monkeypatch):
     from glycospan.operators import neighbours
 
