@@ -26,7 +26,11 @@ BINS, FINE_BINS = 256, 1 << 14
 #: Rows that a task of a pass reads, at least; sums of whole numbers don't depend on it.
 ROWS_PER_TASK = 50_000
 #: Rounds after which the margins so far are kept, so that no pass evaluates more trees.
-KEPT_ROUNDS = 10
+KEPT_ROUNDS = 5
+#: Gradients (at most 61 bits) are added as two halves, over so few rows that doubles hold the sums.
+HALF, ROWS_EXACT = 24, 1 << 14
+#: Tasks whose histograms the driver adds up itself; those of more are added in a shuffle.
+FEW_TASKS = 8
 
 
 def cut_points(rows: DataFrame, n: int, inputs: int) -> list[np.ndarray]:
@@ -71,11 +75,12 @@ def _binned(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
 
 def _nodes(splits: dict[int, tuple[int, int]], bins: np.ndarray) -> np.ndarray:
     """The node of each row: nodes are numbered like a heap, from 1."""
-    at = np.ones(len(bins), np.int64)
-    for node in sorted(splits):
-        feature, cut = splits[node]
-        here = at == node
-        at[here] = 2 * node + (bins[here, feature] > cut)
+    at, rows = np.ones(len(bins), np.int64), np.arange(len(bins))
+    feature, cut = (np.full(2 * max(splits, default=0) + 2, -1) for _ in range(2))
+    for node, split in splits.items():
+        feature[node], cut[node] = split
+    while (inner := (f := feature[at]) >= 0).any():
+        at = np.where(inner, 2 * at + (bins[rows, np.maximum(f, 0)] > cut[at]), at)
     return at
 
 
@@ -92,37 +97,45 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return batch.column("label").to_numpy(), batch.column("margin").to_numpy(), flat.reshape(batch.num_rows, -1)
 
 
-def _histograms(table: DataFrame, trees: list, splits: dict, open_: list[int], inputs: int, rate: float, unit: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _histograms(table: DataFrame, trees: list, splits: dict, open_: list[int], inputs: int, rate: float, unit: float, tasks: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """(gradients, counts) of each open node by input and bin: tasks add their rows, Spark the tasks.
 
-    Only the closure changes from level to level, so Spark compiles the plan once.
+    Only the closure changes from level to level, so Spark compiles the plan once. The sums of
+    few tasks come to the driver as they are.
     """
     place = {node: i for i, node in enumerate(open_)}
-    size = len(open_) * inputs * BINS
+    size, span = len(open_) * inputs * BINS, len(open_) * BINS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, h = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        g, h = np.zeros((inputs, span), np.int64), np.zeros((inputs, span), np.int64)
         lookup = np.full(2 * max(open_) + 2, -1)
         lookup[list(place)] = list(place.values())
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(at, ROWS_EXACT) for whole in batches for at in range(0, whole.num_rows, ROWS_EXACT)):
             label, margin, bins = _arrays(batch)
             gradient = np.rint((label - _moved(margin, bins, trees, rate)) * unit).astype(np.int64)
             node = _nodes(splits, bins)
             slot = np.where(node < len(lookup), lookup[np.minimum(node, len(lookup) - 1)], -1)
-            mine = slot >= 0
+            mine = np.flatnonzero(slot >= 0)
+            first, part = slot[mine] * BINS, np.asfortranarray(bins[mine])
+            # two halves, whose sums over so many rows are exact in doubles
+            high, low = gradient[mine] >> HALF, (gradient[mine] & ((1 << HALF) - 1)).astype(float)
+            high = high.astype(float)
             for f in range(inputs):
-                at = (slot[mine] * inputs + f) * BINS + bins[mine, f]
-                np.add.at(g, at, gradient[mine])
-                h += np.bincount(at, minlength=size)
+                at = first + part[:, f]
+                g[f] += (np.bincount(at, high, span).astype(np.int64) << HALF) + np.bincount(at, low, span).astype(np.int64)
+                h[f] += np.bincount(at, minlength=span)
+        g, h = (v.reshape(inputs, len(open_), BINS).transpose(1, 0, 2).ravel() for v in (g, h))
         seen = np.flatnonzero(h)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(g[seen]), pa.array(h[seen])], names=["place", "g", "h"])
 
-    parts = table.mapInArrow(run, "place long, g long, h long").groupBy("place").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+    parts = table.mapInArrow(run, "place long, g long, h long")
+    if tasks > FEW_TASKS:
+        parts = parts.groupBy("place").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    parts = parts.toArrow()
     g, h = np.zeros(size, np.int64), np.zeros(size, np.int64)
     at = parts.column("place").to_numpy()
-    g[at], h[at] = parts.column("g").to_numpy(), parts.column("h").to_numpy()
+    np.add.at(g, at, parts.column("g").to_numpy())
+    np.add.at(h, at, parts.column("h").to_numpy())
     shape = (len(open_), inputs, BINS)
     return {node: (g.reshape(shape)[i], h.reshape(shape)[i]) for node, i in place.items()}
 
@@ -159,16 +172,21 @@ def fit_second_order(rows: DataFrame, n: int, inputs: int, params: dict) -> Flat
     bits = int(min(32, 61 - np.ceil(np.log2(n)) - np.ceil(np.log2(max(4 * most, 1.0)))))
     unit = float(2**bits)
     table = _binned(rows, cuts).select("label", F.lit(base).alias("margin"), "bins")
-    table = durable(table.coalesce(1 + n // ROWS_PER_TASK))  # there are hundreds of short passes
+    tasks = 1 + n // ROWS_PER_TASK
+    table = durable(table.coalesce(tasks))  # there are hundreds of short passes
     kept, trees, since = None, [], 0
     for k in range(params["iterations"]):
         splits: dict[int, tuple[int, int]] = {}
         gains: dict[int, float] = {}
         value: dict[int, float] = {}
-        open_ = [1]
+        open_, asked, sums = [1], [1], {}
         for level in range(params["depth"] + 1):
-            sums = _histograms(table, trees[since:], splits, open_, inputs, rate, unit) if level < params["depth"] else {}
-            following = []
+            above, sums = sums, {}
+            if level < params["depth"]:
+                sums = _histograms(table, trees[since:], splits, asked, inputs, rate, unit, tasks)
+                # rows of a node that are not in one child are in the other
+                sums |= {i ^ 1: tuple(a - b for a, b in zip(above[i // 2], sums[i], strict=True)) for i in asked if i > 1}
+            following, asked = [], []
             for i in open_ if sums else []:
                 g, h = sums[i]
                 value.setdefault(i, g[0].sum() / (h[0].sum() + penalty) / unit)
@@ -177,6 +195,7 @@ def fit_second_order(rows: DataFrame, n: int, inputs: int, params: dict) -> Flat
                 if gain > max(2 * params.get("least_gain", 0.0), 1e-12 * float(g[0].sum()) ** 2 / unit**2, 1e-9):
                     splits[i], gains[i] = (feature, cut), gain
                     following += [2 * i, 2 * i + 1]
+                    asked.append(2 * i + int(2 * h[feature, : cut + 1].sum() > h[feature].sum()))
                     # the sums of a child are those of the bins on its side
                     low, all_, count = slice(0, cut + 1), g[feature].sum(), h[feature].sum()
                     gl, hl = g[feature, low].sum(), h[feature, low].sum()

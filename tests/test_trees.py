@@ -219,3 +219,25 @@ def test_a_threshold_is_half_way_between_neighbours_in_their_last_digit():
         # both sides keep a row
         nodes, leaf = trees.grow(x[:3], y[:3] - y[:3].mean(), np.ones(3, np.int64), np.zeros(3, np.int64), 1, trees.Growth(1))
         assert set(leaf) == {nodes.left[0], nodes.right[0]}
+
+
+def test_histograms_of_pooled_boosting_are_exact_sums(spark, monkeypatch):
+    """Few or many tasks, and a child whose sums are those of its parent less its sibling's."""
+    rng = np.random.default_rng(6)
+    x, y = data(rng, 300)
+    y = y * 1e6
+    rows = spark.createDataFrame([(r.tolist(), float(v)) for r, v in zip(x, y)], "x array<double>, label double").repartition(3).persist()
+    params = {"iterations": 7, "depth": 3, "rate": 0.3, "penalty": 1.0, "least_weight": 1.0}
+    one = boosting.fit_second_order(rows, 300, 3, params)
+    monkeypatch.setattr(boosting, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(boosting, "FEW_TASKS", 1)
+    monkeypatch.setattr(boosting, "ROWS_EXACT", 7)
+    many = boosting.fit_second_order(rows, 300, 3, params)
+    for column in ("feature", "threshold", "left", "right", "value", "gain"):
+        np.testing.assert_array_equal(getattr(one, column), getattr(many, column))
+
+
+def test_rows_find_their_nodes():
+    bins = np.array([[0, 5], [3, 5], [3, 1], [9, 9]], np.int16)
+    assert boosting._nodes({}, bins).tolist() == [1, 1, 1, 1]
+    assert boosting._nodes({1: (0, 2), 3: (1, 4)}, bins).tolist() == [2, 7, 6, 7]
