@@ -230,7 +230,8 @@ def forecast_recursive(
         ahead_rows = with_noise_column(ahead_rows, history, noise, seed)
     else:
         ahead_rows = ahead_rows.withColumn("noise", F.lit(0.0))
-    tasks = 1 + ends.count() // patients_per_task
+    # trees and kernels of a patient may be far larger than its rows: their models know how many fit a task
+    tasks = max(1 + ends.count() // patients_per_task, getattr(model, "tasks", 1))
     task = F.pmod(F.hash(F.col("patient_id").cast("long")), F.lit(tasks))
     rows = recent.unionByName(ahead_rows).withColumn("task", task)
 

@@ -241,3 +241,12 @@ def test_rows_find_their_nodes():
     bins = np.array([[0, 5], [3, 5], [3, 1], [9, 9]], np.int16)
     assert boosting._nodes({}, bins).tolist() == [1, 1, 1, 1]
     assert boosting._nodes({1: (0, 2), 3: (1, 4)}, bins).tolist() == [2, 7, 6, 7]
+
+
+def test_recursive_groups_hold_no_more_trees_than_a_task_of_the_fit(waves, table):
+    from dataclasses import replace
+
+    model = replace(models.fit_model("random_forest", table, "patient", trees=2, depth=2), tasks=7)
+    steps = forecasting.forecast_recursive(model, waves, forecasting.future_grid(waves, 2))
+    assert "% 7" in (plan := steps._jdf.queryExecution().optimizedPlan().toString()) or ", 7)" in plan
+    assert steps.where("predicted_glucose is null").count() == 0
