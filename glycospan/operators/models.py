@@ -173,14 +173,6 @@ def pooled_nodes(model, spark: SparkSession) -> trees.FlatTrees:
 
 
 def _estimator(name: str, params: dict, n: int):
-    if name == "gradient_boosting":
-        return ml.GBTRegressor(
-            maxIter=params["iterations"],
-            maxDepth=params["depth"],
-            stepSize=params["rate"],
-            seed=params["seed"],
-            maxMemoryInMB=params["memory_mb"],
-        )
     if name == "svr":
         return ml.LinearRegression(
             loss="huber", epsilon=1.35, regParam=1.0 / (params["c"] * max(n, 1)), **ITERATIVE
@@ -307,7 +299,7 @@ def fit_pooled(name: str, train: DataFrame, params: dict) -> PooledModel:
     scaler = fit_scaler(train, columns)
     if name == "svr":
         vectorise = _random_waves(columns, params)
-    elif name in ("random_forest", "xgboost"):
+    elif name in ("random_forest", "gradient_boosting", "xgboost"):
         vectorise = lambda df: df.withColumn("features", F.array(*[F.col(c).cast("double") for c in columns]))
     else:
         vectorise = VectorAssembler(inputCols=columns, outputCol="features").transform
@@ -328,7 +320,9 @@ def fit_pooled(name: str, train: DataFrame, params: dict) -> PooledModel:
         n = ready.count()
         if not n:
             raise ValueError("no complete training rows")
-        if name == "xgboost":
+        if name == "gradient_boosting":  # without penalty; the first tree counts in full, as in Spark's learner
+            model = boosting.fit_second_order(ready.withColumnRenamed("features", "x"), n, len(columns), {"penalty": 0.0, "first_rate": 1.0} | params)
+        elif name == "xgboost":
             model = boosting.fit_second_order(ready.withColumnRenamed("features", "x"), n, len(columns), params)
         elif name == "random_forest":
             model = forest.fit_forest(ready.withColumnRenamed("features", "x"), n, len(columns), params)

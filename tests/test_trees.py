@@ -250,3 +250,42 @@ def test_recursive_groups_hold_no_more_trees_than_a_task_of_the_fit(waves, table
     steps = forecasting.forecast_recursive(model, waves, forecasting.future_grid(waves, 2))
     assert "% 7" in (plan := steps._jdf.queryExecution().optimizedPlan().toString()) or ", 7)" in plan
     assert steps.where("predicted_glucose is null").count() == 0
+
+
+def test_pooled_gradient_boosting_is_brute_force(spark):
+    """Every split of up to 256 bins is tried, Spark's learner had 32; the first tree counts in full."""
+    rng = np.random.default_rng(8)
+    x, y = data(rng, 200)
+    rows = spark.createDataFrame([(1, i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "patient_id long, h int, a double, b double, c double, glucose double")
+    rows = rows.selectExpr("patient_id", "timestamp_seconds(3600 * h) AS hour_ts", "a", "b", "c", "glucose")
+    model = models.fit_model("gradient_boosting", rows, iterations=3, depth=3, rate=0.3)
+    got = model.predict(rows).orderBy("hour_ts").toPandas()["prediction"].to_numpy()
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    want = np.full(len(y), y.mean())
+    for rate in (1.0, 0.3, 0.3):
+        tree = brute_tree(z, y - want, 3, 2, 1, 0.0)
+        want = want + rate * np.array([follow(tree, row) for row in z])
+    np.testing.assert_allclose(got, want, atol=1e-6)
+
+
+def test_one_job_boosts_the_rows_of_one_task(spark, monkeypatch):
+    """Hundreds of short passes took most of the time on small tables; the trees are the same."""
+    rng = np.random.default_rng(9)
+    x, y = data(rng, 200)
+    rows = spark.createDataFrame([(r.tolist(), float(v)) for r, v in zip(x, y)], "x array<double>, label double").repartition(3).persist()
+    params, context, jobs = {"iterations": 8, "depth": 3, "rate": 0.3}, spark.sparkContext, []
+
+    def fitted(group):
+        context.setJobGroup(group, group)
+        try:
+            return boosting.fit_second_order(rows, 200, 3, params)
+        finally:
+            jobs.append(len(context.statusTracker().getJobIdsForGroup(group)))
+            context.setLocalProperty("spark.jobGroup.id", None)
+
+    one = fitted("one task")
+    monkeypatch.setattr(boosting, "ROWS_PER_TASK", 100)
+    many = fitted("many tasks")
+    assert jobs[0] <= 20 < jobs[1]
+    for column in ("feature", "threshold", "left", "right", "value", "gain"):
+        np.testing.assert_array_equal(getattr(one, column), getattr(many, column))
