@@ -145,6 +145,10 @@ def _in_own_pool(context, name: str, work):
         context.setLocalProperty("spark.scheduler.pool", None)
 
 
+#: Algorithms of many passes, which are started before the others.
+LONGEST = ("svr", "random_forest", "gradient_boosting", "xgboost")
+
+
 def compare_algorithms(
     hourly: DataFrame,
     features: DataFrame,
@@ -156,8 +160,8 @@ def compare_algorithms(
     """Leaderboard of several algorithms, with a ``failure`` where there is nothing to rank.
 
     Up to ``parallel`` algorithms are fitted and scored at a time, each in a scheduler pool of
-    its own, so that the short stages of one fill the gaps of another (pools share fairly where
-    ``spark.scheduler.mode`` is FAIR). Each algorithm's metrics, one row per patient, are made
+    its own, the longest first, so that the short stages of one fill the gaps of another (pools
+    share fairly where ``spark.scheduler.mode`` is FAIR). Each algorithm's metrics, one row per patient, are made
     here, so that one that fails while it is fitted or in a task gets a ``failure`` and leaves
     the others alone. A patient that an algorithm cannot score says why.
     """
@@ -172,11 +176,11 @@ def compare_algorithms(
     with ThreadPoolExecutor(max(1, parallel)) as threads:
         runs = {
             name: threads.submit(inheritable_thread_target(features.sparkSession)(_in_own_pool), context, name, partial(scored, name))
-            for name in names
+            for name in sorted(names, key=lambda name: name not in LONGEST)
         }
     results, failed = [], []
-    for name, run in runs.items():
-        if (problem := run.exception()) is None:
+    for name in names:
+        if (problem := (run := runs[name]).exception()) is None:
             results.append(run.result())
         else:  # one failing fit must not stop the others
             failed.append(

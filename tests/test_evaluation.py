@@ -131,3 +131,16 @@ def test_jobs_of_an_algorithm_have_their_pool_and_lose_it(spark):
     with pytest.raises(ZeroDivisionError):
         evaluation._in_own_pool(context, "ridge", lambda: 1 / 0)
     assert not context.getJobTags()
+
+
+def test_long_fits_are_started_first(waves, monkeypatch):
+    started = []
+
+    def backtest(name, table):
+        started.append(name)
+        return evaluation.error_metrics(table.selectExpr("patient_id", f"'{name}' AS algorithm", "glucose AS actual", "glucose AS predicted"))
+
+    monkeypatch.setattr(evaluation, "backtest", backtest)
+    board = evaluation.compare_algorithms(waves, waves, ("ridge", "svr", "knn"), parallel=1)
+    assert started == ["svr", "ridge", "knn"]
+    assert board.groupBy("algorithm").count().count() == 3
