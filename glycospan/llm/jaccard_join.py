@@ -1,11 +1,14 @@
-"""Jaccard join of documents' word shingles by adaptive multi-match prefixes.
+"""Jaccard join of documents' word shingles by multi-match prefixes that are ranked twice.
 
 Shingles have one order for all documents, rare ones first. Two sets that share at least m
-shingles share at least j of the first ``n - m + j`` of each, for every j. Each document's
-prefix is ``n - ceil(t n)`` shingles and k more, where k is chosen by the estimated cost of
-the candidates: longer where the first shingles are frequent. A pair of documents then
-must share the most that both prefixes allow to ask for before it is verified. Pairs that are already known to be connected
-are not looked at again, so a large group of near copies costs one comparison for each
+shingles share at least j of the first ``n - m + j`` of each, for every j. A document's
+prefix is ``n - ceil(t n)`` shingles and k more, so similar documents share k of their
+prefixes' shingles at least. The first order is an estimate; the index gives the true number
+of entries of each shingle, and by these the prefixes are ordered again: each document leaves
+out its k - 1 longest lists, and similar documents still share one of the others. Lists with
+the same documents become one. A pair of documents must share as many shingles as both
+prefixes allow to ask for before it is verified. Pairs that are already known to be connected
+are not looked at again, so a large group of near copies costs few comparisons for each
 member and not one for each pair, and no link between components is lost.
 """
 
@@ -25,12 +28,10 @@ from glycospan.llm.components import components
 SHINGLE = 3
 #: Similarity in hundredths.
 SIMILAR = 90
-#: Most shingles that a prefix may be lengthened by.
+#: Shingles that a prefix is lengthened by.
 MATCHES = 8
 #: Frequent shingles whose counts are broadcast: a fixed bound of 1.6 MB. Others count as rare.
 FREQUENT = 100_000
-#: Cost of verifying a candidate, in index entries read.
-VERIFY = 8
 #: Bytes of text in which a shingle that is counted as frequent must occur twice.
 TOGETHER = 12 << 20
 #: Pairs of a hub that its text is sent once for.
@@ -38,9 +39,13 @@ TOGETHER_NODES = 256
 #: Pairs of entries per index entry that are looked at without rounds of hubs before.
 LIGHT = 4
 #: Lists of more entries have hubs in a round; shorter ones make few pairs for each entry.
-LONG = 32
-#: Hubs of a token, and hubs that a node is compared with, in the first round and in the last ones.
-HUBS, MOST_HUBS = 4, 16
+LONG = 4
+#: Hubs of a list, and hubs that a node is compared with, in a round.
+HUBS = 2
+#: Share of the work that a round must leave at most for another one to follow.
+STALLED = 0.75
+#: Bits of the filter of keys whose rows are sent: 4 MB at any size.
+KEY_BITS = 1 << 25
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -64,17 +69,10 @@ def digest(hashes: np.ndarray) -> int:
 
 
 def prefix(hashes: np.ndarray, counts: np.ndarray, similar: int, matches: int) -> np.ndarray:
-    """The shingles of the prefix, in their order.
-
-    ``counts`` are estimated document counts. The prefix has the length with the least cost:
-    entries read, and candidates that share k of them, for 1 to ``matches`` k.
-    """
+    """The shingles of the prefix. ``counts`` are estimated document counts."""
     n = len(hashes)
-    base = n - -(-similar * n // 100)
-    order = np.argsort(counts, kind="stable")[: min(n, base + matches)]  # the hashes are in order already
-    asked = np.arange(1, len(order) - base + 1)
-    total = np.cumsum(counts[order].astype(float))[base + asked - 1]
-    return hashes[order[: base + asked[np.argmin(total * (1 + VERIFY / asked))]]]
+    least = -(-similar * n // 100)
+    return hashes[np.argsort(counts, kind="stable")[: n - least + min(matches, least)]]  # the hashes are in order already
 
 
 class Counts:
@@ -129,7 +127,7 @@ def described(texts: DataFrame, width: int) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, frequent: Counts, width: int, similar: int, matches: int) -> DataFrame:
-    """(token, node, n, at): the index entries of the documents with an id; ``at`` is the token's place and, in its low half, how many there are."""
+    """(token, node, n): the index entries of the documents with an id."""
     sent = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,13 +139,37 @@ def prefixes(texts: DataFrame, frequent: Counts, width: int, similar: int, match
                     done.add(node)
                     found.append((prefix(hashes, sent.value(hashes), similar, matches), node, len(hashes)))
             if found:
-                reach = np.array([len(t) for t, _, _ in found], np.int64)
+                reach = [len(t) for t, _, _ in found]
                 node, size = (np.repeat(np.array([f[k] for f in found], np.int64), reach) for k in (1, 2))
-                place = np.arange(len(node)) - np.repeat(np.cumsum(reach) - reach, reach)
-                columns = [_signed(np.concatenate([t for t, _, _ in found])), pa.array(node), pa.array(size), pa.array((place << 32) + np.repeat(reach, reach))]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "n", "at"])
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate([t for t, _, _ in found])), pa.array(node), pa.array(size)], names=["token", "node", "n"])
+
+    return texts.where(F.col("doc_id").isNotNull()).mapInArrow(entries, "token long, node long, n long")
+
+
+def shared_tokens(entries: DataFrame, similar: int, matches: int) -> DataFrame:
+    """(node, n, tokens): the prefix tokens of a node that others have too, those of short lists first.
 
-    return texts.where(F.col("doc_id").isNotNull()).mapInArrow(entries, "token long, node long, n long, at long")
+    Nodes with fewer of these than any similar pair shares are left out.
+    """
+    # one exchange of the entries, in which lists of any length may spill
+    token = Window.partitionBy("token")
+    lists = entries.withColumns({"low": F.min("node").over(token), "high": F.max("node").over(token), "size": F.count(F.lit(1)).over(token)})
+    own = lists.where("low <> high").select("token", "node", "n", "size").distinct().groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("size", "token"))).alias("own"))
+    return own.selectExpr("node", "n", "own.token AS tokens").where(f"size(tokens) >= {_matches('n', similar, matches)}")
+
+
+def merged_lists(packed: DataFrame, similar: int, matches: int) -> DataFrame:
+    """(list, node, n, rest, times): the entries of the lists that pairs come up by.
+
+    Each node leaves out its longest lists, one fewer than any similar pair shares. Lists of
+    the same nodes are one; ``times`` is their number, and ``rest`` how many of the node's
+    tokens stand from the first of them on.
+    """
+    every = packed.select("node", "n", F.size("tokens").alias("all"), F.posexplode("tokens").alias("i", "token"))
+    leading = every.selectExpr("token", "node", "n", "all - i AS rest").where(f"rest >= {_matches('n', similar, matches)}")
+    token = Window.partitionBy("token")
+    named = leading.withColumns({"size": F.count(F.lit(1)).over(token), "nodes": F.bit_xor(F.xxhash64("node")).over(token)}).where("size > 1")
+    return named.groupBy(F.xxhash64("nodes", "size").alias("list"), "node", "n").agg(F.max("rest").alias("rest"), F.count(F.lit(1)).alias("times"))
 
 
 def _similar(one: np.ndarray, two: np.ndarray, similar: int) -> bool:
@@ -158,6 +180,15 @@ def _similar(one: np.ndarray, two: np.ndarray, similar: int) -> bool:
     return 100 * shared >= similar * (len(one) + len(two) - shared)
 
 
+def _with_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key occurs in ``keys``, and few others: a bitmap of hashed keys keeps the rest out of a shuffle."""
+    bit = F.pmod(F.xxhash64(key), F.lit(KEY_BITS))
+    bits = keys.select(bit.alias("bit")).distinct().select(F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("spot"))
+    maps = bits.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("spot").alias("map"))  # 4 KB a bucket
+    found = df.withColumns({"bucket": F.bitmap_bucket_number(bit), "spot": F.bitmap_bit_position(bit)}).join(F.broadcast(maps), "bucket")
+    return found.where("shiftright(CAST(conv(hex(substring(map, CAST(spot div 8 AS int) + 1, 1)), 16, 10) AS int), CAST(spot % 8 AS int)) & 1 = 1").select(*df.columns)
+
+
 def verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, width: int, similar: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough.
 
@@ -172,7 +203,8 @@ def verified(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, width: int,
     members = led.selectExpr("hub", "pmod(xxhash64(node), parts) AS part", "1 AS follows", "node")
     leads = members.select("hub", "part").distinct().selectExpr("hub", "part", "0 AS follows", "hub AS node")
     routes = members.unionByName(leads).join(firsts, "node")
-    sent = texts.join(routes, "doc_id").select("hub", "part", "follows", "node", "text")
+    routes = checkpointed(routes)  # read for the filter and for the join
+    sent = _with_keys(texts, routes, "doc_id").join(routes, "doc_id").select("hub", "part", "follows", "node", "text")
     sent = sent.repartition("hub", "part").sortWithinPartitions("hub", "part", "follows")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,10 +236,11 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Shingles and sets are compared by 64-bit hashes.
 
     Steps: (1) sizes, set digests and frequent shingles; (2) index entries of the prefixes,
-    of which only tokens of two or more nodes stay; (3) while lists are long, rounds in which
-    each node is compared with a few hubs, nodes that come first in the lists by a hash of the
-    round, that it isn't connected with; (4) all remaining pairs of different components that
-    share enough prefix tokens, a part of them at a time; (5) components.
+    of which only tokens of two or more nodes stay; (3) their lists, without the longest of
+    each node; (4) while lists are long, rounds in which each node is compared with a few hubs,
+    nodes that come first in the lists by a hash of the round, that it isn't connected with;
+    (5) all remaining pairs of different components that share enough prefix tokens, a part of
+    them at a time; (6) components.
     """
     texts = texts_of(df, id_col, text_col)
     seen = checkpointed(described(texts, width))
@@ -216,45 +249,39 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     listed = sorted((r.node % (1 << 64), r.n) for r in often.toLocalIterator())
     counts = Counts(np.array([x for x, _ in listed], np.uint64), np.array([n for _, n in listed], np.int64))
 
-    entries = prefixes(texts, counts, width, similar, matches).persist()  # read twice, recomputed if lost
-    shared = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    index = entries.join(shared, "token").distinct()
-    index = checkpointed(index.selectExpr("token", "node", "n", "at >> 32 AS place", "at & 4294967295 AS reach"))
-    entries.unpersist()
+    packed = checkpointed(shared_tokens(prefixes(texts, counts, width, similar, matches), similar, matches))
+    index = checkpointed(merged_lists(packed, similar, matches))
     if is_empty(index):
         return _result(docs, None)
-    own = index.groupBy("node", "n", "reach").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("own"))
-    packed = checkpointed(own.selectExpr("node", "n", "reach", "own.token AS tokens", "CAST(own.place AS array<int>) AS places"))
     firsts = docs.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    firsts = checkpointed(firsts.join(packed.select("node"), "node", "left_semi"))
-    leading = index.where(f"100 * (n - place) >= {similar} * n").drop("reach")
+    firsts = checkpointed(firsts.join(index.select("node").distinct(), "node", "left_semi"))
+    lists = index.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LONG)
+    long = checkpointed(index.join(lists.select("list"), "list"))
 
-    lists = leading.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LONG)
-    long = checkpointed(leading.join(lists.select("token"), "token"))
+    def counted(pairs: DataFrame) -> DataFrame:
+        return checkpointed(_counted(pairs, packed, similar, matches))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return checkpointed(verified(checkpointed(_counted(pairs, packed, similar)), firsts, texts, width, similar))
+        return checkpointed(verified(pairs, firsts, texts, width, similar))
 
-    links, tried, roots, turn, count, before = None, None, firsts.select("node", F.col("node").alias("root")), 0, HUBS, None
+    links, tried, roots, turn, before = None, None, firsts.select("node", F.col("node").alias("root")), 0, None
     entries_left, nodes = index.count(), firsts.count()
     while True:
         labelled = long.join(roots, "node")
         work = remaining_work(labelled)
-        if work <= LIGHT * entries_left or before is not None and count == MOST_HUBS and work > 0.9 * before:
+        if work <= LIGHT * entries_left or before is not None and work > STALLED * before:
             break
-        if before is not None and work > 0.5 * before:
-            count = min(2 * count, MOST_HUBS)
-        pairs = hub_pairs(labelled, turn, count, similar)
+        pairs = hub_pairs(labelled, turn, HUBS, similar, matches)
         pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = verify(pairs)
+        found = verify(counted(pairs))
         if not is_empty(found):
             links = found if links is None else links.unionByName(found)
             roots = _roots(firsts, links)
         turn, before = turn + 1, work
 
-    left, most = other_pairs(leading.join(roots, "node"), similar), 1
-    left = checkpointed(left if tried is None else left.join(tried, ["a", "b"], "left_anti"))
+    left, most = other_pairs(index.join(roots, "node"), similar, matches), 1
+    left = counted(checkpointed(left if tried is None else left.join(tried, ["a", "b"], "left_anti")))
     while True:
         # many pairs: few of each node first, as those that then are connected need no look
         some = left if left.count() <= nodes else _some_each(left, most)
@@ -286,33 +313,28 @@ def _roots(firsts: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(firsts.select("node").join(tied, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
 
 
-def hub_pairs(labelled: DataFrame, turn: int, count: int, similar: int) -> DataFrame:
+def hub_pairs(labelled: DataFrame, turn: int, count: int, similar: int, matches: int) -> DataFrame:
     """For each node of the lists some hubs of other components: (a, b).
 
-    The hubs of a token are the nodes that come first in ``count`` orders of the turn. Of the
-    hubs of its tokens a node takes the ``count`` that it meets most often.
+    The hubs of a list are the nodes that come first in ``count`` orders of the turn. Of the
+    hubs of its lists a node takes the ``count`` that it meets most often.
     """
-    orders = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)).alias("order"), F.col("node").alias("hub"), F.col("root").alias("root1"), F.col("n").alias("n1"), F.col("place").alias("place1"))) for k in range(count)]
-    hubs = labelled.groupBy("token").agg(F.array(*orders).alias("hubs")).select("token", F.explode("hubs").alias("h"))
-    hubs = hubs.select("token", "h.hub", "h.root1", "h.n1", "h.place1").distinct()
-    met = _first(labelled.join(hubs, "token").where("root <> root1"), similar)
-    times = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
+    orders = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)).alias("order"), F.col("node").alias("hub"), F.col("root").alias("root1"), F.col("n").alias("n1"), F.col("rest").alias("rest1"))) for k in range(count)]
+    hubs = labelled.groupBy("list").agg(F.array(*orders).alias("hubs")).select("list", F.explode("hubs").alias("h"))
+    hubs = hubs.select("list", "h.hub", "h.root1", "h.n1", "h.rest1").distinct()
+    met = _first(labelled.join(hubs, "list").where("root <> root1"), similar, matches)
+    times = met.groupBy("node", "hub").agg(F.sum("times").alias("times"))
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("times"), F.xxhash64("hub", F.lit(turn)), "hub"))
     best = times.withColumn("place", place).where(F.col("place") <= count)
     return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def _counted(pairs: DataFrame, packed: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) that share as many prefix tokens as both prefixes allow to ask for.
-
-    Sets of sizes n and n1 must share m. j is the most for which both prefixes hold n - m + j
-    tokens; j of these must be shared.
-    """
-    one, two = (packed.select(F.col("node").alias(c), *(F.col(x).alias(x + k) for x in ("n", "reach", "tokens", "places"))) for c, k in (("a", ""), ("b", "1")))
-    met = pairs.join(one, "a").join(two, "b").withColumn("m", F.expr(_least(similar)))
-    met = met.withColumn("j", F.least(F.col("reach") - F.col("n"), F.col("reach1") - F.col("n1")) + F.col("m"))
-    asked = (F.expr(f"slice(tokens{k}, 1, size(filter(places{k}, p -> p < n{k} - m + j)))") for k in ("", "1"))
-    return met.where(F.size(F.array_intersect(*asked)) >= F.col("j")).select("a", "b")
+def _counted(pairs: DataFrame, packed: DataFrame, similar: int, matches: int) -> DataFrame:
+    """The pairs (a, b) that share as many prefix tokens as both prefixes allow to ask for."""
+    near = _with_keys(packed, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
+    one, two = (near.select(F.col("node").alias(c), *(F.col(x).alias(x + k) for x in ("n", "tokens"))) for c, k in (("a", ""), ("b", "1")))
+    met = pairs.join(one, "a").join(two, "b")
+    return met.where(f"size(array_intersect(tokens, tokens1)) >= {_asked(similar, matches)}").select("a", "b")
 
 
 def _least(similar: int) -> str:
@@ -320,16 +342,31 @@ def _least(similar: int) -> str:
     return f"(({similar} * (n + n1) + {99 + similar}) div {100 + similar})"
 
 
-def _first(met: DataFrame, similar: int) -> DataFrame:
+def _matches(n: str, similar: int, matches: int) -> str:
+    """What a prefix is lengthened by: ``matches``, or all that a small set has left."""
+    return f"least({matches}, ({similar} * {n} + 99) div 100)"
+
+
+def _asked(similar: int, matches: int) -> str:
+    """Tokens that the prefixes of similar sets of sizes n and n1 share at least.
+
+    Sets that share m hold in common j of the first n - m + j and n1 - m + j; j is the most
+    for which both prefixes are so long.
+    """
+    spare = (f"{_matches(n, similar, matches)} - ({similar} * {n} + 99) div 100" for n in ("n", "n1"))
+    return f"(least({', '.join(spare)}) + {_least(similar)})"
+
+
+def _first(met: DataFrame, similar: int, matches: int) -> DataFrame:
     """Entries of nodes of similar size whose token may be the first that they share: as many as they must share are left from there on."""
-    return met.where(f"100 * least(n, n1) >= {similar} * greatest(n, n1) AND least(n - place, n1 - place1) >= {_least(similar)}")
+    return met.where(f"100 * least(n, n1) >= {similar} * greatest(n, n1) AND least(rest, rest1) >= {_asked(similar, matches)}")
 
 
 def _minority(labelled: DataFrame) -> DataFrame:
-    """The index entries outside their token's largest component, with that token's number of entries."""
-    sizes = labelled.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
-    major = sizes.groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    return labelled.join(major.select("token", F.col("m.root").alias("major"), "size"), "token").where("root <> major")
+    """The index entries outside their list's largest component, with that component and the list's number of entries."""
+    sizes = labelled.groupBy("list", "root").agg(F.count(F.lit(1)).alias("c"))
+    major = sizes.groupBy("list").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    return labelled.join(major.select("list", F.col("m.root").alias("major"), "size"), "list").where("root <> major")
 
 
 def remaining_work(labelled: DataFrame) -> int:
@@ -337,15 +374,15 @@ def remaining_work(labelled: DataFrame) -> int:
     return _minority(labelled).agg(F.sum("size")).first()[0] or 0
 
 
-def other_pairs(labelled: DataFrame, similar: int) -> DataFrame:
+def other_pairs(labelled: DataFrame, similar: int, matches: int) -> DataFrame:
     """All pairs of nodes of different components that may share enough tokens: (a, b).
 
-    In each token's list, entries outside the largest component meet the entries of other
-    components. A pair comes up by the first token that it shares, in the order of all
-    tokens; it stands early in both sets.
+    In each list, entries outside the largest component meet the entries of other components,
+    each pair once. A pair comes up by the first token that it shares, in the order of the
+    lists; it stands early in both sets.
     """
-    some = _minority(labelled).select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "root", "n", "place")))
-    met = _first(some.join(labelled, "token").where("root1 <> root"), similar)
+    some = _minority(labelled).select("list", "major", *(F.col(c).alias(f"{c}1") for c in ("node", "root", "n", "rest")))
+    met = _first(some.join(labelled, "list").where("root1 <> root AND (root = major OR node1 < node)"), similar, matches)
     return met.select(F.least("node", "node1").alias("a"), F.greatest("node", "node1").alias("b")).distinct()
 
 

@@ -236,6 +236,22 @@ def test_jaccard_join_of_nothing_and_of_clashing_columns(nothing, clashing):
     assert as_rows(jaccard_join.link_documents(clashing, "key", "body")) == Counter([(7, 2, 7), (8, 2, 7)])
 
 
+def test_texts_with_a_common_phrase_make_no_pairs(spark, monkeypatch):
+    pairs, made = [], jaccard_join.other_pairs
+
+    def counted(*args):
+        out = made(*args)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "other_pairs", counted)
+    phrase = " ".join(f"common{i}" for i in range(9))  # seven shingles, which no count tells to be frequent
+    texts = [" ".join(f"w{d}x{i}" for i in range(60)) + " " + phrase for d in range(24)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = as_rows(jaccard_join.link_documents(df, frequent=1))
+    assert found == Counter((d, 67, d) for d in range(24)) and sum(pairs) == 0
+
+
 def test_rounds_of_hubs_lose_no_link(documents, corpus, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LIGHT", 0)
     monkeypatch.setattr(jaccard_join, "LONG", 1)
